@@ -7,15 +7,17 @@ pass, keeping the hit with the lowest priority. Arrow batches in and out.
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CACHE: dict[int, object] = {}
+_CACHE: dict[str, object] = {}
 
 
 def _automaton(bc):
-    key = bc.id
+    key = bc.value["key"]
     if key not in _CACHE:
         import ahocorasick
 
@@ -32,6 +34,7 @@ def _automaton(bc):
 
 def first_hit_udf(spark, rows, name_col: str, carry: tuple[str, ...]):
     payload = {
+        "key": uuid.uuid4().hex,
         "names": [r[name_col] for r in rows],
         "fields": {c: [r[c] for r in rows] for c in (name_col, *carry)},
     }

@@ -37,7 +37,11 @@ def lead_line(doc_id: F.Column) -> F.Column:
 
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, Headline, lang, source): lang and source pass through."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    return news_from_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]))
+
+
+def news_from_documents(docs: DataFrame) -> DataFrame:
+    """The news projection of any documents frame, batch or streaming."""
     return docs.select(
         "doc_id",
         F.concat(lead_line(F.col("doc_id")), F.lit("\n"), F.col("text")).alias("Headline"),
