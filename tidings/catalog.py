@@ -206,12 +206,14 @@ def q_audit_score(spark, sf_dir):
 
 
 def q_interpretation_report(spark, sf_dir):
-    """One summary row per headline; the audit score comes from the
-    environmental attribution of the same row (joined by id)."""
+    """One summary row per headline. Scores and the environmental audit come
+    from one pass over each row (no join back by id)."""
     scored = _scored(spark, sf_dir)
-    audit = audit_scores(_attributed(spark, sf_dir)).select("doc_id", "audit_score")
-    j = scored.join(audit, on="doc_id", how="left")
-    return j.select(
+    keep = ("Headline", "company", "esg_flag", "sentiment", "cumulative_score", "materiality_score",
+            "esg_adjusted_score")
+    a = attribute(scored, keep=keep)
+    audit = F.col("env_base") + F.aggregate(F.col("env_phi"), F.lit(0.0), lambda acc, x: acc + x)
+    return a.select(
         "doc_id",
         abbreviate("Headline", C.ABBREVIATE_AT).alias("headline_short"),
         S.company_display("company").alias("company"),
@@ -220,7 +222,7 @@ def q_interpretation_report(spark, sf_dir):
         S.signed(F.round("cumulative_score", 4), 4).alias("cumulative_text"),
         S.unsigned(F.round("materiality_score", 4), 4).alias("materiality_text"),
         S.signed(F.round("esg_adjusted_score", 4), 4).alias("adjusted_text"),
-        S.signed(F.round("audit_score", 4), 4).alias("audit_text"),
+        S.signed(F.round(audit, 4), 4).alias("audit_text"),
     )
 
 

@@ -13,13 +13,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidings.config import COMPANIES, ESG_KEYWORDS, NOISE_PHRASES
-from tidings.functions.text import col_
+from tidings.functions.text import col_, let
 
 
 def lower_text(text: Column | str) -> Column:
     return F.lower(col_(text))
 
 
+def with_lowered(text: Column | str, build) -> Column:
+    """Evaluate ``build(lowered)`` with ``lower(text)`` computed once per row.
+
+    The lowered text is bound as a lambda variable, so the expression stays
+    one ``lower`` call even when the optimizer inlines it, e.g. when a filter
+    on a tag is pushed below the projection that made it.
+    """
+    return let(F.lower(col_(text)), build)
+
+
 def first_match(lowered: Column, names: Sequence[str], values: Sequence | None = None) -> Column:
     """Value of the first name (in list order) that occurs in ``lowered``.
 
@@ -55,7 +65,7 @@ def noise_flag(lowered: Column, phrases: Sequence[str] = NOISE_PHRASES) -> Colum
     return F.coalesce(expr, F.lit(False))
 
 
-def matched_keywords(lowered: Column, keywords: Sequence[str] = ESG_KEYWORDS) -> Column:
+def matched_keywords(text: Column | str, keywords: Sequence[str] = ESG_KEYWORDS) -> Column:
     """The keyword alternatives that occur in the text, in keyword order."""
     arr = F.array(*[F.lit(k) for k in keywords])
-    return F.filter(arr, lambda k: lowered.contains(F.lower(k)))
+    return with_lowered(text, lambda lowered: F.filter(arr, lambda k: lowered.contains(F.lower(k))))

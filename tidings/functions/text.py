@@ -65,6 +65,15 @@ def weighted_count(tokens: Column, weights: dict[str, int]) -> Column:
     return F.aggregate(tokens, F.lit(0), lambda acc, t: acc + weight(t))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``body(v)`` with ``value`` computed once per row.
+
+    The value is bound as a lambda variable, so a body that reads it many
+    times (or inside another lambda) does not re-evaluate it.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sum_of_squared_counts(tokens: Column) -> Column:
     """sum(count(t)**2) over the distinct values of ``tokens``.
 

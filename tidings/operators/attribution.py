@@ -17,38 +17,31 @@ the kept chunks, so no masked text is ever built or re-tokenised:
 * composite (environmental impact): (+1 if p_S > n_S else -1) * cosine_S.
 
 Shapley values. phi_i = sum_{S without i} w(|S|) (v(S + i) - v(S)) with
-w(k) = k!(m-k-1)!/m!, over all 2^m coalitions. All of it runs as array
-expressions inside the row (no explode, no shuffle); a document's cost is
-O(len(text) + 2^m * m^2) and documents are independent, so the work spreads
-over every partition of the input. Efficiency holds: base + sum(phi) =
-v(all players).
+w(k) = k!(m-k-1)!/m!, over all 2^m coalitions. The chunk statistics are
+native array expressions inside the row; the coalition algebra (a 2^m x m
+bit matrix times the per-chunk sums) runs vectorised in numpy in an
+Arrow-batched pandas UDF that receives only small integer arrays, never
+text. No explode, no shuffle: a document's cost is O(len(text) + 2^m m^2)
+and documents are independent, so the work spreads over every partition of
+the input. Efficiency holds: base + sum(phi) = v(all players).
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.config import DEFAULT, MAX_EXACT_PLAYERS, Settings
 from tidings.functions.scores import argmax_label
-from tidings.functions.text import col_, count_in, lexical_tokens, sum_of_squared_counts, weighted_count, words
+from tidings.functions.text import count_in, lexical_tokens, sum_of_squared_counts, weighted_count, words
 from tidings.operators.materiality import BowCosine
 from tidings.operators.scorers import LexiconScorer
 
 
-def _bit(mask: Column, i: int) -> Column:
-    return mask.bitwiseAND(F.lit(1 << i)) != 0
-
-
-def _sum_bits(mask: Column, arr: Column, players: int) -> Column:
-    total = F.lit(0).cast("long")
-    for i in range(players):
-        total = total + F.when(_bit(mask, i), F.get(arr, i)).otherwise(F.lit(0))
-    return total
-
-
 def _pairs(players: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(players) for j in range(i + 1, players)]
 
@@ -87,43 +80,99 @@ def chunk_statistics(df: DataFrame, text_col: str, players: int, scorer: Lexicon
     return out.drop("__lex")
 
 
-def _coalition_stats(mask: Column, players: int) -> tuple[Column, Column, Column, Column]:
-    p = _sum_bits(mask, F.col("__p"), players)
-    q = _sum_bits(mask, F.col("__q"), players)
-    d = _sum_bits(mask, F.col("__d"), players)
-    ss = _sum_bits(mask, F.col("__ss"), players)
-    for k, (i, j) in enumerate(_pairs(players)):
-        ss = ss + F.when(_bit(mask, i) & _bit(mask, j), F.get(F.col("__cross"), k)).otherwise(F.lit(0))
-    return p, q, d, ss
-
-
-def _shapley(values: Column, m: Column) -> Column:
-    """phi_i for i < m from the array of coalition values (index = mask)."""
-    fact = F.array(*[F.lit(float(math.factorial(k))) for k in range(MAX_EXACT_PLAYERS + 2)])
-    pow2 = F.array(*[F.lit(1 << k) for k in range(MAX_EXACT_PLAYERS + 1)])
-
-    def weight(k: Column) -> Column:
-        return F.get(fact, k) * F.get(fact, m - k - 1) / F.get(fact, m)
-
-    def phi(i: Column) -> Column:
-        bit = F.get(pow2, i)
-        return F.aggregate(
-            F.sequence(F.lit(0), F.get(pow2, m) - 1), F.lit(0.0),
-            lambda acc, s: acc + F.when(s.bitwiseAND(bit) != 0, F.lit(0.0)).otherwise(
-                weight(F.bit_count(s)) * (F.get(values, s + bit) - F.get(values, s))))
-
-    return F.when(m == 0, F.array().cast("array<double>")).otherwise(
-        F.transform(F.sequence(F.lit(0), m - 1), phi))
+_SENT_TYPE = ("struct<sent_base: double, sent_phi: array<double>, sent_full: double>")
+_ENV_TYPE = ("struct<env_base: double, env_phi: array<double>, env_full: double>")
+
+
+class _Coalitions:
+    """Per player count m: the coalition bit matrix, sizes and Shapley weights."""
+
+    _cache: dict = {}
+
+    @classmethod
+    def get(cls, m: int, players: int):
+        key = (m, players)
+        if key not in cls._cache:
+            masks = np.arange(1 << m)
+            bits = ((masks[:, None] >> np.arange(m)) & 1).astype(np.int64)
+            size = bits.sum(axis=1)
+            pairs = [(k, i, j) for k, (i, j) in enumerate(_pairs(players)) if j < m]
+            pair_idx = np.array([k for k, _, _ in pairs], dtype=np.int64)
+            pair_bits = (bits[:, [i for _, i, _ in pairs]] * bits[:, [j for _, _, j in pairs]]
+                         if pairs else np.zeros((1 << m, 0), dtype=np.int64))
+            fact = [math.factorial(k) for k in range(m + 1)]
+            weight = np.array([fact[k] * fact[m - k - 1] / fact[m] for k in range(m)] or [0.0])
+            without = [masks[bits[:, i] == 0] for i in range(m)]
+            cls._cache[key] = (bits, size, pair_idx, pair_bits, weight, without)
+        return cls._cache[key]
+
+
+def _shapley_np(values, m: int, size, weight, without):
+    """phi_i = sum over coalitions S without i of w(|S|) (v(S + i) - v(S))."""
+    return [float(np.sum(weight[size[s]] * (values[s | (1 << i)] - values[s]))) for i, s in
+            enumerate(without)]
+
+
+def _sentiment_udf(players: int):
+    """Sentiment attribution from per-chunk lexicon counts (small int arrays)."""
+
+    @F.pandas_udf(_SENT_TYPE)
+    def sentiment(m: pd.Series, p: pd.Series, q: pd.Series, label: pd.Series) -> pd.DataFrame:
+        base, phis, full = [], [], []
+        for mi, pi, qi, li in zip(m, p, q, label):
+            mi = int(mi)
+            bits, size, _, _, weight, without = _Coalitions.get(mi, players)
+            ps = bits @ np.asarray(pi, dtype=np.int64)[:mi]
+            qs = bits @ np.asarray(qi, dtype=np.int64)[:mi]
+            total = ps + qs + 1.0
+            v = ps / total if li == "positive" else (qs / total if li == "negative" else 1.0 / total)
+            base.append(float(v[0]))
+            full.append(float(v[-1]))
+            phis.append(_shapley_np(v, mi, size, weight, without))
+        return pd.DataFrame({"sent_base": base, "sent_phi": phis, "sent_full": full})
+
+    return sentiment
+
+
+def _environment_udf(players: int, anchor_norm: float):
+    """Composite (direction x bag-of-words cosine) attribution from per-chunk
+    counts, token sums of squares and pairwise cross terms."""
+
+    @F.pandas_udf(_ENV_TYPE)
+    def environment(m: pd.Series, p: pd.Series, q: pd.Series, d: pd.Series, ss: pd.Series,
+                    cross: pd.Series) -> pd.DataFrame:
+        base, phis, full = [], [], []
+        for mi, pi, qi, di, si, ci in zip(m, p, q, d, ss, cross):
+            mi = int(mi)
+            bits, size, pair_idx, pair_bits, weight, without = _Coalitions.get(mi, players)
+            ps = bits @ np.asarray(pi, dtype=np.int64)[:mi]
+            qs = bits @ np.asarray(qi, dtype=np.int64)[:mi]
+            ds = bits @ np.asarray(di, dtype=np.int64)[:mi]
+            sq = bits @ np.asarray(si, dtype=np.int64)[:mi]
+            if len(pair_idx):
+                sq = sq + pair_bits @ np.asarray(ci, dtype=np.int64)[pair_idx]
+            denom = np.sqrt(sq.astype(np.float64)) * anchor_norm
+            cos = np.divide(ds, denom, out=np.zeros(len(ds)), where=sq != 0)
+            v = np.where(ps > qs, 1.0, -1.0) * cos + 0.0
+            base.append(float(v[0]))
+            full.append(float(v[-1]))
+            phis.append(_shapley_np(v, mi, size, weight, without))
+        return pd.DataFrame({"env_base": base, "env_phi": phis, "env_full": full})
+
+    return environment
 
 
 def attribute(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline",
               settings: Settings = DEFAULT, scorer: LexiconScorer | None = None,
-              materiality: BowCosine | None = None) -> DataFrame:
+              materiality: BowCosine | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: chunks, sentiment attribution (for the label the batch scorer
     picks) and environmental-impact attribution, with base values.
 
-    Output: id, chunks, n_players, label, sent_base, sent_phi, sent_full,
-    env_base, env_phi, env_full.
+    Output: id, *keep, chunks, n_players, label, sent_base, sent_phi,
+    sent_full, env_base, env_phi, env_full. Text work (splitting, chunking,
+    token counts, sums of squares) is native; only the coalition algebra over
+    at most 2^T small integer sums runs in an Arrow-batched pandas UDF, one
+    per output so that a query reading one output never computes the other.
     """
     players = settings.attribution_players
     if players > MAX_EXACT_PLAYERS:
@@ -135,35 +184,26 @@ def attribute(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline",
     materiality = materiality or BowCosine(settings.anchor)
 
     s = batch.expr(F.col(text_col))
-    base = df.select(id_col, text_col).withColumn(
+    base = df.select(id_col, *[c for c in keep if c not in (id_col, text_col)], text_col,
+                     F.col(text_col).alias("__text_kept")).withColumn(
         "label", argmax_label(s["positive"], s["negative"], s["neutral"]))
     stats = chunk_statistics(base, text_col, players, whole, materiality).drop(text_col)
     m = F.col("n_players")
-    masks = F.sequence(F.lit(0), F.pow(F.lit(2), m).cast("int") - 1)
-
-    def env_value(mask: Column) -> Column:
-        p, q, d, ss = _coalition_stats(mask, players)
-        direction = F.when(p > q, F.lit(1.0)).otherwise(F.lit(-1.0))
-        return direction * materiality.from_stats(d, ss) + F.lit(0.0)
-
-    def sent_value(mask: Column) -> Column:
-        p, q, _, _ = _coalition_stats(mask, players)
-        total = (p + q + 1).cast("double")
-        label = F.col("label")
-        return F.when(label == "positive", p / total).when(label == "negative", q / total).otherwise(1.0 / total)
-
-    out = (stats
-           .withColumn("__env", F.transform(masks, env_value))
-           .withColumn("__sent", F.transform(masks, sent_value)))
-    last = F.pow(F.lit(2), m).cast("int") - 1
+    sent = _sentiment_udf(players)(m, F.col("__p"), F.col("__q"), F.col("label"))
+    env = _environment_udf(players, materiality.anchor_norm)(
+        m, F.col("__p"), F.col("__q"), F.col("__d"), F.col("__ss"), F.col("__cross"))
+    out = stats.withColumn("__sent", sent).withColumn("__env", env)
+    kept = [F.col(c) for c in keep if c not in (id_col, text_col)]
+    if text_col in keep:
+        kept.append(F.col("__text_kept").alias(text_col))
     return out.select(
-        id_col, "chunks", "n_players", "label",
-        F.get(F.col("__sent"), 0).alias("sent_base"),
-        _shapley(F.col("__sent"), m).alias("sent_phi"),
-        F.get(F.col("__sent"), last).alias("sent_full"),
-        F.get(F.col("__env"), 0).alias("env_base"),
-        _shapley(F.col("__env"), m).alias("env_phi"),
-        F.get(F.col("__env"), last).alias("env_full"),
+        id_col, *kept, "chunks", "n_players", "label",
+        F.col("__sent.sent_base").alias("sent_base"),
+        F.col("__sent.sent_phi").alias("sent_phi"),
+        F.col("__sent.sent_full").alias("sent_full"),
+        F.col("__env.env_base").alias("env_base"),
+        F.col("__env.env_phi").alias("env_phi"),
+        F.col("__env.env_full").alias("env_full"),
     )
 
 

@@ -92,12 +92,17 @@ def materiality_histogram(scored: DataFrame, group_col: str = "esg_flag", value_
                           bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Per-group equal-width histogram over each group's own min..max.
 
-    Bounds come from one grouped aggregate (one row per group value, a
-    bounded set), joined back by broadcast; the counts are a second partial
+    The (group, value) pairs are checkpointed once; bounds come from one
+    grouped aggregate (one row per group value), joined back by broadcast
+    when the group column is boolean; the counts are a second partial
     aggregate; a spine exploded from the bounds keeps empty bins.
     """
+    from tidings.plans.chain import cut_lineage
+
     v = no_nan(value_col)
-    data = scored.select(F.col(group_col).alias("grp"), v.alias("v")).filter(F.col("v").isNotNull())
+    # Two passes read (group, value): compute it once and keep only these two
+    # columns, so the scoring chain above is not run twice.
+    data = cut_lineage(scored.select(F.col(group_col).alias("grp"), v.alias("v")).filter(F.col("v").isNotNull()))
     bounds = data.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     # One bounds row per group value: a boolean group gives at most three rows,
     # so broadcasting is safe; any other group column is left to the planner.

@@ -25,20 +25,27 @@ def require_headline(df: DataFrame, text_col: str = "Headline") -> DataFrame:
 
 
 def tag(df: DataFrame, text_col: str = "Headline", settings: Settings = DEFAULT) -> DataFrame:
-    """Add ``company``, ``esg_flag`` and ``noise_flag``. Rows are never dropped."""
-    lowered = "__lower"
+    """Add ``company``, ``esg_flag`` and ``noise_flag``. Rows are never dropped.
+
+    Company and noise read the lower-cased text, computed once per row and
+    shared; the keyword flag is a case-insensitive regex on the text itself.
+    """
+    tags = "__tags"
+    both = tagging.with_lowered(text_col, lambda lowered: F.struct(
+        tagging.company(lowered, settings.companies).alias("company"),
+        tagging.noise_flag(lowered, settings.noise_phrases).alias("noise_flag")))
     return (
-        df.withColumn(lowered, tagging.lower_text(text_col))
-        .withColumn("company", tagging.company(F.col(lowered), settings.companies))
+        df.withColumn(tags, both)
+        .withColumn("company", F.col(f"{tags}.company"))
         .withColumn("esg_flag", tagging.esg_flag(text_col, settings.esg_keywords))
-        .withColumn("noise_flag", tagging.noise_flag(F.col(lowered), settings.noise_phrases))
-        .drop(lowered)
+        .withColumn("noise_flag", F.col(f"{tags}.noise_flag"))
+        .drop(tags)
     )
 
 
 def with_matched_keywords(df: DataFrame, text_col: str = "Headline", settings: Settings = DEFAULT) -> DataFrame:
     """Add ``matched_keywords``: which alternatives of the ESG pattern fired."""
-    return df.withColumn("matched_keywords", tagging.matched_keywords(F.lower(F.col(text_col)), settings.esg_keywords))
+    return df.withColumn("matched_keywords", tagging.matched_keywords(text_col, settings.esg_keywords))
 
 
 def keyword_counts(df: DataFrame, text_col: str = "Headline", settings: Settings = DEFAULT) -> DataFrame:
@@ -111,12 +118,12 @@ def tag_from_table(df: DataFrame, dim: DataFrame, text_col: str = "Headline",
     if strategy == "auto":
         strategy = "inline" if len(rows) <= settings.inline_dictionary_limit else "automaton"
     if strategy == "inline":
-        lowered = "__lower"
-        out = df.withColumn(lowered, F.lower(F.col(text_col)))
-        out = out.withColumn(name_col, tagging.first_match(F.col(lowered), names))
-        for c in carry:
-            out = out.withColumn(c, tagging.first_match(F.col(lowered), names, [r[c] for r in rows]))
-        return out.drop(lowered)
+        hit = tagging.with_lowered(text_col, lambda lowered: F.struct(
+            tagging.first_match(lowered, names).alias(name_col),
+            *[tagging.first_match(lowered, names, [r[c] for r in rows]).alias(c) for c in carry]))
+        out = df.withColumn("__hit", hit)
+        return out.select(*[c for c in out.columns if c != "__hit"],
+                          *[F.col(f"__hit.{c}").alias(c) for c in (name_col, *carry)]).drop("__hit")
     if strategy == "automaton":
         from tidings.operators.automaton import first_hit_udf
 

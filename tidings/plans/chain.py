@@ -31,3 +31,15 @@ def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.format(fmt).save(path)
     return df.sparkSession.read.format(fmt).load(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into ``spark.checkpoint.dir`` (eager).
+
+    For a small projection that several later jobs read: it is computed
+    once, and a lost executor re-reads it from shared storage.
+    """
+    from tidings.session import work_dir
+
+    work_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

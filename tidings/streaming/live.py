@@ -64,11 +64,20 @@ def run_to_files(query_df: DataFrame, name: str, mode: str = "append") -> str:
     return out
 
 
-def live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_stream(news_from_documents(document_stream(spark, sf_dir)))
+def _spread_stream(stream: DataFrame, partitions: int | None) -> DataFrame:
+    """A file source gives one partition per file split; spread each
+    micro-batch over the cluster before the per-row chain."""
+    n = partitions or stream.sparkSession.sparkContext.defaultParallelism
+    return stream.repartition(n) if n > 1 else stream
+
+
+def live_scores(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    docs = _spread_stream(document_stream(spark, sf_dir), partitions)
+    scored = score_stream(news_from_documents(docs))
     return spark.read.parquet(run_to_files(scored, "live-scores", "append"))
 
 
-def live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = count_stream(score_stream(news_from_documents(document_stream(spark, sf_dir))))
+def live_counts(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    docs = _spread_stream(document_stream(spark, sf_dir), partitions)
+    counts = count_stream(score_stream(news_from_documents(docs)))
     return spark.read.parquet(run_to_files(counts, "live-counts", "complete"))
