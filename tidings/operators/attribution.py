@@ -12,23 +12,26 @@ the kept chunks, so no masked text is ever built or re-tokenised:
 * lexicon sentiment: p_S = sum p_i, n_S = sum n_i over i in S; the
   probability of a label is p_S/(p_S+n_S+1), n_S/(...), 1/(...);
 * bag-of-words cosine: dot_S = sum d_i and |v_S|^2 = sum_i |v_i|^2 +
-  sum_{i<j in S} 2<v_i,v_j>, where 2<v_i,v_j> = ss(L_i + L_j) - ss(L_i) -
-  ss(L_j) and ss is the sum of squared token counts;
+  sum_{i<j in S} 2<v_i,v_j> over the chunks' token-count vectors v_i;
 * composite (environmental impact): (+1 if p_S > n_S else -1) * cosine_S.
 
 Shapley values. phi_i = sum_{S without i} w(|S|) (v(S + i) - v(S)) with
-w(k) = k!(m-k-1)!/m!, over all 2^m coalitions. The chunk statistics are
-native array expressions inside the row; the coalition algebra (a 2^m x m
-bit matrix times the per-chunk sums) runs vectorised in numpy in an
-Arrow-batched pandas UDF that receives only small integer arrays, never
-text. No explode, no shuffle: a document's cost is O(len(text) + 2^m m^2)
-and documents are independent, so the work spreads over every partition of
-the input. Efficiency holds: base + sum(phi) = v(all players).
+w(k) = k!(m-k-1)!/m!, over all 2^m coalitions. Splitting, chunking,
+tokenising and the additive counts are native array expressions inside the
+row. The coalition algebra (a 2^m x m bit matrix times the per-chunk sums)
+runs vectorised in numpy in an Arrow-batched pandas UDF; the composite
+output also hands it the chunks' token lists, from which it takes the m x m
+Gram matrix of token counts with hash counters (the JVM's interpreted
+lambdas needed about 3 us per token for the same sums). No explode, no
+shuffle: a document's cost is O(len(text) + 2^m m^2) and documents are
+independent, so the work spreads over every partition of the input.
+Efficiency holds: base + sum(phi) = v(all players).
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tidings.config import DEFAULT, MAX_EXACT_PLAYERS, Settings
 from tidings.functions.scores import argmax_label
-from tidings.functions.text import count_in, lexical_tokens, sum_of_squared_counts, weighted_count, words
+from tidings.functions.text import count_in, lexical_tokens, weighted_count, words
 from tidings.operators.materiality import BowCosine
 from tidings.operators.scorers import LexiconScorer
 
@@ -65,19 +68,10 @@ def chunk_statistics(df: DataFrame, text_col: str, players: int, scorer: Lexicon
     out = out.withColumn("chunks", chunks).drop(w, "__n")
     out = out.withColumn("__lex", F.transform("chunks", lambda c: lexical_tokens(c)))
     lex = F.col("__lex")
-    out = (out
-           .withColumn("__p", F.transform(lex, lambda t: count_in(t, scorer.positive)))
-           .withColumn("__q", F.transform(lex, lambda t: count_in(t, scorer.negative)))
-           .withColumn("__d", F.transform(lex, lambda t: weighted_count(t, materiality.weights)))
-           .withColumn("__ss", F.transform(lex, lambda t: sum_of_squared_counts(t))))
-    cross = [
-        F.when(m > F.lit(j),
-               sum_of_squared_counts(F.concat(F.get(lex, i), F.get(lex, j)))
-               - F.get(F.col("__ss"), i) - F.get(F.col("__ss"), j)).otherwise(F.lit(0))
-        for i, j in _pairs(players)
-    ]
-    out = out.withColumn("__cross", F.array(*cross) if cross else F.array().cast("array<long>"))
-    return out.drop("__lex")
+    return (out
+            .withColumn("__p", F.transform(lex, lambda t: count_in(t, scorer.positive)))
+            .withColumn("__q", F.transform(lex, lambda t: count_in(t, scorer.negative)))
+            .withColumn("__d", F.transform(lex, lambda t: weighted_count(t, materiality.weights))))
 
 
 _SENT_TYPE = ("struct<sent_base: double, sent_phi: array<double>, sent_full: double>")
@@ -134,23 +128,35 @@ def _sentiment_udf(players: int):
     return sentiment
 
 
+def _gram(token_lists) -> tuple[np.ndarray, np.ndarray]:
+    """Per chunk |v_i|^2 and, for i < j in pair order, 2<v_i, v_j> of the
+    chunks' token-count vectors."""
+    counts = [Counter(t) for t in token_lists]
+    diag = np.array([sum(c * c for c in k.values()) for k in counts], dtype=np.int64)
+    cross = []
+    for i, j in _pairs(len(counts)):
+        a, b = (counts[i], counts[j]) if len(counts[i]) <= len(counts[j]) else (counts[j], counts[i])
+        cross.append(2 * sum(c * b.get(t, 0) for t, c in a.items()))
+    return diag, np.array(cross, dtype=np.int64)
+
+
 def _environment_udf(players: int, anchor_norm: float):
     """Composite (direction x bag-of-words cosine) attribution from per-chunk
-    counts, token sums of squares and pairwise cross terms."""
+    counts and the chunks' token lists (for the norm of each coalition)."""
 
     @F.pandas_udf(_ENV_TYPE)
-    def environment(m: pd.Series, p: pd.Series, q: pd.Series, d: pd.Series, ss: pd.Series,
-                    cross: pd.Series) -> pd.DataFrame:
+    def environment(m: pd.Series, p: pd.Series, q: pd.Series, d: pd.Series, lex: pd.Series) -> pd.DataFrame:
         base, phis, full = [], [], []
-        for mi, pi, qi, di, si, ci in zip(m, p, q, d, ss, cross):
+        for mi, pi, qi, di, li in zip(m, p, q, d, lex):
             mi = int(mi)
-            bits, size, pair_idx, pair_bits, weight, without = _Coalitions.get(mi, players)
+            bits, size, _, pair_bits, weight, without = _Coalitions.get(mi, mi)
             ps = bits @ np.asarray(pi, dtype=np.int64)[:mi]
             qs = bits @ np.asarray(qi, dtype=np.int64)[:mi]
             ds = bits @ np.asarray(di, dtype=np.int64)[:mi]
-            sq = bits @ np.asarray(si, dtype=np.int64)[:mi]
-            if len(pair_idx):
-                sq = sq + pair_bits @ np.asarray(ci, dtype=np.int64)[pair_idx]
+            diag, cross = _gram([list(t) for t in li[:mi]])
+            sq = bits @ diag
+            if len(cross):
+                sq = sq + pair_bits @ cross
             denom = np.sqrt(sq.astype(np.float64)) * anchor_norm
             cos = np.divide(ds, denom, out=np.zeros(len(ds)), where=sq != 0)
             v = np.where(ps > qs, 1.0, -1.0) * cos + 0.0
@@ -191,7 +197,7 @@ def attribute(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline",
     m = F.col("n_players")
     sent = _sentiment_udf(players)(m, F.col("__p"), F.col("__q"), F.col("label"))
     env = _environment_udf(players, materiality.anchor_norm)(
-        m, F.col("__p"), F.col("__q"), F.col("__d"), F.col("__ss"), F.col("__cross"))
+        m, F.col("__p"), F.col("__q"), F.col("__d"), F.col("__lex"))
     out = stats.withColumn("__sent", sent).withColumn("__env", env)
     kept = [F.col(c) for c in keep if c not in (id_col, text_col)]
     if text_col in keep:
