@@ -83,7 +83,8 @@ def _bin_expr(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Equal-width bin of v over [lo, hi]; the top edge falls in the last bin;
     a constant group (lo = hi) lands in the middle bin, as a +/-0.5 range would."""
     width = (hi - lo) / F.lit(bins)
-    return (F.when(lo == hi, F.lit(bins // 2))
+    return (F.when(v.isNull(), F.lit(None).cast("int"))
+            .when(lo == hi, F.lit(bins // 2))
             .when(v >= hi, F.lit(bins - 1))
             .otherwise(F.least(F.floor((v - lo) / width).cast("int"), F.lit(bins - 1))))
 
@@ -101,9 +102,13 @@ def materiality_histogram(scored: DataFrame, group_col: str = "esg_flag", value_
 
     v = no_nan(value_col)
     # Two passes read (group, value): compute it once and keep only these two
-    # columns, so the scoring chain above is not run twice.
-    data = cut_lineage(scored.select(F.col(group_col).alias("grp"), v.alias("v")).filter(F.col("v").isNotNull()))
-    bounds = data.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # columns, so the scoring chain above is not run twice. No filter here: a
+    # filter on v would inline the whole value expression a second time.
+    # Nulls drop out by themselves (min/max skip them, a null value gets a
+    # null bin, and the spine join keeps bins 0..bins-1 only).
+    data = cut_lineage(scored.select(F.col(group_col).alias("grp"), v.alias("v")))
+    bounds = (data.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+              .filter(F.col("lo").isNotNull()))
     # One bounds row per group value: a boolean group gives at most three rows,
     # so broadcasting is safe; any other group column is left to the planner.
     is_bool = dict(scored.dtypes).get(group_col) == "boolean"

@@ -5,7 +5,11 @@ scan: a table stored as one parquet row group is read by one task, so a
 CPU-heavy projection over it would run on one core. When the scan has
 fewer partitions than the session's parallelism the rows are spread
 round-robin; at cluster scale (thousands of input splits) it is a no-op
-and adds no shuffle.
+and adds no shuffle. When it does spread, an ``observe`` node (a row
+count) sits on top of the exchange: Catalyst pushes filters through a
+round-robin repartition, which would move a filter on a computed column
+(``company IS NOT NULL``) and all the text work it inlines back into the
+single scan task. Column pruning still reaches the scan.
 
 ``materialize`` cuts lineage by writing a table to the shared work folder
 (``spark.checkpoint.dir``) and reading it back; a lost executor then
@@ -14,7 +18,10 @@ re-reads files instead of recomputing the chain.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidings.session import fresh_path
 
@@ -23,7 +30,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     sc = df.sparkSession.sparkContext
     target = min_partitions or sc.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.repartition(target).observe(f"spread_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
     return df
 
 
