@@ -227,7 +227,7 @@ def q_interpretation_report(spark, sf_dir):
 
 
 def q_result_preview(spark, sf_dir):
-    return rounded(R.result_preview(_scored(spark, sf_dir)))
+    return rounded(R.result_preview(analyze(R.preview_rows(news_items(spark, sf_dir))), n=None))
 
 
 def q_raw_preview(spark, sf_dir):

@@ -125,10 +125,30 @@ def materiality_histogram(scored: DataFrame, group_col: str = "esg_flag", value_
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 
-def result_preview(scored: DataFrame, order_col: str = "doc_id", n: int = RESULT_PREVIEW_ROWS) -> DataFrame:
-    """The preview table: the listed columns that exist, first ``n`` rows by id."""
+def preview_rows(df: DataFrame, order_col: str = "doc_id", n: int = RESULT_PREVIEW_ROWS) -> DataFrame:
+    """The input rows a preview will show, taken before any per-row work.
+
+    The scoring chain is row-independent, so scoring the first ``n`` rows by
+    id equals taking the first ``n`` rows of the scored table; a preview of
+    a 100 TB table then scores 100 rows (per-task top-n, merged), not all.
+    """
+    from tidings.plans.chain import fence
+
+    # The fence keeps the chain's projections above the top-n, so the top-n is
+    # planned as a per-task top-n plus a merge, not a full sort of every row.
+    return fence(df.orderBy(order_col).limit(n), "preview")
+
+
+def result_preview(scored: DataFrame, order_col: str = "doc_id", n: int | None = RESULT_PREVIEW_ROWS) -> DataFrame:
+    """The preview table: the listed columns that exist, first ``n`` rows by id.
+
+    Pass ``n=None`` when ``scored`` was built on ``preview_rows`` (already the
+    first rows, in order): a second sort + limit above the chain would be
+    merged with the first into one full sort of every row.
+    """
     cols = [c for c in PREVIEW_COLUMNS if c in scored.columns]
-    return scored.orderBy(order_col).limit(n).select(order_col, *cols)
+    rows = scored if n is None else scored.orderBy(order_col).limit(n)
+    return rows.select(order_col, *cols)
 
 
 def raw_preview(df: DataFrame, order_col: str = "doc_id", n: int = RAW_PREVIEW_ROWS) -> DataFrame:

@@ -26,11 +26,18 @@ from pyspark.sql import functions as F
 from tidings.session import fresh_path
 
 
+def fence(df: DataFrame, name: str = "rows") -> DataFrame:
+    """An ``observe`` node (it counts rows) that the optimizer moves nothing
+    through: filters stay above it, projections stay above it, and what is
+    below it (a spread, a top-n) is planned on its own."""
+    return df.observe(f"{name}_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     sc = df.sparkSession.sparkContext
     target = min_partitions or sc.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target).observe(f"spread_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
+        return fence(df.repartition(target), "spread")
     return df
 
 
