@@ -93,3 +93,43 @@ def test_long_table_weights(spark, headlines):
     rows = attribution_table(attribute(df), "env_impact").collect()
     assert len(rows) == 8
     assert max(abs(r.weight) for r in rows) == 1.0
+
+
+def test_sampled_efficiency_determinism_and_convergence(spark, headlines):
+    from tidings.operators.attribution import attribute_sampled
+
+    texts = ["record profit solar weak energy growth loss carbon power", "profit loss",
+             "solar " * 30 + "profit weak record growth " * 5, ""]
+    df = headlines(list(enumerate(texts)))
+    a = {r.doc_id: r for r in attribute_sampled(df, players=16, permutations=32).collect()}
+    b = {r.doc_id: r for r in attribute_sampled(df, players=16, permutations=32).collect()}
+    for i in a:
+        assert a[i].sent_phi == b[i].sent_phi and a[i].env_phi == b[i].env_phi
+        assert abs(a[i].env_base + sum(a[i].env_phi) - a[i].env_full) < 1e-12
+        assert abs(a[i].sent_base + sum(a[i].sent_phi) - a[i].sent_full) < 1e-12
+    exact = {r.doc_id: r for r in attribute(df).collect()}
+    approx = {r.doc_id: r for r in attribute_sampled(df, players=8, permutations=4000, seed=7).collect()}
+    for i in exact:
+        assert exact[i].chunks == approx[i].chunks
+        assert abs(exact[i].env_full - approx[i].env_full) < 1e-12
+        for x, y in zip(exact[i].env_phi, approx[i].env_phi):
+            assert abs(x - y) < 0.02
+        for x, y in zip(exact[i].sent_phi, approx[i].sent_phi):
+            assert abs(x - y) < 0.03
+
+
+def test_model_path_equals_additive_path(spark, headlines):
+    from tidings.operators.attribution import attribute_with_scorer
+    from tidings.operators.scorers import ModelScorer, lexicon_model_loader
+
+    texts = ["Tata Power record profit and strong growth on solar energy loss", "weak fall loss",
+             "a b c", "profit"]
+    df = headlines(list(enumerate(texts)))
+    model = ModelScorer(lexicon_model_loader(fail_on=None), max_chars=None)
+    got = {r.doc_id: r for r in attribute_with_scorer(df, model).collect()}
+    exact = {r.doc_id: r for r in attribute(df).collect()}
+    for i in exact:
+        assert got[i].label == exact[i].label and list(got[i].chunks) == list(exact[i].chunks)
+        assert abs(got[i].sent_base - exact[i].sent_base) < 1e-12
+        for x, y in zip(got[i].sent_phi, exact[i].sent_phi):
+            assert abs(x - y) < 1e-9

@@ -20,11 +20,14 @@ def con():
     return duck(SF)
 
 
-def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+def test_every_query_has_an_oracle_or_a_reason():
+    from tidings.catalog import NO_ORACLE
 
+    assert set(E.oracle_sql()) | set(NO_ORACLE) == set(E.queries())
+    assert not set(E.oracle_sql()) & set(NO_ORACLE)
 
-@pytest.mark.parametrize("name", NAMES)
+
+@pytest.mark.parametrize("name", [n for n in NAMES if n in E.oracle_sql()])
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF)
     s_rows = [tuple(r) for r in sdf.collect()]

@@ -18,7 +18,8 @@ from tidings import config as C
 from tidings.functions import scores as S
 from tidings.functions.text import abbreviate
 from tidings.operators import reports as R
-from tidings.operators.attribution import attribute, attribution_table, audit_scores
+from tidings.operators.attribution import (attribute, attribute_sampled, attribute_with_scorer, attribution_table,
+                                           audit_scores)
 from tidings.operators.materiality import BowCosine, VectorCosine, anchor_counts
 from tidings.operators.scorers import LexiconScorer, ModelScorer, label_list_to_columns, lexicon_model_loader
 from tidings.operators.score import analyze, normalize_single, score
@@ -205,6 +206,24 @@ def q_audit_score(spark, sf_dir):
     return rounded(audit_scores(_attributed(spark, sf_dir)))
 
 
+def q_sampled_attribution(spark, sf_dir):
+    """Environmental attribution with 16 players and 64 sampled orders per row
+    (seeded per row id). No SQL twin: the orders come from numpy's generator;
+    tests compare it with exact enumeration."""
+    return rounded(attribution_table(attribute_sampled(_news(spark, sf_dir), players=16, permutations=64),
+                                     "env_impact"))
+
+
+def q_model_attribution(spark, sf_dir):
+    """Sentiment attribution through the model adapter: every coalition's
+    masked text is scored by a predict_batch_udf model (the stub classifier),
+    4 players per row. Equals the additive path, so the SQL twin is the
+    relational Shapley oracle with 4 players."""
+    model = ModelScorer(lexicon_model_loader(fail_on=None), max_chars=None)
+    out = attribute_with_scorer(_news(spark, sf_dir), model, players=4, label_scorer=LexiconScorer())
+    return rounded(attribution_table(out, "sentiment"))
+
+
 def q_interpretation_report(spark, sf_dir):
     """One summary row per headline. Scores and the environmental audit come
     from one pass over each row (no join back by id)."""
@@ -303,6 +322,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sentiment_attribution": q_sentiment_attribution,
     "env_attribution": q_env_attribution,
     "audit_score": q_audit_score,
+    "sampled_attribution": q_sampled_attribution,
+    "model_attribution": q_model_attribution,
     "interpretation_report": q_interpretation_report,
     "result_preview": q_result_preview,
     "raw_preview": q_raw_preview,
@@ -635,6 +656,13 @@ ORACLE_SQL: dict[str, str] = {
     "stream_counts": BASE_CTES + "SELECT sentiment, esg_flag, count(*) AS n FROM scored GROUP BY ALL",
 }
 ORACLE_SQL["company_tag_automaton"] = ORACLE_SQL["company_tag_table"]
+
+# Queries without a SQL twin, and why (checked in tests instead).
+NO_ORACLE = {
+    "sampled_attribution": "random orders from numpy's generator; tests/test_attribution.py checks "
+                           "efficiency, determinism and convergence to exact enumeration",
+}
+ORACLE_SQL["model_attribution"] = f"WITH {NEWS_SQL}, {_attribution_ctes(4)} " + _phi_table("sent_phi", "label")
 ORACLE_SQL["single_headline"] = (
     f"WITH {news_sql(strip=True)}, {TAGS_SQL}, {BOW_SQL}, {SCORED_SQL} "
     "SELECT doc_id, Headline, company, esg_flag, noise_flag, "

@@ -242,3 +242,158 @@ def audit_scores(attributed: DataFrame, id_col: str = "doc_id") -> DataFrame:
         (F.col("env_base") + total).alias("audit_score"),
         F.col("env_full").alias("full_value"),
     )
+
+
+# ---------------------------------------------------------------------------
+# More players than exact enumeration allows: permutation sampling
+# ---------------------------------------------------------------------------
+
+_SAMPLED_TYPE = ("struct<sent_base: double, sent_phi: array<double>, sent_full: double, "
+                 "env_base: double, env_phi: array<double>, env_full: double>")
+
+
+def _sampled_udf(permutations: int, seed: int, anchor_norm: float):
+    """Monte-Carlo Shapley values over random player orders.
+
+    Each order adds players one at a time; a player's value is the change it
+    causes, averaged over the orders. Per order the changes telescope to
+    v(all) - v(empty), so efficiency holds exactly. Orders are drawn from a
+    generator seeded by (seed, id): results do not depend on partitioning.
+    """
+
+    @F.pandas_udf(_SAMPLED_TYPE)
+    def sampled(ids: pd.Series, m: pd.Series, p: pd.Series, q: pd.Series, d: pd.Series, lex: pd.Series,
+                label: pd.Series) -> pd.DataFrame:
+        out = {k: [] for k in ("sent_base", "sent_phi", "sent_full", "env_base", "env_phi", "env_full")}
+        for doc, mi, pi, qi, di, li, lab in zip(ids, m, p, q, d, lex, label):
+            mi = int(mi)
+            pv = np.asarray(pi, dtype=np.int64)[:mi]
+            qv = np.asarray(qi, dtype=np.int64)[:mi]
+            dv = np.asarray(di, dtype=np.int64)[:mi]
+            diag, cross = _gram([list(t) for t in li[:mi]])
+            gram = np.diag(diag).astype(np.int64)
+            for k, (i, j) in enumerate(_pairs(mi)):
+                gram[i, j] = gram[j, i] = cross[k] // 2
+            rng = np.random.default_rng([seed, int(doc) & 0xFFFFFFFF, (int(doc) >> 32) & 0xFFFFFFFF])
+            k = permutations if mi else 0
+            sent_phi = np.zeros(mi)
+            env_phi = np.zeros(mi)
+            if k:
+                # all orders at once: K x m player indices
+                orders = np.argsort(rng.random((k, mi)), axis=1)
+                zero = np.zeros((k, 1))
+                ps = np.hstack([zero, np.cumsum(pv[orders], axis=1)])
+                qs = np.hstack([zero, np.cumsum(qv[orders], axis=1)])
+                ds = np.hstack([zero, np.cumsum(dv[orders], axis=1)])
+                g = gram[orders[:, :, None], orders[:, None, :]]            # K x m x m, permuted Gram
+                step = np.einsum("kii->ki", g) + 2 * np.tril(g, -1).sum(axis=2)
+                sq = np.hstack([zero, np.cumsum(step, axis=1)])
+                total = ps + qs + 1.0
+                sent = ps / total if lab == "positive" else (qs / total if lab == "negative" else 1.0 / total)
+                cos = np.divide(ds, np.sqrt(sq) * anchor_norm, out=np.zeros(ds.shape), where=sq != 0)
+                env = np.where(ps > qs, 1.0, -1.0) * cos + 0.0
+                flat = orders.ravel()
+                sent_phi = np.bincount(flat, weights=np.diff(sent, axis=1).ravel(), minlength=mi)
+                env_phi = np.bincount(flat, weights=np.diff(env, axis=1).ravel(), minlength=mi)
+            n = max(permutations, 1)
+            p_all, q_all = pv.sum(), qv.sum()
+            tot = p_all + q_all + 1.0
+            sent_full = p_all / tot if lab == "positive" else (q_all / tot if lab == "negative" else 1.0 / tot)
+            sq_all = int(gram.sum())
+            cos_all = 0.0 if sq_all == 0 else dv.sum() / (np.sqrt(float(sq_all)) * anchor_norm)
+            env_full = (1.0 if p_all > q_all else -1.0) * cos_all + 0.0
+            empty_sent = 0.0 if lab in ("positive", "negative") else 1.0
+            out["sent_base"].append(empty_sent)
+            out["sent_phi"].append((sent_phi / n).tolist())
+            out["sent_full"].append(float(sent_full))
+            out["env_base"].append(0.0)
+            out["env_phi"].append((env_phi / n).tolist())
+            out["env_full"].append(float(env_full))
+        return pd.DataFrame(out)
+
+    return sampled
+
+
+def attribute_sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline", players: int = 16,
+                      permutations: int = 64, seed: int = 0, settings: Settings = DEFAULT,
+                      scorer: LexiconScorer | None = None, materiality: BowCosine | None = None) -> DataFrame:
+    """Like ``attribute`` but for up to ``players`` chunks with sampled orders.
+
+    The sample size is the feature (``permutations`` orders per row); every
+    row and the whole text are used. Same output columns as ``attribute``.
+    """
+    batch = scorer or LexiconScorer(max_chars=settings.sentiment_chars)
+    whole = LexiconScorer(batch.positive, batch.negative, max_chars=None)
+    materiality = materiality or BowCosine(settings.anchor)
+    s = batch.expr(F.col(text_col))
+    base = df.select(id_col, text_col).withColumn("label", argmax_label(s["positive"], s["negative"], s["neutral"]))
+    stats = chunk_statistics(base, text_col, players, whole, materiality).drop(text_col)
+    res = _sampled_udf(permutations, seed, materiality.anchor_norm)(
+        F.col(id_col), F.col("n_players"), F.col("__p"), F.col("__q"), F.col("__d"), F.col("__lex"), F.col("label"))
+    out = stats.withColumn("__r", res)
+    return out.select(id_col, "chunks", "n_players", "label",
+                      *[F.col(f"__r.{c}").alias(c) for c in
+                        ("sent_base", "sent_phi", "sent_full", "env_base", "env_phi", "env_full")])
+
+
+# ---------------------------------------------------------------------------
+# Any scorer (e.g. a learned model): score the masked texts themselves
+# ---------------------------------------------------------------------------
+
+def attribute_with_scorer(df: DataFrame, scorer, id_col: str = "doc_id", text_col: str = "Headline",
+                          players: int = 8, label_scorer=None) -> DataFrame:
+    """Sentiment attribution for a scorer with no additive structure.
+
+    Every coalition's text is built (kept chunks joined by a space) and
+    scored by ``scorer.expr`` (a ``predict_batch_udf`` model scores them in
+    Arrow batches). phi_i = sum_S c_i(S) v(S), with c_i(S) = w(|S|-1) when i
+    is in S and -w(|S|) otherwise, is one grouped sum per row id: the
+    coalitions of a row are generated in one task, so the partial aggregate
+    collapses them before the shuffle. Costs 2^m scorer calls per row; keep
+    ``players`` small or select the rows to explain.
+    """
+    if players > MAX_EXACT_PLAYERS:
+        raise ValueError(f"exact Shapley enumeration supports at most {MAX_EXACT_PLAYERS} players")
+    label_scorer = label_scorer or scorer
+    s = label_scorer.expr(F.col(text_col))
+    w = "__words"
+    base = df.select(id_col, text_col).withColumn("label", argmax_label(s["positive"], s["negative"], s["neutral"]))
+    out = base.withColumn(w, words(text_col))
+    n = F.size(F.col(w))
+    m = F.least(n, F.lit(players))
+    out = out.withColumn("__n", n).withColumn("n_players", m)
+    n, m = F.col("__n"), F.col("n_players")
+
+    def start(i: Column) -> Column:
+        return F.floor(i * n / m).cast("int")
+
+    chunks = F.when(m == 0, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(0), m - 1),
+                    lambda i: F.array_join(F.slice(F.col(w), start(i) + 1, start(i + 1) - start(i)), " ")))
+    out = out.withColumn("chunks", chunks).select(id_col, "chunks", "n_players", "label")
+    coal = out.withColumn("mask", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), m).cast("int") - 1)))
+    pow2 = F.array(*[F.lit(1 << k) for k in range(MAX_EXACT_PLAYERS + 1)])
+    kept = F.array_join(F.filter("chunks", lambda c, i: F.col("mask").bitwiseAND(F.get(pow2, i)) != 0), " ")
+    sc = scorer.expr(kept)
+    lab = F.col("label")
+    v = F.when(lab == "positive", sc["positive"]).when(lab == "negative", sc["negative"]).otherwise(sc["neutral"])
+    coal = coal.withColumn("__v", v)
+    fact = F.array(*[F.lit(float(math.factorial(k))) for k in range(MAX_EXACT_PLAYERS + 2)])
+    size = F.bit_count(F.col("mask"))
+
+    def scaled_weight(k: Column) -> Column:
+        # m! * w(k) = k!(m-k-1)!: an exact integer, so a constant game sums to exactly 0
+        return F.get(fact, k) * F.get(fact, m - k - 1)
+
+    sums = []
+    for i in range(players):
+        inside = F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+        coef = F.when(inside, scaled_weight(size - 1)).otherwise(-scaled_weight(size))
+        sums.append((F.sum(F.when(F.lit(i) < m, coef * F.col("__v"))) / F.first(F.get(fact, m))).alias(f"__phi{i}"))
+    agg = coal.groupBy(id_col).agg(
+        F.first("chunks").alias("chunks"), F.first("n_players").alias("n_players"), F.first("label").alias("label"),
+        F.sum(F.when(F.col("mask") == 0, F.col("__v"))).alias("sent_base"),
+        F.sum(F.when(F.col("mask") == F.pow(F.lit(2), m).cast("int") - 1, F.col("__v"))).alias("sent_full"),
+        *sums)
+    phi = F.slice(F.array(*[F.coalesce(F.col(f"__phi{i}"), F.lit(0.0)) for i in range(players)]), 1, F.col("n_players"))
+    return agg.select(id_col, "chunks", "n_players", "label", "sent_base", phi.alias("sent_phi"), "sent_full")
