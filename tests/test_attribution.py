@@ -133,3 +133,24 @@ def test_model_path_equals_additive_path(spark, headlines):
         assert abs(got[i].sent_base - exact[i].sent_base) < 1e-12
         for x, y in zip(got[i].sent_phi, exact[i].sent_phi):
             assert abs(x - y) < 1e-9
+
+
+def test_model_failure_gives_null_attribution_with_error(spark, headlines):
+    from tidings.operators.attribution import attribute_with_scorer
+    from tidings.operators.scorers import ModelScorer, lexicon_model_loader
+
+    df = headlines([(1, "record profit zzz solar"), (2, "record profit solar weak")])
+    model = ModelScorer(lexicon_model_loader(fail_on="zzz"), max_chars=None)
+    rows = {r.doc_id: r for r in attribute_with_scorer(df, model, players=4).collect()}
+    assert rows[1].attribution_error and rows[1].sent_phi is None and rows[1].sent_full is None
+    assert rows[2].attribution_error is None and len(rows[2].sent_phi) == 4
+
+
+def test_encoder_adapter_matches_native_counts(spark, headlines):
+    from tidings.operators.materiality import EncoderCosine, anchor_vocabulary_encoder_loader
+
+    df = headlines([(1, "Solar power and carbon reduction"), (2, "nothing here"), (3, "")])
+    enc = EncoderCosine(anchor_vocabulary_encoder_loader(), dim=8)
+    got = {r.doc_id: r.m for r in df.select("doc_id", enc.expr("Headline").alias("m")).collect()}
+    assert abs(got[1] - 5 / (math.sqrt(5) * math.sqrt(8))) < 1e-12
+    assert got[2] == 0.0 and got[3] == 0.0

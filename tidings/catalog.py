@@ -20,7 +20,8 @@ from tidings.functions.text import abbreviate
 from tidings.operators import reports as R
 from tidings.operators.attribution import (attribute, attribute_sampled, attribute_with_scorer, attribution_table,
                                            audit_scores)
-from tidings.operators.materiality import BowCosine, VectorCosine, anchor_counts
+from tidings.operators.materiality import (BowCosine, EncoderCosine, VectorCosine, anchor_counts,
+                                           anchor_vocabulary_encoder_loader)
 from tidings.operators.scorers import LexiconScorer, ModelScorer, label_list_to_columns, lexicon_model_loader
 from tidings.operators.score import analyze, normalize_single, score
 from tidings.operators.tag import (
@@ -34,7 +35,7 @@ from tidings.operators.tag import (
 )
 from tidings.plans.chain import spread
 from tidings.session import fresh_path
-from tidings.sources.csv_io import read_headlines_csv, write_results_csv
+from tidings.sources.csv_io import read_headlines_csv, write_results_csv, write_results_parquet
 from tidings.sources.news import LEAD_COMPANIES, news_items
 from tidings.sources.tables import read_table
 
@@ -265,6 +266,20 @@ def q_csv_round_trip(spark, sf_dir):
     return rounded(back)
 
 
+def q_parquet_round_trip(spark, sf_dir):
+    """Write the full result as parquet to the work folder and read it back."""
+    path = fresh_path(spark, "results-parquet")
+    write_results_parquet(_scored(spark, sf_dir).select(*SCORED_COLUMNS), path)
+    return rounded(spark.read.parquet(path))
+
+
+def q_materiality_encoder_stub(spark, sf_dir):
+    """The encoder adapter (predict_batch_udf, 32-row batches, anchor encoded
+    once on the driver) around a stub encoder: counts of the anchor's words."""
+    enc = EncoderCosine(anchor_vocabulary_encoder_loader(), dim=len(anchor_counts()))
+    return rounded(_news(spark, sf_dir).select("doc_id", enc.expr(F.col("Headline")).alias("materiality_score")))
+
+
 def q_single_headline(spark, sf_dir):
     """Single-headline rules (strip, reject blank) applied to every row."""
     single = normalize_single(_news(spark, sf_dir))
@@ -329,6 +344,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raw_preview": q_raw_preview,
     "row_count": q_row_count,
     "csv_round_trip": q_csv_round_trip,
+    "parquet_round_trip": q_parquet_round_trip,
+    "materiality_encoder_stub": q_materiality_encoder_stub,
     "single_headline": q_single_headline,
     "model_scorer_stub": q_model_scorer_stub,
     "stream_scores": q_stream_scores,
@@ -657,6 +674,16 @@ ORACLE_SQL: dict[str, str] = {
 }
 ORACLE_SQL["company_tag_automaton"] = ORACLE_SQL["company_tag_table"]
 
+ORACLE_SQL["parquet_round_trip"] = ORACLE_SQL["scored_headlines"]
+_ENC_TOKENS = f"regexp_extract_all(lower(Headline), {_q(C.LEXICAL_TOKEN)})"
+_ENC_COUNTS = [f"len(list_filter({_ENC_TOKENS}, lambda w: w = {_q(t)}))" for t in _ANCHOR]
+ORACLE_SQL["materiality_encoder_stub"] = (
+    f"WITH {NEWS_SQL}, enc AS (SELECT doc_id, {' + '.join(_ENC_COUNTS)} AS dot, "
+    f"{' + '.join(f'({c}) * ({c})' for c in _ENC_COUNTS)} AS ss FROM news) "
+    f"SELECT doc_id, {_r(f'CASE WHEN ss = 0 THEN 0.0 ELSE dot / (sqrt(ss::DOUBLE) * {_ANCHOR_NORM_SQL}) END', 'materiality_score')} "
+    "FROM enc"
+)
+
 # Queries without a SQL twin, and why (checked in tests instead).
 NO_ORACLE = {
     "sampled_attribution": "random orders from numpy's generator; tests/test_attribution.py checks "

@@ -378,6 +378,8 @@ def attribute_with_scorer(df: DataFrame, scorer, id_col: str = "doc_id", text_co
     lab = F.col("label")
     v = F.when(lab == "positive", sc["positive"]).when(lab == "negative", sc["negative"]).otherwise(sc["neutral"])
     coal = coal.withColumn("__v", v)
+    reports_errors = getattr(scorer, "reports_errors", False)
+    coal = coal.withColumn("__err", sc["score_error"] if reports_errors else F.lit(None).cast("string"))
     fact = F.array(*[F.lit(float(math.factorial(k))) for k in range(MAX_EXACT_PLAYERS + 2)])
     size = F.bit_count(F.col("mask"))
 
@@ -394,6 +396,14 @@ def attribute_with_scorer(df: DataFrame, scorer, id_col: str = "doc_id", text_co
         F.first("chunks").alias("chunks"), F.first("n_players").alias("n_players"), F.first("label").alias("label"),
         F.sum(F.when(F.col("mask") == 0, F.col("__v"))).alias("sent_base"),
         F.sum(F.when(F.col("mask") == F.pow(F.lit(2), m).cast("int") - 1, F.col("__v"))).alias("sent_full"),
+        F.first("__err", ignorenulls=True).alias("attribution_error"),
         *sums)
     phi = F.slice(F.array(*[F.coalesce(F.col(f"__phi{i}"), F.lit(0.0)) for i in range(players)]), 1, F.col("n_players"))
-    return agg.select(id_col, "chunks", "n_players", "label", "sent_base", phi.alias("sent_phi"), "sent_full")
+    # A coalition the scorer could not score makes the attribution unknown:
+    # keep it null with the error, rather than reading as zero.
+    ok = F.col("attribution_error").isNull()
+    return agg.select(id_col, "chunks", "n_players", "label",
+                      F.when(ok, F.col("sent_base")).alias("sent_base"),
+                      F.when(ok, phi).alias("sent_phi"),
+                      F.when(ok, F.col("sent_full")).alias("sent_full"),
+                      "attribution_error")

@@ -64,6 +64,30 @@ class VectorCosine:
         return cosine(col_(vec), literal_vector(self.anchor))
 
 
+def anchor_vocabulary_encoder_loader(anchor: str = ESG_ANCHOR):
+    """Loader for a stub sentence encoder: a text becomes the vector of counts
+    of the anchor's distinct words (in first-seen order). Exercises the
+    encoder adapter without weights."""
+    vocab = list(dict.fromkeys(re.findall(LEXICAL_TOKEN, anchor.lower())))
+    token = re.compile(LEXICAL_TOKEN)
+
+    def load():
+        index = {w: i for i, w in enumerate(vocab)}
+
+        def encode(texts: list[str]):
+            out = np.zeros((len(texts), len(vocab)), dtype=np.float32)
+            for r, t in enumerate(texts):
+                for w in token.findall(t.lower()):
+                    j = index.get(w)
+                    if j is not None:
+                        out[r, j] += 1.0
+            return out
+
+        return encode
+
+    return load
+
+
 class EncoderCosine:
     """A learned sentence encoder through ``predict_batch_udf``."""
 
