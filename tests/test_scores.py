@@ -84,3 +84,12 @@ def test_properties(spark, texts):
                                "Negative" if r.cumulative_score < -0.5 else "Neutral")
         assert abs(abs(r.esg_adjusted_score) - abs(r.materiality_score)) < 1e-15
         assert -1.0 - 1e-12 <= r.materiality_score <= 1.0 + 1e-12
+
+
+def test_null_headline_default_and_compat(spark):
+    df = spark.createDataFrame([(1, None)], "doc_id long, Headline string")
+    r = analyze(df).first()
+    assert r.Headline is None and (r.positive, r.negative, r.neutral) == (0.0, 0.0, 1.0)
+    assert r.sentiment == "Neutral" and r.company is None and r.esg_flag is False
+    c = analyze(df, compat_nan=True).first()
+    assert c.Headline == "nan" and c.neutral == 1.0 and c.materiality_score == 0.0

@@ -46,9 +46,9 @@ def score(df: DataFrame, text_col: str = "Headline", scorer=None, materiality=No
 
 
 def analyze(df: DataFrame, text_col: str = "Headline", scorer=None, materiality=None,
-            settings: Settings = DEFAULT) -> DataFrame:
+            settings: Settings = DEFAULT, compat_nan: bool = False) -> DataFrame:
     """The whole batch chain: guard, cast, tag, score. Input columns pass through."""
-    df = require_headline(df, text_col)
+    df = require_headline(df, text_col, compat_nan)
     return score(tag(df, text_col, settings), text_col, scorer, materiality, settings)
 
 

@@ -13,15 +13,21 @@ from tidings.config import DEFAULT, Settings, company_category_rows
 from tidings.functions import tagging
 
 
-def require_headline(df: DataFrame, text_col: str = "Headline") -> DataFrame:
+def require_headline(df: DataFrame, text_col: str = "Headline", compat_nan: bool = False) -> DataFrame:
     """Fail before any job when the exact column name is missing; cast to string.
 
     Spark resolves names case-insensitively by default, so the check is made
-    on the exact spelling in ``df.columns``.
+    on the exact spelling in ``df.columns``. By default a missing headline
+    stays null (flags false, neutral fallback). ``compat_nan=True`` turns it
+    into the text ``'nan'``, as a pandas ``astype(str)`` of a missing cell
+    does.
     """
     if text_col not in df.columns:
         raise ValueError(f"input must have a column named {text_col!r}; found {df.columns}")
-    return df.withColumn(text_col, F.col(text_col).cast("string"))
+    text = F.col(text_col).cast("string")
+    if compat_nan:
+        text = F.coalesce(text, F.lit("nan"))
+    return df.withColumn(text_col, text)
 
 
 def tag(df: DataFrame, text_col: str = "Headline", settings: Settings = DEFAULT) -> DataFrame:
