@@ -16,7 +16,6 @@ from tidings.config import (
     PREVIEW_COLUMNS,
     RAW_PREVIEW_ROWS,
     RESULT_PREVIEW_ROWS,
-    SENTIMENT_LABELS,
     STACK_ORDER,
     TOP_COMPANIES,
     TOP_PIVOT_COMPANIES,
@@ -51,15 +50,13 @@ def top_companies(scored: DataFrame, k: int = TOP_COMPANIES) -> DataFrame:
 def company_sentiment(scored: DataFrame) -> DataFrame:
     """company x sentiment counts with all three class columns and a Total.
 
-    Pivot with the values listed up front: no extra job to find them, and a
-    class that never occurs still gets its column (filled with 0).
+    One grouped aggregate with a conditional count per class: the three
+    columns exist even when a class never occurs, and the plan has a single
+    shuffle (a ``pivot`` would add a second aggregation round).
     """
-    pivot = (scored.filter(F.col("company").isNotNull())
-             .groupBy("company").pivot("sentiment", list(SENTIMENT_LABELS))
-             .agg(F.count(F.lit(1))).na.fill(0, list(SENTIMENT_LABELS)))
-    total = sum((F.col(c) for c in SENTIMENT_LABELS), F.lit(0))
-    return pivot.select("company", *[F.col(c).cast("long").alias(c) for c in STACK_ORDER],
-                        total.cast("long").alias("Total"))
+    counts = [F.count_if(F.col("sentiment") == F.lit(c)).alias(c) for c in STACK_ORDER]
+    return (scored.filter(F.col("company").isNotNull())
+            .groupBy("company").agg(*counts, F.count(F.lit(1)).alias("Total")))
 
 
 def company_sentiment_top(scored: DataFrame, k: int = TOP_PIVOT_COMPANIES) -> DataFrame:
