@@ -93,3 +93,21 @@ def test_null_headline_default_and_compat(spark):
     assert r.sentiment == "Neutral" and r.company is None and r.esg_flag is False
     c = analyze(df, compat_nan=True).first()
     assert c.Headline == "nan" and c.neutral == 1.0 and c.materiality_score == 0.0
+
+
+def test_single_mode_matches_batch(spark):
+    from tidings.operators.single import analyze_single, explain_single
+
+    h = "  Tata Power commissions 500MW solar plant, targets net zero by 2045\t"
+    one = analyze_single(spark, h).first()
+    batch = analyze(spark.createDataFrame([(0, h.strip())], ["doc_id", "Headline"])).first()
+    assert one.asDict() == batch.asDict()
+    report, sent, env = explain_single(spark, h)
+    r = report.first()
+    assert r.company == "Tata Power" and r.esg_label == "Environmental"
+    assert sent.count() == 8 and env.count() == 8
+    try:
+        analyze_single(spark, " \t ")
+    except ValueError:
+        return
+    raise AssertionError("blank input must be rejected")
