@@ -34,9 +34,12 @@ def fence(df: DataFrame, name: str = "rows") -> DataFrame:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        partitions = df.rdd.getNumPartitions()
+    except Exception:  # a session without RDD access (e.g. a remote client): leave as is
+        return df
+    if partitions < target:
         return fence(df.repartition(target), "spread")
     return df
 

@@ -45,7 +45,13 @@ def work_dir(spark: SparkSession) -> str:
     that setting gets a fresh folder of its own (tests, local runs); a
     cluster session must name a shared folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a session without a SparkContext (remote client): conf only
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        return folder.rstrip("/")
     folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         if not sc.master.startswith("local"):
