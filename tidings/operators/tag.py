@@ -99,11 +99,12 @@ def company_dimension(spark: SparkSession) -> DataFrame:
 
 
 def _bounded_rows(dim: DataFrame, order_col: str, limit: int) -> list:
-    """Collect a dictionary only after proving it is small enough."""
-    n = dim.count()
-    if n > limit:
-        raise ValueError(f"dictionary has {n} rows, above the broadcast bound {limit}")
-    return dim.orderBy(order_col).collect()
+    """Collect a dictionary only if it is small enough: at most ``limit + 1``
+    rows ever reach the driver (one job), and more than ``limit`` is an error."""
+    rows = dim.orderBy(order_col).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"dictionary has more than {limit} rows, above the broadcast bound")
+    return rows
 
 
 def tag_from_table(df: DataFrame, dim: DataFrame, text_col: str = "Headline",
