@@ -308,6 +308,12 @@ def q_stream_counts(spark, sf_dir):
     return live_counts(spark, sf_dir)
 
 
+def q_stream_top6(spark, sf_dir):
+    from tidings.streaming.live import live_top_companies
+
+    return live_top_companies(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scored_headlines": q_scored_headlines,
     "company_tag": q_company_tag,
@@ -350,6 +356,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_scorer_stub": q_model_scorer_stub,
     "stream_scores": q_stream_scores,
     "stream_counts": q_stream_counts,
+    "stream_top6": q_stream_top6,
 }
 
 
@@ -675,6 +682,7 @@ ORACLE_SQL: dict[str, str] = {
 ORACLE_SQL["company_tag_automaton"] = ORACLE_SQL["company_tag_table"]
 
 ORACLE_SQL["parquet_round_trip"] = ORACLE_SQL["scored_headlines"]
+ORACLE_SQL["stream_top6"] = ORACLE_SQL["company_sentiment_top6"]
 _ENC_TOKENS = f"regexp_extract_all(lower(Headline), {_q(C.LEXICAL_TOKEN)})"
 _ENC_COUNTS = [f"len(list_filter({_ENC_TOKENS}, lambda w: w = {_q(t)}))" for t in _ANCHOR]
 ORACLE_SQL["materiality_encoder_stub"] = (

@@ -13,7 +13,7 @@ turn the ``documents`` table into news items.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must equal the reference behaviour; keep order and spelling)
@@ -142,7 +142,6 @@ class Settings:
     inline_dictionary_limit: int = 512
     # Upper bound on any dictionary this engine will broadcast.
     max_dictionary_rows: int = 2_000_000
-    extra: dict = field(default_factory=dict)
 
 
 DEFAULT = Settings()
