@@ -154,3 +154,25 @@ def test_encoder_adapter_matches_native_counts(spark, headlines):
     got = {r.doc_id: r.m for r in df.select("doc_id", enc.expr("Headline").alias("m")).collect()}
     assert abs(got[1] - 5 / (math.sqrt(5) * math.sqrt(8))) < 1e-12
     assert got[2] == 0.0 and got[3] == 0.0
+
+
+def test_sampled_orders_are_uniform_permutations():
+    """The integer-hash orders behind sampled attribution: every row is a
+    permutation, and over many (id, order) pairs all 4! orders of 4 players
+    appear about equally often."""
+    from collections import Counter
+
+    import numpy as np
+
+    from tidings.operators.attribution import sampled_orders
+
+    counts = Counter()
+    for doc in range(600):
+        orders = sampled_orders(0, doc, 40, 4)
+        assert (np.sort(orders, axis=1) == np.arange(4)).all()
+        counts.update(tuple(o) for o in orders)
+    assert len(counts) == 24
+    expected = 600 * 40 / 24
+    assert all(abs(c - expected) < 5 * expected ** 0.5 for c in counts.values())
+    assert (sampled_orders(3, 2**40 + 7, 8, 16) == sampled_orders(3, 2**40 + 7, 8, 16)).all()
+    assert not (sampled_orders(0, 5, 8, 16) == sampled_orders(1, 5, 8, 16)).all()

@@ -18,7 +18,8 @@ from tidings import config as C
 from tidings.functions import scores as S
 from tidings.functions.text import abbreviate
 from tidings.operators import reports as R
-from tidings.operators.attribution import (attribute, attribute_sampled, attribute_with_scorer, attribution_table,
+from tidings.operators.attribution import (ORDER_INCREMENTS, ORDER_MODULUS, ORDER_MULTIPLIER, ORDER_SEED_STRIDE,
+                                           attribute, attribute_sampled, attribute_with_scorer, attribution_table,
                                            audit_scores)
 from tidings.operators.materiality import (BowCosine, EncoderCosine, VectorCosine, anchor_counts,
                                            anchor_vocabulary_encoder_loader)
@@ -207,12 +208,17 @@ def q_audit_score(spark, sf_dir):
     return rounded(audit_scores(_attributed(spark, sf_dir)))
 
 
+SAMPLED_PLAYERS = 16
+SAMPLED_ORDERS = 64
+
+
 def q_sampled_attribution(spark, sf_dir):
-    """Environmental attribution with 16 players and 64 sampled orders per row
-    (seeded per row id). No SQL twin: the orders come from numpy's generator;
-    tests compare it with exact enumeration."""
-    return rounded(attribution_table(attribute_sampled(_news(spark, sf_dir), players=16, permutations=64),
-                                     "env_impact"))
+    """Environmental attribution with 16 players and 64 sampled orders per row.
+    The orders are an integer hash of (seed, id, order), so the SQL twin
+    rebuilds them; tests also compare with exact enumeration."""
+    return rounded(attribution_table(
+        attribute_sampled(_news(spark, sf_dir), players=SAMPLED_PLAYERS, permutations=SAMPLED_ORDERS),
+        "env_impact"))
 
 
 def q_model_attribution(spark, sf_dir):
@@ -485,9 +491,10 @@ def _hist_sql(source: str, group: str, value: str, bins: int = C.HISTOGRAM_BINS)
     )
 
 
-def _attribution_ctes(players: int = 8) -> str:
-    """Relational Shapley oracle: one row per (doc, word), (doc, chunk, token),
-    (doc, coalition); pairwise token co-counts through a self-join."""
+def _chunk_ctes(players: int) -> str:
+    """Players in SQL: one row per (doc, word), (doc, chunk, token); per-chunk
+    lexicon and anchor counts (cs) and pairwise token co-counts (g) through a
+    self-join."""
     head_scores = (
         f"lab AS (SELECT doc_id, {_lex_count(_HEAD_TOKENS, C.POSITIVE_WORDS)} AS p0, "
         f"{_lex_count(_HEAD_TOKENS, C.NEGATIVE_WORDS)} AS q0 FROM news), "
@@ -510,7 +517,19 @@ def _attribution_ctes(players: int = 8) -> str:
         f"coalesce(sum(CASE {' '.join(f'WHEN t = {_q(a)} THEN {k} * c' for a, k in _ANCHOR.items())} END), 0) AS d "
         "FROM chunks c LEFT JOIN tc USING (doc_id, chunk) GROUP BY ALL), "
         "g AS (SELECT a.doc_id, a.chunk AS i, b.chunk AS j, sum(a.c * b.c) AS g FROM tc a JOIN tc b "
-        "ON a.doc_id = b.doc_id AND a.t = b.t GROUP BY ALL), "
+        "ON a.doc_id = b.doc_id AND a.t = b.t GROUP BY ALL)"
+    )
+
+
+def _env_value_sql(p: str, q: str, d: str, ss: str) -> str:
+    return (f"(CASE WHEN {p} > {q} THEN 1.0 ELSE -1.0 END)::DOUBLE * (CASE WHEN {ss} = 0 THEN 0.0::DOUBLE "
+            f"ELSE ({d})::DOUBLE / (sqrt(({ss})::DOUBLE) * {_ANCHOR_NORM_SQL}) END) + 0.0")
+
+
+def _attribution_ctes(players: int = 8) -> str:
+    """Relational Shapley oracle: every coalition of every doc as a row."""
+    return (
+        f"{_chunk_ctes(players)}, "
         "masks AS (SELECT doc_id, m, unnest(range(1 << m)) AS s FROM docs), "
         "ms AS (SELECT k.doc_id, k.m, k.s, coalesce(sum(cs.p), 0) AS ps, coalesce(sum(cs.q), 0) AS qs, "
         "coalesce(sum(cs.d), 0) AS ds FROM masks k LEFT JOIN cs ON cs.doc_id = k.doc_id AND (k.s >> cs.chunk) & 1 = 1 "
@@ -541,6 +560,42 @@ def _phi_table(phi_col: str, output: str) -> str:
     )
 
 
+def _sampled_ctes(players: int, permutations: int, seed: int = 0) -> str:
+    """Relational twin of sampled Shapley values: one row per (doc, order,
+    player) with the player's integer sort key, positions by row_number,
+    coalition sums as running window sums; the norm grows by
+    g_ii + 2 sum(g_ij) over the players already placed (a self-join)."""
+    mod = ORDER_MODULUS
+    start = (f"((doc_id % {mod} + {mod}) % {mod} * {ORDER_MULTIPLIER} "
+             f"+ ({seed * ORDER_SEED_STRIDE} + r) % {mod}) % {mod}")
+    coefs, prev = [], "x"
+    for k, a in enumerate(ORDER_INCREMENTS):
+        coefs.append(f"o{k + 1} AS (SELECT *, ({prev} * {prev} + {a}) % {mod} AS c{k} FROM o{k})")
+        prev = f"c{k}"
+    key = "c4"
+    for c in ("c3", "c2", "c1", "c0"):
+        key = f"(({key}) * k.chunk + {c}) % {mod}"
+    before = _env_value_sql("cp - p", "cq - q", "cd - d", "css - step")
+    after = _env_value_sql("cp", "cq", "cd", "css")
+    return (
+        f"{_chunk_ctes(players)}, "
+        f"o0 AS (SELECT doc_id, r, ({start})::BIGINT AS x FROM docs, range({permutations}) t(r) WHERE m > 0), "
+        + ", ".join(coefs) + ", "
+        f"keys AS (SELECT o.doc_id, o.r, k.chunk, k.p, k.q, k.d, {key} AS key FROM o5 o JOIN cs k USING (doc_id)), "
+        "pos AS (SELECT *, row_number() OVER (PARTITION BY doc_id, r ORDER BY key, chunk) AS pos FROM keys), "
+        "stp AS (SELECT a.doc_id, a.r, a.chunk, a.pos, a.p, a.q, a.d, "
+        "coalesce(gd.g, 0) + 2 * coalesce(sum(gx.g), 0) AS step FROM pos a "
+        "LEFT JOIN g gd ON gd.doc_id = a.doc_id AND gd.i = a.chunk AND gd.j = a.chunk "
+        "LEFT JOIN pos b ON b.doc_id = a.doc_id AND b.r = a.r AND b.pos < a.pos "
+        "LEFT JOIN g gx ON gx.doc_id = a.doc_id AND gx.i = a.chunk AND gx.j = b.chunk "
+        "GROUP BY a.doc_id, a.r, a.chunk, a.pos, a.p, a.q, a.d, gd.g), "
+        "cum AS (SELECT *, sum(p) OVER w AS cp, sum(q) OVER w AS cq, sum(d) OVER w AS cd, sum(step) OVER w AS css "
+        "FROM stp WINDOW w AS (PARTITION BY doc_id, r ORDER BY pos ROWS UNBOUNDED PRECEDING)), "
+        f"phi AS (SELECT u.doc_id, u.chunk AS player, c.token, sum(({after}) - ({before})) / {permutations} "
+        "AS env_phi FROM cum u JOIN chunks c ON c.doc_id = u.doc_id AND c.chunk = u.chunk GROUP BY ALL)"
+    )
+
+
 AUDIT_SQL = (
     "audit AS (SELECT d.doc_id, d.m AS n_players, b.env AS base_value, coalesce(ps.phi_sum, 0.0) AS phi_sum, "
     "b.env + coalesce(ps.phi_sum, 0.0) AS audit_score, f.env AS full_value FROM docs d "
@@ -693,10 +748,9 @@ ORACLE_SQL["materiality_encoder_stub"] = (
 )
 
 # Queries without a SQL twin, and why (checked in tests instead).
-NO_ORACLE = {
-    "sampled_attribution": "random orders from numpy's generator; tests/test_attribution.py checks "
-                           "efficiency, determinism and convergence to exact enumeration",
-}
+NO_ORACLE: dict[str, str] = {}
+ORACLE_SQL["sampled_attribution"] = (
+    f"WITH {NEWS_SQL}, {_sampled_ctes(SAMPLED_PLAYERS, SAMPLED_ORDERS)} " + _phi_table("env_phi", "'env_impact'"))
 ORACLE_SQL["model_attribution"] = f"WITH {NEWS_SQL}, {_attribution_ctes(4)} " + _phi_table("sent_phi", "label")
 ORACLE_SQL["single_headline"] = (
     f"WITH {news_sql(strip=True)}, {TAGS_SQL}, {BOW_SQL}, {SCORED_SQL} "

@@ -252,13 +252,52 @@ _SAMPLED_TYPE = ("struct<sent_base: double, sent_phi: array<double>, sent_full:
                  "env_base: double, env_phi: array<double>, env_full: double>")
 
 
+# Player orders are a pure integer function of (seed, id, order number), so
+# any engine with 64-bit integers can rebuild them (the SQL twin does).
+# Player i's sort key is a degree-4 polynomial in i modulo the prime 2^31 - 1
+# whose coefficients come from (seed, id, order) through a chain of squarings;
+# every product stays below 2^62. Ties go to the lower player index.
+ORDER_MODULUS = 2147483647
+ORDER_MULTIPLIER = 48271
+ORDER_SEED_STRIDE = 1000003
+ORDER_INCREMENTS = (11, 13, 17, 19, 23)
+
+
+def order_coefficients(seed: int, ids, order):
+    """The five polynomial coefficients c0..c4 for each (id, order) pair."""
+    mod = ORDER_MODULUS
+    ids = np.asarray(ids, dtype=np.int64)
+    order = np.asarray(order, dtype=np.int64)
+    s = ((ids % mod) * ORDER_MULTIPLIER + (seed * ORDER_SEED_STRIDE + order) % mod) % mod
+    coef, x = [], s
+    for a in ORDER_INCREMENTS:
+        x = (x * x + a) % mod
+        coef.append(x)
+    return coef
+
+
+def order_keys(coef, player):
+    """sum_k c_k * player^k mod 2^31 - 1, by Horner's rule."""
+    key = coef[4]
+    for c in (coef[3], coef[2], coef[1], coef[0]):
+        key = (key * player + c) % ORDER_MODULUS
+    return key
+
+
+def sampled_orders(seed: int, doc: int, k: int, m: int) -> np.ndarray:
+    """k x m player indices: row r is order r of row ``doc``."""
+    coef = [c[:, None] for c in order_coefficients(seed, np.full(k, doc), np.arange(k))]
+    keys = order_keys(coef, np.arange(m, dtype=np.int64)[None, :])
+    return np.argsort(keys, axis=1, kind="stable")
+
+
 def _sampled_udf(permutations: int, seed: int, anchor_norm: float):
     """Monte-Carlo Shapley values over random player orders.
 
     Each order adds players one at a time; a player's value is the change it
     causes, averaged over the orders. Per order the changes telescope to
-    v(all) - v(empty), so efficiency holds exactly. Orders are drawn from a
-    generator seeded by (seed, id): results do not depend on partitioning.
+    v(all) - v(empty), so efficiency holds exactly. Orders come from
+    ``sampled_orders`` (seed, id): results do not depend on partitioning.
     """
 
     @F.pandas_udf(_SAMPLED_TYPE)
@@ -274,13 +313,12 @@ def _sampled_udf(permutations: int, seed: int, anchor_norm: float):
             gram = np.diag(diag).astype(np.int64)
             for k, (i, j) in enumerate(_pairs(mi)):
                 gram[i, j] = gram[j, i] = cross[k] // 2
-            rng = np.random.default_rng([seed, int(doc) & 0xFFFFFFFF, (int(doc) >> 32) & 0xFFFFFFFF])
             k = permutations if mi else 0
             sent_phi = np.zeros(mi)
             env_phi = np.zeros(mi)
             if k:
                 # all orders at once: K x m player indices
-                orders = np.argsort(rng.random((k, mi)), axis=1)
+                orders = sampled_orders(seed, int(doc), k, mi)
                 zero = np.zeros((k, 1))
                 ps = np.hstack([zero, np.cumsum(pv[orders], axis=1)])
                 qs = np.hstack([zero, np.cumsum(qv[orders], axis=1)])
