@@ -53,10 +53,20 @@ def test_attribution_has_no_shuffle(spark):
 
 
 def test_scoring_chain_has_no_python(spark):
-    plan = _plan(analyze(news_items(spark, SF)))
+    from tidings.operators.materiality import BowCosine
+    from tidings.operators.score import score
+    from tidings.operators.tag import tag as tag_
+
+    plan = _plan(score(tag_(news_items(spark, SF)), materiality=BowCosine(vectorized=False)))
     assert "EvalPython" not in plan and not _shuffles(plan)
 
 
+def test_default_chain_has_one_arrow_udf_and_no_shuffle(spark):
+    plan = _plan(analyze(news_items(spark, SF)))
+    assert len(re.findall(r"\bArrowEvalPython \(\d+\)", plan)) == 1
+    assert "BatchEvalPython" not in plan and not _shuffles(plan)
+
+
 def test_aggregates_are_partial(spark):
     plan = _plan(R.company_sentiment(analyze(news_items(spark, SF))))
     assert plan.count("HashAggregate") >= 2

@@ -5,6 +5,8 @@ Everything here is a native Spark expression (JVM side, no Python UDF).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,9 +43,49 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(col_(text), F.lit(WORD_TOKEN), 0)
 
 
-def lexical_tokens(text: Column | str) -> Column:
+def lexical_tokens(text: Column | str, lowered: bool = False) -> Column:
     """Lower-case letter/digit runs used by the lexicon and bag-of-words scorers."""
-    return F.regexp_extract_all(F.lower(col_(text)), F.lit(LEXICAL_TOKEN), 0)
+    t = col_(text) if lowered else F.lower(col_(text))
+    return F.regexp_extract_all(t, F.lit(LEXICAL_TOKEN), 0)
+
+
+def _token_pattern(vocabulary) -> str | None:
+    """A regex that matches exactly the lexical tokens in ``vocabulary``.
+
+    Tokens are maximal runs of LEXICAL_TOKEN's character class, so a word is
+    a token when no token character touches it on either side. Words that
+    are not tokens themselves can never equal one and are left out.
+    """
+    assert LEXICAL_TOKEN.endswith("+")
+    char = LEXICAL_TOKEN[:-1]
+    vocab = sorted({w for w in vocabulary if re.fullmatch(LEXICAL_TOKEN, w)})
+    if not vocab:
+        return None
+    return f"(?<!{char})(?:{'|'.join(vocab)})(?!{char})"
+
+
+def word_hits(lowered: Column, vocabulary) -> Column:
+    """The lexical tokens of ``lowered`` that belong to ``vocabulary``, in text order."""
+    pattern = _token_pattern(vocabulary)
+    if pattern is None:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(lowered, F.lit(pattern), 0)
+
+
+def count_words(lowered: Column, vocabulary) -> Column:
+    """How many lexical tokens of ``lowered`` belong to ``vocabulary``.
+
+    Same number as ``count_in(lexical_tokens(text), vocabulary)``, but one
+    compiled regex scan (whole-stage codegen) instead of a lambda per token.
+    """
+    return F.size(word_hits(lowered, vocabulary))
+
+
+def weighted_words(lowered: Column, weights: dict[str, int]) -> Column:
+    """sum(weights[t]) over the lexical tokens of ``lowered``."""
+    if len(set(weights.values())) == 1:
+        return count_words(lowered, tuple(weights)) * F.lit(next(iter(weights.values())))
+    return weighted_count(word_hits(lowered, tuple(weights)), weights)
 
 
 def count_in(tokens: Column, vocabulary: tuple[str, ...]) -> Column:

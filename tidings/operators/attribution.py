@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tidings.config import DEFAULT, MAX_EXACT_PLAYERS, Settings
 from tidings.functions.scores import argmax_label
-from tidings.functions.text import count_in, lexical_tokens, weighted_count, words
+from tidings.functions.text import count_words, lexical_tokens, weighted_words, words
 from tidings.operators.materiality import BowCosine
 from tidings.operators.scorers import LexiconScorer
 
@@ -66,12 +66,14 @@ def chunk_statistics(df: DataFrame, text_col: str, players: int, scorer: Lexicon
         F.transform(F.sequence(F.lit(0), m - 1),
                     lambda i: F.array_join(F.slice(F.col(w), start(i) + 1, start(i + 1) - start(i)), " ")))
     out = out.withColumn("chunks", chunks).drop(w, "__n")
-    out = out.withColumn("__lex", F.transform("chunks", lambda c: lexical_tokens(c)))
-    lex = F.col("__lex")
+    out = out.withColumn("__lower", F.transform("chunks", lambda c: F.lower(c)))
+    low = F.col("__lower")
     return (out
-            .withColumn("__p", F.transform(lex, lambda t: count_in(t, scorer.positive)))
-            .withColumn("__q", F.transform(lex, lambda t: count_in(t, scorer.negative)))
-            .withColumn("__d", F.transform(lex, lambda t: weighted_count(t, materiality.weights))))
+            .withColumn("__lex", F.transform(low, lambda c: lexical_tokens(c, lowered=True)))
+            .withColumn("__p", F.transform(low, lambda c: count_words(c, scorer.positive)))
+            .withColumn("__q", F.transform(low, lambda c: count_words(c, scorer.negative)))
+            .withColumn("__d", F.transform(low, lambda c: weighted_words(c, materiality.weights)))
+            .drop("__lower"))
 
 
 _SENT_TYPE = ("struct<sent_base: double, sent_phi: array<double>, sent_full: double>")

@@ -32,7 +32,7 @@ from tidings.config import (
     SENTIMENT_BATCH_SIZE,
     SENTIMENT_CHAR_LIMIT,
 )
-from tidings.functions.text import col_, count_in, lexical_tokens, truncate
+from tidings.functions.text import col_, count_words, truncate
 
 SCORE_FIELDS = ("positive", "negative", "neutral")
 SCORE_TYPE = T.StructType(
@@ -57,8 +57,8 @@ class LexiconScorer:
         t = col_(text)
         if self.max_chars is not None:
             t = truncate(t, self.max_chars)
-        toks = lexical_tokens(t)
-        return count_in(toks, self.positive), count_in(toks, self.negative)
+        lowered = F.lower(t)
+        return count_words(lowered, self.positive), count_words(lowered, self.negative)
 
     @staticmethod
     def from_counts(p: Column, n: Column) -> Column:
