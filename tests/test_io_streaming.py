@@ -53,3 +53,24 @@ def test_stream_equals_batch(spark):
     for r in batch.collect():
         expect[(r.sentiment, r.esg_flag)] = expect.get((r.sentiment, r.esg_flag), 0) + 1
     assert counts == expect
+
+
+def test_live_top6_accumulates_over_micro_batches(spark):
+    """Documents arrive as three files (one per micro-batch); the streaming
+    pivot's state adds them up, and the final top-6 equals the batch one."""
+    import pyarrow.parquet as pq
+
+    from tidings.operators.reports import company_sentiment_top
+    from tidings.streaming.live import live_top_companies
+
+    sf = "/root/testdata/sf0.001"
+    table = pq.read_table(f"{sf}/documents.parquet")
+    folder = tempfile.mkdtemp(prefix="docs-stream-")
+    third = table.num_rows // 3
+    for i, name in enumerate(("documents.parquet", "documents-1.parquet", "documents-2.parquet")):
+        part = table.slice(i * third, third if i < 2 else table.num_rows - 2 * third)
+        pq.write_table(part, os.path.join(folder, name))
+
+    live = sorted(tuple(r) for r in live_top_companies(spark, folder).collect())
+    batch = sorted(tuple(r) for r in company_sentiment_top(analyze(news_items(spark, sf))).collect())
+    assert live == batch and len(live) == 6

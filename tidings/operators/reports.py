@@ -59,8 +59,12 @@ def company_sentiment(scored: DataFrame) -> DataFrame:
             .groupBy("company").agg(*counts, F.count(F.lit(1)).alias("Total")))
 
 
+def top_by_total(pivot: DataFrame, k: int = TOP_PIVOT_COMPANIES) -> DataFrame:
+    return pivot.orderBy(F.desc("Total"), F.asc("company")).limit(k)
+
+
 def company_sentiment_top(scored: DataFrame, k: int = TOP_PIVOT_COMPANIES) -> DataFrame:
-    return company_sentiment(scored).orderBy(F.desc("Total"), F.asc("company")).limit(k)
+    return top_by_total(company_sentiment(scored), k)
 
 
 def stacked_offsets(pivot_top: DataFrame) -> DataFrame:

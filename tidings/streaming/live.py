@@ -83,27 +83,29 @@ def live_counts(spark: SparkSession, sf_dir: str, partitions: int | None = None)
     return spark.read.parquet(run_to_files(counts, "live-counts", "complete"))
 
 
-def live_top_companies(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
-    """Live company x sentiment top-6 (T2): every micro-batch appends its
-    scored rows to a stored results table (parquet, shared folder) and
-    recomputes the pivot from that table, overwriting the report. The
-    report is one partial-aggregated pass over the stored scores, two
-    columns wide; re-running a batch after a failure rewrites the same
-    report, and the results table is written once per batch id."""
-    from tidings.operators.reports import company_sentiment_top
-
-    store = fresh_path(spark, "live-results")
+def live_top_companies(spark: SparkSession, sf_dir: str, partitions: int | None = None,
+                       k: int | None = None) -> DataFrame:
+    """Live company x sentiment top-6 (T2).
+
+    The pivot is a streaming aggregation in complete mode: its state is one
+    row per company (bounded by the dictionary), updated by each micro-batch
+    from partial aggregates, never by re-reading earlier rows. Each batch
+    hands ``foreachBatch`` the whole (small) pivot, which takes the top k and
+    overwrites the report; a re-run batch rewrites the same report."""
+    from tidings.config import TOP_PIVOT_COMPANIES
+    from tidings.operators.reports import company_sentiment, top_by_total
+
+    k = k or TOP_PIVOT_COMPANIES
     report = fresh_path(spark, "live-top6")
     docs = _spread_stream(document_stream(spark, sf_dir), partitions)
-    scored = score_stream(news_from_documents(docs)).select("doc_id", "company", "sentiment")
+    scored = score_stream(news_from_documents(docs)).select("company", "sentiment")
 
-    def write_batch(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
-        stored = spark.read.parquet(store)
-        company_sentiment_top(stored).write.mode("overwrite").parquet(report)
+    def write_batch(batch: DataFrame, _epoch: int) -> None:
+        top_by_total(batch, k).write.mode("overwrite").parquet(report)
 
     ckpt = fresh_path(spark, "live-top6-ckpt")
-    q = (scored.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+    q = (company_sentiment(scored).writeStream.outputMode("complete")
+         .option("checkpointLocation", ckpt).trigger(availableNow=True)
          .foreachBatch(write_batch).start())
     q.awaitTermination()
     if q.exception() is not None:
