@@ -89,3 +89,21 @@ def test_dictionary_table_strategies_agree(spark):
     plain = tag(news).select("doc_id", "company")
     assert sorted(inline.collect()) == sorted(auto.collect())
     assert sorted((r.doc_id, r.company) for r in inline.collect()) == sorted(plain.collect())
+
+
+def test_dictionary_bounds_are_checked_before_collect(spark, headlines):
+    import dataclasses
+
+    import pytest
+
+    from tidings.config import DEFAULT
+    from tidings.operators.tag import company_dimension, tag_from_table
+
+    df = headlines([(1, "Tata Power and NTPC")])
+    dim = company_dimension(spark)
+    ok = tag_from_table(df, dim).select("company").first()
+    assert ok.company is not None
+    for tight in (dataclasses.replace(DEFAULT, max_dictionary_rows=5),
+                  dataclasses.replace(DEFAULT, max_dictionary_bytes=64)):
+        with pytest.raises(ValueError, match="broadcast bound"):
+            tag_from_table(df, dim, settings=tight)

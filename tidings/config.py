@@ -140,8 +140,10 @@ class Settings:
     # Dictionaries up to this size are inlined as a CASE expression; larger
     # ones go through a broadcast automaton.
     inline_dictionary_limit: int = 512
-    # Upper bound on any dictionary this engine will broadcast.
+    # Upper bounds on any dictionary this engine will broadcast (rows, and
+    # bytes of its string columns).
     max_dictionary_rows: int = 2_000_000
+    max_dictionary_bytes: int = 256 * 1024 * 1024
 
 
 DEFAULT = Settings()

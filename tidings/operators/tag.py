@@ -98,13 +98,17 @@ def company_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(company_category_rows(), DIMENSION_SCHEMA)
 
 
-def _bounded_rows(dim: DataFrame, order_col: str, limit: int) -> list:
-    """Collect a dictionary only if it is small enough: at most ``limit + 1``
-    rows ever reach the driver (one job), and more than ``limit`` is an error."""
-    rows = dim.orderBy(order_col).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"dictionary has more than {limit} rows, above the broadcast bound")
-    return rows
+def _bounded_rows(dim: DataFrame, order_col: str, limit: int, max_bytes: int) -> list:
+    """Collect a dictionary only if it is small enough. One aggregate job
+    measures rows and string bytes; only within both bounds do the rows
+    reach the driver."""
+    sizes = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, t in dim.dtypes if t == "string"]
+    stats = dim.agg(F.count(F.lit(1)).alias("n"),
+                    F.sum(sum(sizes[1:], sizes[0]) if sizes else F.lit(0)).alias("bytes")).first()
+    if stats["n"] > limit or (stats["bytes"] or 0) > max_bytes:
+        raise ValueError(f"dictionary has {stats['n']} rows / {stats['bytes']} bytes, above the broadcast "
+                         f"bound ({limit} rows / {max_bytes} bytes)")
+    return dim.orderBy(order_col).collect()
 
 
 def tag_from_table(df: DataFrame, dim: DataFrame, text_col: str = "Headline",
@@ -120,7 +124,8 @@ def tag_from_table(df: DataFrame, dim: DataFrame, text_col: str = "Headline",
     automaton built once per Python worker from a broadcast does one pass
     over each text regardless of dictionary size.
     """
-    rows = _bounded_rows(dim.select(order_col, name_col, *carry), order_col, settings.max_dictionary_rows)
+    rows = _bounded_rows(dim.select(order_col, name_col, *carry), order_col, settings.max_dictionary_rows,
+                         settings.max_dictionary_bytes)
     names = [r[name_col] for r in rows]
     if strategy == "auto":
         strategy = "inline" if len(rows) <= settings.inline_dictionary_limit else "automaton"
