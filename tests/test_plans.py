@@ -70,3 +70,14 @@ def test_default_chain_has_one_arrow_udf_and_no_shuffle(spark):
 def test_aggregates_are_partial(spark):
     plan = _plan(R.company_sentiment(analyze(news_items(spark, SF))))
     assert plan.count("HashAggregate") >= 2
+
+
+def test_histogram_broadcasts_counted_bounds_for_other_groups(spark):
+    from tidings.sources.tables import read_table
+
+    vecs = read_table(spark, SF, "embeddings", ["vec_id", "label", "embedding"])
+    scored = vecs.select("label", (F.col("vec_id") % 7).cast("double").alias("materiality_score"))
+    assert "BroadcastHashJoin" in _plan(R.materiality_histogram(scored, group_col="label"))
+    a = sorted(R.materiality_histogram(scored, group_col="label").collect())
+    b = sorted(R.materiality_histogram(scored, group_col="label", broadcast_limit=0).collect())
+    assert a == b and sum(r.n for r in a) == scored.count()

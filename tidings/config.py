@@ -144,6 +144,9 @@ class Settings:
     # bytes of its string columns).
     max_dictionary_rows: int = 2_000_000
     max_dictionary_bytes: int = 256 * 1024 * 1024
+    # Per-group rows (e.g. histogram bounds) up to this count are broadcast;
+    # above it the join shuffles and AQE splits skewed partitions.
+    max_broadcast_groups: int = 1_000_000
 
 
 DEFAULT = Settings()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.config import (
+    DEFAULT,
     HISTOGRAM_BINS,
     PREVIEW_COLUMNS,
     RAW_PREVIEW_ROWS,
@@ -91,7 +92,7 @@ def _bin_expr(v: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def materiality_histogram(scored: DataFrame, group_col: str = "esg_flag", value_col: str = "materiality_score",
-                          bins: int = HISTOGRAM_BINS) -> DataFrame:
+                          bins: int = HISTOGRAM_BINS, broadcast_limit: int = DEFAULT.max_broadcast_groups) -> DataFrame:
     """Per-group equal-width histogram over each group's own min..max.
 
     The (group, value) pairs are checkpointed once; bounds come from one
@@ -110,10 +111,16 @@ def materiality_histogram(scored: DataFrame, group_col: str = "esg_flag", value_
     data = cut_lineage(scored.select(F.col(group_col).alias("grp"), v.alias("v")))
     bounds = (data.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
               .filter(F.col("lo").isNotNull()))
-    # One bounds row per group value: a boolean group gives at most three rows,
-    # so broadcasting is safe; any other group column is left to the planner.
-    is_bool = dict(scored.dtypes).get(group_col) == "boolean"
-    binned = data.join(F.broadcast(bounds) if is_bool else bounds, on="grp").select("grp", _bin_expr(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+    # One bounds row per group value. A boolean group gives at most three
+    # rows. Any other group column: the bounds are checkpointed (tiny) and
+    # counted, and broadcast when within the limit, so a hot group never
+    # lands in one shuffle partition; above it the planner and AQE decide.
+    if dict(scored.dtypes).get(group_col) == "boolean":
+        right = F.broadcast(bounds)
+    else:
+        bounds = cut_lineage(bounds)
+        right = F.broadcast(bounds) if bounds.count() <= broadcast_limit else bounds
+    binned = data.join(right, on="grp").select("grp", _bin_expr(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
     counts = binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
     spine = bounds.select("grp", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     lo, hi = F.col("lo"), F.col("hi")
