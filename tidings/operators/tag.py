@@ -147,9 +147,10 @@ def tag_from_table(df: DataFrame, dim: DataFrame, text_col: str = "Headline",
 
 def with_category(df: DataFrame, dim: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Left-join the category by company name. The dimension is broadcast only
-    after its row count is checked against the bound; otherwise the planner
-    picks a shuffle join."""
+    after its row count is checked against the bound, so the large side is
+    not shuffled by company (a hot key); above the bound the planner picks a
+    shuffle join and AQE splits skewed partitions."""
     n = dim.count()
     small = dim.select("company", "category")
-    right = F.broadcast(small) if n <= settings.inline_dictionary_limit else small
+    right = F.broadcast(small) if n <= settings.max_broadcast_groups else small
     return df.join(right, on="company", how="left")
