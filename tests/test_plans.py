@@ -81,3 +81,16 @@ def test_histogram_broadcasts_counted_bounds_for_other_groups(spark):
     a = sorted(R.materiality_histogram(scored, group_col="label").collect())
     b = sorted(R.materiality_histogram(scored, group_col="label", broadcast_limit=0).collect())
     assert a == b and sum(r.n for r in a) == scored.count()
+
+
+def test_stream_spread_keeps_tag_filter_above_exchange(spark):
+    from tidings.operators.reports import company_sentiment
+    from tidings.sources.news import news_from_documents
+    from tidings.streaming.live import _spread_stream, document_stream, score_stream
+
+    docs = _spread_stream(document_stream(spark, SF), 4)
+    plan = _plan(company_sentiment(score_stream(news_from_documents(docs))), "extended")
+    optimized = plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    # printed top-down: the company filter sits above the fence and the
+    # round-robin repartition, so the text work runs on every partition
+    assert optimized.index("Filter") < optimized.index("CollectMetrics") < optimized.index("Repartition")

@@ -66,9 +66,13 @@ def run_to_files(query_df: DataFrame, name: str, mode: str = "append") -> str:
 
 def _spread_stream(stream: DataFrame, partitions: int | None) -> DataFrame:
     """A file source gives one partition per file split; spread each
-    micro-batch over the cluster before the per-row chain."""
+    micro-batch over the cluster before the per-row chain. As in the batch
+    ``spread``, an ``observe`` fence keeps filters on computed tags (and the
+    text work they inline) above the exchange instead of in the scan task."""
+    from tidings.plans.chain import fence
+
     n = partitions or stream.sparkSession.sparkContext.defaultParallelism
-    return stream.repartition(n) if n > 1 else stream
+    return fence(stream.repartition(n), "spread") if n > 1 else stream
 
 
 def live_scores(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
