@@ -20,7 +20,7 @@ w(k) = k!(m-k-1)!/m!, over all 2^m coalitions. Splitting, chunking,
 tokenising and the additive counts are native array expressions inside the
 row. The coalition algebra (a 2^m x m bit matrix times the per-chunk sums)
 runs vectorised in numpy in an Arrow-batched pandas UDF; the composite
-output also hands it the chunks' token lists, from which it takes the m x m
+output also hands it the lower-cased chunks, from which it takes the m x m
 Gram matrix of token counts with hash counters (the JVM's interpreted
 lambdas needed about 3 us per token for the same sums). No explode, no
 shuffle: a document's cost is O(len(text) + 2^m m^2) and documents are
@@ -31,6 +31,7 @@ Efficiency holds: base + sum(phi) = v(all players).
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -38,9 +39,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.config import DEFAULT, MAX_EXACT_PLAYERS, Settings
+from tidings.config import DEFAULT, LEXICAL_TOKEN, MAX_EXACT_PLAYERS, Settings
 from tidings.functions.scores import argmax_label
-from tidings.functions.text import count_words, lexical_tokens, weighted_words, words
+from tidings.functions.text import count_words, weighted_words, words
 from tidings.operators.materiality import BowCosine
 from tidings.operators.scorers import LexiconScorer
 
@@ -66,14 +67,15 @@ def chunk_statistics(df: DataFrame, text_col: str, players: int, scorer: Lexicon
         F.transform(F.sequence(F.lit(0), m - 1),
                     lambda i: F.array_join(F.slice(F.col(w), start(i) + 1, start(i + 1) - start(i)), " ")))
     out = out.withColumn("chunks", chunks).drop(w, "__n")
-    out = out.withColumn("__lower", F.transform("chunks", lambda c: F.lower(c)))
-    low = F.col("__lower")
+    # __lex: the lower-cased chunks; the UDFs that need token counts take
+    # the tokens from these strings themselves (the token class is ASCII, so
+    # Python finds the same tokens as Spark's regex).
+    out = out.withColumn("__lex", F.transform("chunks", lambda c: F.lower(c)))
+    low = F.col("__lex")
     return (out
-            .withColumn("__lex", F.transform(low, lambda c: lexical_tokens(c, lowered=True)))
             .withColumn("__p", F.transform(low, lambda c: count_words(c, scorer.positive)))
             .withColumn("__q", F.transform(low, lambda c: count_words(c, scorer.negative)))
-            .withColumn("__d", F.transform(low, lambda c: weighted_words(c, materiality.weights)))
-            .drop("__lower"))
+            .withColumn("__d", F.transform(low, lambda c: weighted_words(c, materiality.weights))))
 
 
 _SENT_TYPE = ("struct<sent_base: double, sent_phi: array<double>, sent_full: double>")
@@ -130,10 +132,13 @@ def _sentiment_udf(players: int):
     return sentiment
 
 
-def _gram(token_lists) -> tuple[np.ndarray, np.ndarray]:
+_TOKEN = re.compile(LEXICAL_TOKEN)
+
+
+def _gram(lowered_chunks) -> tuple[np.ndarray, np.ndarray]:
     """Per chunk |v_i|^2 and, for i < j in pair order, 2<v_i, v_j> of the
-    chunks' token-count vectors."""
-    counts = [Counter(t) for t in token_lists]
+    chunks' token-count vectors (chunks given lower-cased)."""
+    counts = [Counter(_TOKEN.findall(t)) for t in lowered_chunks]
     diag = np.array([sum(c * c for c in k.values()) for k in counts], dtype=np.int64)
     cross = []
     for i, j in _pairs(len(counts)):
@@ -144,7 +149,7 @@ def _gram(token_lists) -> tuple[np.ndarray, np.ndarray]:
 
 def _environment_udf(players: int, anchor_norm: float):
     """Composite (direction x bag-of-words cosine) attribution from per-chunk
-    counts and the chunks' token lists (for the norm of each coalition)."""
+    counts and the lower-cased chunks (for the norm of each coalition)."""
 
     @F.pandas_udf(_ENV_TYPE)
     def environment(m: pd.Series, p: pd.Series, q: pd.Series, d: pd.Series, lex: pd.Series) -> pd.DataFrame:
@@ -155,7 +160,7 @@ def _environment_udf(players: int, anchor_norm: float):
             ps = bits @ np.asarray(pi, dtype=np.int64)[:mi]
             qs = bits @ np.asarray(qi, dtype=np.int64)[:mi]
             ds = bits @ np.asarray(di, dtype=np.int64)[:mi]
-            diag, cross = _gram([list(t) for t in li[:mi]])
+            diag, cross = _gram(li[:mi])
             sq = bits @ diag
             if len(cross):
                 sq = sq + pair_bits @ cross
@@ -311,7 +316,7 @@ def _sampled_udf(permutations: int, seed: int, anchor_norm: float):
             pv = np.asarray(pi, dtype=np.int64)[:mi]
             qv = np.asarray(qi, dtype=np.int64)[:mi]
             dv = np.asarray(di, dtype=np.int64)[:mi]
-            diag, cross = _gram([list(t) for t in li[:mi]])
+            diag, cross = _gram(li[:mi])
             gram = np.diag(diag).astype(np.int64)
             for k, (i, j) in enumerate(_pairs(mi)):
                 gram[i, j] = gram[j, i] = cross[k] // 2
