@@ -129,3 +129,21 @@ def test_bow_vectorized_equals_native(spark):
     slow = BowCosine(vectorized=False).expr(F.col("Headline"))
     bad = df.select("doc_id", fast.alias("a"), slow.alias("b")).filter(~F.col("a").eqNullSafe(F.col("b")))
     assert bad.count() == 0
+
+
+def test_count_words_equals_token_count(spark):
+    """The bounded regex count equals counting the lexical tokens that are in
+    the vocabulary: prefixes, suffixes, digits, Unicode and nulls included."""
+    from pyspark.sql import functions as F
+
+    from tidings.config import NEGATIVE_WORDS, POSITIVE_WORDS
+    from tidings.functions.text import count_in, count_words, lexical_tokens
+
+    texts = ["profit profits profit2 2profit nonprofit PROFIT, profit.", "loss-loss_loss (loss) lossy",
+             "ſolar énergie growth growthé ıgrowth", "", None, "growth\tgrowth\ngrowth"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    for vocab in (POSITIVE_WORDS, NEGATIVE_WORDS, ("profit", "loss", "growth", "a b")):
+        fast = count_words(F.lower("t"), vocab)
+        slow = count_in(lexical_tokens("t"), tuple(vocab))
+        rows = df.select("id", fast.alias("a"), slow.alias("b")).collect()
+        assert all(r.a == r.b for r in rows), rows
