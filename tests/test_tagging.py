@@ -107,3 +107,31 @@ def test_dictionary_bounds_are_checked_before_collect(spark, headlines):
                   dataclasses.replace(DEFAULT, max_dictionary_bytes=64)):
         with pytest.raises(ValueError, match="broadcast bound"):
             tag_from_table(df, dim, settings=tight)
+
+
+def test_large_dictionary_uses_automaton_and_matches_brute_force(spark):
+    """600 names (above the inline limit): ``auto`` takes the automaton path;
+    the first hit by priority equals a plain Python scan."""
+    from tidings.config import COMPANIES
+    from tidings.operators.tag import DIMENSION_SCHEMA, tag_from_table
+    from tidings.sources.news import news_items
+
+    names = [f"zz filler {i}" for i in range(583)]
+    # real names interleaved, plus prefixes/suffixes that overlap them
+    rows, prio = [], 0
+    for k, name in enumerate(list(COMPANIES) + ["Tata", "Energy", "power"]):
+        rows.append((prio, name, f"cat{k % 4}"))
+        prio += 1
+        for filler in names[k * 29:(k + 1) * 29]:
+            rows.append((prio, filler, None))
+            prio += 1
+    assert len(rows) > 512
+    dim = spark.createDataFrame(rows, DIMENSION_SCHEMA)
+    news = news_items(spark, "/root/testdata/sf0.001")
+    got = {r.doc_id: (r.company, r.category) for r in tag_from_table(news, dim).select(
+        "doc_id", "company", "category").collect()}
+    ordered = sorted(rows)
+    for r in news.select("doc_id", "Headline").collect():
+        low = r.Headline.lower()
+        hit = next(((n, c) for _, n, c in ordered if n.lower() in low), (None, None))
+        assert got[r.doc_id] == hit, (r.doc_id, got[r.doc_id], hit)
