@@ -10,9 +10,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as E  # noqa: E402
 from oracle_check import digest, duck  # noqa: E402
+from tidings.catalog import NO_ORACLE, ORACLE_SQL, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -21,13 +22,11 @@ def con():
 
 
 def test_every_query_has_an_oracle_or_a_reason():
-    from tidings.catalog import NO_ORACLE
+    assert set(ORACLE_SQL) | set(NO_ORACLE) == set(QUERIES) <= set(E.queries())
+    assert not set(ORACLE_SQL) & set(NO_ORACLE)
 
-    assert set(E.oracle_sql()) | set(NO_ORACLE) == set(E.queries())
-    assert not set(E.oracle_sql()) & set(NO_ORACLE)
 
-
-@pytest.mark.parametrize("name", [n for n in NAMES if n in E.oracle_sql()])
+@pytest.mark.parametrize("name", [n for n in NAMES if n in ORACLE_SQL])
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF)
     s_rows = [tuple(r) for r in sdf.collect()]
