@@ -125,11 +125,13 @@ def slot_blocks(starts: DataFrame, blocks: dict[int, int], most: int, seed: int)
                         [pa.array(np.full(len(slot), source, np.int32)), pa.array(np.full(len(slot), shard, np.int64)), pa.array(out)],
                         names=["source_no", "shard", "block"])
 
-    return starts.select("shard", "source_no", "n", "start").mapInArrow(work, "source_no int, shard long, block long")
+    # A few numbers become many rows here: as many tasks as the slots need.
+    tasks = max(1, -(-sum(blocks.values()) // 200_000))
+    return starts.select("shard", "source_no", "n", "start").repartition(tasks, "source_no", "shard").mapInArrow(work, "source_no int, shard long, block long")
 
 
 def mix(docs: DataFrame, block: int = 128, slots: int = 4096, most: int = 3, seed: int = 8, max_sources: int = 200_000,
-        rows_per_chunk: int = 5000) -> DataFrame:
+        rows_per_chunk: int = 1000) -> DataFrame:
     """doc_id, source, size, source_size, target, taken."""
     spark = docs.sparkSession
     sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"),
@@ -156,13 +158,14 @@ def mix(docs: DataFrame, block: int = 128, slots: int = 4096, most: int = 3, see
         "source_no", "chunk", ["spot", "doc_id", "size"], "size", "start", "row")
     drawn = draw_counts(spark, plan, shards, slots, total, seed).withColumn("chunk", F.floor(F.col("shard") / 1024))
     starts = running_total(drawn, "source_no", "chunk", ["shard"], "n", "start", "row")
+    # Estimated sizes come from the few numbers above, so the join is named.
     times = (slot_blocks(starts, blocks, most, seed).groupBy(F.col("source_no").alias("s_"), F.col("block").alias("b_"))
              .agg(F.count(F.lit(1)).alias("times")))
     end = F.col("start") + F.col("size")
     spans = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block)))
     parts = (placed.withColumn("block", F.explode_outer(spans))
              .withColumn("words", F.coalesce(F.least(end, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block), F.lit(0))))
-    return (parts.join(times, (F.col("source_no") == F.col("s_")) & (F.col("block") == F.col("b_")), "left")
+    return (parts.hint("merge").join(times, (F.col("source_no") == F.col("s_")) & (F.col("block") == F.col("b_")), "left")
             .groupBy("source_no", "chunk", "row", "doc_id", "source", "size", "source_size", "target")
             .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
             .select("doc_id", "source", "size", "source_size", "target", "taken"))
