@@ -401,17 +401,18 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """Pipeline stage: ``docs`` with the bytes that stay as text (halves of a
     character cut in two are left out) and n_chars, if there is one, counted
     anew; other columns, and the number of rows, stay."""
-    out = dedup(docs, length, texts=True)
-    own = set(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    safe = [f"c{i}" for i in range(len(others))]  # no clash with dedup's own columns
+    out = dedup(docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in zip(others, safe)]), length, texts=True)
 
     def decode(batches):
         for batch in batches:
             kept = [k.decode("utf-8", "ignore") for k in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kept, pa.string())], names=[*batch.schema.names[:-1], "text"])
 
-    plain = out.select(*[F.col(c).alias(f"r{i}") for i, c in enumerate(c for c in docs.columns if c != "text")], F.col("kept").alias("k"))
+    plain = out.select("doc_id", *safe, "kept")
     schema = T.StructType([*plain.schema.fields[:-1], T.StructField("text", T.StringType())])
-    back = plain.mapInArrow(decode, schema).toDF(*[c for c in docs.columns if c != "text"], "text")
-    if "n_chars" in own:
+    back = plain.mapInArrow(decode, schema).toDF("doc_id", *others, "text")
+    if "n_chars" in others:
         back = back.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return back.select(*docs.columns)
