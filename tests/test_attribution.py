@@ -150,7 +150,7 @@ def test_encoder_adapter_matches_native_counts(spark, headlines):
     from tidings.operators.materiality import EncoderCosine, anchor_vocabulary_encoder_loader
 
     df = headlines([(1, "Solar power and carbon reduction"), (2, "nothing here"), (3, "")])
-    enc = EncoderCosine(anchor_vocabulary_encoder_loader(), dim=8)
+    enc = EncoderCosine(anchor_vocabulary_encoder_loader())
     got = {r.doc_id: r.m for r in df.select("doc_id", enc.expr("Headline").alias("m")).collect()}
     assert abs(got[1] - 5 / (math.sqrt(5) * math.sqrt(8))) < 1e-12
     assert got[2] == 0.0 and got[3] == 0.0

@@ -83,14 +83,34 @@ def test_histogram_broadcasts_counted_bounds_for_other_groups(spark):
     assert a == b and sum(r.n for r in a) == scored.count()
 
 
-def test_stream_spread_keeps_tag_filter_above_exchange(spark):
-    from tidings.operators.reports import company_sentiment
+def _optimized(df):
+    return _plan(df, "extended").split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+
+
+def test_live_chain_has_no_forced_shuffle_and_tags_once(spark):
     from tidings.sources.news import news_from_documents
-    from tidings.streaming.live import _spread_stream, document_stream, score_stream
+    from tidings.streaming.live import document_stream, score_stream
 
-    docs = _spread_stream(document_stream(spark, SF), 4)
-    plan = _plan(company_sentiment(score_stream(news_from_documents(docs))), "extended")
-    optimized = plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
-    # printed top-down: the company filter sits above the fence and the
-    # round-robin repartition, so the text work runs on every partition
-    assert optimized.index("Filter") < optimized.index("CollectMetrics") < optimized.index("Repartition")
+    optimized = _optimized(R.company_sentiment(score_stream(news_from_documents(document_stream(spark, SF)))))
+    assert "Repartition" not in optimized
+    assert optimized.index("Filter") < optimized.index("CollectMetrics")
+
+
+def test_lexicon_is_scanned_twice_at_most(spark):
+    from tidings.functions import scores as S
+
+    scored = analyze(news_items(spark, SF))
+    label = scored.select("doc_id", S.argmax_label("positive", "negative", "neutral").alias("label"))
+    assert _optimized(label).count("regexp_extract_all") <= 2
+
+
+def test_company_is_tagged_once_before_grouping(spark):
+    for report in (R.top_companies, R.company_sentiment):
+        plan = _optimized(report(analyze(news_items(spark, SF))))
+        assert plan.count("THEN Tata Power") == 1
+
+
+def test_dictionary_join_collects_nothing_and_uses_no_python(spark):
+    from tidings.operators.tag import company_dimension, tag_from_table
+
+    assert "EvalPython" not in _plan(tag_from_table(news_items(spark, SF), company_dimension(spark)))

@@ -72,3 +72,12 @@ def test_summary_on_empty_input(spark):
     assert len(s) == 1 and s[0].total_headlines == 0
     assert R.top_companies(empty).count() == 0
     assert R.company_sentiment_top(empty).count() == 0
+
+
+def test_histogram_counts_a_null_group(spark):
+    df = spark.createDataFrame([(None, 0.0), (None, 1.0), ("a", 0.5)], "g string, v double")
+    rows = R.materiality_histogram(df, group_col="g", value_col="v").collect()
+    assert {r.bin: r.n for r in rows if r.g is None and r.n} == {0: 1, 19: 1}
+    assert sum(r.n for r in rows) == 3 and len(rows) == 40
+    flags = spark.createDataFrame([(None, 0.1), (True, 0.2)], "esg_flag boolean, materiality_score double")
+    assert sum(r.n for r in R.materiality_histogram(flags).collect()) == 2

@@ -147,3 +147,31 @@ def test_count_words_equals_token_count(spark):
         slow = count_in(lexical_tokens("t"), tuple(vocab))
         rows = df.select("id", fast.alias("a"), slow.alias("b")).collect()
         assert all(r.a == r.b for r in rows), rows
+
+
+def test_fixed_decimals_round_the_binary_value(spark):
+    import random
+
+    rng = random.Random(1)
+    xs = [0.03125, 0.30005, 0.0625, -0.30005, 0.00005, -0.00001, 0.0, 1.0, 0.99995, -1.5, 12345.67895] + [rng.uniform(-2, 2) for _ in range(500)]
+    xs += [j / 32 for j in range(-64, 65)] + [(2 * k + 1) / 20000 for k in range(-500, 500)] + [(2 * k + 1) / 2000 for k in range(-200, 200)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for r in df.select("x", S.signed("x", 4).alias("a"), S.unsigned("x", 4).alias("b"), S.signed("x", 3).alias("c")).collect():
+        assert (r.a, r.b, r.c) == (f"{r.x:+.4f}", f"{r.x:.4f}", f"{r.x:+.3f}")
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(S.signed("x", 4).alias("v")).collect()
+    assert [r.v for r in odd] == [None, "+nan"]
+
+
+def test_a_repeated_label_counts_last(spark):
+    df = spark.sql("SELECT array(named_struct('label', 'POSITIVE', 'score', 0.9D), named_struct('label', 'positive', 'score', 0.2D), "
+                   "named_struct('label', 'x', 'score', CAST(NULL AS DOUBLE))) AS raw UNION ALL SELECT array() UNION ALL SELECT NULL")
+    assert [tuple(r.s) for r in df.select(label_list_to_columns("raw").alias("s")).collect()] == [(0.2, 0.0, 0.0), (0.0,) * 3, (0.0,) * 3]
+
+
+def test_null_text_and_token_free_anchor(spark, headlines):
+    from tidings.operators.materiality import BowCosine, EncoderCosine, anchor_vocabulary_encoder_loader
+
+    df = spark.createDataFrame([(1, None), (2, "solar none")], "doc_id long, Headline string")
+    enc = EncoderCosine(anchor_vocabulary_encoder_loader("none solar"), "none solar")
+    rows = {r.doc_id: r for r in df.select("doc_id", enc.expr("Headline").alias("e"), BowCosine("!!").expr("Headline").alias("b")).collect()}
+    assert rows[1].e == 0.0 and abs(rows[2].e - 1.0) < 1e-9 and rows[1].b == rows[2].b == 0.0

@@ -81,57 +81,46 @@ def test_matched_keywords_agree_with_flag(spark):
     assert counts["EV"] > 0
 
 
-def test_dictionary_table_strategies_agree(spark):
+def test_dictionary_table_equals_the_fixed_list(spark):
     news = news_items(spark, "/root/testdata/sf0.001")
     dim = company_dimension(spark)
-    inline = tag_from_table(news, dim, strategy="inline").select("doc_id", "company", "category")
-    auto = tag_from_table(news, dim, strategy="automaton").select("doc_id", "company", "category")
+    joined = sorted(tag_from_table(news, dim).select("doc_id", "company", "category").collect())
     plain = tag(news).select("doc_id", "company")
-    assert sorted(inline.collect()) == sorted(auto.collect())
-    assert sorted((r.doc_id, r.company) for r in inline.collect()) == sorted(plain.collect())
+    assert sorted((r.doc_id, r.company) for r in joined) == sorted((r.doc_id, r.company) for r in plain.collect())
+    for gram in (1, 3, 9):
+        assert sorted(tag_from_table(news, dim, gram=gram).select("doc_id", "company", "category").collect()) == joined
 
 
-def test_dictionary_bounds_are_checked_before_collect(spark, headlines):
-    import dataclasses
+def test_dictionaries_of_any_size_equal_a_plain_scan(spark, headlines):
+    """17, 600 and 5,000 names, with empty and null ones, short ones, repeats,
+    overlaps and an integer carry column, all by one path."""
+    from tidings.config import COMPANIES
 
-    import pytest
+    texts = ["Tata Power and NTPC", "", None, "abigail x", "tataTata power energy", "no hit (here)", "zz filler 17 zz filler 4999", "İstanbul ENERGY", "a"]
+    df = headlines(list(enumerate(texts)))
+    for size, extra in ((17, []), (600, [(None, 5)]), (5000, [("", 9)])):
+        names = (list(COMPANIES) + ["Tata", "Energy", "gy", "POWER", "Tata"] + [f"zz filler {i}" for i in range(size)])[:max(size, 17)]
+        rows = [(i, n, i * 7) for i, n in enumerate(names)] + [(size + 10, n, k) for n, k in extra]
+        dim = spark.createDataFrame(rows, "priority int, company string, number int")
+        got = {r.doc_id: (r.company, r.number) for r in tag_from_table(df, dim, carry=("number",)).collect()}
+        for i, t in enumerate(texts):
+            hit = next(((n, k) for _, n, k in rows if n is not None and t is not None and n.lower() in t.lower()), (None, None))
+            assert got[i] == hit, (size, t, got[i], hit)
+    assert [c for c in tag_from_table(df, dim, carry=("number",)).columns] == ["doc_id", "Headline", "company", "number"]
 
-    from tidings.config import DEFAULT
-    from tidings.operators.tag import company_dimension, tag_from_table
 
-    df = headlines([(1, "Tata Power and NTPC")])
-    dim = company_dimension(spark)
-    ok = tag_from_table(df, dim).select("company").first()
-    assert ok.company is not None
-    for tight in (dataclasses.replace(DEFAULT, max_dictionary_rows=5),
-                  dataclasses.replace(DEFAULT, max_dictionary_bytes=64)):
-        with pytest.raises(ValueError, match="broadcast bound"):
-            tag_from_table(df, dim, settings=tight)
+def test_matched_keywords_follow_the_flag_on_unicode_letters(spark, headlines):
+    df = headlines([(1, "ſolar plant"), (2, "bİofuel clımate"), (3, "hYDRO wınd"), (4, "none")])
+    rows = {r.doc_id: r for r in with_matched_keywords(tag(df)).collect()}
+    for r in rows.values():
+        assert r.esg_flag == (len(r.matched_keywords) > 0), r
+    assert rows[1].matched_keywords == ["SOLAR"] and rows[2].matched_keywords == ["BIOFUEL", "CLIMATE"]
 
 
-def test_large_dictionary_uses_automaton_and_matches_brute_force(spark):
-    """600 names (above the inline limit): ``auto`` takes the automaton path;
-    the first hit by priority equals a plain Python scan."""
-    from tidings.config import COMPANIES
-    from tidings.operators.tag import DIMENSION_SCHEMA, tag_from_table
-    from tidings.sources.news import news_items
-
-    names = [f"zz filler {i}" for i in range(583)]
-    # real names interleaved, plus prefixes/suffixes that overlap them
-    rows, prio = [], 0
-    for k, name in enumerate(list(COMPANIES) + ["Tata", "Energy", "power"]):
-        rows.append((prio, name, f"cat{k % 4}"))
-        prio += 1
-        for filler in names[k * 29:(k + 1) * 29]:
-            rows.append((prio, filler, None))
-            prio += 1
-    assert len(rows) > 512
-    dim = spark.createDataFrame(rows, DIMENSION_SCHEMA)
-    news = news_items(spark, "/root/testdata/sf0.001")
-    got = {r.doc_id: (r.company, r.category) for r in tag_from_table(news, dim).select(
-        "doc_id", "company", "category").collect()}
-    ordered = sorted(rows)
-    for r in news.select("doc_id", "Headline").collect():
-        low = r.Headline.lower()
-        hit = next(((n, c) for _, n, c in ordered if n.lower() in low), (None, None))
-        assert got[r.doc_id] == hit, (r.doc_id, got[r.doc_id], hit)
+def test_configured_noise_phrases_may_have_capitals(spark, headlines):
+    import dataclasses
+
+    from tidings.config import DEFAULT
+
+    mine = dataclasses.replace(DEFAULT, noise_phrases=("Market Wrap",))
+    assert tag(headlines([(1, "the market wrap today")]), settings=mine).first().noise_flag

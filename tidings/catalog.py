@@ -74,12 +74,13 @@ def q_company_tag(spark, sf_dir):
 
 
 def q_company_tag_table(spark, sf_dir):
-    return tag_from_table(_news(spark, sf_dir), company_dimension(spark), strategy="inline").select(
+    return tag_from_table(_news(spark, sf_dir), company_dimension(spark)).select(
         "doc_id", "company", "category")
 
 
 def q_company_tag_automaton(spark, sf_dir):
-    return tag_from_table(_news(spark, sf_dir), company_dimension(spark), strategy="automaton").select(
+    """The same join on shorter grams: the result doesn't depend on them."""
+    return tag_from_table(_news(spark, sf_dir), company_dimension(spark), gram=3).select(
         "doc_id", "company", "category")
 
 
@@ -282,7 +283,7 @@ def q_parquet_round_trip(spark, sf_dir):
 def q_materiality_encoder_stub(spark, sf_dir):
     """The encoder adapter (predict_batch_udf, 32-row batches, anchor encoded
     once on the driver) around a stub encoder: counts of the anchor's words."""
-    enc = EncoderCosine(anchor_vocabulary_encoder_loader(), dim=len(anchor_counts()))
+    enc = EncoderCosine(anchor_vocabulary_encoder_loader())
     return rounded(_news(spark, sf_dir).select("doc_id", enc.expr(F.col("Headline")).alias("materiality_score")))
 
 

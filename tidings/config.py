@@ -113,11 +113,6 @@ LEAD_PHRASES = (
 MAX_EXACT_PLAYERS = 10
 
 
-def esg_pattern() -> str:
-    """The keyword alternation, in order."""
-    return "|".join(ESG_KEYWORDS)
-
-
 def company_category_rows() -> list[tuple[int, str, str]]:
     """(priority, company, category) in dictionary order."""
     category = {c: cat for cat, members in COMPANY_CATEGORIES for c in members}
@@ -137,13 +132,6 @@ class Settings:
     sentiment_chars: int = SENTIMENT_CHAR_LIMIT
     histogram_bins: int = HISTOGRAM_BINS
     attribution_players: int = 8
-    # Dictionaries up to this size are inlined as a CASE expression; larger
-    # ones go through a broadcast automaton.
-    inline_dictionary_limit: int = 512
-    # Upper bounds on any dictionary this engine will broadcast (rows, and
-    # bytes of its string columns).
-    max_dictionary_rows: int = 2_000_000
-    max_dictionary_bytes: int = 256 * 1024 * 1024
     # Per-group rows (e.g. histogram bounds) up to this count are broadcast;
     # above it the join shuffles and AQE splits skewed partitions.
     max_broadcast_groups: int = 1_000_000

@@ -12,7 +12,7 @@ from tidings.config import (
     NOT_DETECTED,
     POSITIVE_THRESHOLD,
 )
-from tidings.functions.text import col_
+from tidings.functions.text import col_, let
 
 
 def no_nan(x: Column | str) -> Column:
@@ -63,10 +63,38 @@ def esg_display(flag: Column | str) -> Column:
     return F.when(col_(flag), ESG_LABEL).otherwise(NON_ESG_LABEL)
 
 
+def _fixed(x: Column, decimals: int) -> Column:
+    """``abs(x)`` with ``decimals`` places, rounded half to even on the exact
+    binary value (a format function rounds the shortest printed digits).
+
+    ``x * 10**decimals`` is taken as a rounded product and its exact error
+    (the factor is small, so splitting x in two halves is enough); the error
+    decides next to a tie, and at a tie the even neighbour wins.
+    """
+    unit = 10 ** decimals
+    scale = float(unit)
+
+    def parts(v: Column) -> Column:
+        big = v * F.lit(134217729.0)  # 2**27 + 1: the upper half of the digits
+        high = big - (big - v)
+        product = v * F.lit(scale)
+        return F.struct(product.alias("p"), ((high * scale - product) + (v - high) * scale).alias("e"), F.floor(product).alias("n"))
+
+    def text(t: Column) -> Column:
+        over = (t["p"] - t["n"].cast("double") - F.lit(0.5)) + t["e"]
+        up = (over > 0) | ((over == 0) & (t["n"] % 2 == 1))
+        return let(t["n"] + up.cast("long"), lambda n: F.concat(F.floor(n / F.lit(unit)).cast("string"), F.lit("."),
+                                                               F.lpad((n % F.lit(unit)).cast("string"), decimals, "0")))
+
+    return let(parts(F.abs(x)), text)
+
+
 def signed(x: Column | str, decimals: int) -> Column:
     """Fixed-decimal text with an explicit sign, like ``f"{x:+.4f}"``."""
-    return F.format_string(f"%+.{decimals}f", col_(x))
+    v = col_(x).cast("double")
+    return F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("+")), F.when(F.isnan(v), F.lit("nan")).otherwise(_fixed(v, decimals)))
 
 
 def unsigned(x: Column | str, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", col_(x))
+    v = col_(x).cast("double")
+    return F.when(F.isnan(v), F.lit("nan")).otherwise(F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), _fixed(v, decimals)))

@@ -1,7 +1,7 @@
 """Tagging expressions: company, ESG keyword flag, noise flag, matched keywords.
 
 All three tags read the lower-cased text, which callers compute once as a
-column (``lower_text``) and pass in, so a 17-way CASE does not lower-case a
+column (``with_lowered``) and pass in, so a 17-way CASE does not lower-case a
 long text 17 times.
 """
 
@@ -16,10 +16,6 @@ from tidings.config import COMPANIES, ESG_KEYWORDS, NOISE_PHRASES
 from tidings.functions.text import col_, let
 
 
-def lower_text(text: Column | str) -> Column:
-    return F.lower(col_(text))
-
-
 def with_lowered(text: Column | str, build) -> Column:
     """Evaluate ``build(lowered)`` with ``lower(text)`` computed once per row.
 
@@ -61,11 +57,17 @@ def esg_flag(text: Column | str, keywords: Sequence[str] = ESG_KEYWORDS) -> Colu
 def noise_flag(lowered: Column, phrases: Sequence[str] = NOISE_PHRASES) -> Column:
     expr = F.lit(False)
     for p in phrases:
-        expr = expr | lowered.contains(p)
+        expr = expr | lowered.contains(p.lower())
     return F.coalesce(expr, F.lit(False))
 
 
 def matched_keywords(text: Column | str, keywords: Sequence[str] = ESG_KEYWORDS) -> Column:
-    """The keyword alternatives that occur in the text, in keyword order."""
+    """The keyword alternatives that occur in the text, in keyword order.
+
+    The four characters that case-insensitive matching equates with an ASCII
+    letter without lower-casing to it are replaced first, so a keyword is
+    listed exactly when it alone would raise the flag.
+    """
     arr = F.array(*[F.lit(k) for k in keywords])
-    return with_lowered(text, lambda lowered: F.filter(arr, lambda k: lowered.contains(F.lower(k))))
+    plain = F.translate(col_(text), "\u017f\u212a\u0130\u0131", "skii")
+    return with_lowered(plain, lambda lowered: F.filter(arr, lambda k: lowered.contains(F.lower(k))))

@@ -1,9 +1,11 @@
-"""Vector expressions over ``array<float|double>`` columns."""
+"""Vector expressions over ``array<float|double>`` columns, and token codes
+of text blocks for the Arrow-batched counters."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +32,40 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 def literal_vector(values: Sequence[float]) -> Column:
     """A constant vector, folded into the plan once (the anchor)."""
     return F.array(*[F.lit(float(v)) for v in values])
+
+
+_TOKEN_BYTE = np.array([48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
+_BYTE_VALUE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C13
+
+
+def byte_blocks(texts, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts (null: empty) in blocks of about ``size`` bytes, with
+    the number of each block's first text."""
+    first, block, total = 0, [], 0
+    for i, text in enumerate(texts):
+        data = text.encode() if isinstance(text, str) else b""
+        if block and total + len(data) > size:
+            yield first, block
+            first, block, total = i, [], 0
+        block.append(data)
+        total += len(data)
+    if block:
+        yield first, block
+
+
+def token_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and a 64-bit code of every lexical token (run of a-z, 0-9)
+    of lower-cased UTF-8 texts, in text order: a rolling hash read off one
+    running sum, so there is no loop over tokens."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    inside = np.concatenate([[False], _TOKEN_BYTE[buf]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    n = len(buf)
+    forward = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE, np.uint64)]))
+    back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, pow(_BASE, -1, 1 << 64), np.uint64)]))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[buf] * forward)])
+    code = (total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)
+    offsets = np.cumsum([len(t) + 1 for t in texts])
+    return np.searchsorted(offsets, start, side="right"), code

@@ -43,11 +43,19 @@ def sentiment_distribution(scored: DataFrame) -> DataFrame:
 
 def top_companies(scored: DataFrame, k: int = TOP_COMPANIES) -> DataFrame:
     """Most frequent detected companies; null companies excluded; name breaks ties."""
-    return (scored.filter(F.col("company").isNotNull())
+    return (_detected(scored.select("company"))
             .groupBy("company").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("n"), F.asc("company")).limit(k))
 
 
+def _detected(rows: DataFrame) -> DataFrame:
+    """Rows with a company. The fence keeps the filter above the projection
+    that tags, which would otherwise be evaluated twice (once in the filter)."""
+    from tidings.plans.chain import fence
+
+    return fence(rows, "tagged").filter(F.col("company").isNotNull())
+
+
 def company_sentiment(scored: DataFrame) -> DataFrame:
     """company x sentiment counts with all three class columns and a Total.
 
@@ -56,7 +64,7 @@ def company_sentiment(scored: DataFrame) -> DataFrame:
     shuffle (a ``pivot`` would add a second aggregation round).
     """
     counts = [F.count_if(F.col("sentiment") == F.lit(c)).alias(c) for c in STACK_ORDER]
-    return (scored.filter(F.col("company").isNotNull())
+    return (_detected(scored.select("company", "sentiment"))
             .groupBy("company").agg(*counts, F.count(F.lit(1)).alias("Total")))
 
 
@@ -120,13 +128,16 @@ def materiality_histogram(scored: DataFrame, group_col: str = "esg_flag", value_
     else:
         bounds = cut_lineage(bounds)
         right = F.broadcast(bounds) if bounds.count() <= broadcast_limit else bounds
-    binned = data.join(right, on="grp").select("grp", _bin_expr(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+    # Null is a group like any other: both joins are null-safe.
+    edges = right.select(F.col("grp").alias("edge"), "lo", "hi")
+    binned = data.join(edges, F.col("grp").eqNullSafe(F.col("edge"))).select("grp", _bin_expr(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
     counts = binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
     spine = bounds.select("grp", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     lo, hi = F.col("lo"), F.col("hi")
     width = F.when(lo == hi, F.lit(1.0 / bins)).otherwise((hi - lo) / F.lit(bins))
     start = F.when(lo == hi, lo - F.lit(0.5)).otherwise(lo)
-    return (spine.join(counts, on=["grp", "bin"], how="left")
+    found = counts.select(F.col("grp").alias("g_"), F.col("bin").alias("b_"), "n")
+    return (spine.join(found, F.col("grp").eqNullSafe(F.col("g_")) & (F.col("bin") == F.col("b_")), "left")
             .select(F.col("grp").alias(group_col), "bin",
                     (start + F.col("bin") * width).alias("bin_lo"),
                     (start + (F.col("bin") + 1) * width).alias("bin_hi"),

@@ -32,7 +32,7 @@ from tidings.config import (
     SENTIMENT_BATCH_SIZE,
     SENTIMENT_CHAR_LIMIT,
 )
-from tidings.functions.text import col_, count_words, truncate
+from tidings.functions.text import col_, count_words, let, truncate
 
 SCORE_FIELDS = ("positive", "negative", "neutral")
 SCORE_TYPE = T.StructType(
@@ -71,8 +71,11 @@ class LexiconScorer:
         )
 
     def expr(self, text: Column | str) -> Column:
+        """Both counts are bound once and read by the three quotients: two
+        scans of the text, wherever the expression is inlined."""
         p, n = self.counts(text)
-        return F.when(col_(text).isNull(), fallback_struct(None)).otherwise(self.from_counts(p, n))
+        scores = let(F.struct(p.alias("p"), n.alias("n")), lambda c: self.from_counts(c["p"], c["n"]))
+        return F.when(col_(text).isNull(), fallback_struct(None)).otherwise(scores)
 
 
 def fallback_struct(error: str | None) -> Column:
@@ -85,10 +88,13 @@ def label_list_to_columns(raw: Column | str) -> Column:
     """array<struct<label, score>> -> struct<positive, negative, neutral>.
 
     Labels are lower-cased; a class missing from the list (top-1 output)
-    scores 0.0. Native map functions, no UDF.
+    scores 0.0, and of a label that occurs twice the last entry counts.
     """
-    m = F.map_from_entries(F.transform(col_(raw), lambda x: F.struct(F.lower(x["label"]), x["score"])))
-    return F.struct(*[F.coalesce(F.element_at(m, F.lit(f)), F.lit(0.0)).alias(f) for f in SCORE_FIELDS])
+    def last(field: str) -> Column:
+        found = F.filter(col_(raw), lambda x: F.lower(x["label"]) == F.lit(field))
+        return F.coalesce(F.try_element_at(found, F.lit(-1))["score"], F.lit(0.0))
+
+    return F.struct(*[last(f).alias(f) for f in SCORE_FIELDS])
 
 
 def raw_to_scores(res) -> dict:
@@ -161,7 +167,7 @@ class ModelScorer:
 # Used to exercise ModelScorer end to end without weights.
 # ---------------------------------------------------------------------------
 
-def lexicon_model_loader(fail_on: str | None = "fly ash", top1_every: int = 0):
+def lexicon_model_loader(fail_on: str | None = "fly ash"):
     """Loader for a stub classifier.
 
     Returns all three labels (upper-case, as some pipelines do) with the

@@ -5,7 +5,7 @@ All tags are Column expressions in one projection: no UDF, no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,59 +98,66 @@ def company_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(company_category_rows(), DIMENSION_SCHEMA)
 
 
-def _bounded_rows(dim: DataFrame, order_col: str, limit: int, max_bytes: int) -> list:
-    """Collect a dictionary only if it is small enough. One aggregate job
-    measures rows and string bytes; only within both bounds do the rows
-    reach the driver."""
-    sizes = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, t in dim.dtypes if t == "string"]
-    stats = dim.agg(F.count(F.lit(1)).alias("n"),
-                    F.sum(sum(sizes[1:], sizes[0]) if sizes else F.lit(0)).alias("bytes")).first()
-    if stats["n"] > limit or (stats["bytes"] or 0) > max_bytes:
-        raise ValueError(f"dictionary has {stats['n']} rows / {stats['bytes']} bytes, above the broadcast "
-                         f"bound ({limit} rows / {max_bytes} bytes)")
-    return dim.orderBy(order_col).collect()
+def _grams(text: Column, size: int) -> Column:
+    """Every run of ``size`` characters of ``text`` (a zero-width match at each
+    position, so one linear scan)."""
+    if size == 0:
+        return F.array(F.lit(""))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
+
+
+def _keyed_names(dim: DataFrame, name_col: str, order_col: str, carry: tuple[str, ...], gram: int) -> DataFrame:
+    """key, low, rank, hit: one row per lower-cased name, its first entry in
+    dictionary order, and the name's rarest gram in the dictionary as its key
+    (a name shorter than ``gram`` is its own key)."""
+    hit = F.struct(F.col(name_col).alias(name_col), *[F.col(c).alias(c) for c in carry])
+    rank = F.struct(F.col(order_col).isNull().alias("none"), F.col(order_col).alias("order"), F.col(name_col).alias("name"))
+    names = (dim.filter(F.col(name_col).isNotNull()).select(F.lower(F.col(name_col)).alias("low"), rank.alias("rank"), hit.alias("hit"))
+             .groupBy("low").agg(F.min("rank").alias("rank"), F.min_by("hit", "rank").alias("hit")))
+    pieces = names.select("low", F.explode(F.when(F.length("low") < gram, F.array("low")).otherwise(
+        F.array_distinct(_grams(F.col("low"), gram)))).alias("key"))
+    rarity = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    keys = (pieces.join(rarity, "key").groupBy(F.col("low").alias("low_"))
+            .agg(F.min(F.struct("n", "key")).alias("best")).select("low_", F.col("best.key").alias("key")))
+    return names.join(keys, F.col("low") == F.col("low_")).select("key", "low", "rank", "hit")
 
 
 def tag_from_table(df: DataFrame, dim: DataFrame, text_col: str = "Headline",
                    name_col: str = "company", order_col: str = "priority",
-                   carry: tuple[str, ...] = ("category",), settings: Settings = DEFAULT,
-                   strategy: str = "auto") -> DataFrame:
+                   carry: tuple[str, ...] = ("category",), gram: int = 4) -> DataFrame:
     """First dictionary hit (lowest ``order_col``) for each row, plus the
     ``carry`` columns of the matching dictionary row.
 
-    The dictionary is size-checked, then shipped to the tasks; the large
-    side is never shuffled. Up to ``inline_dictionary_limit`` names the
-    match is one CASE expression (codegen); above that, an Aho-Corasick
-    automaton built once per Python worker from a broadcast does one pass
-    over each text regardless of dictionary size.
+    One path for a dictionary of any size, with nothing on the driver: each
+    name is keyed by its rarest ``gram`` characters, the keys are equi-joined
+    with the distinct grams of the texts (the planner broadcasts the keys only
+    if their size allows), and the few candidates of a text are joined back by
+    the text's hash and verified with ``contains``. Same definition as ``tag``: raw substring,
+    lower-cased on both sides, dictionary order decides. An empty name occurs in
+    every text; a null name in none.
     """
-    rows = _bounded_rows(dim.select(order_col, name_col, *carry), order_col, settings.max_dictionary_rows,
-                         settings.max_dictionary_bytes)
-    names = [r[name_col] for r in rows]
-    if strategy == "auto":
-        strategy = "inline" if len(rows) <= settings.inline_dictionary_limit else "automaton"
-    if strategy == "inline":
-        hit = tagging.with_lowered(text_col, lambda lowered: F.struct(
-            tagging.first_match(lowered, names).alias(name_col),
-            *[tagging.first_match(lowered, names, [r[c] for r in rows]).alias(c) for c in carry]))
-        out = df.withColumn("__hit", hit)
-        return out.select(*[c for c in out.columns if c != "__hit"],
-                          *[F.col(f"__hit.{c}").alias(c) for c in (name_col, *carry)]).drop("__hit")
-    if strategy == "automaton":
-        from tidings.operators.automaton import first_hit_udf
-
-        hit = first_hit_udf(df.sparkSession, rows, name_col, carry)
-        return df.withColumn("__hit", hit(F.col(text_col))).select(
-            "*", *[F.col("__hit")[c].alias(c) for c in (name_col, *carry)]).drop("__hit")
-    raise ValueError(f"unknown strategy {strategy!r}")
-
-
-def with_category(df: DataFrame, dim: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Left-join the category by company name. The dimension is broadcast only
-    after its row count is checked against the bound, so the large side is
-    not shuffled by company (a hot key); above the bound the planner picks a
-    shuffle join and AQE splits skewed partitions."""
-    n = dim.count()
-    small = dim.select("company", "category")
-    right = F.broadcast(small) if n <= settings.max_broadcast_groups else small
-    return df.join(right, on="company", how="left")
+    own = df.columns
+    keyed = _keyed_names(dim, name_col, order_col, carry, gram)
+    sizes = sorted(r["n"] for r in keyed.select(F.length("key").alias("n")).distinct().collect())  # at most gram + 1 values
+    low = F.lower(F.col(text_col))
+    text = df.select(F.xxhash64(low).alias("th"), low.alias("low_text")).filter(F.col("low_text").isNotNull())
+    parts = [_grams(F.col("low_text"), n) for n in sizes] or [F.array().cast("array<string>")]
+    grams = text.select("th", F.explode(F.array_distinct(F.concat(*parts))).alias("key"))
+    near = (grams.join(keyed, "key").dropDuplicates(["th", "low"])
+            .groupBy(F.col("th").alias("__th")).agg(F.collect_list(F.struct("rank", "low", "hit")).alias("__near")))
+
+    def first(lowered: Column) -> Column:
+        found = F.filter("__near", lambda c: lowered.contains(c["low"]))
+        ranked = F.array_sort(found, lambda a, b: F.when(a["rank"] < b["rank"], F.lit(-1)).when(a["rank"] > b["rank"], F.lit(1)).otherwise(F.lit(0)))
+        return F.try_element_at(ranked, F.lit(1))["hit"]
+
+    joined = df.withColumn("__key", F.xxhash64(low)).join(near, F.col("__key") == F.col("__th"), "left")
+    hit = joined.withColumn("__hit", tagging.with_lowered(text_col, first))
+    return hit.select(*own, *[F.col("__hit")[c].alias(c) for c in (name_col, *carry)])
+
+
+def with_category(df: DataFrame, dim: DataFrame) -> DataFrame:
+    """Left-join the category by company name. The planner broadcasts the
+    dimension if its measured size allows, so the large side isn't shuffled by
+    company (a hot key); otherwise AQE splits skewed partitions."""
+    return df.join(dim.select("company", "category"), on="company", how="left")

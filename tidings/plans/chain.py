@@ -4,16 +4,12 @@
 scan: a table stored as one parquet row group is read by one task, so a
 CPU-heavy projection over it would run on one core. When the scan has
 fewer partitions than the session's parallelism the rows are spread
-round-robin; at cluster scale (thousands of input splits) it is a no-op
-and adds no shuffle. When it does spread, an ``observe`` node (a row
+round-robin, which shuffles them once; a scan with as many splits as there
+are cores is left as it is. When it does spread, an ``observe`` node (a row
 count) sits on top of the exchange: Catalyst pushes filters through a
 round-robin repartition, which would move a filter on a computed column
 (``company IS NOT NULL``) and all the text work it inlines back into the
 single scan task. Column pruning still reaches the scan.
-
-``materialize`` cuts lineage by writing a table to the shared work folder
-(``spark.checkpoint.dir``) and reading it back; a lost executor then
-re-reads files instead of recomputing the chain.
 """
 
 from __future__ import annotations
@@ -23,8 +19,6 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.session import fresh_path
-
 
 def fence(df: DataFrame, name: str = "rows") -> DataFrame:
     """An ``observe`` node (it counts rows) that the optimizer moves nothing
@@ -44,12 +38,6 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df
 
 
-def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
-    path = fresh_path(df.sparkSession, name)
-    df.write.format(fmt).save(path)
-    return df.sparkSession.read.format(fmt).load(path)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into ``spark.checkpoint.dir`` (eager).
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,7 +55,7 @@ def work_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):  # local-cluster is a cluster
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="tidings-work-")
     if sc.getCheckpointDir() is None:

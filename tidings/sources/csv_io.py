@@ -8,34 +8,49 @@ written here reads back unchanged, and files written by pandas read too.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from tidings.operators.tag import require_headline
 
 CSV_OPTIONS = {
     "header": "true",
-    "multiLine": "true",
     "quote": '"',
     "escape": '"',
     "encoding": "UTF-8",
+    # Cells are written as they are: blanks stay, and an empty text ("") differs
+    # from a missing cell (nothing between the commas).
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "nullValue": "",
+    "emptyValue": '""',
 }
+# The reader turns an empty quoted cell into this mark (the empty text itself
+# would equal ``nullValue`` and become null), and the mark becomes the empty text.
+_EMPTY = "\u0002"
+READ_OPTIONS = CSV_OPTIONS | {"emptyValue": _EMPTY}
 
 
 def read_headlines_csv(spark: SparkSession, path: str, schema: StructType | None = None,
-                       text_col: str = "Headline") -> DataFrame:
+                       text_col: str = "Headline", multi_line: bool = True) -> DataFrame:
     """Read a headline CSV; every column passes through, ``Headline`` must exist.
 
     Without a schema the types are inferred (one extra pass over the file);
-    production jobs should pass the schema.
+    large inputs should pass the schema. Fields with line breaks make each file
+    one task; pass ``multi_line=False`` where no field has any, and a file of
+    any size is split. Files written here are bounded (``max_records``).
     """
-    reader = spark.read.options(**CSV_OPTIONS)
+    reader = spark.read.options(**READ_OPTIONS).option("multiLine", str(multi_line).lower())
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
-    return require_headline(reader.csv(path), text_col)
+    df = reader.csv(path)
+    empty = {f.name: F.when(F.col(f"`{f.name}`") == _EMPTY, F.lit("")).otherwise(F.col(f"`{f.name}`"))
+             for f in df.schema if isinstance(f.dataType, StringType)}
+    return require_headline(df.withColumns(empty) if empty else df, text_col)
 
 
-def write_results_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """All columns and rows, with a header; one file per partition."""
-    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
+def write_results_csv(df: DataFrame, path: str, mode: str = "errorifexists", max_records: int = 1_000_000) -> None:
+    """All columns and rows, with a header, in files of at most ``max_records`` rows."""
+    df.write.mode(mode).options(**CSV_OPTIONS).option("maxRecordsPerFile", max_records).csv(path)
 
 
 def write_results_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
