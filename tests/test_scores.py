@@ -105,7 +105,12 @@ def test_single_mode_matches_batch(spark):
     report, sent, env = explain_single(spark, h)
     r = report.first()
     assert r.company == "Tata Power" and r.esg_label == "Environmental"
-    assert sent.count() == 8 and env.count() == 8
+    assert sent.count() == 11 and env.count() == 11  # every word is a player
+    from tidings.operators.materiality import EncoderCosine, anchor_vocabulary_encoder_loader
+
+    model, enc = ModelScorer(lexicon_model_loader(fail_on=None)), EncoderCosine(anchor_vocabulary_encoder_loader())
+    other, _, env = explain_single(spark, h, scorer=model, materiality=enc)
+    assert other.first().cumulative_text == r.cumulative_text and env.count() == 11
     try:
         analyze_single(spark, " \t ")
     except ValueError:

@@ -57,6 +57,8 @@ def test_strip_matches_python(spark, headlines):
 
 def _python_tags(h):
     """Independent plain-Python statement of the tagging rules."""
+    if h is None:
+        return None, False, False
     low = h.lower()
     company = next((c for c in C.COMPANIES if c.lower() in low), None)
     esg = re.search("|".join(C.ESG_KEYWORDS), h, re.IGNORECASE) is not None

@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 
 from tidings import config as C
 from tidings.functions import scores as S
-from tidings.functions.text import abbreviate
 from tidings.operators import reports as R
 from tidings.operators.attribution import (ORDER_INCREMENTS, ORDER_MODULUS, ORDER_MULTIPLIER, ORDER_SEED_STRIDE,
-                                           attribute, attribute_sampled, attribute_with_scorer, attribution_table,
-                                           audit_scores)
+                                           attribute, attribute_models, attribute_sampled, attribute_with_scorer,
+                                           attribution_table, audit_scores)
 from tidings.operators.materiality import (BowCosine, EncoderCosine, VectorCosine, anchor_counts,
-                                           anchor_vocabulary_encoder_loader)
-from tidings.operators.scorers import LexiconScorer, ModelScorer, label_list_to_columns, lexicon_model_loader
+                                           anchor_vocabulary_encoder_loader, join_vectors)
+from tidings.operators.scorers import ModelScorer, label_list_to_columns, lexicon_model_loader
 from tidings.operators.score import analyze, normalize_single, score
+from tidings.operators.single import report_rows
 from tidings.operators.tag import (
     company_dimension,
     filter_funnel,
@@ -228,7 +228,7 @@ def q_model_attribution(spark, sf_dir):
     4 players per row. Equals the additive path, so the SQL twin is the
     relational Shapley oracle with 4 players."""
     model = ModelScorer(lexicon_model_loader(fail_on=None), max_chars=None)
-    out = attribute_with_scorer(_news(spark, sf_dir), model, players=4, label_scorer=LexiconScorer())
+    out = attribute_with_scorer(_news(spark, sf_dir), model, players=4)
     return rounded(attribution_table(out, "sentiment"))
 
 
@@ -238,19 +238,50 @@ def q_interpretation_report(spark, sf_dir):
     scored = _scored(spark, sf_dir)
     keep = ("Headline", "company", "esg_flag", "sentiment", "cumulative_score", "materiality_score",
             "esg_adjusted_score")
-    a = attribute(scored, keep=keep)
-    audit = F.col("env_base") + F.aggregate(F.col("env_phi"), F.lit(0.0), lambda acc, x: acc + x)
-    return a.select(
-        "doc_id",
-        abbreviate("Headline", C.ABBREVIATE_AT).alias("headline_short"),
-        S.company_display("company").alias("company"),
-        S.esg_display("esg_flag").alias("esg_label"),
-        F.col("sentiment"),
-        S.signed(F.round("cumulative_score", 4), 4).alias("cumulative_text"),
-        S.unsigned(F.round("materiality_score", 4), 4).alias("materiality_text"),
-        S.signed(F.round("esg_adjusted_score", 4), 4).alias("adjusted_text"),
-        S.signed(F.round(audit, 4), 4).alias("audit_text"),
-    )
+    return report_rows(attribute(scored, keep=keep), "doc_id").drop("audit_score")
+
+
+def q_score_formats(spark, sf_dir):
+    """The display formats on values that sit on or next to rounding ties, one
+    set per document."""
+    i = F.pmod(F.col("doc_id"), F.lit(4001)) - 2000
+    x = F.when(F.col("doc_id") % 3 == 0, i / 32.0).when(F.col("doc_id") % 3 == 1, (2 * i + 1) / 20000.0).otherwise((2 * i + 1) / 2000.0)
+    return read_table(spark, sf_dir, "documents", ["doc_id"]).select(
+        "doc_id", S.signed(x, 4).alias("signed4"), S.unsigned(x, 4).alias("unsigned4"), S.signed(x, 3).alias("signed3"))
+
+
+TOKEN_ORDERS = 4
+
+
+def q_token_attribution(spark, sf_dir):
+    """Environmental attribution with every word a player, 4 sampled orders."""
+    return rounded(attribution_table(attribute_sampled(_news(spark, sf_dir), permutations=TOKEN_ORDERS), "env_impact"))
+
+
+def _model_explained(spark, sf_dir):
+    """Both outputs explained through a classifier and an encoder (the stubs),
+    all coalitions of 4 runs of words."""
+    return attribute_models(_news(spark, sf_dir), ModelScorer(lexicon_model_loader(fail_on=None), max_chars=None),
+                            EncoderCosine(anchor_vocabulary_encoder_loader()), players=4, permutations=None)
+
+
+def q_model_env_attribution(spark, sf_dir):
+    return rounded(attribution_table(_model_explained(spark, sf_dir), "env_impact"))
+
+
+def q_model_audit_score(spark, sf_dir):
+    return rounded(audit_scores(_model_explained(spark, sf_dir)))
+
+
+def q_headline_vectors(spark, sf_dir):
+    """Precomputed vectors joined to the headlines by id (null where a headline
+    has none), and the adjusted score from their materiality."""
+    vecs = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    anchor = VectorCosine.from_table(vecs, "vec_id", 0, "embedding")
+    given = join_vectors(_news(spark, sf_dir), vecs, "doc_id", "vec_id", "embedding").withColumn("given", anchor.expr("embedding"))
+    s = score(given.select("doc_id", "Headline", "given"))
+    return rounded(s.select("doc_id", F.col("given").alias("materiality_score"),
+                            S.adjusted(S.direction("positive", "negative"), "given").alias("esg_adjusted_score")))
 
 
 def q_result_preview(spark, sf_dir):
@@ -353,6 +384,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sampled_attribution": q_sampled_attribution,
     "model_attribution": q_model_attribution,
     "interpretation_report": q_interpretation_report,
+    "score_formats": q_score_formats,
+    "token_attribution": q_token_attribution,
+    "model_env_attribution": q_model_env_attribution,
+    "model_audit_score": q_model_audit_score,
+    "headline_vectors": q_headline_vectors,
     "result_preview": q_result_preview,
     "raw_preview": q_raw_preview,
     "row_count": q_row_count,
@@ -395,9 +431,13 @@ def news_sql(strip: bool = False) -> str:
     head = (f"{_list(LEAD_COMPANIES)}[doc_id % {len(LEAD_COMPANIES)} + 1] || ' ' || "
             f"{_list(C.LEAD_PHRASES)}[(doc_id // {len(LEAD_COMPANIES)}) % {len(C.LEAD_PHRASES)} + 1] "
             "|| chr(10) || text")
+    head = (f"CASE doc_id % 97 WHEN 13 THEN NULL WHEN 14 THEN '' WHEN 15 THEN ' ' || chr(9) || chr(10) "
+            f"WHEN 16 THEN chr(9) || ' ' || {head} || chr(160) || chr(12288) WHEN 17 THEN chr(383) || 'olar plant ' || text "
+            f"WHEN 18 THEN text ELSE {head} END")
     if not strip:
         return f"news AS (SELECT doc_id, {head} AS Headline, lang, source FROM documents)"
-    stripped = f"regexp_replace({head}, '^\\s+|\\s+$', '', 'g')"
+    blank = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    stripped = f"regexp_replace({head}, '^{blank}|{blank}$', '', 'g')"
     return (f"news AS (SELECT doc_id, {stripped} AS Headline, lang, source FROM documents "
             f"WHERE length({stripped}) > 0)")
 
@@ -435,11 +475,12 @@ BOW_SQL = (
 _HEAD_TOKENS = f"regexp_extract_all(lower(substring(Headline, 1, {C.SENTIMENT_CHAR_LIMIT})), {_q(C.LEXICAL_TOKEN)})"
 
 SCORED_SQL = (
+    # A missing headline scores (0, 0, 1).
     "lex AS (SELECT t.*, "
     f"{_lex_count(_HEAD_TOKENS, C.POSITIVE_WORDS)} AS p, {_lex_count(_HEAD_TOKENS, C.NEGATIVE_WORDS)} AS q "
     "FROM tagged t), "
-    "probs AS (SELECT l.*, p::DOUBLE / (p + q + 1) AS positive, q::DOUBLE / (p + q + 1) AS negative, "
-    "1.0::DOUBLE / (p + q + 1) AS neutral, "
+    "probs AS (SELECT l.*, coalesce(p::DOUBLE / (p + q + 1), 0.0) AS positive, coalesce(q::DOUBLE / (p + q + 1), 0.0) AS negative, "
+    "coalesce(1.0::DOUBLE / (p + q + 1), 1.0) AS neutral, "
     f"CASE WHEN coalesce(b.ss, 0) = 0 THEN 0.0::DOUBLE ELSE b.dot::DOUBLE / (sqrt(b.ss::DOUBLE) * {_ANCHOR_NORM_SQL}) END "
     "AS materiality_score FROM lex l LEFT JOIN bow b USING (doc_id)), "
     "scored AS (SELECT *, positive - negative AS cumulative_score, "
@@ -492,8 +533,8 @@ def _hist_sql(source: str, group: str, value: str, bins: int = C.HISTOGRAM_BINS)
     )
 
 
-def _chunk_ctes(players: int) -> str:
-    """Players in SQL: one row per (doc, word), (doc, chunk, token); per-chunk
+def _chunk_ctes(players: int, norm_words=None) -> str:
+    """norm_words: the tokens that count for the norm (default: all). Players in SQL: one row per (doc, word), (doc, chunk, token); per-chunk
     lexicon and anchor counts (cs) and pairwise token co-counts (g) through a
     self-join."""
     head_scores = (
@@ -505,20 +546,21 @@ def _chunk_ctes(players: int) -> str:
     words = _q(C.WORD_TOKEN)
     return (
         f"{head_scores}, "
-        f"ws AS (SELECT doc_id, regexp_extract_all(Headline, {words}) AS ws FROM news), "
+        f"ws AS (SELECT doc_id, regexp_extract_all(Headline, {words}) AS ws FROM news WHERE Headline IS NOT NULL), "
         f"docs AS (SELECT doc_id, least(len(ws), {players}) AS m FROM ws), "
         "w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM ws), "
         f"wc AS (SELECT doc_id, pos, word, ((pos + 1) * least(n, {players}) - 1) // n AS chunk FROM w), "
         "chunks AS (SELECT doc_id, chunk, string_agg(word, ' ' ORDER BY pos) AS token FROM wc GROUP BY doc_id, chunk), "
         f"tk AS (SELECT doc_id, chunk, unnest(regexp_extract_all(lower(word), {_q(C.LEXICAL_TOKEN)})) AS t FROM wc), "
-        "tc AS (SELECT doc_id, chunk, t, count(*) AS c FROM tk GROUP BY ALL), "
+        "tc AS MATERIALIZED (SELECT doc_id, chunk, t, count(*) AS c FROM tk GROUP BY ALL), "
         "cs AS (SELECT c.doc_id, c.chunk, "
         f"coalesce(sum(CASE WHEN t IN {_in_list(C.POSITIVE_WORDS)} THEN c END), 0) AS p, "
         f"coalesce(sum(CASE WHEN t IN {_in_list(C.NEGATIVE_WORDS)} THEN c END), 0) AS q, "
         f"coalesce(sum(CASE {' '.join(f'WHEN t = {_q(a)} THEN {k} * c' for a, k in _ANCHOR.items())} END), 0) AS d "
         "FROM chunks c LEFT JOIN tc USING (doc_id, chunk) GROUP BY ALL), "
         "g AS (SELECT a.doc_id, a.chunk AS i, b.chunk AS j, sum(a.c * b.c) AS g FROM tc a JOIN tc b "
-        "ON a.doc_id = b.doc_id AND a.t = b.t GROUP BY ALL)"
+        "ON a.doc_id = b.doc_id AND a.t = b.t"
+        + (f" AND a.t IN {_in_list(norm_words)}" if norm_words else "") + " GROUP BY ALL)"
     )
 
 
@@ -527,23 +569,23 @@ def _env_value_sql(p: str, q: str, d: str, ss: str) -> str:
             f"ELSE ({d})::DOUBLE / (sqrt(({ss})::DOUBLE) * {_ANCHOR_NORM_SQL}) END) + 0.0")
 
 
-def _attribution_ctes(players: int = 8) -> str:
+def _attribution_ctes(players: int = 8, norm_words=None) -> str:
     """Relational Shapley oracle: every coalition of every doc as a row."""
     return (
-        f"{_chunk_ctes(players)}, "
+        f"{_chunk_ctes(players, norm_words)}, "
         "masks AS (SELECT doc_id, m, unnest(range(1 << m)) AS s FROM docs), "
         "ms AS (SELECT k.doc_id, k.m, k.s, coalesce(sum(cs.p), 0) AS ps, coalesce(sum(cs.q), 0) AS qs, "
         "coalesce(sum(cs.d), 0) AS ds FROM masks k LEFT JOIN cs ON cs.doc_id = k.doc_id AND (k.s >> cs.chunk) & 1 = 1 "
         "GROUP BY ALL), "
         "mg AS (SELECT k.doc_id, k.s, coalesce(sum(g.g), 0) AS ss FROM masks k LEFT JOIN g ON g.doc_id = k.doc_id "
         "AND (k.s >> g.i) & 1 = 1 AND (k.s >> g.j) & 1 = 1 GROUP BY ALL), "
-        "vals AS (SELECT ms.doc_id, ms.m, ms.s, "
+        "vals AS MATERIALIZED (SELECT ms.doc_id, ms.m, ms.s, "
         "(CASE WHEN ps > qs THEN 1.0 ELSE -1.0 END)::DOUBLE * (CASE WHEN ss = 0 THEN 0.0::DOUBLE "
         f"ELSE ds::DOUBLE / (sqrt(ss::DOUBLE) * {_ANCHOR_NORM_SQL}) END) + 0.0 AS env, "
         "CASE l.label WHEN 'positive' THEN ps::DOUBLE / (ps + qs + 1) WHEN 'negative' THEN qs::DOUBLE / (ps + qs + 1) "
         "ELSE 1.0::DOUBLE / (ps + qs + 1) END AS sent, l.label "
         "FROM ms JOIN mg USING (doc_id, s) JOIN labels l USING (doc_id)), "
-        "phi AS (SELECT v.doc_id, c.chunk AS player, c.token, v.label, "
+        "phi AS MATERIALIZED (SELECT v.doc_id, c.chunk AS player, c.token, v.label, "
         "sum(factorial(bit_count(v.s)::INTEGER)::DOUBLE * factorial((v.m - bit_count(v.s) - 1)::INTEGER)::DOUBLE "
         "/ factorial(v.m::INTEGER)::DOUBLE * (x.env - v.env)) AS env_phi, "
         "sum(factorial(bit_count(v.s)::INTEGER)::DOUBLE * factorial((v.m - bit_count(v.s) - 1)::INTEGER)::DOUBLE "
@@ -564,8 +606,8 @@ def _phi_table(phi_col: str, output: str) -> str:
 def _sampled_ctes(players: int, permutations: int, seed: int = 0) -> str:
     """Relational twin of sampled Shapley values: one row per (doc, order,
     player) with the player's integer sort key, positions by row_number,
-    coalition sums as running window sums; the norm grows by
-    g_ii + 2 sum(g_ij) over the players already placed (a self-join)."""
+    coalition sums as running window sums; the squared norm
+    grows by 2n - 1 with the n-th occurrence of a word in the order."""
     mod = ORDER_MODULUS
     start = (f"((doc_id % {mod} + {mod}) % {mod} * {ORDER_MULTIPLIER} "
              f"+ ({seed * ORDER_SEED_STRIDE} + r) % {mod}) % {mod}")
@@ -584,12 +626,10 @@ def _sampled_ctes(players: int, permutations: int, seed: int = 0) -> str:
         + ", ".join(coefs) + ", "
         f"keys AS (SELECT o.doc_id, o.r, k.chunk, k.p, k.q, k.d, {key} AS key FROM o5 o JOIN cs k USING (doc_id)), "
         "pos AS (SELECT *, row_number() OVER (PARTITION BY doc_id, r ORDER BY key, chunk) AS pos FROM keys), "
-        "stp AS (SELECT a.doc_id, a.r, a.chunk, a.pos, a.p, a.q, a.d, "
-        "coalesce(gd.g, 0) + 2 * coalesce(sum(gx.g), 0) AS step FROM pos a "
-        "LEFT JOIN g gd ON gd.doc_id = a.doc_id AND gd.i = a.chunk AND gd.j = a.chunk "
-        "LEFT JOIN pos b ON b.doc_id = a.doc_id AND b.r = a.r AND b.pos < a.pos "
-        "LEFT JOIN g gx ON gx.doc_id = a.doc_id AND gx.i = a.chunk AND gx.j = b.chunk "
-        "GROUP BY a.doc_id, a.r, a.chunk, a.pos, a.p, a.q, a.d, gd.g), "
+        "nth AS (SELECT p.doc_id, p.r, p.chunk, 2 * row_number() OVER (PARTITION BY p.doc_id, p.r, t.t ORDER BY p.pos) - 1 AS gain "
+        "FROM pos p JOIN tk t USING (doc_id, chunk)), "
+        "gains AS (SELECT doc_id, r, chunk, sum(gain) AS step FROM nth GROUP BY ALL), "
+        "stp AS (SELECT a.*, coalesce(s.step, 0) AS step FROM pos a LEFT JOIN gains s USING (doc_id, r, chunk)), "
         "cum AS (SELECT *, sum(p) OVER w AS cp, sum(q) OVER w AS cq, sum(d) OVER w AS cd, sum(step) OVER w AS css "
         "FROM stp WINDOW w AS (PARTITION BY doc_id, r ORDER BY pos ROWS UNBOUNDED PRECEDING)), "
         f"phi AS (SELECT u.doc_id, u.chunk AS player, c.token, sum(({after}) - ({before})) / {permutations} "
@@ -617,7 +657,7 @@ ORACLE_SQL: dict[str, str] = {
     "noise_flag": f"WITH {NEWS_SQL}, {TAGS_SQL} SELECT doc_id, noise_flag FROM tagged",
     "keyword_hits": (
         f"WITH {NEWS_SQL}, kw AS (SELECT unnest({_list(C.ESG_KEYWORDS)}) AS keyword) "
-        "SELECT k.keyword, count(*) AS n_docs FROM news n JOIN kw k ON contains(lower(n.Headline), lower(k.keyword)) "
+        "SELECT k.keyword, count(*) AS n_docs FROM news n JOIN kw k ON regexp_matches(n.Headline, k.keyword, 'i') "
         "GROUP BY k.keyword"
     ),
     "filter_funnel": (
@@ -700,16 +740,16 @@ ORACLE_SQL: dict[str, str] = {
     "audit_score": (
         f"WITH {NEWS_SQL}, {_attribution_ctes()}, {AUDIT_SQL} SELECT doc_id, n_players::INTEGER AS n_players, "
         f"{_r('base_value', 'base_value')}, {_r('phi_sum', 'phi_sum')}, {_r('audit_score', 'audit_score')}, "
-        f"{_r('full_value', 'full_value')} FROM audit"
+        f"{_r('full_value', 'full_value')} FROM audit UNION ALL SELECT doc_id, 0, NULL, NULL, NULL, NULL FROM news WHERE Headline IS NULL"
     ),
     "interpretation_report": BASE_CTES + f", {_attribution_ctes()}, {AUDIT_SQL} " + (
         "SELECT s.doc_id, CASE WHEN length(Headline) > 100 THEN substring(Headline, 1, 100) || '...' ELSE Headline END "
         f"AS headline_short, coalesce(company, {_q(C.NOT_DETECTED)}) AS company, "
         f"CASE WHEN esg_flag THEN {_q(C.ESG_LABEL)} ELSE {_q(C.NON_ESG_LABEL)} END AS esg_label, sentiment, "
-        "printf('%+.4f', round(cumulative_score, 4)) AS cumulative_text, "
-        "printf('%.4f', round(materiality_score, 4)) AS materiality_text, "
-        "printf('%+.4f', round(esg_adjusted_score, 4)) AS adjusted_text, "
-        "printf('%+.4f', round(a.audit_score, 4)) AS audit_text "
+        "printf('%+.4f', cumulative_score) AS cumulative_text, "
+        "printf('%.4f', materiality_score) AS materiality_text, "
+        "printf('%+.4f', esg_adjusted_score) AS adjusted_text, "
+        "CASE WHEN a.audit_score IS NOT NULL THEN printf('%+.4f', round(a.audit_score, 12) + 0.0) END AS audit_text "
         "FROM scored s LEFT JOIN audit a ON a.doc_id = s.doc_id"
     ),
     "result_preview": BASE_CTES + (
@@ -744,7 +784,7 @@ _ENC_COUNTS = [f"len(list_filter({_ENC_TOKENS}, lambda w: w = {_q(t)}))" for t i
 ORACLE_SQL["materiality_encoder_stub"] = (
     f"WITH {NEWS_SQL}, enc AS (SELECT doc_id, {' + '.join(_ENC_COUNTS)} AS dot, "
     f"{' + '.join(f'({c}) * ({c})' for c in _ENC_COUNTS)} AS ss FROM news) "
-    f"SELECT doc_id, {_r(f'CASE WHEN ss = 0 THEN 0.0 ELSE dot / (sqrt(ss::DOUBLE) * {_ANCHOR_NORM_SQL}) END', 'materiality_score')} "
+    f"SELECT doc_id, {_r(f'CASE WHEN coalesce(ss, 0) = 0 THEN 0.0 ELSE dot / (sqrt(ss::DOUBLE) * {_ANCHOR_NORM_SQL}) END', 'materiality_score')} "
     "FROM enc"
 )
 
@@ -759,3 +799,15 @@ ORACLE_SQL["single_headline"] = (
     f"{_r('cumulative_score', 'cumulative_score')}, sentiment, {_r('materiality_score', 'materiality_score')}, "
     f"{_r('esg_adjusted_score', 'esg_adjusted_score')} FROM scored"
 )
+ORACLE_SQL["token_attribution"] = (
+    f"WITH {NEWS_SQL}, {_sampled_ctes(1 << 30, TOKEN_ORDERS)} " + _phi_table("env_phi", "'env_impact'"))
+_MODEL_CTES = _attribution_ctes(4, tuple(_ANCHOR))
+ORACLE_SQL["model_env_attribution"] = f"WITH {NEWS_SQL}, {_MODEL_CTES} " + _phi_table("env_phi", "'env_impact'")
+ORACLE_SQL["model_audit_score"] = ORACLE_SQL["audit_score"].replace(_attribution_ctes(), _MODEL_CTES)
+ORACLE_SQL["score_formats"] = (
+    "WITH v AS (SELECT doc_id, doc_id % 4001 - 2000 AS i FROM documents), x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN i::DOUBLE / 32.0::DOUBLE "
+    "WHEN 1 THEN (2 * i + 1)::DOUBLE / 20000.0::DOUBLE ELSE (2 * i + 1)::DOUBLE / 2000.0::DOUBLE END AS x FROM v) "
+    "SELECT doc_id, printf('%+.4f', x) AS signed4, printf('%.4f', x) AS unsigned4, printf('%+.3f', x) AS signed3 FROM x")
+ORACLE_SQL["headline_vectors"] = BASE_CTES + f", {EMB_SQL} " + (
+    f"SELECT s.doc_id, {_r('e.materiality_score', 'materiality_score')}, "
+    f"{_r('s.direction * e.materiality_score + 0.0', 'esg_adjusted_score')} FROM scored s LEFT JOIN emb e ON e.vec_id = s.doc_id")

@@ -33,37 +33,41 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.config import DEFAULT, LEXICAL_TOKEN, MAX_EXACT_PLAYERS, Settings
+from tidings.config import DEFAULT, LEXICAL_TOKEN, MAX_EXACT_PLAYERS, SENTIMENT_CHAR_LIMIT, WORD_TOKEN, Settings
 from tidings.functions.scores import argmax_label
 from tidings.functions.text import count_words, weighted_words, words
-from tidings.operators.materiality import BowCosine
-from tidings.operators.scorers import LexiconScorer
+from tidings.functions.vectors import token_codes
+from tidings.operators.materiality import BowCosine, EncoderCosine
+from tidings.operators.scorers import LexiconScorer, ModelScorer, raw_to_scores
 
 
 def _pairs(players: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(players) for j in range(i + 1, players)]
 
 
-def chunk_statistics(df: DataFrame, text_col: str, players: int, scorer: LexiconScorer,
+def chunk_statistics(df: DataFrame, text_col: str, players: int | None, scorer: LexiconScorer,
                      materiality: BowCosine) -> DataFrame:
-    """Add chunks and their additive statistics to every row."""
+    """Add chunks and their additive statistics to every row. ``players=None``:
+    every word is a chunk."""
     w = "__words"
-    out = df.withColumn(w, words(text_col))
+    # A null text has no players (its values are nulled by ``_known``).
+    out = df.withColumn(w, F.coalesce(words(text_col), F.array().cast("array<string>")))
     n = F.size(F.col(w))
-    m = F.least(n, F.lit(players))
+    m = n if players is None else F.least(n, F.lit(players))
     out = out.withColumn("__n", n).withColumn("n_players", m)
     n, m = F.col("__n"), F.col("n_players")
 
     def start(i: Column) -> Column:
         return F.floor(i * n / m).cast("int")
 
-    chunks = F.when(m == 0, F.array().cast("array<string>")).otherwise(
+    chunks = F.col(w) if players is None else F.when(m == 0, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(0), m - 1),
                     lambda i: F.array_join(F.slice(F.col(w), start(i) + 1, start(i + 1) - start(i)), " ")))
     out = out.withColumn("chunks", chunks).drop(w, "__n")
@@ -175,6 +179,15 @@ def _environment_udf(players: int, anchor_norm: float):
     return environment
 
 
+_OUTPUTS = ("sent_base", "sent_phi", "sent_full", "env_base", "env_phi", "env_full")
+
+
+def _known(source: dict[str, Column], text: Column) -> list[Column]:
+    """The output columns, null with a reason where there is no text."""
+    return [*[F.when(text.isNotNull(), source[c]).alias(c) for c in _OUTPUTS],
+            F.when(text.isNull(), F.lit("no text")).alias("attribution_error")]
+
+
 def attribute(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline",
               settings: Settings = DEFAULT, scorer: LexiconScorer | None = None,
               materiality: BowCosine | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -182,7 +195,8 @@ def attribute(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline",
     picks) and environmental-impact attribution, with base values.
 
     Output: id, *keep, chunks, n_players, label, sent_base, sent_phi,
-    sent_full, env_base, env_phi, env_full. Text work (splitting, chunking,
+    sent_full, env_base, env_phi, env_full, attribution_error (a null text has
+    null values and a reason; other rows are not affected). Text work (splitting, chunking,
     token counts, sums of squares) is native; only the coalition algebra over
     at most 2^T small integer sums runs in an Arrow-batched pandas UDF, one
     per output so that a query reading one output never computes the other.
@@ -211,13 +225,7 @@ def attribute(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline",
         kept.append(F.col("__text_kept").alias(text_col))
     return out.select(
         id_col, *kept, "chunks", "n_players", "label",
-        F.col("__sent.sent_base").alias("sent_base"),
-        F.col("__sent.sent_phi").alias("sent_phi"),
-        F.col("__sent.sent_full").alias("sent_full"),
-        F.col("__env.env_base").alias("env_base"),
-        F.col("__env.env_phi").alias("env_phi"),
-        F.col("__env.env_full").alias("env_full"),
-    )
+        *_known({c: F.col(f"__sent.{c}" if c.startswith("sent") else f"__env.{c}") for c in _OUTPUTS}, F.col("__text_kept")))
 
 
 def attribution_table(attributed: DataFrame, output: str, id_col: str = "doc_id") -> DataFrame:
@@ -252,7 +260,7 @@ def audit_scores(attributed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# More players than exact enumeration allows: permutation sampling
+# Any number of players: permutation sampling
 # ---------------------------------------------------------------------------
 
 _SAMPLED_TYPE = ("struct<sent_base: double, sent_phi: array<double>, sent_full: double, "
@@ -316,10 +324,9 @@ def _sampled_udf(permutations: int, seed: int, anchor_norm: float):
             pv = np.asarray(pi, dtype=np.int64)[:mi]
             qv = np.asarray(qi, dtype=np.int64)[:mi]
             dv = np.asarray(di, dtype=np.int64)[:mi]
-            diag, cross = _gram(li[:mi])
-            gram = np.diag(diag).astype(np.int64)
-            for k, (i, j) in enumerate(_pairs(mi)):
-                gram[i, j] = gram[j, i] = cross[k] // 2
+            owner, code = token_codes([c.encode() for c in li[:mi]]) if mi else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            codes, word = np.unique(code, return_inverse=True)
+            count = np.bincount(word, minlength=len(codes))
             k = permutations if mi else 0
             sent_phi = np.zeros(mi)
             env_phi = np.zeros(mi)
@@ -330,8 +337,14 @@ def _sampled_udf(permutations: int, seed: int, anchor_norm: float):
                 ps = np.hstack([zero, np.cumsum(pv[orders], axis=1)])
                 qs = np.hstack([zero, np.cumsum(qv[orders], axis=1)])
                 ds = np.hstack([zero, np.cumsum(dv[orders], axis=1)])
-                g = gram[orders[:, :, None], orders[:, None, :]]            # K x m x m, permuted Gram
-                step = np.einsum("kii->ki", g) + 2 * np.tril(g, -1).sum(axis=2)
+                # The n-th occurrence of a word adds 2n - 1 to the sum of squared
+                # counts. Sorted by (word, place of its player in the order), a
+                # word's occurrences are numbered the same way in every order.
+                place = np.argsort(orders, axis=1)[:, owner]
+                by_word = np.argsort(word[None, :] * mi + place, axis=1, kind="stable")
+                nth = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+                cell = np.arange(k)[:, None] * mi + np.take_along_axis(place, by_word, axis=1)
+                step = np.bincount(cell.ravel(), weights=np.tile(2.0 * nth + 1, k), minlength=k * mi).reshape(k, mi)
                 sq = np.hstack([zero, np.cumsum(step, axis=1)])
                 total = ps + qs + 1.0
                 sent = ps / total if lab == "positive" else (qs / total if lab == "negative" else 1.0 / total)
@@ -344,7 +357,7 @@ def _sampled_udf(permutations: int, seed: int, anchor_norm: float):
             p_all, q_all = pv.sum(), qv.sum()
             tot = p_all + q_all + 1.0
             sent_full = p_all / tot if lab == "positive" else (q_all / tot if lab == "negative" else 1.0 / tot)
-            sq_all = int(gram.sum())
+            sq_all = int((count * count).sum())
             cos_all = 0.0 if sq_all == 0 else dv.sum() / (np.sqrt(float(sq_all)) * anchor_norm)
             env_full = (1.0 if p_all > q_all else -1.0) * cos_all + 0.0
             empty_sent = 0.0 if lab in ("positive", "negative") else 1.0
@@ -359,10 +372,12 @@ def _sampled_udf(permutations: int, seed: int, anchor_norm: float):
     return sampled
 
 
-def attribute_sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline", players: int = 16,
+def attribute_sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline", players: int | None = None,
                       permutations: int = 64, seed: int = 0, settings: Settings = DEFAULT,
-                      scorer: LexiconScorer | None = None, materiality: BowCosine | None = None) -> DataFrame:
-    """Like ``attribute`` but for up to ``players`` chunks with sampled orders.
+                      scorer: LexiconScorer | None = None, materiality: BowCosine | None = None,
+                      keep: tuple[str, ...] = ()) -> DataFrame:
+    """Like ``attribute`` with sampled orders, for any number of players: the
+    words of the text, or ``players`` runs of words.
 
     The sample size is the feature (``permutations`` orders per row); every
     row and the whole text are used. Same output columns as ``attribute``.
@@ -371,84 +386,170 @@ def attribute_sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "He
     whole = LexiconScorer(batch.positive, batch.negative, max_chars=None)
     materiality = materiality or BowCosine(settings.anchor)
     s = batch.expr(F.col(text_col))
-    base = df.select(id_col, text_col).withColumn("label", argmax_label(s["positive"], s["negative"], s["neutral"]))
-    stats = chunk_statistics(base, text_col, players, whole, materiality).drop(text_col)
+    kept = [c for c in keep if c not in (id_col, text_col)]
+    base = df.select(id_col, text_col, *kept).withColumn("label", argmax_label(s["positive"], s["negative"], s["neutral"]))
+    stats = chunk_statistics(base, text_col, players, whole, materiality)
     res = _sampled_udf(permutations, seed, materiality.anchor_norm)(
-        F.col(id_col), F.col("n_players"), F.col("__p"), F.col("__q"), F.col("__d"), F.col("__lex"), F.col("label"))
+        F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.col("n_players"), F.col("__p"), F.col("__q"), F.col("__d"), F.col("__lex"), F.col("label"))
     out = stats.withColumn("__r", res)
-    return out.select(id_col, "chunks", "n_players", "label",
-                      *[F.col(f"__r.{c}").alias(c) for c in
-                        ("sent_base", "sent_phi", "sent_full", "env_base", "env_phi", "env_full")])
+    shown = [*([text_col] if text_col in keep else []), *kept]
+    return out.select(id_col, *shown, "chunks", "n_players", "label", *_known({c: F.col(f"__r.{c}") for c in _OUTPUTS}, F.col(text_col)))
 
 
 # ---------------------------------------------------------------------------
-# Any scorer (e.g. a learned model): score the masked texts themselves
+# Any models: score the masked texts themselves
 # ---------------------------------------------------------------------------
 
-def attribute_with_scorer(df: DataFrame, scorer, id_col: str = "doc_id", text_col: str = "Headline",
-                          players: int = 8, label_scorer=None) -> DataFrame:
-    """Sentiment attribution for a scorer with no additive structure.
-
-    Every coalition's text is built (kept chunks joined by a space) and
-    scored by ``scorer.expr`` (a ``predict_batch_udf`` model scores them in
-    Arrow batches). phi_i = sum_S c_i(S) v(S), with c_i(S) = w(|S|-1) when i
-    is in S and -w(|S|) otherwise, is one grouped sum per row id: the
-    coalitions of a row are generated in one task, so the partial aggregate
-    collapses them before the shuffle. Costs 2^m scorer calls per row; keep
-    ``players`` small or select the rows to explain.
+_MODEL_TYPE = ("struct<chunks: array<string>, n_players: int, label: string, sent_base: double, sent_phi: array<double>, "
+               "sent_full: double, env_base: double, env_phi: array<double>, env_full: double, attribution_error: string>")
+_LABELS = ("positive", "negative", "neutral")
+_SCORED_AT_ONCE = 512  # masked texts gathered over rows before the models run
+
+
+def split_players(text: str, players: int | None) -> list[str]:
+    """The words of a text, or ``players`` runs of neighbouring words."""
+    found = re.findall(WORD_TOKEN, text)
+    n = len(found)
+    if players is None or n <= players:
+        return found
+    return [" ".join(found[i * n // players:(i + 1) * n // players]) for i in range(players)]
+
+
+def _exact_game(m: int):
+    """Coalitions as a bit matrix, and phi as a function of their values."""
+    bits, size, _, _, weight, without = _Coalitions.get(m, m)
+    return bits.astype(bool), lambda v: _shapley_np(v, m, size, weight, without)
+
+
+def _sampled_game(m: int, orders: np.ndarray):
+    """The prefixes of the player orders, empty and full ones included."""
+    k = len(orders)
+    place = np.argsort(orders, axis=1)
+    prefix = place[:, None, :] < np.arange(m + 1)[None, :, None]  # k x (m + 1) x m
+
+    def phi(v: np.ndarray) -> list[float]:
+        steps = np.diff(v.reshape(k, m + 1), axis=1)
+        return (np.bincount(orders.ravel(), weights=steps.ravel(), minlength=m) / k).tolist()
+
+    return prefix.reshape(-1, m), phi
+
+
+class _Row:
+    """One text: its coalitions, and the model outputs gathered for them."""
+
+    def __init__(self, text, doc, players, permutations, seed, label_chars):
+        self.error = "no text" if text is None else None
+        if text is None:
+            return
+        self.chunks = split_players(text, players)
+        m = len(self.chunks)
+        exact = permutations is None
+        if exact and m > MAX_EXACT_PLAYERS:
+            raise ValueError(f"exact enumeration takes at most {MAX_EXACT_PLAYERS} players; pass permutations")
+        self.masks, self.phi = _exact_game(m) if exact or m == 0 else _sampled_game(m, sampled_orders(seed, doc, permutations, m))
+        self.probabilities = np.full((len(self.masks) + 1, 3), np.nan)  # last: the text that the label is read from
+        self.cosine = np.full(len(self.masks) + 1, np.nan)
+        self.head = text[:label_chars]
+
+    def texts(self):
+        for keep in self.masks:
+            yield " ".join(c for c, k in zip(self.chunks, keep) if k)
+        yield self.head
+
+    def result(self, explain_environment: bool) -> dict:
+        empty = dict.fromkeys(("chunks", "n_players", "label", "sent_base", "sent_phi", "sent_full", "env_base", "env_phi", "env_full"))
+        if self.error == "no text":
+            return empty | {"n_players": 0, "attribution_error": self.error}
+        out = empty | {"chunks": self.chunks, "n_players": len(self.chunks), "attribution_error": self.error}
+        if self.error:
+            return out
+        out["label"] = _LABELS[int(np.argmax(self.probabilities[-1]))]
+        v = self.probabilities[:-1, _LABELS.index(out["label"])]
+        # The full coalition is the last row of either game, the empty one the first.
+        out |= {"sent_base": float(v[0]), "sent_phi": self.phi(v), "sent_full": float(v[-1])}
+        if explain_environment:
+            e = np.where(self.probabilities[:-1, 0] > self.probabilities[:-1, 1], 1.0, -1.0) * self.cosine[:-1] + 0.0
+            out |= {"env_base": float(e[0]), "env_phi": self.phi(e), "env_full": float(e[-1])}
+        return out
+
+
+def _run_models(queue: list, classify, encode, anchor: np.ndarray, batch: int) -> None:
+    """Fill in the outputs of the queued (row, place, text) in model batches. A
+    batch that fails is retried text by text; what still fails marks its row."""
+    def cosines(texts: list[str]) -> np.ndarray:
+        x = np.asarray(encode(texts), dtype=np.float32).astype(np.float64)
+        size = np.sqrt((x * x).sum(axis=1)) * np.sqrt(anchor @ anchor)
+        return np.divide(x @ anchor, size, out=np.zeros(len(x)), where=size != 0)
+
+    def score(part: list) -> None:
+        texts = [t for _, _, t in part]
+        rows = [raw_to_scores(r) for r in classify(texts)]
+        cos = cosines(texts) if encode else np.zeros(len(texts))
+        for (row, at, _), r, c in zip(part, rows, cos):
+            row.probabilities[at] = [r[label] for label in _LABELS]
+            row.cosine[at] = c
+
+    for a in range(0, len(queue), batch):
+        part = [q for q in queue[a:a + batch] if not q[0].error]
+        try:
+            if part:
+                score(part)
+        except Exception:
+            for one in part:
+                try:
+                    if not one[0].error:
+                        score([one])
+                except Exception as exc:
+                    one[0].error = f"{type(exc).__name__}: {exc}"
+    queue.clear()
+
+
+def attribute_models(df: DataFrame, scorer: ModelScorer, encoder: EncoderCosine | None = None, id_col: str = "doc_id",
+                     text_col: str = "Headline", players: int | None = None, permutations: int | None = 16, seed: int = 0,
+                     label_chars: int = SENTIMENT_CHAR_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sentiment and environmental attribution of any classifier and encoder,
+    both treated as black boxes on masked texts.
+
+    Players are the words of the text (``players=n``: n runs of words). A text
+    costs ``permutations * (words + 1)`` model calls, or with
+    ``permutations=None`` all ``2 ** players`` coalitions. One iterator pandas
+    UDF builds the masked texts of a batch of rows, runs the models on them in
+    batches that span rows, and returns the values: one output row per input
+    row, no explode, no shuffle. The environmental value of a masked text is
+    the sign of its sentiment times its cosine to the anchor.
+
+    A null text, or one that a model fails on, has null values and the reason
+    in ``attribution_error``; the other rows are not affected. Without an
+    encoder the environmental columns are null.
     """
-    if players > MAX_EXACT_PLAYERS:
-        raise ValueError(f"exact Shapley enumeration supports at most {MAX_EXACT_PLAYERS} players")
-    label_scorer = label_scorer or scorer
-    s = label_scorer.expr(F.col(text_col))
-    w = "__words"
-    base = df.select(id_col, text_col).withColumn("label", argmax_label(s["positive"], s["negative"], s["neutral"]))
-    out = base.withColumn(w, words(text_col))
-    n = F.size(F.col(w))
-    m = F.least(n, F.lit(players))
-    out = out.withColumn("__n", n).withColumn("n_players", m)
-    n, m = F.col("__n"), F.col("n_players")
-
-    def start(i: Column) -> Column:
-        return F.floor(i * n / m).cast("int")
-
-    chunks = F.when(m == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), m - 1),
-                    lambda i: F.array_join(F.slice(F.col(w), start(i) + 1, start(i + 1) - start(i)), " ")))
-    out = out.withColumn("chunks", chunks).select(id_col, "chunks", "n_players", "label")
-    coal = out.withColumn("mask", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), m).cast("int") - 1)))
-    pow2 = F.array(*[F.lit(1 << k) for k in range(MAX_EXACT_PLAYERS + 1)])
-    kept = F.array_join(F.filter("chunks", lambda c, i: F.col("mask").bitwiseAND(F.get(pow2, i)) != 0), " ")
-    sc = scorer.expr(kept)
-    lab = F.col("label")
-    v = F.when(lab == "positive", sc["positive"]).when(lab == "negative", sc["negative"]).otherwise(sc["neutral"])
-    coal = coal.withColumn("__v", v)
-    reports_errors = getattr(scorer, "reports_errors", False)
-    coal = coal.withColumn("__err", sc["score_error"] if reports_errors else F.lit(None).cast("string"))
-    fact = F.array(*[F.lit(float(math.factorial(k))) for k in range(MAX_EXACT_PLAYERS + 2)])
-    size = F.bit_count(F.col("mask"))
-
-    def scaled_weight(k: Column) -> Column:
-        # m! * w(k) = k!(m-k-1)!: an exact integer, so a constant game sums to exactly 0
-        return F.get(fact, k) * F.get(fact, m - k - 1)
-
-    sums = []
-    for i in range(players):
-        inside = F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
-        coef = F.when(inside, scaled_weight(size - 1)).otherwise(-scaled_weight(size))
-        sums.append((F.sum(F.when(F.lit(i) < m, coef * F.col("__v"))) / F.first(F.get(fact, m))).alias(f"__phi{i}"))
-    agg = coal.groupBy(id_col).agg(
-        F.first("chunks").alias("chunks"), F.first("n_players").alias("n_players"), F.first("label").alias("label"),
-        F.sum(F.when(F.col("mask") == 0, F.col("__v"))).alias("sent_base"),
-        F.sum(F.when(F.col("mask") == F.pow(F.lit(2), m).cast("int") - 1, F.col("__v"))).alias("sent_full"),
-        F.first("__err", ignorenulls=True).alias("attribution_error"),
-        *sums)
-    phi = F.slice(F.array(*[F.coalesce(F.col(f"__phi{i}"), F.lit(0.0)) for i in range(players)]), 1, F.col("n_players"))
-    # A coalition the scorer could not score makes the attribution unknown:
-    # keep it null with the error, rather than reading as zero.
-    ok = F.col("attribution_error").isNull()
-    return agg.select(id_col, "chunks", "n_players", "label",
-                      F.when(ok, F.col("sent_base")).alias("sent_base"),
-                      F.when(ok, phi).alias("sent_phi"),
-                      F.when(ok, F.col("sent_full")).alias("sent_full"),
-                      "attribution_error")
+    load, load_encoder, batch = scorer.loader, encoder.loader if encoder else None, scorer.batch_size
+    anchor = np.asarray(encoder.anchor_vector if encoder else [], dtype=np.float64)
+    if permutations is None and (players is None or players > MAX_EXACT_PLAYERS):
+        raise ValueError(f"exact enumeration takes players of at most {MAX_EXACT_PLAYERS}")
+
+    @F.pandas_udf(_MODEL_TYPE)
+    def explain(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        classify, encode = load(), load_encoder() if load_encoder else None
+        for ids, texts in parts:
+            done, queue = [], []
+            for doc, text in zip(ids, texts):
+                row = _Row(text if isinstance(text, str) else None, int(doc), players, permutations, seed, label_chars)
+                done.append(row)
+                if row.error is None:
+                    for at, masked in enumerate(row.texts()):
+                        queue.append((row, at, masked))
+                        if len(queue) >= _SCORED_AT_ONCE:
+                            _run_models(queue, classify, encode, anchor, batch)
+            _run_models(queue, classify, encode, anchor, batch)
+            yield pd.DataFrame([r.result(encode is not None) for r in done])
+
+    kept = [c for c in keep if c not in (id_col,)]
+    code = F.coalesce(F.col(id_col).cast("long"), F.lit(0))
+    return df.select(id_col, *kept, explain(code, F.col(text_col)).alias("__x")).select(id_col, *kept, "__x.*")
+
+
+def attribute_with_scorer(df: DataFrame, scorer: ModelScorer, id_col: str = "doc_id", text_col: str = "Headline",
+                          players: int = 8) -> DataFrame:
+    """Sentiment attribution of a classifier over all coalitions of ``players``
+    runs of words."""
+    return attribute_models(df, scorer, None, id_col, text_col, players, None)

@@ -152,3 +152,10 @@ class EncoderCosine:
         """0 for a null text, as in the other two backends."""
         score = cosine(self.vectors(text), literal_vector(self.anchor_vector))
         return F.when(col_(text).isNull(), F.lit(0.0)).otherwise(score)
+
+
+def join_vectors(df: DataFrame, vectors: DataFrame, id_col: str, key_col: str, vec_col: str) -> DataFrame:
+    """``df`` with the precomputed vector of each row's id (null: none): a left
+    equi-join; the planner broadcasts the vectors only if their size allows."""
+    right = vectors.select(F.col(key_col).alias("__key"), F.col(vec_col).alias(vec_col))
+    return df.join(right, F.col(id_col) == F.col("__key"), "left").drop("__key")

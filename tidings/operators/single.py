@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tidings.config import ABBREVIATE_AT, DEFAULT, Settings
 from tidings.functions import scores as S
 from tidings.functions.text import abbreviate
-from tidings.operators.attribution import attribute, attribution_table
+from tidings.operators.attribution import attribute_models, attribute_sampled, attribution_table
+from tidings.operators.materiality import EncoderCosine
 from tidings.operators.score import analyze, normalize_single
+from tidings.operators.scorers import ModelScorer
 
 
 def headline_frame(spark: SparkSession, headline: str) -> DataFrame:
@@ -24,24 +26,22 @@ def headline_frame(spark: SparkSession, headline: str) -> DataFrame:
     return normalize_single(df)
 
 
-def analyze_single(spark: SparkSession, headline: str, settings: Settings = DEFAULT) -> DataFrame:
-    """Tags, scores and adjusted score of one headline (one row)."""
-    return analyze(headline_frame(spark, headline), settings=settings)
+def analyze_single(spark: SparkSession, headline: str, settings: Settings = DEFAULT, scorer=None, materiality=None) -> DataFrame:
+    """Tags, scores and adjusted score of one headline (one row), with any
+    scorer and encoder."""
+    return analyze(headline_frame(spark, headline), scorer=scorer, materiality=materiality, settings=settings)
 
 
-def explain_single(spark: SparkSession, headline: str, settings: Settings = DEFAULT
-                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(report, sentiment attribution, environmental attribution) of one headline.
+REPORT_INPUT = ("Headline", "company", "esg_flag", "sentiment", "cumulative_score", "materiality_score", "esg_adjusted_score")
 
-    The report has one row with the display fields; the attribution tables
-    are long (player, token, phi, weight).
-    """
-    scored = analyze_single(spark, headline, settings)
-    keep = ("Headline", "company", "esg_flag", "sentiment", "cumulative_score", "materiality_score",
-            "esg_adjusted_score")
-    a = attribute(scored, keep=keep, settings=settings)
-    audit = F.col("env_base") + F.aggregate(F.col("env_phi"), F.lit(0.0), lambda acc, x: acc + x)
-    report = a.select(
+
+def report_rows(explained: DataFrame, *ids: str) -> DataFrame:
+    """The display fields of explained headlines (``REPORT_INPUT`` kept), and
+    the audit score. Sums of attributions are cut to 12 decimals before they
+    are shown, so that their order can't decide a digit or a sign."""
+    audit = F.round(F.col("env_base") + F.aggregate(F.col("env_phi"), F.lit(0.0), lambda acc, x: acc + x), 12) + F.lit(0.0)
+    return explained.select(
+        *ids,
         abbreviate("Headline", ABBREVIATE_AT).alias("headline_short"),
         S.company_display("company").alias("company"),
         S.esg_display("esg_flag").alias("esg_label"),
@@ -52,4 +52,21 @@ def explain_single(spark: SparkSession, headline: str, settings: Settings = DEFA
         S.signed(audit, 4).alias("audit_text"),
         audit.alias("audit_score"),
     )
-    return report, attribution_table(a, "sentiment"), attribution_table(a, "env_impact")
+
+
+def explain_single(spark: SparkSession, headline: str, settings: Settings = DEFAULT, scorer=None, materiality=None,
+                   permutations: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(report, sentiment attribution, environmental attribution) of one headline.
+
+    The report has one row with the display fields; the attribution tables
+    are long (player, token, phi, weight), with every word a player. A model
+    scorer and an encoder (given together) are explained as black boxes.
+    """
+    scored = analyze_single(spark, headline, settings, scorer, materiality)
+    if isinstance(scorer, ModelScorer) and isinstance(materiality, EncoderCosine):
+        a = attribute_models(scored, scorer, materiality, permutations=permutations, keep=REPORT_INPUT)
+    elif scorer is None and materiality is None:
+        a = attribute_sampled(scored, permutations=permutations, settings=settings, keep=REPORT_INPUT)
+    else:
+        raise ValueError("give both a model scorer and an encoder, or neither")
+    return report_rows(a), attribution_table(a, "sentiment"), attribution_table(a, "env_impact")

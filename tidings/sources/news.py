@@ -8,6 +8,11 @@ is therefore a lead line followed by the whole document body::
 
 ``lead(doc_id) = companies20[doc_id % 20] || ' ' || phrases[(doc_id / 20) % 8]``
 where ``companies20`` is the tracked list followed by three untracked names.
+Some ids get other headlines, so that every rule meets the input it is for:
+``doc_id % 97`` = 13 no headline, 14 an empty one, 15 a blank one, 16 one with
+blanks of several kinds around it, 17 one that starts with a letter that only
+case folding makes an ``s``, 18 the bare document text.
+
 The body is kept whole, so every operator works over the full text and the
 work grows with the table. The DuckDB oracle builds the same view
 (``catalog.NEWS_SQL``).
@@ -42,9 +47,14 @@ def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news_from_documents(docs: DataFrame) -> DataFrame:
     """The news projection of any documents frame, batch or streaming."""
+    line = F.concat(lead_line(F.col("doc_id")), F.lit("\n"), F.col("text"))
+    case = F.pmod(F.col("doc_id"), F.lit(97))
+    headline = (F.when(case == 13, F.lit(None).cast("string")).when(case == 14, F.lit("")).when(case == 15, F.lit(" \t\n"))
+                .when(case == 16, F.concat(F.lit("\t "), line, F.lit("\u00a0\u3000")))
+                .when(case == 17, F.concat(F.lit("\u017folar plant "), F.col("text"))).when(case == 18, F.col("text")).otherwise(line))
     return docs.select(
         "doc_id",
-        F.concat(lead_line(F.col("doc_id")), F.lit("\n"), F.col("text")).alias("Headline"),
+        headline.alias("Headline"),
         "lang",
         "source",
     )
