@@ -1,6 +1,5 @@
 """Shapley attribution: axioms and a brute-force check on masked texts."""
 
-import itertools
 import math
 import re
 

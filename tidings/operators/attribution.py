@@ -18,13 +18,12 @@ the kept chunks, so no masked text is ever built or re-tokenised:
 Shapley values. phi_i = sum_{S without i} w(|S|) (v(S + i) - v(S)) with
 w(k) = k!(m-k-1)!/m!, over all 2^m coalitions. Splitting, chunking,
 tokenising and the additive counts are native array expressions inside the
-row. The coalition algebra (a 2^m x m bit matrix times the per-chunk sums)
-runs vectorised in numpy in an Arrow-batched pandas UDF; the composite
-output also hands it the lower-cased chunks, from which it takes the m x m
-Gram matrix of token counts with hash counters (the JVM's interpreted
-lambdas needed about 3 us per token for the same sums). No explode, no
-shuffle: a document's cost is O(len(text) + 2^m m^2) and documents are
-independent, so the work spreads over every partition of the input.
+row. The coalition algebra runs in numpy in an Arrow-batched pandas UDF, rows
+with equally many players in one matrix product; the composite output also
+hands it the lower-cased chunks, from which it takes the m x m Gram matrices of
+token counts. No explode, no shuffle: a document's cost is
+O(len(text) + 2^m m^2) and documents are independent, so the work spreads over
+every partition of the input.
 Efficiency holds: base + sum(phi) = v(all players).
 """
 
@@ -32,7 +31,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.config import DEFAULT, LEXICAL_TOKEN, MAX_EXACT_PLAYERS, SENTIMENT_CHAR_LIMIT, WORD_TOKEN, Settings
+from tidings.config import DEFAULT, MAX_EXACT_PLAYERS, SENTIMENT_CHAR_LIMIT, WORD_TOKEN, Settings
 from tidings.functions.scores import argmax_label
 from tidings.functions.text import count_words, weighted_words, words
 from tidings.functions.vectors import token_codes
@@ -48,10 +46,6 @@ from tidings.operators.materiality import BowCosine, EncoderCosine
 from tidings.operators.scorers import LexiconScorer, ModelScorer, raw_to_scores
 
 
-def _pairs(players: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(players) for j in range(i + 1, players)]
-
-
 def chunk_statistics(df: DataFrame, text_col: str, players: int | None, scorer: LexiconScorer,
                      materiality: BowCosine) -> DataFrame:
     """Add chunks and their additive statistics to every row. ``players=None``:
@@ -92,89 +86,105 @@ class _Coalitions:
     _cache: dict = {}
 
     @classmethod
-    def get(cls, m: int, players: int):
-        key = (m, players)
-        if key not in cls._cache:
+    def get(cls, m: int):
+        if m not in cls._cache:
             masks = np.arange(1 << m)
             bits = ((masks[:, None] >> np.arange(m)) & 1).astype(np.int64)
             size = bits.sum(axis=1)
-            pairs = [(k, i, j) for k, (i, j) in enumerate(_pairs(players)) if j < m]
-            pair_idx = np.array([k for k, _, _ in pairs], dtype=np.int64)
-            pair_bits = (bits[:, [i for _, i, _ in pairs]] * bits[:, [j for _, _, j in pairs]]
-                         if pairs else np.zeros((1 << m, 0), dtype=np.int64))
             fact = [math.factorial(k) for k in range(m + 1)]
             weight = np.array([fact[k] * fact[m - k - 1] / fact[m] for k in range(m)] or [0.0])
             without = [masks[bits[:, i] == 0] for i in range(m)]
-            cls._cache[key] = (bits, size, pair_idx, pair_bits, weight, without)
-        return cls._cache[key]
+            cls._cache[m] = (bits, size, weight, without)
+        return cls._cache[m]
 
 
-def _shapley_np(values, m: int, size, weight, without):
-    """phi_i = sum over coalitions S without i of w(|S|) (v(S + i) - v(S))."""
-    return [float(np.sum(weight[size[s]] * (values[s | (1 << i)] - values[s]))) for i, s in
-            enumerate(without)]
+def _shapley(values: np.ndarray, m: int) -> np.ndarray:
+    """phi_i = sum over coalitions S without i of w(|S|) (v(S + i) - v(S)), for
+    many games of m players at once (a row of ``values`` each). Differences come
+    first, so a player without influence gets exactly 0."""
+    _, size, weight, without = _Coalitions.get(m)
+    if m == 0:
+        return np.zeros((len(values), 0))
+    return np.stack([(values[:, s | (1 << i)] - values[:, s]) @ weight[size[s]] for i, s in enumerate(without)], axis=1)
 
 
-def _sentiment_udf(players: int):
-    """Sentiment attribution from per-chunk lexicon counts (small int arrays)."""
+def _matrix(rows: pd.Series, at: np.ndarray, m: int) -> np.ndarray:
+    return np.array([np.asarray(rows.iloc[i], dtype=np.int64)[:m] for i in at], dtype=np.int64).reshape(len(at), m)
 
-    @F.pandas_udf(_SENT_TYPE)
-    def sentiment(m: pd.Series, p: pd.Series, q: pd.Series, label: pd.Series) -> pd.DataFrame:
-        base, phis, full = [], [], []
-        for mi, pi, qi, li in zip(m, p, q, label):
-            mi = int(mi)
-            bits, size, _, _, weight, without = _Coalitions.get(mi, players)
-            ps = bits @ np.asarray(pi, dtype=np.int64)[:mi]
-            qs = bits @ np.asarray(qi, dtype=np.int64)[:mi]
-            total = ps + qs + 1.0
-            v = ps / total if li == "positive" else (qs / total if li == "negative" else 1.0 / total)
-            base.append(float(v[0]))
-            full.append(float(v[-1]))
-            phis.append(_shapley_np(v, mi, size, weight, without))
-        return pd.DataFrame({"sent_base": base, "sent_phi": phis, "sent_full": full})
 
-    return sentiment
+def _by_players(counts: pd.Series, step: int = 256):
+    """Row numbers of equal player count, a block at a time."""
+    m = counts.to_numpy(dtype=np.int64)
+    for k in np.unique(m):
+        rows = np.flatnonzero(m == k)
+        for a in range(0, len(rows), step):
+            yield int(k), rows[a:a + step]
+
 
+def _collected(names: tuple[str, str, str], base, phi, full) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(names, (base, phi, full))))
 
-_TOKEN = re.compile(LEXICAL_TOKEN)
 
+def _sentiment_udf():
+    """Sentiment attribution from per-chunk lexicon counts (small int arrays),
+    rows with equally many players in one matrix product."""
 
-def _gram(lowered_chunks) -> tuple[np.ndarray, np.ndarray]:
-    """Per chunk |v_i|^2 and, for i < j in pair order, 2<v_i, v_j> of the
-    chunks' token-count vectors (chunks given lower-cased)."""
-    counts = [Counter(_TOKEN.findall(t)) for t in lowered_chunks]
-    diag = np.array([sum(c * c for c in k.values()) for k in counts], dtype=np.int64)
-    cross = []
-    for i, j in _pairs(len(counts)):
-        a, b = (counts[i], counts[j]) if len(counts[i]) <= len(counts[j]) else (counts[j], counts[i])
-        cross.append(2 * sum(c * b.get(t, 0) for t, c in a.items()))
-    return diag, np.array(cross, dtype=np.int64)
+    @F.pandas_udf(_SENT_TYPE)
+    def sentiment(m: pd.Series, p: pd.Series, q: pd.Series, label: pd.Series) -> pd.DataFrame:
+        base, full, phis = np.zeros(len(m)), np.zeros(len(m)), [None] * len(m)
+        for k, rows in _by_players(m):
+            bits = _Coalitions.get(k)[0]
+            ps, qs = _matrix(p, rows, k) @ bits.T, _matrix(q, rows, k) @ bits.T
+            which = label.iloc[rows].to_numpy()[:, None]
+            v = np.where(which == "positive", ps, np.where(which == "negative", qs, 1)) / (ps + qs + 1.0)
+            base[rows], full[rows] = v[:, 0], v[:, -1]
+            for i, phi in zip(rows, _shapley(v, k)):
+                phis[i] = phi.tolist()
+        return _collected(("sent_base", "sent_phi", "sent_full"), base, phis, full)
+
+    return sentiment
 
 
-def _environment_udf(players: int, anchor_norm: float):
+def _grams(rows: list, m: int) -> np.ndarray:
+    """Per row the m x m Gram matrix of its chunks' token-count vectors (chunks
+    given lower-cased)."""
+    out = np.zeros((len(rows), m, m), np.int64)
+    if m == 0:
+        return out
+    chunk, code = token_codes([c.encode() for row in rows for c in row[:m]])
+    if not len(chunk):
+        return out
+    row = chunk // m
+    order = np.lexsort((code, row))
+    row, code, chunk = row[order], code[order], chunk[order] % m
+    head = np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])
+    word = np.cumsum(head) - 1  # a distinct token of one row
+    count = np.bincount(word * m + chunk, minlength=(word[-1] + 1) * m).reshape(-1, m)
+    owner = row[head]
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    for i in range(m):
+        for j in range(i, m):
+            out[owner[first], i, j] = out[owner[first], j, i] = np.add.reduceat(count[:, i] * count[:, j], first)
+    return out
+
+
+def _environment_udf(anchor_norm: float):
     """Composite (direction x bag-of-words cosine) attribution from per-chunk
     counts and the lower-cased chunks (for the norm of each coalition)."""
 
     @F.pandas_udf(_ENV_TYPE)
     def environment(m: pd.Series, p: pd.Series, q: pd.Series, d: pd.Series, lex: pd.Series) -> pd.DataFrame:
-        base, phis, full = [], [], []
-        for mi, pi, qi, di, li in zip(m, p, q, d, lex):
-            mi = int(mi)
-            bits, size, _, pair_bits, weight, without = _Coalitions.get(mi, mi)
-            ps = bits @ np.asarray(pi, dtype=np.int64)[:mi]
-            qs = bits @ np.asarray(qi, dtype=np.int64)[:mi]
-            ds = bits @ np.asarray(di, dtype=np.int64)[:mi]
-            diag, cross = _gram(li[:mi])
-            sq = bits @ diag
-            if len(cross):
-                sq = sq + pair_bits @ cross
-            denom = np.sqrt(sq.astype(np.float64)) * anchor_norm
-            cos = np.divide(ds, denom, out=np.zeros(len(ds)), where=sq != 0)
+        base, full, phis = np.zeros(len(m)), np.zeros(len(m)), [None] * len(m)
+        for k, rows in _by_players(m):
+            bits = _Coalitions.get(k)[0]
+            ps, qs, ds = (_matrix(x, rows, k) @ bits.T for x in (p, q, d))
+            sq = np.einsum("si,rij,sj->rs", bits, _grams([lex.iloc[i] for i in rows], k), bits, optimize=True)
+            cos = np.divide(ds, np.sqrt(sq.astype(np.float64)) * anchor_norm, out=np.zeros(ds.shape), where=sq != 0)
             v = np.where(ps > qs, 1.0, -1.0) * cos + 0.0
-            base.append(float(v[0]))
-            full.append(float(v[-1]))
-            phis.append(_shapley_np(v, mi, size, weight, without))
-        return pd.DataFrame({"env_base": base, "env_phi": phis, "env_full": full})
+            base[rows], full[rows] = v[:, 0], v[:, -1]
+            for i, phi in zip(rows, _shapley(v, k)):
+                phis[i] = phi.tolist()
+        return _collected(("env_base", "env_phi", "env_full"), base, phis, full)
 
     return environment
 
@@ -216,8 +226,8 @@ def attribute(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline",
         "label", argmax_label(s["positive"], s["negative"], s["neutral"]))
     stats = chunk_statistics(base, text_col, players, whole, materiality).drop(text_col)
     m = F.col("n_players")
-    sent = _sentiment_udf(players)(m, F.col("__p"), F.col("__q"), F.col("label"))
-    env = _environment_udf(players, materiality.anchor_norm)(
+    sent = _sentiment_udf()(m, F.col("__p"), F.col("__q"), F.col("label"))
+    env = _environment_udf(materiality.anchor_norm)(
         m, F.col("__p"), F.col("__q"), F.col("__d"), F.col("__lex"))
     out = stats.withColumn("__sent", sent).withColumn("__env", env)
     kept = [F.col(c) for c in keep if c not in (id_col, text_col)]
@@ -417,8 +427,7 @@ def split_players(text: str, players: int | None) -> list[str]:
 
 def _exact_game(m: int):
     """Coalitions as a bit matrix, and phi as a function of their values."""
-    bits, size, _, _, weight, without = _Coalitions.get(m, m)
-    return bits.astype(bool), lambda v: _shapley_np(v, m, size, weight, without)
+    return _Coalitions.get(m)[0].astype(bool), lambda v: _shapley(v[None, :], m)[0].tolist()
 
 
 def _sampled_game(m: int, orders: np.ndarray):
