@@ -22,6 +22,10 @@ _RATIO = 0x5851F42D4C957F2B  # odd base of the rolling word hash
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]))
+
+
 @dataclass
 class Features:
     """How bytes become feature numbers below ``2**bits``."""
@@ -37,9 +41,8 @@ class Features:
         edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1  # buf starts and ends with a space
         start, end = edge[::2], edge[1::2]
         n = len(buf)
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _RATIO, np.uint64)]))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * power[::-1])])
-        value = mix64((total[end] - total[start]) * power[start] + (end - start).astype(np.uint64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * _powers(_RATIO, n))])
+        value = mix64((total[end] - total[start]) * _powers(pow(_RATIO, -1, 1 << 64), n)[start] + (end - start).astype(np.uint64))
         pair = mix64(value[1:] ^ value[:-1])  # 0 before mixing: a word repeated, whichever it is
         down = np.uint64(64 - self.bits)
         owner = np.searchsorted(offsets, start, side="right")
