@@ -37,7 +37,7 @@ def corpus():
 def test_matches_brute_force(spark, step, hot):
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "kept", 1) for d, t in rows], "doc_id long, text string, kept_from string, at int").repartition(4)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.dedup(docs, step=step, hot=hot, texts=False).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.dedup(docs, step=step, hot=hot, kept="sha256").collect()}
     assert got == plain(rows)
 
 
@@ -47,14 +47,14 @@ def test_long_text_over_several_pieces(spark, monkeypatch):
     rows = [(1, "".join(rng.choice("klmnop") for _ in range(1_200_000))), (2, "x" + unit), (3, unit + "y" * 200 + unit)]
     rows.append((4, rows[0][1][500_000:700_000] + "!" + unit[:150]))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
-           for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string"), texts=False).collect()}
+           for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string"), kept="sha256").collect()}
     assert got == plain(rows)
 
 
 def test_repeated_rows_and_ids(spark):
     t = "".join(chr(97 + i * i % 23) for i in range(500))
     docs = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (None, None)], "doc_id long, text string")
-    got = sorted(((r["doc_id"], r["n_removed"]) for r in S.dedup(docs, texts=False).collect()), key=str)
+    got = sorted(((r["doc_id"], r["n_removed"]) for r in S.dedup(docs, kept="sha256").collect()), key=str)
     first = plain([(1, t)])[1][1]
     assert got == sorted([(1, first), (1, first), (2, 500), (None, 500), (None, 0)], key=str)
 

@@ -17,13 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidings.session import fresh_path
 
 #: Bytes of text handled by one numpy pass.
-PIECE = 1 << 20
+PIECE = 1 << 19
+#: Bytes of text turned into Python objects at a time.
+SMALL = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +51,22 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [v or b"" for v in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, name: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``size`` bytes in a binary or string column."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(lengths) // size
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def small(batches: Iterator[pa.RecordBatch], name: str = "text", size: int = SMALL) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``size`` bytes of text."""
+    for batch in batches:
+        yield from slices(batch, name, size)
+
+
 def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
     """A text cut after the last space before each ``size`` bytes (at ``size``
     where there is none). Depends on this text alone."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import column_bytes, table
+from tidings.llm.common import column_bytes, small, table
 
 #: A-Z to a-z; digits, a-z and every byte of a non-ASCII character stay; the rest separates.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -49,7 +49,7 @@ def corpus_counts(docs: DataFrame, vocabulary: frozenset) -> dict[bytes, int]:
     bound holds for it); counts are summed per batch, then per word."""
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches):
             seen: Counter = Counter()
             for text in column_bytes(batch, "text"):
                 seen.update(filter(vocabulary.__contains__, words_of(text)))
@@ -93,7 +93,7 @@ def match_block(docs: DataFrame, index: dict, owners: list, positions: bool) ->
     if ``positions``), items."""
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = [[], [], [], []]
             for text in column_bytes(batch, "text"):
                 words = words_of(text)
@@ -164,7 +164,7 @@ def filter_clean(docs: DataFrame, bench: DataFrame, window: int = 10, index_byte
         index, _ = build_index(items, window, corpus_counts(docs, frozenset(w for _, words in items for w in words)))
 
         def work(batches, index=index):
-            for batch in batches:
+            for batch in small(batches):
                 clean = [not find_hits(words_of((t or "").encode()), index)[1] for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

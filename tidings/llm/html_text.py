@@ -31,7 +31,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidings.llm.common import table
+from tidings.llm.common import small, table
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]{0,65536}"|'[^']{0,65536}')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
@@ -211,7 +211,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row."""
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches, "html"):
             texts = [main_text(p) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import column_bytes, fold_of
+from tidings.llm.common import column_bytes, fold_of, small
 from tidings.llm.subword import Features, Model, calibrate, train
 
 _FOLD = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_letters else b if b >= 128 else 32 for b in range(256))
@@ -58,7 +58,7 @@ def sample_features(docs: DataFrame, ids: list[tuple], features: Features) -> tu
     wanted = spark.createDataFrame([(i,) for i, _ in ids], ["id"]).select(F.col("id").cast(kind).alias("id"))
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = [features.counts(t) for t in column_bytes(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([a.tobytes() for a, _ in rows], pa.binary()), pa.array([b.tobytes() for _, b in rows], pa.binary())],
@@ -96,7 +96,7 @@ def predict_language(docs: DataFrame, model: Model | None) -> DataFrame:
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = column_bytes(batch, "text")
             some = np.array(batch.column(2).to_pylist(), bool) if len(texts) else np.zeros(0, bool)
             langs, score = np.full(len(texts), "und", object), np.zeros(len(texts))

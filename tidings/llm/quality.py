@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import column_bytes, fold_of, table
+from tidings.llm.common import column_bytes, fold_of, small, table
 from tidings.llm.language import sample_features, sample_ids
 from tidings.llm.subword import Features, Model, calibrate, train
 
@@ -49,7 +49,7 @@ def predict_quality(docs: DataFrame, model: Model | float) -> DataFrame:
     """doc_id and score (probability of label 1) of every row."""
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = column_bytes(batch, "text")
             score = np.full(len(texts), model) if isinstance(model, float) else model.probabilities(texts)[:, 1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
@@ -79,7 +79,7 @@ def keep_good(spark, docs: DataFrame, sf_dir: str, threshold: float = 0.3) -> Da
     schema = docs.schema
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = [(t or "").encode() if not isinstance(t, bytes) else t for t in batch.column(at).to_pylist()]
             score = np.full(len(texts), model) if isinstance(model, float) else model.probabilities(texts)[:, 1]
             yield batch.filter(pa.array(score >= threshold, pa.bool_()))

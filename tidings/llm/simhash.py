@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidings.llm.common import column_bytes, stored, table
+from tidings.llm.common import column_bytes, small, stored, table
 from tidings.llm.components import components
 
 _LOW = (1 << 32) - 1
@@ -93,7 +93,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row."""
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches):
             fp = fingerprints(column_bytes(batch, "text"), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
@@ -197,7 +197,7 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     at = docs.columns.index("text")
 
     def mark(batches):
-        for batch in batches:
+        for batch in small(batches, "__text"):
             fp = fingerprints([(t or "").encode() for t in batch.column(at).to_pylist()], shingle)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*own, "fp"])
 

@@ -24,9 +24,9 @@ Identifiers are 64-bit rolling hashes; two strings count as equal when two (in
 step 4: one, and the literal bytes) of them agree.
 
 Scale: step 1 ships one row of five numbers for 30 bytes of text. Within each
-batch of documents equal runs are merged and runs of a bucket with several
-contexts are passed on to step 3 at once, so a bucket has at most one row per
-batch in the shuffle, however many copies there are. Step 4 counts each bucket
+group of documents (``GROUP`` bytes) equal runs are merged and runs of a bucket
+with several contexts are passed on to step 3 at once, so a bucket has at most
+one row per group in the shuffle, however many copies there are. Step 4 counts each bucket
 first; a bucket over ``hot`` rows takes a path that aggregates partially and
 joins back, so no task gathers it. Texts are shuffled once, compressed, and a
 second time only where step 4 has a say.
@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidings.llm.common import PIECE, column_bytes, mix64, stored, table
+from tidings.llm.common import PIECE, column_bytes, mix64, small, stored, table
 
 Q = 32
 _BYTE = np.random.default_rng(70).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,6 +58,9 @@ _POWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(PIECE + 1024,
 _BACK = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(PIECE + 1024, pow(_RATIO, -1, 1 << 64), np.uint64)]))
 _INDEX = np.uint64((1 << 21) - 1)
 
+#: Bytes of text whose runs are settled together before the shuffle.
+GROUP = 8 << 20
+
 MARK, ASK, FIRST, SEEN = 0, 1, 2, 3
 RUNS = "kind byte, key long, ctx long, doc long, sub long, at long"
 
@@ -199,7 +202,7 @@ def runs(keyed: DataFrame, length: int) -> DataFrame:
     document, so that the shuffle by key spreads them."""
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches, "text", GROUP):
             made = _runs_batch(batch.column(0).to_numpy(), batch.column(1).to_numpy(), column_bytes(batch, "text"), length)
             if made is None:
                 continue
@@ -285,7 +288,7 @@ def later_strings(pending: DataFrame, length: int, step: int, hot: int) -> DataF
     width = 2 * (step - 1)
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches, "z"):
             doc, sub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, (z, asked) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 core, at, around = block_rows(zstandard.decompress(z), asked, length, step)
@@ -333,9 +336,18 @@ def cut(text: bytes, marks, starts, length: int) -> tuple[bytes, int]:
     return (np.frombuffer(text, np.uint8)[~gone].tobytes() if runs_gone else text), runs_gone
 
 
-def dedup(docs: DataFrame, length: int = 100, step: int = 16, hot: int = 50_000, texts: bool = True) -> DataFrame:
+#: What ``dedup`` can return of the bytes that stay: column, type, and how it is made.
+KEPT = {
+    "bytes": ("kept", T.BinaryType(), pa.binary(), bytes),
+    "text": ("kept", T.StringType(), pa.string(), lambda kept: kept.decode("utf-8", "ignore")),
+    "sha256": ("kept_sha256", T.StringType(), pa.string(), lambda kept: hashlib.sha256(kept).hexdigest()),
+}
+
+
+def dedup(docs: DataFrame, length: int = 100, step: int = 16, hot: int = 50_000, kept: str = "bytes") -> DataFrame:
     """All columns of ``docs`` but text, and: n_bytes, n_removed, n_spans, and
-    kept (the bytes that stay) or, without ``texts``, kept_sha256."""
+    of the bytes that stay what ``kept`` names: the bytes, the text (halves of
+    a character cut in two are left out), or their sha256."""
     if not Q <= length <= 255 or not 2 <= step <= 31:
         raise ValueError("length must be 32 to 255, step 2 to 31")
     rest = [c for c in docs.columns if c != "text"]
@@ -348,14 +360,14 @@ def dedup(docs: DataFrame, length: int = 100, step: int = 16, hot: int = 50_000,
     wide = docs.select(doc.alias("doc"), sub.alias("sub"), *[F.col(c).alias(n) for c, n in zip(rest, names)], text.alias("z"))
 
     def pack(batches):  # texts travel compressed
-        for batch in batches:
+        for batch in small(batches, "z"):
             z = [zstandard.compress(t, 1) for t in column_bytes(batch, "z")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(z, pa.binary())], names=batch.schema.names)
 
     joined = wide.mapInArrow(pack, wide.schema).join(todo, ["doc", "sub"], "left").select(*wide.columns, "marks", "asks")
     result = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
-                           T.StructField("kept", T.BinaryType()) if texts else T.StructField("kept_sha256", T.StringType())])
-    kind = pa.binary() if texts else pa.string()
+                           T.StructField(KEPT[kept][0], KEPT[kept][1])])
+    kind, show = KEPT[kept][2:]
 
     def finished(batch, starts, final):
         """The columns of ``result``; null for rows that are not final yet."""
@@ -365,14 +377,14 @@ def dedup(docs: DataFrame, length: int = 100, step: int = 16, hot: int = 50_000,
                 row = (None, None, None, None)
             else:
                 whole = zstandard.decompress(z)
-                kept, spans = cut(whole, marks, more, length)
-                row = (len(whole), len(whole) - len(kept), spans, kept if texts else hashlib.sha256(kept).hexdigest())
+                left, spans = cut(whole, marks, more, length)
+                row = (len(whole), len(whole) - len(left), spans, show(left))
             for column, value in zip(out, row):
                 column.append(value)
         return [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), kind))]
 
     def first_pass(batches):
-        for batch in batches:
+        for batch in small(batches, "z"):
             final = [not a for a in batch.column("asks").to_pylist()]
             z = pa.array([None if f else v for v, f in zip(batch.column("z").to_pylist(), final)], pa.binary())
             made = finished(batch, [None] * len(final), final)
@@ -380,7 +392,7 @@ def dedup(docs: DataFrame, length: int = 100, step: int = 16, hot: int = 50_000,
             yield pa.RecordBatch.from_arrays([*columns, *made], names=[*batch.schema.names, *result.names])
 
     def second_pass(batches):
-        for batch in batches:
+        for batch in small(batches, "z"):
             made = finished(batch, batch.column("starts").to_pylist(), [True] * batch.num_rows)
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *made], names=[*names, *result.names])
 
@@ -394,7 +406,7 @@ def dedup(docs: DataFrame, length: int = 100, step: int = 16, hot: int = 50_000,
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(docs, texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return dedup(docs, kept="sha256").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -403,16 +415,8 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     anew; other columns, and the number of rows, stay."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     safe = [f"c{i}" for i in range(len(others))]  # no clash with dedup's own columns
-    out = dedup(docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in zip(others, safe)]), length, texts=True)
-
-    def decode(batches):
-        for batch in batches:
-            kept = [k.decode("utf-8", "ignore") for k in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kept, pa.string())], names=[*batch.schema.names[:-1], "text"])
-
-    plain = out.select("doc_id", *safe, "kept")
-    schema = T.StructType([*plain.schema.fields[:-1], T.StructField("text", T.StringType())])
-    back = plain.mapInArrow(decode, schema).toDF("doc_id", *others, "text")
+    out = dedup(docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in zip(others, safe)]), length, kept="text")
+    back = out.select("doc_id", *safe, "kept").toDF("doc_id", *others, "text")
     if "n_chars" in others:
         back = back.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return back.select(*docs.columns)
