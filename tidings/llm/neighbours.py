@@ -1,9 +1,9 @@
 """Operator 3, approximate nearest neighbours by balanced posting lists.
 
 * Centroids: balanced, hierarchical k-means on a hash-picked sample (at most
-  ``sample`` rows, the documented bound). Their number follows the number of
-  vectors (``list_size`` a list) up to ``max_lists``, which bounds what is
-  broadcast: the centroids and their in-memory neighbour graph.
+  ``sample`` rows and 64 MB, the documented bound). Their number follows the
+  number of vectors (``list_size`` a list) up to ``max_lists`` (and 64 MB), which
+  bounds what is broadcast: the centroids and their in-memory neighbour graph.
 * Index: every vector is written to the list of its nearest centroid, and
   boundary vectors also to other near lists: those within ``close`` times the
   least distance, unless a list already chosen is nearer to that centroid than
@@ -43,6 +43,10 @@ from pyspark.sql import functions as F
 from tidings.llm.common import stored, table
 
 
+#: Bound on the sample that reaches the driver, and on the centroids (doubles).
+DRIVER_BYTES = 64 << 20
+
+
 def balanced_centroids(x: np.ndarray, k: int, rng: np.random.Generator, fan: int = 16, rounds: int = 8) -> np.ndarray:
     """k unit centroids of the unit rows of x: split ``fan`` ways, each part in
     proportion to its size. A crowded cluster's score is lowered in the next
@@ -248,8 +252,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 1
             seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found per query row."""
     rows = stored(usable(vectors), "vectors")
-    total = rows.count()
-    lists = max(1, min(max_lists, total // list_size))
+    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dim")).first()
+    total, room = shape["n"], DRIVER_BYTES // (8 * max(1, shape["dim"]))
+    sample = min(sample, room)
+    lists = max(1, min(max_lists, room, total // list_size))
     share = min(1.0, min(sample, 32 * lists) / max(total, 1))
     picked = (rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * sample)
               .toPandas()["v"] if total else pd.Series([], dtype=object))
