@@ -98,12 +98,21 @@ def company_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(company_category_rows(), DIMENSION_SCHEMA)
 
 
-def _grams(text: Column, size: int) -> Column:
-    """Every run of ``size`` characters of ``text`` (a zero-width match at each
-    position, so one linear scan)."""
-    if size == 0:
+def _grams(text: Column, places: list[str]) -> Column:
+    """Every run of ``len(places)`` characters of ``text`` that match the
+    patterns of their places (a zero-width match at each position, so one
+    linear scan)."""
+    if not places:
         return F.array(F.lit(""))
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({''.join(places)}))"), 1)
+
+
+def _key_places(keyed: DataFrame, gram: int) -> list[list[str]]:
+    """Per key length, a character class for each place: the characters that
+    the keys have there. Collects at most gram + 1 rows of distinct characters."""
+    sets = [F.array_sort(F.collect_set(F.substring("key", i, 1))).alias(f"p{i}") for i in range(1, gram + 1)]
+    rows = keyed.groupBy(F.length("key").alias("n")).agg(*sets).orderBy("n").collect()
+    return [["[" + "".join(f"\\x{{{ord(c):x}}}" for c in r[f"p{i}"]) + "]" for i in range(1, r["n"] + 1)] for r in rows]
 
 
 def _keyed_names(dim: DataFrame, name_col: str, order_col: str, carry: tuple[str, ...], gram: int) -> DataFrame:
@@ -115,7 +124,7 @@ def _keyed_names(dim: DataFrame, name_col: str, order_col: str, carry: tuple[str
     names = (dim.filter(F.col(name_col).isNotNull()).select(F.lower(F.col(name_col)).alias("low"), rank.alias("rank"), hit.alias("hit"))
              .groupBy("low").agg(F.min("rank").alias("rank"), F.min_by("hit", "rank").alias("hit")))
     pieces = names.select("low", F.explode(F.when(F.length("low") < gram, F.array("low")).otherwise(
-        F.array_distinct(_grams(F.col("low"), gram)))).alias("key"))
+        F.array_distinct(_grams(F.col("low"), ["."] * gram)))).alias("key"))
     rarity = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     keys = (pieces.join(rarity, "key").groupBy(F.col("low").alias("low_"))
             .agg(F.min(F.struct("n", "key")).alias("best")).select("low_", F.col("best.key").alias("key")))
@@ -128,20 +137,20 @@ def tag_from_table(df: DataFrame, dim: DataFrame, text_col: str = "Headline",
     """First dictionary hit (lowest ``order_col``) for each row, plus the
     ``carry`` columns of the matching dictionary row.
 
-    One path for a dictionary of any size, with nothing on the driver: each
+    One path for a dictionary of any size; of it only the sets of characters
+    in its keys' places reach the driver. Each
     name is keyed by its rarest ``gram`` characters, the keys are equi-joined
-    with the distinct grams of the texts (the planner broadcasts the keys only
-    if their size allows), and the few candidates of a text are joined back by
+    with the distinct grams of the texts that have a key's characters in its
+    places (the planner broadcasts the keys only if their size allows), and the few candidates of a text are joined back by
     the text's hash and verified with ``contains``. Same definition as ``tag``: raw substring,
     lower-cased on both sides, dictionary order decides. An empty name occurs in
     every text; a null name in none.
     """
     own = df.columns
     keyed = _keyed_names(dim, name_col, order_col, carry, gram)
-    sizes = sorted(r["n"] for r in keyed.select(F.length("key").alias("n")).distinct().collect())  # at most gram + 1 values
     low = F.lower(F.col(text_col))
     text = df.select(F.xxhash64(low).alias("th"), low.alias("low_text")).filter(F.col("low_text").isNotNull())
-    parts = [_grams(F.col("low_text"), n) for n in sizes] or [F.array().cast("array<string>")]
+    parts = [_grams(F.col("low_text"), places) for places in _key_places(keyed, gram)] or [F.array().cast("array<string>")]
     grams = text.select("th", F.explode(F.array_distinct(F.concat(*parts))).alias("key"))
     near = (grams.join(keyed, "key").dropDuplicates(["th", "low"])
             .groupBy(F.col("th").alias("__th")).agg(F.collect_list(F.struct("rank", "low", "hit")).alias("__near")))
