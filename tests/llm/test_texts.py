@@ -177,6 +177,18 @@ def test_unwanted_hosts_are_blocked_whole_table(spark):
     assert np.mean([r["verdict"] == "allow" for r in free]) > 0.98
 
 
+def test_rare_words_count_whatever_is_broadcast(spark):
+    rows = [(i, f"http://site{'abcdefghij'[i % 10]}.example.org/news/page/item") for i in range(300)]
+    rows += [(1000 + i, f"http://h.example.org/news/{w}") for i, w in enumerate(["warez", "freewarez", "zebra" * 50, "plain"])]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    whole, few = ({r["page_id"]: r for r in urls.judge(df, max_words=n).collect()} for n in (50_000, 2))
+    assert whole == few and len(few) == len(rows)
+    assert few[1000]["verdict"] == "block" and few[0]["verdict"] == "allow"
+    strong = [("http://x.org/" + "casino" * 50, 1)] + [(f"http://x.org/news/casino/{i}", 2) for i in range(9)]
+    long = urls.judge(spark.createDataFrame(strong, "url string, page_id long")).filter("page_id = 1").first()
+    assert set(long["words"]) >= {"casino"} and long["verdict"] == "block"
+
+
 # -- chats ----------------------------------------------------------------------
 
 def test_snapshots_collapse_to_the_longest(spark):
