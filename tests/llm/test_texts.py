@@ -215,6 +215,20 @@ def test_long_conversations_come_in_parts_and_still_collapse(spark):
     assert [p for p, _ in parts] == list(range(7)) and "".join(c for _, c in parts).count("<|im_start|>") == 50
 
 
+def test_one_turn_number_for_many_rows(spark):
+    rows = [(None, i % 21, "user", f"{i:04d} text") for i in range(600)] + [(1, None, "user", f"{i:04d} late") for i in range(300)] + [(2, 0, "user", "hi")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for runs in (None, 7):
+        out = chat.format_chats(df, row_bytes=1000, runs=runs).collect()
+        for conv, own in ((None, 600), (1, 300)):
+            parts = sorted((r["part"], r["chat"]) for r in out if r["conv_id"] == conv)
+            want = sorted(((t, x) for c, t, _, x in rows if c == conv), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            assert "".join(c for _, c in parts) == "".join(f"<|im_start|>user\n{x}<|im_end|>\n" for _, x in want) and len(want) == own
+            assert max(len(c) for _, c in parts) < 1100 and [p for p, _ in parts] == list(range(len(parts)))
+            assert {r["n_turns"] for r in out if r["conv_id"] == conv} == {own}
+        assert [r["part"] for r in out if r["conv_id"] == 2] == [0]
+
+
 def test_main_path_is_native(spark):
     from conftest import SF_SMALL as sf
     plan = chat.op10_chat_format(spark, sf)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
