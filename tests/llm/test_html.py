@@ -13,6 +13,14 @@ def test_article_without_the_rest():
     assert H.main_text(page) == "Title & more First para\xadgraph, with bold text. Second line 1 2"
 
 
+def test_a_head_without_end_tag_ends_at_the_body():
+    article = "<article><p>Some text, and more.</p></article>"
+    for start in ("<html><head><title>T</title><body>", "<head><meta charset=x><title>T</title><style>p{}</style>", "<head><title>T</title>\n<div>",
+                  "<html><head><noscript><img src=x></noscript></head><body>", "<head><noscript><img src=x><body>", "<head></head>"):
+        assert H.main_text(start + article) == "Some text, and more.", start
+    assert H.main_text("<head><title>T</title>Plain, text.") == "Plain, text."
+
+
 def test_unmarked_page_uses_path_ratios():
     page = ("<body><div class=top>Home</div><div class=post><h2>Head</h2><p>Some text, long enough to count. And more of it, here.</p>"
             "<p>Another paragraph, with marks; and words.</p><p>Short</p></div><div class=links><a href=x>one</a> <a href=y>two</a></div></body>")

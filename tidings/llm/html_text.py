@@ -17,7 +17,8 @@ Pages are independent: one pass over the rows, no shuffle. A page is held whole
 in one task, as its structure needs it; the tokenizer is linear in its length.
 
 Defined results: null or empty html and pages without article text give an empty
-text of length 0; unclosed and misnested elements are closed by their parents;
+text of length 0; unclosed and misnested elements are closed by their parents,
+an open head by the first tag or text that can't stand in it;
 markup cut off at the end counts as far as it goes; repeated rows and null ids
 are extracted row by row; extra columns are ignored; an empty table gives none.
 """
@@ -53,6 +54,8 @@ UNWANTED = frozenset("ad ads adv advert adverts advertisement advertising banner
 #: A start tag that ends an open element of these names (up to the nearest container).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
+#: What may stand in a head; any other start tag or text ends it (its end tag is optional).
+HEADED = frozenset("html head base basefont bgsound link meta noscript script style template title".split())
 HOLDS = frozenset("html body article main section div ul ol dl table td th blockquote header footer nav aside form".split())
 
 
@@ -98,8 +101,14 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool]], bool]:
         hidden -= out_of
         inside -= tag in ("article", "main")
 
+    def leave_head() -> None:
+        while any(t == "head" for t, _, _ in stack):
+            pop()
+
     def add(piece: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and piece and not piece.isspace():
+            leave_head()
         if piece and not hidden:
             text.append(piece)
             if link:
@@ -128,6 +137,8 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool]], bool]:
             elif tag not in INLINE:
                 flush()
             continue
+        if tag not in HEADED and not any(t in ("noscript", "template") for t, _, _ in stack) or tag in ("body", "frameset"):
+            leave_head()
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if tag not in NEVER:
