@@ -57,6 +57,19 @@ def test_recall_with_many_lists_and_a_hot_vector(spark):
     assert recall >= 0.9 and all(len(found[q]) == 5 for q in want)
 
 
+def test_queries_whose_lists_hold_few_still_get_their_k(spark):
+    rng = np.random.default_rng(5)
+    vectors = {i: v.tolist() for i, v in enumerate(rng.normal(size=(1000, 16)).astype(np.float32))}
+    found = {}
+    # small lists, of which a query meets its nearest only
+    near = N.nearest(frame(spark, [(i, v, 0) for i, v in vectors.items()]), F.col("vec_id") % 50 == 0, list_size=3, copies=1, recall=0.0, query_block=3, block=256)
+    for r in near.collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = brute(vectors)
+    assert all(sorted(n for n, _, _ in found.get(q, ())) == [1, 2, 3, 4, 5] for q in want)
+    assert sum([(v, s) for _, v, s in sorted(found[q])] == want[q] for q in want) > len(want) / 2
+
+
 def test_graph_finds_the_nearest_centroids():
     rng = np.random.default_rng(4)
     x = N._unit(rng.normal(size=(4000, 16)).astype(np.float32))

@@ -19,6 +19,10 @@
   tasks. Each pair of blocks keeps its k nearest per query, and the query's k
   best of those are merged.
 
+* Queries whose lists held fewer than k candidates (an outlier that is its own
+  centroid, a small cluster far from all others) are finished exactly, against
+  all vectors, in the same blocks.
+
 Nearness is the cosine in double precision on the original vectors, computed
 the same way for every pair, so equal vectors tie exactly; ties go to the
 smaller vec_id.
@@ -291,8 +295,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 1
     near = (left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double"))
     # A vector found in several lists has the same score in each.
     once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = stored(ranked(once, k), "nearest")
+    full = found.filter(F.col("rank") == min(k, total - 1)).select(F.col("query_id").alias("vec_id"))
+    short = stored(rows.filter(is_query).join(full, "vec_id", "left_anti").select(F.col("vec_id").alias("id"), "v"), "short")
+    few = short.count() if total > 1 else 0
+    if not few:
+        return found
+    vector_blocks, short_blocks = math.ceil(total / block), math.ceil(few / query_block)
+    left = (rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(vector_blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(short_blocks - 1))).alias("qb"),
+                        F.col("vec_id").alias("id"), "v"))
+    right = (short.select(F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))).alias("b"),
+                          F.pmod(F.xxhash64("id"), F.lit(short_blocks)).cast("int").alias("qb"), "id", "v")
+             .withColumn("b", F.col("b").cast("long")))
+    exact = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    return (found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+            .select("query_id", "rank", "vec_id", "score").unionByName(ranked(exact, k)))
+
+
+def ranked(near: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best per query."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_nearest(spark, sf_dir: str) -> DataFrame:
