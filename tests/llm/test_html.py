@@ -21,6 +21,15 @@ def test_a_head_without_end_tag_ends_at_the_body():
     assert H.main_text("<head><title>T</title>Plain, text.") == "Plain, text."
 
 
+def test_names_made_from_titles_stay_in_an_article():
+    page = """<article><h1>On ads</h1><p>The first paragraph, with some text.</p><section id="related-work"><h2 id="related">Related work</h2>
+    <p>Others, before us, did this.</p></section><div class="x" id="ad-hoc-networks"><p>Networks, made ad hoc, are these.</p></div>
+    <h2 id="share-price">Share price</h2><p>It rose, and fell.</p><a class="share-link" href=x>Share this, and that, with all your friends, please.</a><div class="share-buttons"><a href=x>Share</a> <a href=y>Post</a></div>
+    <ul class="related"><li><a href=z>Next, please</a></ul><div id="comment-list"><p>I, too, like this very much.</p></div></article>"""
+    assert H.main_text(page) == ("On ads The first paragraph, with some text. Related work Others, before us, did this. Networks, made ad hoc, are these. "
+                                 "Share price It rose, and fell.")
+
+
 def test_unmarked_page_uses_path_ratios():
     page = ("<body><div class=top>Home</div><div class=post><h2>Head</h2><p>Some text, long enough to count. And more of it, here.</p>"
             "<p>Another paragraph, with marks; and words.</p><p>Short</p></div><div class=links><a href=x>one</a> <a href=y>two</a></div></body>")

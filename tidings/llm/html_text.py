@@ -11,7 +11,11 @@ short heading or a last line next to selected paragraphs is kept.
 Before the ratios are taken, elements that can't be article text are left out:
 scripts, styles, navigation, page headers and footers, sidebars, forms, adverts,
 notices and reader comments (by element, by role and by class or id names). If
-a page marks its article (``article`` or ``main``), only text in there competes.
+a page marks its article (``article`` or ``main``), only text in there competes,
+and a class or id there is no proof by itself, as ids are made from titles
+(``related-work``): headings aren't judged by it, and other elements are left out
+if their text falls below the threshold, too, or if the name speaks of reader
+comments and nothing else.
 
 Pages are independent: one pass over the rows, no shuffle. A page is held whole
 in one task, as its structure needs it; the tokenizer is linear in its length.
@@ -51,6 +55,10 @@ UNWANTED = frozenset("ad ads adv advert adverts advertisement advertising banner
                      "breadcrumb breadcrumbs sidebar footer header masthead cookie cookies notice notices consent gdpr popup modal newsletter "
                      "subscribe signup login comment comments respond reply replies disqus share sharing social related recommended widget "
                      "toolbar pagination pager copyright complementary contentinfo search alert dialog".split())
+#: Reader comments are text like the article's: only names tell them. The other words may go with those.
+COMMENTS = frozenset("comment comments respond reply replies disqus".split())
+BESIDE = frozenset("area block body box container content entry form item list section thread title wrapper wrap".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag that ends an open element of these names (up to the nearest container).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
@@ -59,27 +67,35 @@ HEADED = frozenset("html head base basefont bgsound link meta noscript script st
 HOLDS = frozenset("html body article main section div ul ol dl table td th blockquote header footer nav aside form".split())
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element can't hold article text."""
+def unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element can't hold article text, and whether its name only
+    makes that likely (the threshold decides)."""
     if tag in NEVER or tag == "header" and not in_article:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for _, a, b, c in _NAMES.findall(attributes):
+        return False, False
+    likely = False
+    for kind, a, b, c in _NAMES.findall(attributes):
         for name in (a or b or c).lower().split():
             words = [w for w in re.split(r"[-_]+", name) if w]
             if not words or words[0] in ("has", "with", "no"):
                 continue
             if words[0] in UNWANTED or words[-1] in UNWANTED:
-                if not (in_article and "header" in (words[0], words[-1])):
-                    return True
-    return False
+                if in_article and "header" in (words[0], words[-1]):
+                    continue
+                if not in_article or kind.lower() == "role" or COMMENTS.intersection(words) and COMMENTS.union(BESIDE).issuperset(words):
+                    return True, False
+                likely = tag not in HEADINGS
+    return False, likely
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool]], bool]:
+def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool, int]], bool]:
     """Blocks (tag path, text, characters inside links, lies in article or
-    main), and whether the page marks an article at all."""
-    out: list[tuple[str, str, int, bool]] = []
+    main, number of the innermost element around it whose name is unwanted, or 0), and
+    whether the page marks an article at all."""
+    out: list[tuple[str, str, int, bool, int]] = []
+    doubted: list[tuple[int, int]] = []  # depth and number of open elements with such a name
+    doubts = 0
     stack: list[tuple[str, str, bool]] = []  # tag, path step, left out
     hidden = inside = 0
     marked = link = False
@@ -92,12 +108,15 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool]], bool]:
             whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if whole:
-                out.append((">".join(step for _, step, _ in stack), whole, min(linked, len(whole)), inside > 0))
+                out.append((">".join(step for _, step, _ in stack), whole, min(linked, len(whole)), inside > 0,
+                            doubted[-1][1] if doubted else 0))
         linked = 0
 
     def pop() -> None:
         nonlocal hidden, inside
         tag, _, out_of = stack.pop()
+        if doubted and doubted[-1][0] > len(stack):
+            doubted.pop()
         hidden -= out_of
         inside -= tag in ("article", "main")
 
@@ -152,12 +171,14 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool]], bool]:
             if tag == "hr":
                 flush()
             continue
-        bad = unwanted(tag, attributes, inside > 0)
-        if tag in INLINE and not bad:
+        bad, likely = unwanted(tag, attributes, inside > 0)
+        if tag in INLINE and not bad and not likely:
             link = link or tag == "a"
             continue
         flush()
-        if tag not in INLINE:
+        if tag in INLINE:
+            link = link or tag == "a" and likely
+        else:
             link = False
             if any(t == "p" for t, _, _ in stack):  # a block ends an open paragraph
                 for k in range(len(stack) - 1, -1, -1):
@@ -179,6 +200,9 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool]], bool]:
         names = _NAMES.search(attributes) if tag == "div" else None
         stack.append((tag, tag + ("." + (names[2] or names[3] or names[4] or "").lower() if names else ""), bad))
         hidden += bad
+        if likely:
+            doubts += 1
+            doubted.append((len(stack), doubts))
         if tag in ("article", "main"):
             inside += 1
             marked = marked or not hidden
@@ -186,26 +210,45 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool]], bool]:
     return out, marked
 
 
-def content_blocks(blocks: list[tuple[str, str, int, bool]], marked: bool, share: float = 0.2) -> list[str]:
-    """The texts of the content blocks, in page order."""
-    if marked:
-        blocks = [b for b in blocks if b[3]]
-    if not blocks:
-        return []
+def _fused(n: float, length: float, marks: float) -> float:
+    return (length / n) * (1.0 + marks / n)
+
+
+def path_values(blocks: list[tuple[str, str, int, bool, int]]) -> dict[str, float]:
+    """Fused and smoothed value of every tag path."""
     nodes: dict[str, list[float]] = {}
-    for path, text, linked, _ in blocks:
+    for path, text, linked, *_ in blocks:
         sums = nodes.setdefault(path, [0.0, 0.0, 0.0])
         sums[0] += 1
         sums[1] += len(text) - linked
         sums[2] += len(_PUNCTUATION.findall(text))
-    fused = {p: (length / n) * (1.0 + marks / n) for p, (n, length, marks) in nodes.items()}
+    fused = {p: _fused(*sums) for p, sums in nodes.items()}
     line = [fused[b[0]] for b in blocks]
     kernel = (0.25, 0.5, 0.25)
     smooth = [sum(w * line[min(max(i + d, 0), len(line) - 1)] for d, w in zip((-1, 0, 1), kernel)) for i in range(len(line))]
     of_path: dict[str, list[float]] = {}
     for b, s in zip(blocks, smooth):
         of_path.setdefault(b[0], []).append(s)
-    value = {p: math.sqrt(fused[p] * (sum(v) / len(v))) for p, v in of_path.items()}
+    return {p: math.sqrt(fused[p] * (sum(v) / len(v))) for p, v in of_path.items()}
+
+
+def content_blocks(blocks: list[tuple[str, str, int, bool, int]], marked: bool, share: float = 0.2) -> list[str]:
+    """The texts of the content blocks, in page order."""
+    if marked:
+        blocks = [b for b in blocks if b[3]]
+    sure = [b for b in blocks if not b[4]]
+    if sure and len(sure) < len(blocks):
+        limit = share * max(path_values(sure).values())
+        sums: dict[int, list[float]] = {}
+        for _, text, linked, _, doubt in blocks:
+            of = sums.setdefault(doubt, [0.0, 0.0, 0.0])
+            of[0] += 1
+            of[1] += len(text) - linked
+            of[2] += len(_PUNCTUATION.findall(text))
+        blocks = [b for b in blocks if not b[4] or _fused(*sums[b[4]]) >= limit]
+    if not blocks:
+        return []
+    value = path_values(blocks)
     limit = share * max(value.values())
     chosen = {p for p, v in value.items() if v >= limit}
     # Content containers: the parents of chosen paths; in a marked article, the article.
