@@ -233,7 +233,7 @@ def test_tied_turns_are_ordered_by_text(spark):
     words = [chr(97 + i) * 3 for i in range(12)]
     rows = [(i, 1, "user", w) for i in (0, 1) for w in words[:len(words) - i * 6]]  # 1 is the first half of 0 by text
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat.format_chats(df, runs=5).collect()
+    out = chat.format_chats(df).collect()
     assert [(r["conv_id"], r["n_turns"]) for r in out] == [(0, 12)]
 
 
