@@ -12,6 +12,7 @@ from tidings.llm.quality import op9_quality
 from tidings.llm.simhash import op1_simhash
 from tidings.llm.suffix import op7_suffix_dedup
 from tidings.llm.urls import op6_url_filter
+from tidings.llm.variants import OP11_SQL, op11_spelling_variants
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality": op9_quality,
     "op10_chat_format": op10_chat_format,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL = {
     "op5_decontaminate": OP5_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
