@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidings.llm.chat import OP10_SQL, op10_chat_format
+from tidings.llm.collocations import OP12_SQL, op12_collocations
 from tidings.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tidings.llm.html_text import op2_html_text
 from tidings.llm.language import op4_language_id
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_chat_format": op10_chat_format,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE_SQL = {
     "op5_decontaminate": OP5_SQL,
     "op10_chat_format": OP10_SQL,
     "op11_spelling_variants": OP11_SQL,
+    "op12_collocations": OP12_SQL,
 }
