@@ -12,6 +12,7 @@ from tidings.llm.neighbours import op3_nearest
 from tidings.llm.quality import op9_quality
 from tidings.llm.simhash import op1_simhash
 from tidings.llm.suffix import op7_suffix_dedup
+from tidings.llm.toxicity import op13_toxicity
 from tidings.llm.urls import op6_url_filter
 from tidings.llm.variants import OP11_SQL, op11_spelling_variants
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_collocations": op12_collocations,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE_SQL = {
