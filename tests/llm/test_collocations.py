@@ -55,14 +55,14 @@ def texts(seed, n, words=12):
         for _ in range(rng.randint(0, 30)):
             parts.append(rng.choice(fixed) if rng.random() < 0.3 else vocabulary[int(rng.expovariate(0.4)) % words])
             parts.append(rng.choice([" ", "  ", "\t", " ", ", ", ".", "\n", "!?"]))
-        yield rng.choice(["en", "en", "de", None, "und"]), "".join(parts)
+        yield rng.choice(["en", "en", "d\ne\t", None, "und"]), "".join(parts)
 
 
 @pytest.mark.parametrize("chunk", [7, 64, 5000])
 def test_phrases_against_plain_counting(spark, chunk):
     rows = [*texts(1, 150), ("en", None), (None, ""), ("de", " . , "), ("fr", "only one"), *[("en", "Ab Cd ef gh ij")] * 9]
     df = spark.createDataFrame([(*r, "x", 5) for r in rows], "lang string, text string, phrase string, n int").repartition(3)
-    assert found(C.collocations(df, least=4, cover_percent=80, first=25, chunk=chunk)) == plain(rows, 4, 80, 25)
+    assert found(C.collocations(df, least=4, cover_percent=80, first=25, chunk=chunk, tile_words=chunk)) == plain(rows, 4, 80, 25)
 
 
 def test_long_text_is_cut_without_loss(spark, monkeypatch):
@@ -99,11 +99,24 @@ def test_scores_beyond_64_bits(spark):
     assert got == 2_000_000 * a // (left + right)
 
 
-def test_ranks_are_positions(spark):
-    rows = [(f"w{i:03d}", int(5 + (i * 7919) % 13)) for i in range(500)]
-    got = C.ranked(spark.createDataFrame(rows, "word string, f long"), ["word"], "t").orderBy("id").collect()
-    assert [(r["word"], r["f"]) for r in got] == sorted(rows, key=lambda r: (-r[1], r[0]))
-    assert [r["id"] for r in got] == list(range(500))
+def test_ranks_are_dense_and_by_frequency_within_tiles(spark):
+    rows = [("en", " . ".join(f"w{i:03d}" for i in range(300) for _ in range(2 + i % 7)))] * 3
+    level = C.phrase_levels(spark.createDataFrame(rows, "lang string, text string"), 9, 400, 200)
+    got = level["words"].orderBy("id").collect()
+    assert {r["word"]: r["f"] for r in got} == {f"w{i:03d}": 3 * (2 + i % 7) for i in range(300) if 3 * (2 + i % 7) >= 9}
+    tiles = 1 + sum(len(t) for _, t in rows) // 1200
+    assert tiles > 5 and len({r["id"] for r in got}) == len(got)
+    for t in range(tiles):
+        here = [r for r in got if r["id"] % tiles == t]
+        assert [r["id"] // tiles for r in here] == list(range(len(here)))
+        assert [(-r["f"], r["word"]) for r in here] == sorted((-r["f"], r["word"]) for r in here)
+    assert level["totals"].first()["n"] == sum(3 * (2 + i % 7) for i in range(300)) and level["pairs"].count() == 0
+
+
+def test_packing_round_trip():
+    rng = np.random.default_rng(1)
+    columns = [np.sort(rng.integers(0, 1 << 40, 100)), rng.integers(0, 1 << 62, 100), np.arange(100)]
+    assert all((x == y).all() for x, y in zip(columns, C._unpacked(C._packed(*columns), 100, 3)))
 
 
 def test_query_against_sql(spark):
