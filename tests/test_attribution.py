@@ -118,7 +118,7 @@ def test_sampled_efficiency_determinism_and_convergence(spark, headlines):
 
 
 def test_model_path_equals_additive_path(spark, headlines):
-    from tidings.operators.attribution import attribute_with_scorer
+    from tidings.operators.explain import attribute_with_scorer
     from tidings.operators.scorers import ModelScorer, lexicon_model_loader
 
     texts = ["Tata Power record profit and strong growth on solar energy loss", "weak fall loss",
@@ -135,7 +135,7 @@ def test_model_path_equals_additive_path(spark, headlines):
 
 
 def test_model_failure_gives_null_attribution_with_error(spark, headlines):
-    from tidings.operators.attribution import attribute_with_scorer
+    from tidings.operators.explain import attribute_with_scorer
     from tidings.operators.scorers import ModelScorer, lexicon_model_loader
 
     df = headlines([(1, "record profit zzz solar"), (2, "record profit solar weak")])
@@ -163,7 +163,7 @@ def test_sampled_orders_are_uniform_permutations():
 
     import numpy as np
 
-    from tidings.operators.attribution import sampled_orders
+    from tidings.operators.games import sampled_orders
 
     counts = Counter()
     for doc in range(600):
@@ -178,7 +178,8 @@ def test_sampled_orders_are_uniform_permutations():
 
 
 def test_a_null_text_has_null_values_and_a_reason(spark):
-    from tidings.operators.attribution import attribute_models, attribute_sampled
+    from tidings.operators.attribution import attribute_sampled
+    from tidings.operators.explain import attribute_models
     from tidings.operators.materiality import EncoderCosine, anchor_vocabulary_encoder_loader
     from tidings.operators.scorers import ModelScorer, lexicon_model_loader
 
@@ -194,7 +195,7 @@ def test_a_null_text_has_null_values_and_a_reason(spark):
 
 
 def test_rows_with_one_id_stay_apart(spark, headlines):
-    from tidings.operators.attribution import attribute_with_scorer
+    from tidings.operators.explain import attribute_with_scorer
     from tidings.operators.scorers import ModelScorer, lexicon_model_loader
 
     df = headlines([(1, "record profit"), (1, "weak loss fall"), (1, "weak loss fall")])
@@ -206,7 +207,9 @@ def test_every_word_is_a_player_and_models_agree_with_counts(spark, headlines):
     """Word players through the counts and through the black boxes (same seed,
     so same orders) give the same sentiment values; the environmental ones are
     checked against masked texts built here."""
-    from tidings.operators.attribution import attribute_models, attribute_sampled, sampled_orders
+    from tidings.operators.attribution import attribute_sampled
+    from tidings.operators.explain import attribute_models
+    from tidings.operators.games import sampled_orders
     from tidings.operators.materiality import EncoderCosine, anchor_vocabulary_encoder_loader
     from tidings.operators.scorers import ModelScorer, lexicon_model_loader
 
@@ -235,14 +238,3 @@ def test_every_word_is_a_player_and_models_agree_with_counts(spark, headlines):
                 before, after = sorted(order[:n]), sorted(order[:n + 1])
                 want[player] += (env([words[j] for j in after]) - env([words[j] for j in before])) / 8
         assert max(abs(x - y) for x, y in zip(want, a[i].env_phi)) < 1e-12
-
-
-def test_model_explanations_neither_sort_nor_shuffle(spark):
-    from test_plans import _plan
-    from tidings.operators.attribution import attribute_models
-    from tidings.operators.materiality import EncoderCosine, anchor_vocabulary_encoder_loader
-    from tidings.operators.scorers import ModelScorer, lexicon_model_loader
-
-    plan = _plan(attribute_models(news_items(spark, "/root/testdata/sf0.001"), ModelScorer(lexicon_model_loader()),
-                                  EncoderCosine(anchor_vocabulary_encoder_loader()), players=4, permutations=None))
-    assert not re.search(r"\b(Exchange|Sort|Generate) \(\d+\)", plan)

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 from tidings import config as C
 from tidings.functions import scores as S
 from tidings.operators import reports as R
-from tidings.operators.attribution import (ORDER_INCREMENTS, ORDER_MODULUS, ORDER_MULTIPLIER, ORDER_SEED_STRIDE,
-                                           attribute, attribute_models, attribute_sampled, attribute_with_scorer,
-                                           attribution_table, audit_scores)
+from tidings.operators.attribution import attribute, attribute_sampled, attribution_table, audit_scores
+from tidings.operators.explain import attribute_models, attribute_with_scorer
+from tidings.operators.games import FLIP_BIT, ORDER_INCREMENTS, ORDER_MODULUS, ORDER_MULTIPLIER, ORDER_SEED_STRIDE, ORDER_WARM_UP
 from tidings.operators.materiality import (BowCosine, EncoderCosine, VectorCosine, anchor_counts,
                                            anchor_vocabulary_encoder_loader, join_vectors)
 from tidings.operators.scorers import ModelScorer, label_list_to_columns, lexicon_model_loader
 from tidings.operators.score import analyze, normalize_single, score
+from tidings.operators.scoretable import score_resumable
 from tidings.operators.single import report_rows
 from tidings.operators.tag import (
     company_dimension,
@@ -223,10 +224,9 @@ def q_sampled_attribution(spark, sf_dir):
 
 
 def q_model_attribution(spark, sf_dir):
-    """Sentiment attribution through the model adapter: every coalition's
-    masked text is scored by a predict_batch_udf model (the stub classifier),
-    4 players per row. Equals the additive path, so the SQL twin is the
-    relational Shapley oracle with 4 players."""
+    """Sentiment attribution through a black-box model (the stub classifier): all
+    coalitions of 4 runs of words, each distinct masked text scored once. Equals
+    the additive path, so the SQL twin is the relational Shapley oracle with 4 players."""
     model = ModelScorer(lexicon_model_loader(fail_on=None), max_chars=None)
     out = attribute_with_scorer(_news(spark, sf_dir), model, players=4)
     return rounded(attribution_table(out, "sentiment"))
@@ -258,6 +258,54 @@ def q_token_attribution(spark, sf_dir):
     return rounded(attribution_table(attribute_sampled(_news(spark, sf_dir), permutations=TOKEN_ORDERS), "env_impact"))
 
 
+TREE_SAMPLES = 2
+
+
+def _tree_explained(spark, sf_dir):
+    """Every word a player: Owen values over a balanced tree of the words, two
+    orders and their reverses."""
+    return attribute_sampled(_news(spark, sf_dir), permutations=TREE_SAMPLES, tree=True, paired=True)
+
+
+def q_tree_attribution_sentiment(spark, sf_dir):
+    return rounded(attribution_table(_tree_explained(spark, sf_dir), "sentiment"))
+
+
+def q_tree_attribution_env(spark, sf_dir):
+    return rounded(attribution_table(_tree_explained(spark, sf_dir), "env_impact"))
+
+
+ERROR_PLAYERS, ERROR_SAMPLES, ERROR_LEAST, ERROR_TOLERANCE = 16, 16, 4, 0.02
+
+
+def q_error_attribution(spark, sf_dir):
+    """Environmental attribution of 16 runs of words with known errors: pairs of
+    orders are added (4, 8, 16) until no player's standard error exceeds 0.02."""
+    out = attribute_sampled(_news(spark, sf_dir), players=ERROR_PLAYERS, permutations=ERROR_SAMPLES, paired=True,
+                            tolerance=ERROR_TOLERANCE, least=ERROR_LEAST)
+    return rounded(attribution_table(out, "env_impact", carry=("n_samples",)))
+
+
+MODEL_TREE_PLAYERS = 16
+
+
+def q_model_tree_attribution(spark, sf_dir):
+    """Sentiment attribution of a black-box classifier (the stub) by one tree order
+    of 16 runs of words and its reverse, each distinct masked text scored once."""
+    model = ModelScorer(lexicon_model_loader(fail_on=None), max_chars=None)
+    out = attribute_models(_news(spark, sf_dir), model, players=MODEL_TREE_PLAYERS, permutations=1, tree=True, paired=True)
+    return rounded(attribution_table(out, "sentiment"))
+
+
+def q_resumable_scores(spark, sf_dir):
+    """Distinct headlines scored through the stub classifier into a score table: a
+    run that stops after 2 of 4 parts, then one that scores what is left."""
+    table, model = fresh_path(spark, "score-table"), ModelScorer(lexicon_model_loader())
+    news = _news(spark, sf_dir)
+    score_resumable(news, model, table, parts=4, stop_after=2)
+    return rounded(score_resumable(news, model, table, parts=4).select("doc_id", "scores.*"))
+
+
 def _model_explained(spark, sf_dir):
     """Both outputs explained through a classifier and an encoder (the stubs),
     all coalitions of 4 runs of words."""
@@ -386,6 +434,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interpretation_report": q_interpretation_report,
     "score_formats": q_score_formats,
     "token_attribution": q_token_attribution,
+    "tree_attribution_sentiment": q_tree_attribution_sentiment,
+    "tree_attribution_env": q_tree_attribution_env,
+    "error_attribution": q_error_attribution,
+    "model_tree_attribution": q_model_tree_attribution,
+    "resumable_scores": q_resumable_scores,
     "model_env_attribution": q_model_env_attribution,
     "model_audit_score": q_model_audit_score,
     "headline_vectors": q_headline_vectors,
@@ -595,19 +648,29 @@ def _attribution_ctes(players: int = 8, norm_words=None) -> str:
     )
 
 
-def _phi_table(phi_col: str, output: str) -> str:
+def _phi_table(phi_col: str, output: str, error_col: str | None = None, carry: str = "") -> str:
+    """The long table of one output, with a row for each headline without
+    attributions. ``carry``: a further column of phi (0 without words)."""
+    none = f"NULL::INTEGER AS player, NULL AS token, NULL::DOUBLE AS phi, NULL::DOUBLE AS weight, {'NULL::DOUBLE AS phi_stderr, ' if error_col else ''}"
+    missing = "NULL" if output == "label" else output
     return (
-        f"SELECT doc_id, {output} AS output, player::INTEGER AS player, token, {_r(phi_col, 'phi')}, "
+        f"SELECT doc_id, {carry + ', ' if carry else ''}{output} AS output, player::INTEGER AS player, token, {_r(phi_col, 'phi')}, "
         f"round(CASE WHEN max(abs({phi_col})) OVER (PARTITION BY doc_id) = 0 THEN 0.0 "
-        f"ELSE {phi_col} / max(abs({phi_col})) OVER (PARTITION BY doc_id) END, {DIGITS}) AS weight FROM phi"
+        f"ELSE {phi_col} / max(abs({phi_col})) OVER (PARTITION BY doc_id) END, {DIGITS}) AS weight, "
+        f"{_r(error_col, 'phi_stderr') + ', ' if error_col else ''}NULL AS attribution_error FROM phi "
+        f"UNION ALL SELECT doc_id, {'NULL, ' if carry else ''}{missing}, {none}'no text' FROM news WHERE Headline IS NULL "
+        f"UNION ALL SELECT doc_id, {'0, ' if carry else ''}{_q('neutral') if output == 'label' else output}, {none}'no words' FROM news "
+        f"WHERE len(regexp_extract_all(Headline, {_q(C.WORD_TOKEN)})) = 0"
     )
 
 
-def _sampled_ctes(players: int, permutations: int, seed: int = 0) -> str:
-    """Relational twin of sampled Shapley values: one row per (doc, order,
-    player) with the player's integer sort key, positions by row_number,
-    coalition sums as running window sums; the squared norm
-    grows by 2n - 1 with the n-th occurrence of a word in the order."""
+def _walk_ctes(players: int, samples: int, tree: bool = False, paired: bool = False, seed: int = 0,
+               tolerance: float | None = None, least: int = 0) -> str:
+    """Relational twin of sampled values: one row per (doc, order, direction,
+    player), positions by row_number over the player's integer key, coalition sums
+    as running window sums; the squared norm grows by 2n - 1 with the n-th
+    occurrence of a word. A tree key is the player's index with the bit of every level
+    turned by a hash of the node above it."""
     mod = ORDER_MODULUS
     start = (f"((doc_id % {mod} + {mod}) % {mod} * {ORDER_MULTIPLIER} "
              f"+ ({seed * ORDER_SEED_STRIDE} + r) % {mod}) % {mod}")
@@ -615,25 +678,53 @@ def _sampled_ctes(players: int, permutations: int, seed: int = 0) -> str:
     for k, a in enumerate(ORDER_INCREMENTS):
         coefs.append(f"o{k + 1} AS (SELECT *, ({prev} * {prev} + {a}) % {mod} AS c{k} FROM o{k})")
         prev = f"c{k}"
-    key = "c4"
-    for c in ("c3", "c2", "c1", "c0"):
-        key = f"(({key}) * k.chunk + {c}) % {mod}"
-    before = _env_value_sql("cp - p", "cq - q", "cd - d", "css - step")
-    after = _env_value_sql("cp", "cq", "cd", "css")
+    used = [f"c{k}" for k in range(ORDER_WARM_UP, len(ORDER_INCREMENTS))]
+
+    def horner(at: str) -> str:
+        key = used[-1]
+        for c in used[-2::-1]:
+            key = f"(({key}) * {at} + {c}) % {mod}"
+        return key
+
+    depth = "(CASE WHEN d.m <= 1 THEN 0 ELSE length(bin(d.m - 1)) END)"
+    turn = f"((({horner(f'((1::BIGINT << lv) + (k.chunk >> ({depth} - lv)))')}) >> {FLIP_BIT}) & 1)"
+    key = (f"coalesce(list_sum(list_transform(range({depth}), lambda lv: xor((k.chunk >> ({depth} - 1 - lv)) & 1, {turn}) "
+           f"<< ({depth} - 1 - lv))), 0)") if tree else horner("k.chunk")
+    sent = "CASE l.label WHEN 'positive' THEN ({p})::DOUBLE WHEN 'negative' THEN ({q})::DOUBLE ELSE 1.0::DOUBLE END / ({p} + {q} + 1)"
+    before, after = {"p": "cp - c.p", "q": "cq - c.q"}, {"p": "cp", "q": "cq"}
+    env = (f"({_env_value_sql('cp', 'cq', 'cd', 'css')}) - "
+           f"({_env_value_sql('cp - c.p', 'cq - c.q', 'cd - c.d', 'css - step')})")
+    stop = ""
+    if tolerance is not None:
+        sizes, n = [], least
+        while n < samples:
+            sizes.append(n)
+            n *= 2
+        worst = "greatest(stddev_samp(env), stddev_samp(sent)) / sqrt(count(*))"
+        stop = (
+            f"trial AS (SELECT doc_id, s, max(e) AS e FROM (SELECT x.doc_id, t.s, x.chunk, {worst} AS e FROM x, (SELECT unnest({sizes}) AS s) t "
+            f"WHERE x.r < t.s GROUP BY ALL) GROUP BY ALL), "
+            f"upto AS (SELECT d.doc_id, coalesce((SELECT min(s) FROM trial t WHERE t.doc_id = d.doc_id AND t.e <= {tolerance}), {samples}) AS s FROM docs d), ")
     return (
         f"{_chunk_ctes(players)}, "
-        f"o0 AS (SELECT doc_id, r, ({start})::BIGINT AS x FROM docs, range({permutations}) t(r) WHERE m > 0), "
+        f"o0 AS (SELECT doc_id, r, ({start})::BIGINT AS x FROM docs, range({samples}) t(r) WHERE m > 0), "
         + ", ".join(coefs) + ", "
-        f"keys AS (SELECT o.doc_id, o.r, k.chunk, k.p, k.q, k.d, {key} AS key FROM o5 o JOIN cs k USING (doc_id)), "
-        "pos AS (SELECT *, row_number() OVER (PARTITION BY doc_id, r ORDER BY key, chunk) AS pos FROM keys), "
-        "nth AS (SELECT p.doc_id, p.r, p.chunk, 2 * row_number() OVER (PARTITION BY p.doc_id, p.r, t.t ORDER BY p.pos) - 1 AS gain "
+        f"keys AS (SELECT o.doc_id, o.r, d.m, k.chunk, k.p, k.q, k.d, {key} AS key "
+        f"FROM o{len(ORDER_INCREMENTS)} o JOIN cs k USING (doc_id) JOIN docs d USING (doc_id)), "
+        "places AS (SELECT *, row_number() OVER (PARTITION BY doc_id, r ORDER BY key, chunk) AS forward FROM keys), "
+        f"pos AS (SELECT p.*, w.back, CASE w.back WHEN 0 THEN forward ELSE m + 1 - forward END AS pos FROM places p, (SELECT unnest({[0, 1] if paired else [0]}) AS back) w), "
+        "nth AS (SELECT p.doc_id, p.r, p.back, p.chunk, 2 * row_number() OVER (PARTITION BY p.doc_id, p.r, p.back, t.t ORDER BY p.pos) - 1 AS gain "
         "FROM pos p JOIN tk t USING (doc_id, chunk)), "
-        "gains AS (SELECT doc_id, r, chunk, sum(gain) AS step FROM nth GROUP BY ALL), "
-        "stp AS (SELECT a.*, coalesce(s.step, 0) AS step FROM pos a LEFT JOIN gains s USING (doc_id, r, chunk)), "
+        "gains AS (SELECT doc_id, r, back, chunk, sum(gain) AS step FROM nth GROUP BY ALL), "
+        "stp AS (SELECT a.*, coalesce(s.step, 0) AS step FROM pos a LEFT JOIN gains s USING (doc_id, r, back, chunk)), "
         "cum AS (SELECT *, sum(p) OVER w AS cp, sum(q) OVER w AS cq, sum(d) OVER w AS cd, sum(step) OVER w AS css "
-        "FROM stp WINDOW w AS (PARTITION BY doc_id, r ORDER BY pos ROWS UNBOUNDED PRECEDING)), "
-        f"phi AS (SELECT u.doc_id, u.chunk AS player, c.token, sum(({after}) - ({before})) / {permutations} "
-        "AS env_phi FROM cum u JOIN chunks c ON c.doc_id = u.doc_id AND c.chunk = u.chunk GROUP BY ALL)"
+        "FROM stp WINDOW w AS (PARTITION BY doc_id, r, back ORDER BY pos ROWS UNBOUNDED PRECEDING)), "
+        f"x AS (SELECT c.doc_id, c.r, c.chunk, avg({env}) AS env, avg(({sent.format(**after)}) - ({sent.format(**before)})) AS sent "
+        "FROM cum c JOIN labels l USING (doc_id) GROUP BY ALL), " + stop +
+        "phi AS (SELECT x.doc_id, x.chunk AS player, c.token, l.label, avg(env) AS env_phi, avg(sent) AS sent_phi, "
+        "stddev_samp(env) / sqrt(count(*)) AS env_err, stddev_samp(sent) / sqrt(count(*)) AS sent_err, count(*)::INTEGER AS n_samples "
+        "FROM x JOIN chunks c ON c.doc_id = x.doc_id AND c.chunk = x.chunk JOIN labels l ON l.doc_id = x.doc_id "
+        + ("JOIN upto u ON u.doc_id = x.doc_id AND x.r < u.s " if stop else "") + "GROUP BY ALL)"
     )
 
 
@@ -740,7 +831,8 @@ ORACLE_SQL: dict[str, str] = {
     "audit_score": (
         f"WITH {NEWS_SQL}, {_attribution_ctes()}, {AUDIT_SQL} SELECT doc_id, n_players::INTEGER AS n_players, "
         f"{_r('base_value', 'base_value')}, {_r('phi_sum', 'phi_sum')}, {_r('audit_score', 'audit_score')}, "
-        f"{_r('full_value', 'full_value')} FROM audit UNION ALL SELECT doc_id, 0, NULL, NULL, NULL, NULL FROM news WHERE Headline IS NULL"
+        f"{_r('full_value', 'full_value')}, NULL AS attribution_error FROM audit "
+        "UNION ALL SELECT doc_id, 0, NULL, NULL, NULL, NULL, 'no text' FROM news WHERE Headline IS NULL"
     ),
     "interpretation_report": BASE_CTES + f", {_attribution_ctes()}, {AUDIT_SQL} " + (
         "SELECT s.doc_id, CASE WHEN length(Headline) > 100 THEN substring(Headline, 1, 100) || '...' ELSE Headline END "
@@ -749,7 +841,8 @@ ORACLE_SQL: dict[str, str] = {
         "printf('%+.4f', cumulative_score) AS cumulative_text, "
         "printf('%.4f', materiality_score) AS materiality_text, "
         "printf('%+.4f', esg_adjusted_score) AS adjusted_text, "
-        "CASE WHEN a.audit_score IS NOT NULL THEN printf('%+.4f', round(a.audit_score, 12) + 0.0) END AS audit_text "
+        "CASE WHEN a.audit_score IS NOT NULL THEN printf('%+.4f', round(a.audit_score, 12) + 0.0) END AS audit_text, "
+        "CASE WHEN Headline IS NULL THEN 'no text' END AS attribution_error "
         "FROM scored s LEFT JOIN audit a ON a.doc_id = s.doc_id"
     ),
     "result_preview": BASE_CTES + (
@@ -791,7 +884,7 @@ ORACLE_SQL["materiality_encoder_stub"] = (
 # Queries without a SQL twin, and why (checked in tests instead).
 NO_ORACLE: dict[str, str] = {}
 ORACLE_SQL["sampled_attribution"] = (
-    f"WITH {NEWS_SQL}, {_sampled_ctes(SAMPLED_PLAYERS, SAMPLED_ORDERS)} " + _phi_table("env_phi", "'env_impact'"))
+    f"WITH {NEWS_SQL}, {_walk_ctes(SAMPLED_PLAYERS, SAMPLED_ORDERS)} " + _phi_table("env_phi", "'env_impact'", "env_err"))
 ORACLE_SQL["model_attribution"] = f"WITH {NEWS_SQL}, {_attribution_ctes(4)} " + _phi_table("sent_phi", "label")
 ORACLE_SQL["single_headline"] = (
     f"WITH {news_sql(strip=True)}, {TAGS_SQL}, {BOW_SQL}, {SCORED_SQL} "
@@ -800,7 +893,16 @@ ORACLE_SQL["single_headline"] = (
     f"{_r('esg_adjusted_score', 'esg_adjusted_score')} FROM scored"
 )
 ORACLE_SQL["token_attribution"] = (
-    f"WITH {NEWS_SQL}, {_sampled_ctes(1 << 30, TOKEN_ORDERS)} " + _phi_table("env_phi", "'env_impact'"))
+    f"WITH {NEWS_SQL}, {_walk_ctes(1 << 30, TOKEN_ORDERS)} " + _phi_table("env_phi", "'env_impact'", "env_err"))
+_TREE_CTES = _walk_ctes(1 << 30, TREE_SAMPLES, tree=True, paired=True)
+ORACLE_SQL["tree_attribution_sentiment"] = f"WITH {NEWS_SQL}, {_TREE_CTES} " + _phi_table("sent_phi", "label", "sent_err")
+ORACLE_SQL["tree_attribution_env"] = f"WITH {NEWS_SQL}, {_TREE_CTES} " + _phi_table("env_phi", "'env_impact'", "env_err")
+ORACLE_SQL["error_attribution"] = (
+    f"WITH {NEWS_SQL}, {_walk_ctes(ERROR_PLAYERS, ERROR_SAMPLES, paired=True, tolerance=ERROR_TOLERANCE, least=ERROR_LEAST)} "
+    + _phi_table("env_phi", "'env_impact'", "env_err", "n_samples"))
+ORACLE_SQL["model_tree_attribution"] = (
+    f"WITH {NEWS_SQL}, {_walk_ctes(MODEL_TREE_PLAYERS, 1, tree=True, paired=True)} " + _phi_table("sent_phi", "label"))
+ORACLE_SQL["resumable_scores"] = ORACLE_SQL["model_scorer_stub"].rpartition("CASE WHEN bad THEN 'Neutral'")[0].rstrip().rstrip(",") + " FROM fail"
 _MODEL_CTES = _attribution_ctes(4, tuple(_ANCHOR))
 ORACLE_SQL["model_env_attribution"] = f"WITH {NEWS_SQL}, {_MODEL_CTES} " + _phi_table("env_phi", "'env_impact'")
 ORACLE_SQL["model_audit_score"] = ORACLE_SQL["audit_score"].replace(_attribution_ctes(), _MODEL_CTES)

@@ -54,11 +54,10 @@ def byte_blocks(texts, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]
         yield first, block
 
 
-def token_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and a 64-bit code of every lexical token (run of a-z, 0-9)
-    of lower-cased UTF-8 texts, in text order: a rolling hash read off one
+def token_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit code of every lexical token (run of a-z, 0-9) of
+    lower-cased UTF-8 bytes that end in another byte: a rolling hash read off one
     running sum, so there is no loop over tokens."""
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     inside = np.concatenate([[False], _TOKEN_BYTE[buf]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
@@ -66,6 +65,12 @@ def token_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     forward = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE, np.uint64)]))
     back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, pow(_BASE, -1, 1 << 64), np.uint64)]))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[buf] * forward)])
-    code = (total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)
+    return start, (total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)
+
+
+def token_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and code (``token_spans``) of every lexical token of
+    lower-cased UTF-8 texts, in text order."""
+    start, code = token_spans(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8))
     offsets = np.cumsum([len(t) + 1 for t in texts])
     return np.searchsorted(offsets, start, side="right"), code

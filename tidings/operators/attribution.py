@@ -30,28 +30,26 @@ Efficiency holds: base + sum(phi) = v(all players).
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.config import DEFAULT, MAX_EXACT_PLAYERS, SENTIMENT_CHAR_LIMIT, WORD_TOKEN, Settings
+from tidings.config import DEFAULT, MAX_EXACT_PLAYERS, Settings
 from tidings.functions.scores import argmax_label
 from tidings.functions.text import count_words, weighted_words, words
 from tidings.functions.vectors import token_codes
-from tidings.operators.materiality import BowCosine, EncoderCosine
-from tidings.operators.scorers import LexiconScorer, ModelScorer, raw_to_scores
+from tidings.operators.games import Lexicons, game_udf
+from tidings.operators.materiality import BowCosine
+from tidings.operators.scorers import LexiconScorer
 
 
-def chunk_statistics(df: DataFrame, text_col: str, players: int | None, scorer: LexiconScorer,
-                     materiality: BowCosine) -> DataFrame:
-    """Add chunks and their additive statistics to every row. ``players=None``:
-    every word is a chunk."""
+def player_texts(df: DataFrame, text_col: str, players: int | None) -> DataFrame:
+    """Add ``chunks``, the players' texts, and ``n_players``. ``players=None``:
+    every word is a chunk. A null text has no players (its values are nulled by
+    ``_known``)."""
     w = "__words"
-    # A null text has no players (its values are nulled by ``_known``).
     out = df.withColumn(w, F.coalesce(words(text_col), F.array().cast("array<string>")))
     n = F.size(F.col(w))
     m = n if players is None else F.least(n, F.lit(players))
@@ -64,11 +62,15 @@ def chunk_statistics(df: DataFrame, text_col: str, players: int | None, scorer:
     chunks = F.col(w) if players is None else F.when(m == 0, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(0), m - 1),
                     lambda i: F.array_join(F.slice(F.col(w), start(i) + 1, start(i + 1) - start(i)), " ")))
-    out = out.withColumn("chunks", chunks).drop(w, "__n")
+    return out.withColumn("chunks", chunks).drop(w, "__n")
+
+
+def chunk_statistics(df: DataFrame, text_col: str, players: int, scorer: LexiconScorer, materiality: BowCosine) -> DataFrame:
+    """Add chunks and their additive statistics to every row."""
     # __lex: the lower-cased chunks; the UDFs that need token counts take
     # the tokens from these strings themselves (the token class is ASCII, so
     # Python finds the same tokens as Spark's regex).
-    out = out.withColumn("__lex", F.transform("chunks", lambda c: F.lower(c)))
+    out = player_texts(df, text_col, players).withColumn("__lex", F.transform("chunks", lambda c: F.lower(c)))
     low = F.col("__lex")
     return (out
             .withColumn("__p", F.transform(low, lambda c: count_words(c, scorer.positive)))
@@ -98,7 +100,7 @@ class _Coalitions:
         return cls._cache[m]
 
 
-def _shapley(values: np.ndarray, m: int) -> np.ndarray:
+def shapley(values: np.ndarray, m: int) -> np.ndarray:
     """phi_i = sum over coalitions S without i of w(|S|) (v(S + i) - v(S)), for
     many games of m players at once (a row of ``values`` each). Differences come
     first, so a player without influence gets exactly 0."""
@@ -138,7 +140,7 @@ def _sentiment_udf():
             which = label.iloc[rows].to_numpy()[:, None]
             v = np.where(which == "positive", ps, np.where(which == "negative", qs, 1)) / (ps + qs + 1.0)
             base[rows], full[rows] = v[:, 0], v[:, -1]
-            for i, phi in zip(rows, _shapley(v, k)):
+            for i, phi in zip(rows, shapley(v, k)):
                 phis[i] = phi.tolist()
         return _collected(("sent_base", "sent_phi", "sent_full"), base, phis, full)
 
@@ -182,7 +184,7 @@ def _environment_udf(anchor_norm: float):
             cos = np.divide(ds, np.sqrt(sq.astype(np.float64)) * anchor_norm, out=np.zeros(ds.shape), where=sq != 0)
             v = np.where(ps > qs, 1.0, -1.0) * cos + 0.0
             base[rows], full[rows] = v[:, 0], v[:, -1]
-            for i, phi in zip(rows, _shapley(v, k)):
+            for i, phi in zip(rows, shapley(v, k)):
                 phis[i] = phi.tolist()
         return _collected(("env_base", "env_phi", "env_full"), base, phis, full)
 
@@ -223,7 +225,7 @@ def attribute(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline",
     s = batch.expr(F.col(text_col))
     base = df.select(id_col, *[c for c in keep if c not in (id_col, text_col)], text_col,
                      F.col(text_col).alias("__text_kept")).withColumn(
-        "label", argmax_label(s["positive"], s["negative"], s["neutral"]))
+        "label", F.when(F.col(text_col).isNotNull(), argmax_label(s["positive"], s["negative"], s["neutral"])))
     stats = chunk_statistics(base, text_col, players, whole, materiality).drop(text_col)
     m = F.col("n_players")
     sent = _sentiment_udf()(m, F.col("__p"), F.col("__q"), F.col("label"))
@@ -238,27 +240,41 @@ def attribute(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline",
         *_known({c: F.col(f"__sent.{c}" if c.startswith("sent") else f"__env.{c}") for c in _OUTPUTS}, F.col("__text_kept")))
 
 
-def attribution_table(attributed: DataFrame, output: str, id_col: str = "doc_id") -> DataFrame:
-    """Long form (id, player, token, phi, weight) of one output.
+def row_error() -> Column:
+    """Why a row has no attributions: the captured error, or a text without words."""
+    return F.coalesce(F.col("attribution_error"), F.when(F.col("n_players") == 0, F.lit("no words")))
+
+
+def attribution_table(attributed: DataFrame, output: str, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Long form (id, player, token, phi, weight, attribution_error) of one output.
 
     ``output`` is ``"sentiment"`` (the per-row label) or ``"env_impact"``.
     ``weight`` = phi / max|phi| of the row (0 when all are 0), computed on the
-    row's own array: no window, no shuffle.
+    row's own array: no window, no shuffle. A row without attributions (null
+    text, failed model, no words) is one row with the reason and nulls. Sampled
+    attributions also have each value's standard error, ``phi_stderr``; ``carry``
+    names further columns to repeat.
     """
-    phi = "sent_phi" if output == "sentiment" else "env_phi"
+    side = "sent" if output == "sentiment" else "env"
+    phi = f"{side}_phi"
     top = F.array_max(F.transform(F.col(phi), lambda x: F.abs(x)))
     label = F.col("label") if output == "sentiment" else F.lit("env_impact")
+    known = F.col(phi).isNotNull()
+    parts = [F.when(known, F.col("chunks")).alias("token"), F.col(phi).alias("phi")]
+    if f"{side}_stderr" in attributed.columns:
+        parts.append(F.col(f"{side}_stderr").alias("phi_stderr"))
     rows = attributed.select(
-        id_col, label.alias("output"), top.alias("__top"),
-        F.posexplode(F.arrays_zip(F.col("chunks").alias("token"), F.col(phi).alias("phi"))).alias("player", "z"))
+        id_col, *carry, label.alias("output"), top.alias("__top"), row_error().alias("attribution_error"),
+        F.posexplode_outer(F.arrays_zip(*parts)).alias("player", "z"))
+    weight = F.when(F.col("__top") == 0, F.lit(0.0)).otherwise(F.col("z.phi") / F.col("__top"))
     return rows.select(
-        id_col, "output", "player", F.col("z.token").alias("token"), F.col("z.phi").alias("phi"),
-        F.when(F.col("__top") == 0, F.lit(0.0)).otherwise(F.col("z.phi") / F.col("__top")).alias("weight"))
+        id_col, *carry, "output", "player", F.col("z.token").alias("token"), F.col("z.phi").alias("phi"), weight.alias("weight"),
+        *([F.col("z.phi_stderr").alias("phi_stderr")] if len(parts) > 2 else []), "attribution_error")
 
 
 def audit_scores(attributed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Environmental audit score = base + sum(phi); equals the value of the
-    whole text by efficiency (``env_full``)."""
+    whole text by efficiency (``env_full``). A failed row has nulls and the reason."""
     total = F.aggregate(F.col("env_phi"), F.lit(0.0), lambda a, x: a + x)
     return attributed.select(
         id_col, "n_players",
@@ -266,299 +282,52 @@ def audit_scores(attributed: DataFrame, id_col: str = "doc_id") -> DataFrame:
         total.alias("phi_sum"),
         (F.col("env_base") + total).alias("audit_score"),
         F.col("env_full").alias("full_value"),
+        "attribution_error",
     )
 
 
 # ---------------------------------------------------------------------------
-# Any number of players: permutation sampling
+# Any number of players: sampled orders
 # ---------------------------------------------------------------------------
 
-_SAMPLED_TYPE = ("struct<sent_base: double, sent_phi: array<double>, sent_full: double, "
-                 "env_base: double, env_phi: array<double>, env_full: double>")
-
-
-# Player orders are a pure integer function of (seed, id, order number), so
-# any engine with 64-bit integers can rebuild them (the SQL twin does).
-# Player i's sort key is a degree-4 polynomial in i modulo the prime 2^31 - 1
-# whose coefficients come from (seed, id, order) through a chain of squarings;
-# every product stays below 2^62. Ties go to the lower player index.
-ORDER_MODULUS = 2147483647
-ORDER_MULTIPLIER = 48271
-ORDER_SEED_STRIDE = 1000003
-ORDER_INCREMENTS = (11, 13, 17, 19, 23)
-
-
-def order_coefficients(seed: int, ids, order):
-    """The five polynomial coefficients c0..c4 for each (id, order) pair."""
-    mod = ORDER_MODULUS
-    ids = np.asarray(ids, dtype=np.int64)
-    order = np.asarray(order, dtype=np.int64)
-    s = ((ids % mod) * ORDER_MULTIPLIER + (seed * ORDER_SEED_STRIDE + order) % mod) % mod
-    coef, x = [], s
-    for a in ORDER_INCREMENTS:
-        x = (x * x + a) % mod
-        coef.append(x)
-    return coef
-
-
-def order_keys(coef, player):
-    """sum_k c_k * player^k mod 2^31 - 1, by Horner's rule."""
-    key = coef[4]
-    for c in (coef[3], coef[2], coef[1], coef[0]):
-        key = (key * player + c) % ORDER_MODULUS
-    return key
-
-
-def sampled_orders(seed: int, doc: int, k: int, m: int) -> np.ndarray:
-    """k x m player indices: row r is order r of row ``doc``."""
-    coef = [c[:, None] for c in order_coefficients(seed, np.full(k, doc), np.arange(k))]
-    keys = order_keys(coef, np.arange(m, dtype=np.int64)[None, :])
-    return np.argsort(keys, axis=1, kind="stable")
-
-
-def _sampled_udf(permutations: int, seed: int, anchor_norm: float):
-    """Monte-Carlo Shapley values over random player orders.
-
-    Each order adds players one at a time; a player's value is the change it
-    causes, averaged over the orders. Per order the changes telescope to
-    v(all) - v(empty), so efficiency holds exactly. Orders come from
-    ``sampled_orders`` (seed, id): results do not depend on partitioning.
-    """
-
-    @F.pandas_udf(_SAMPLED_TYPE)
-    def sampled(ids: pd.Series, m: pd.Series, p: pd.Series, q: pd.Series, d: pd.Series, lex: pd.Series,
-                label: pd.Series) -> pd.DataFrame:
-        out = {k: [] for k in ("sent_base", "sent_phi", "sent_full", "env_base", "env_phi", "env_full")}
-        for doc, mi, pi, qi, di, li, lab in zip(ids, m, p, q, d, lex, label):
-            mi = int(mi)
-            pv = np.asarray(pi, dtype=np.int64)[:mi]
-            qv = np.asarray(qi, dtype=np.int64)[:mi]
-            dv = np.asarray(di, dtype=np.int64)[:mi]
-            owner, code = token_codes([c.encode() for c in li[:mi]]) if mi else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-            codes, word = np.unique(code, return_inverse=True)
-            count = np.bincount(word, minlength=len(codes))
-            k = permutations if mi else 0
-            sent_phi = np.zeros(mi)
-            env_phi = np.zeros(mi)
-            if k:
-                # all orders at once: K x m player indices
-                orders = sampled_orders(seed, int(doc), k, mi)
-                zero = np.zeros((k, 1))
-                ps = np.hstack([zero, np.cumsum(pv[orders], axis=1)])
-                qs = np.hstack([zero, np.cumsum(qv[orders], axis=1)])
-                ds = np.hstack([zero, np.cumsum(dv[orders], axis=1)])
-                # The n-th occurrence of a word adds 2n - 1 to the sum of squared
-                # counts. Sorted by (word, place of its player in the order), a
-                # word's occurrences are numbered the same way in every order.
-                place = np.argsort(orders, axis=1)[:, owner]
-                by_word = np.argsort(word[None, :] * mi + place, axis=1, kind="stable")
-                nth = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-                cell = np.arange(k)[:, None] * mi + np.take_along_axis(place, by_word, axis=1)
-                step = np.bincount(cell.ravel(), weights=np.tile(2.0 * nth + 1, k), minlength=k * mi).reshape(k, mi)
-                sq = np.hstack([zero, np.cumsum(step, axis=1)])
-                total = ps + qs + 1.0
-                sent = ps / total if lab == "positive" else (qs / total if lab == "negative" else 1.0 / total)
-                cos = np.divide(ds, np.sqrt(sq) * anchor_norm, out=np.zeros(ds.shape), where=sq != 0)
-                env = np.where(ps > qs, 1.0, -1.0) * cos + 0.0
-                flat = orders.ravel()
-                sent_phi = np.bincount(flat, weights=np.diff(sent, axis=1).ravel(), minlength=mi)
-                env_phi = np.bincount(flat, weights=np.diff(env, axis=1).ravel(), minlength=mi)
-            n = max(permutations, 1)
-            p_all, q_all = pv.sum(), qv.sum()
-            tot = p_all + q_all + 1.0
-            sent_full = p_all / tot if lab == "positive" else (q_all / tot if lab == "negative" else 1.0 / tot)
-            sq_all = int((count * count).sum())
-            cos_all = 0.0 if sq_all == 0 else dv.sum() / (np.sqrt(float(sq_all)) * anchor_norm)
-            env_full = (1.0 if p_all > q_all else -1.0) * cos_all + 0.0
-            empty_sent = 0.0 if lab in ("positive", "negative") else 1.0
-            out["sent_base"].append(empty_sent)
-            out["sent_phi"].append((sent_phi / n).tolist())
-            out["sent_full"].append(float(sent_full))
-            out["env_base"].append(0.0)
-            out["env_phi"].append((env_phi / n).tolist())
-            out["env_full"].append(float(env_full))
-        return pd.DataFrame(out)
-
-    return sampled
+def order_id(df: DataFrame, id_col: str) -> Column:
+    """The number that seeds a row's player orders: the id itself where it is a
+    whole number, a hash of any other id; 0 for none."""
+    kind = dict(df.dtypes)[id_col]
+    code = F.col(id_col).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.when(
+        F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    return F.coalesce(code, F.lit(0).cast("long"))
 
 
 def attribute_sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "Headline", players: int | None = None,
                       permutations: int = 64, seed: int = 0, settings: Settings = DEFAULT,
                       scorer: LexiconScorer | None = None, materiality: BowCosine | None = None,
-                      keep: tuple[str, ...] = ()) -> DataFrame:
+                      keep: tuple[str, ...] = (), tree: bool = False, paired: bool = False,
+                      tolerance: float | None = None, least: int = 8) -> DataFrame:
     """Like ``attribute`` with sampled orders, for any number of players: the
-    words of the text, or ``players`` runs of words.
-
-    The sample size is the feature (``permutations`` orders per row); every
-    row and the whole text are used. Same output columns as ``attribute``.
+    words of the text, or ``players`` runs of words (``games`` has the method).
+
+    ``permutations`` samples a row (the sample size is the feature; every row and the
+    whole text are used). ``tree``: orders of a balanced binary tree over the words
+    (Owen values) instead of uniform ones (Shapley values). ``paired``: a sample is
+    the mean of an order and its reverse. ``tolerance``: at least ``least`` samples, doubled
+    until every player's standard error is within it, at most ``permutations``.
+    Efficiency holds exactly for every sample. Output: the columns of
+    ``attribute``, ``sent_stderr``, ``env_stderr`` (null with one sample) and ``n_samples``.
     """
+    if permutations < 1 or least < 2:
+        raise ValueError("at least one sample, and two to know an error")
     batch = scorer or LexiconScorer(max_chars=settings.sentiment_chars)
-    whole = LexiconScorer(batch.positive, batch.negative, max_chars=None)
     materiality = materiality or BowCosine(settings.anchor)
+    lexicons = Lexicons.of(batch.positive, batch.negative, materiality.weights, materiality.anchor_norm)
     s = batch.expr(F.col(text_col))
     kept = [c for c in keep if c not in (id_col, text_col)]
-    base = df.select(id_col, text_col, *kept).withColumn("label", argmax_label(s["positive"], s["negative"], s["neutral"]))
-    stats = chunk_statistics(base, text_col, players, whole, materiality)
-    res = _sampled_udf(permutations, seed, materiality.anchor_norm)(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.col("n_players"), F.col("__p"), F.col("__q"), F.col("__d"), F.col("__lex"), F.col("label"))
-    out = stats.withColumn("__r", res)
+    base = df.select(id_col, text_col, *kept).withColumn(
+        "label", F.when(F.col(text_col).isNotNull(), argmax_label(s["positive"], s["negative"], s["neutral"])))
+    play = game_udf(lexicons, players, permutations, seed, tree, paired, least, tolerance)
+    out = player_texts(base, text_col, players).withColumn("__r", play(order_id(df, id_col), F.lower(F.col(text_col)), F.col("label")))
     shown = [*([text_col] if text_col in keep else []), *kept]
-    return out.select(id_col, *shown, "chunks", "n_players", "label", *_known({c: F.col(f"__r.{c}") for c in _OUTPUTS}, F.col(text_col)))
-
-
-# ---------------------------------------------------------------------------
-# Any models: score the masked texts themselves
-# ---------------------------------------------------------------------------
-
-_MODEL_TYPE = ("struct<chunks: array<string>, n_players: int, label: string, sent_base: double, sent_phi: array<double>, "
-               "sent_full: double, env_base: double, env_phi: array<double>, env_full: double, attribution_error: string>")
-_LABELS = ("positive", "negative", "neutral")
-_SCORED_AT_ONCE = 512  # masked texts gathered over rows before the models run
-
-
-def split_players(text: str, players: int | None) -> list[str]:
-    """The words of a text, or ``players`` runs of neighbouring words."""
-    found = re.findall(WORD_TOKEN, text)
-    n = len(found)
-    if players is None or n <= players:
-        return found
-    return [" ".join(found[i * n // players:(i + 1) * n // players]) for i in range(players)]
-
-
-def _exact_game(m: int):
-    """Coalitions as a bit matrix, and phi as a function of their values."""
-    return _Coalitions.get(m)[0].astype(bool), lambda v: _shapley(v[None, :], m)[0].tolist()
-
-
-def _sampled_game(m: int, orders: np.ndarray):
-    """The prefixes of the player orders, empty and full ones included."""
-    k = len(orders)
-    place = np.argsort(orders, axis=1)
-    prefix = place[:, None, :] < np.arange(m + 1)[None, :, None]  # k x (m + 1) x m
-
-    def phi(v: np.ndarray) -> list[float]:
-        steps = np.diff(v.reshape(k, m + 1), axis=1)
-        return (np.bincount(orders.ravel(), weights=steps.ravel(), minlength=m) / k).tolist()
-
-    return prefix.reshape(-1, m), phi
-
-
-class _Row:
-    """One text: its coalitions, and the model outputs gathered for them."""
-
-    def __init__(self, text, doc, players, permutations, seed, label_chars):
-        self.error = "no text" if text is None else None
-        if text is None:
-            return
-        self.chunks = split_players(text, players)
-        m = len(self.chunks)
-        exact = permutations is None
-        if exact and m > MAX_EXACT_PLAYERS:
-            raise ValueError(f"exact enumeration takes at most {MAX_EXACT_PLAYERS} players; pass permutations")
-        self.masks, self.phi = _exact_game(m) if exact or m == 0 else _sampled_game(m, sampled_orders(seed, doc, permutations, m))
-        self.probabilities = np.full((len(self.masks) + 1, 3), np.nan)  # last: the text that the label is read from
-        self.cosine = np.full(len(self.masks) + 1, np.nan)
-        self.head = text[:label_chars]
-
-    def texts(self):
-        for keep in self.masks:
-            yield " ".join(c for c, k in zip(self.chunks, keep) if k)
-        yield self.head
-
-    def result(self, explain_environment: bool) -> dict:
-        empty = dict.fromkeys(("chunks", "n_players", "label", "sent_base", "sent_phi", "sent_full", "env_base", "env_phi", "env_full"))
-        if self.error == "no text":
-            return empty | {"n_players": 0, "attribution_error": self.error}
-        out = empty | {"chunks": self.chunks, "n_players": len(self.chunks), "attribution_error": self.error}
-        if self.error:
-            return out
-        out["label"] = _LABELS[int(np.argmax(self.probabilities[-1]))]
-        v = self.probabilities[:-1, _LABELS.index(out["label"])]
-        # The full coalition is the last row of either game, the empty one the first.
-        out |= {"sent_base": float(v[0]), "sent_phi": self.phi(v), "sent_full": float(v[-1])}
-        if explain_environment:
-            e = np.where(self.probabilities[:-1, 0] > self.probabilities[:-1, 1], 1.0, -1.0) * self.cosine[:-1] + 0.0
-            out |= {"env_base": float(e[0]), "env_phi": self.phi(e), "env_full": float(e[-1])}
-        return out
-
-
-def _run_models(queue: list, classify, encode, anchor: np.ndarray, batch: int) -> None:
-    """Fill in the outputs of the queued (row, place, text) in model batches. A
-    batch that fails is retried text by text; what still fails marks its row."""
-    def cosines(texts: list[str]) -> np.ndarray:
-        x = np.asarray(encode(texts), dtype=np.float32).astype(np.float64)
-        size = np.sqrt((x * x).sum(axis=1)) * np.sqrt(anchor @ anchor)
-        return np.divide(x @ anchor, size, out=np.zeros(len(x)), where=size != 0)
-
-    def score(part: list) -> None:
-        texts = [t for _, _, t in part]
-        rows = [raw_to_scores(r) for r in classify(texts)]
-        cos = cosines(texts) if encode else np.zeros(len(texts))
-        for (row, at, _), r, c in zip(part, rows, cos):
-            row.probabilities[at] = [r[label] for label in _LABELS]
-            row.cosine[at] = c
-
-    for a in range(0, len(queue), batch):
-        part = [q for q in queue[a:a + batch] if not q[0].error]
-        try:
-            if part:
-                score(part)
-        except Exception:
-            for one in part:
-                try:
-                    if not one[0].error:
-                        score([one])
-                except Exception as exc:
-                    one[0].error = f"{type(exc).__name__}: {exc}"
-    queue.clear()
-
-
-def attribute_models(df: DataFrame, scorer: ModelScorer, encoder: EncoderCosine | None = None, id_col: str = "doc_id",
-                     text_col: str = "Headline", players: int | None = None, permutations: int | None = 16, seed: int = 0,
-                     label_chars: int = SENTIMENT_CHAR_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Sentiment and environmental attribution of any classifier and encoder,
-    both treated as black boxes on masked texts.
-
-    Players are the words of the text (``players=n``: n runs of words). A text
-    costs ``permutations * (words + 1)`` model calls, or with
-    ``permutations=None`` all ``2 ** players`` coalitions. One iterator pandas
-    UDF builds the masked texts of a batch of rows, runs the models on them in
-    batches that span rows, and returns the values: one output row per input
-    row, no explode, no shuffle. The environmental value of a masked text is
-    the sign of its sentiment times its cosine to the anchor.
-
-    A null text, or one that a model fails on, has null values and the reason
-    in ``attribution_error``; the other rows are not affected. Without an
-    encoder the environmental columns are null.
-    """
-    load, load_encoder, batch = scorer.loader, encoder.loader if encoder else None, scorer.batch_size
-    anchor = np.asarray(encoder.anchor_vector if encoder else [], dtype=np.float64)
-    if permutations is None and (players is None or players > MAX_EXACT_PLAYERS):
-        raise ValueError(f"exact enumeration takes players of at most {MAX_EXACT_PLAYERS}")
-
-    @F.pandas_udf(_MODEL_TYPE)
-    def explain(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        classify, encode = load(), load_encoder() if load_encoder else None
-        for ids, texts in parts:
-            done, queue = [], []
-            for doc, text in zip(ids, texts):
-                row = _Row(text if isinstance(text, str) else None, int(doc), players, permutations, seed, label_chars)
-                done.append(row)
-                if row.error is None:
-                    for at, masked in enumerate(row.texts()):
-                        queue.append((row, at, masked))
-                        if len(queue) >= _SCORED_AT_ONCE:
-                            _run_models(queue, classify, encode, anchor, batch)
-            _run_models(queue, classify, encode, anchor, batch)
-            yield pd.DataFrame([r.result(encode is not None) for r in done])
-
-    kept = [c for c in keep if c not in (id_col,)]
-    code = F.coalesce(F.col(id_col).cast("long"), F.lit(0))
-    return df.select(id_col, *kept, explain(code, F.col(text_col)).alias("__x")).select(id_col, *kept, "__x.*")
-
-
-def attribute_with_scorer(df: DataFrame, scorer: ModelScorer, id_col: str = "doc_id", text_col: str = "Headline",
-                          players: int = 8) -> DataFrame:
-    """Sentiment attribution of a classifier over all coalitions of ``players``
-    runs of words."""
-    return attribute_models(df, scorer, None, id_col, text_col, players, None)
+    known = F.col(text_col).isNotNull()
+    errors = [F.when(known & (F.col("__r.n_samples") > 1), F.col(f"__r.{c}")).alias(c) for c in ("sent_stderr", "env_stderr")]
+    return out.select(id_col, *shown, "chunks", "n_players", "label", *_known({c: F.col(f"__r.{c}") for c in _OUTPUTS}, F.col(text_col)),
+                      *errors, F.when(known, F.col("__r.n_samples")).alias("n_samples"))

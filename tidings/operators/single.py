@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tidings.config import ABBREVIATE_AT, DEFAULT, Settings
 from tidings.functions import scores as S
 from tidings.functions.text import abbreviate
-from tidings.operators.attribution import attribute_models, attribute_sampled, attribution_table
+from tidings.operators.attribution import attribute_sampled, attribution_table
+from tidings.operators.explain import attribute_models
 from tidings.operators.materiality import EncoderCosine
 from tidings.operators.score import analyze, normalize_single
 from tidings.operators.scorers import ModelScorer
@@ -51,6 +52,7 @@ def report_rows(explained: DataFrame, *ids: str) -> DataFrame:
         S.signed("esg_adjusted_score", 4).alias("adjusted_text"),
         S.signed(audit, 4).alias("audit_text"),
         audit.alias("audit_score"),
+        "attribution_error",
     )
 
 
