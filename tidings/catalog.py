@@ -22,6 +22,7 @@ from tidings.operators.explain import attribute_models, attribute_with_scorer
 from tidings.operators.games import FLIP_BIT, ORDER_INCREMENTS, ORDER_MODULUS, ORDER_MULTIPLIER, ORDER_SEED_STRIDE, ORDER_WARM_UP
 from tidings.operators.materiality import (BowCosine, EncoderCosine, VectorCosine, anchor_counts,
                                            anchor_vocabulary_encoder_loader, join_vectors)
+from tidings.operators.pipeline_scorer import PipelineScorer
 from tidings.operators.scorers import ModelScorer, label_list_to_columns, lexicon_model_loader
 from tidings.operators.score import analyze, normalize_single, score
 from tidings.operators.scoretable import score_resumable
@@ -382,6 +383,18 @@ def q_model_scorer_stub(spark, sf_dir):
                             "esg_adjusted_score"))
 
 
+def q_pipeline_scores(spark, sf_dir):
+    """Every headline scored by a pipeline trained on ``labels.quality`` (1:
+    positive) of the rows whose crc32(doc_id) mod 5 is not 0, saved and loaded."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality"]).filter(~held)
+    news = _news(spark, sf_dir)
+    path = fresh_path(spark, "pipeline-model")
+    PipelineScorer.train(news.join(labels, "doc_id"), "Headline", "quality", max_chars=None).save(path)
+    out = score(news, scorer=PipelineScorer.load(spark, path))
+    return rounded(out.select("doc_id", held.alias("held_out"), "positive", "negative", "neutral", "cumulative_score", "sentiment"))
+
+
 def q_stream_scores(spark, sf_dir):
     from tidings.streaming.live import live_scores
 
@@ -450,6 +463,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "materiality_encoder_stub": q_materiality_encoder_stub,
     "single_headline": q_single_headline,
     "model_scorer_stub": q_model_scorer_stub,
+    "pipeline_scores": q_pipeline_scores,
     "stream_scores": q_stream_scores,
     "stream_counts": q_stream_counts,
     "stream_top6": q_stream_top6,
@@ -882,7 +896,9 @@ ORACLE_SQL["materiality_encoder_stub"] = (
 )
 
 # Queries without a SQL twin, and why (checked in tests instead).
-NO_ORACLE: dict[str, str] = {}
+NO_ORACLE: dict[str, str] = {
+    "pipeline_scores": "trained coefficients; recomputed in SQL from a saved model in tests/test_pipeline_scorer.py",
+}
 ORACLE_SQL["sampled_attribution"] = (
     f"WITH {NEWS_SQL}, {_walk_ctes(SAMPLED_PLAYERS, SAMPLED_ORDERS)} " + _phi_table("env_phi", "'env_impact'", "env_err"))
 ORACLE_SQL["model_attribution"] = f"WITH {NEWS_SQL}, {_attribution_ctes(4)} " + _phi_table("sent_phi", "label")

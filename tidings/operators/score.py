@@ -27,7 +27,8 @@ def score(df: DataFrame, text_col: str = "Headline", scorer=None, materiality=No
     scorer = scorer or LexiconScorer(max_chars=settings.sentiment_chars)
     materiality = materiality or BowCosine(settings.anchor)
     s = "__scores"
-    out = df.withColumn(s, scorer.expr(F.col(text_col)))
+    # A fitted pipeline transforms frames; the other scorers are Columns.
+    out = scorer.add(df, text_col, s) if hasattr(scorer, "add") else df.withColumn(s, scorer.expr(F.col(text_col)))
     cols = [
         F.col(f"{s}.positive").alias("positive"),
         F.col(f"{s}.negative").alias("negative"),
