@@ -413,6 +413,20 @@ def q_stream_top6(spark, sf_dir):
     return live_top_companies(spark, sf_dir)
 
 
+def q_stream_summary(spark, sf_dir):
+    """Live means (A1-A5) read from the dashboard state after the stream is drained."""
+    from tidings.streaming.dashboard import live_summary
+
+    return rounded(live_summary(spark, sf_dir))
+
+
+def q_stream_histogram(spark, sf_dir):
+    """Live materiality histograms (A10, A11) read from the dashboard state."""
+    from tidings.streaming.dashboard import live_histogram
+
+    return rounded(live_histogram(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scored_headlines": q_scored_headlines,
     "company_tag": q_company_tag,
@@ -467,6 +481,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_scores": q_stream_scores,
     "stream_counts": q_stream_counts,
     "stream_top6": q_stream_top6,
+    "stream_summary": q_stream_summary,
+    "stream_histogram": q_stream_histogram,
 }
 
 
@@ -886,6 +902,8 @@ ORACLE_SQL["company_tag_automaton"] = ORACLE_SQL["company_tag_table"]
 
 ORACLE_SQL["parquet_round_trip"] = ORACLE_SQL["scored_headlines"]
 ORACLE_SQL["stream_top6"] = ORACLE_SQL["company_sentiment_top6"]
+ORACLE_SQL["stream_summary"] = ORACLE_SQL["summary_metrics"]
+ORACLE_SQL["stream_histogram"] = ORACLE_SQL["materiality_histogram"]
 _ENC_TOKENS = f"regexp_extract_all(lower(Headline), {_q(C.LEXICAL_TOKEN)})"
 _ENC_COUNTS = [f"len(list_filter({_ENC_TOKENS}, lambda w: w = {_q(t)}))" for t in _ANCHOR]
 ORACLE_SQL["materiality_encoder_stub"] = (

@@ -100,13 +100,15 @@ def _bin_expr(v: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def materiality_histogram(scored: DataFrame, group_col: str = "esg_flag", value_col: str = "materiality_score",
-                          bins: int = HISTOGRAM_BINS, broadcast_limit: int = DEFAULT.max_broadcast_groups) -> DataFrame:
+                          bins: int = HISTOGRAM_BINS, broadcast_limit: int = DEFAULT.max_broadcast_groups,
+                          count_col: str | None = None) -> DataFrame:
     """Per-group equal-width histogram over each group's own min..max.
 
     The (group, value) pairs are checkpointed once; bounds come from one
     grouped aggregate (one row per group value), joined back by broadcast
     when the group column is boolean; the counts are a second partial
-    aggregate; a spine exploded from the bounds keeps empty bins.
+    aggregate; a spine exploded from the bounds keeps empty bins. ``count_col``:
+    how many rows each row stands for (default 1).
     """
     from tidings.plans.chain import cut_lineage
 
@@ -116,7 +118,7 @@ def materiality_histogram(scored: DataFrame, group_col: str = "esg_flag", value_
     # filter on v would inline the whole value expression a second time.
     # Nulls drop out by themselves (min/max skip them, a null value gets a
     # null bin, and the spine join keeps bins 0..bins-1 only).
-    data = cut_lineage(scored.select(F.col(group_col).alias("grp"), v.alias("v")))
+    data = cut_lineage(scored.select(F.col(group_col).alias("grp"), v.alias("v"), *([F.col(count_col).alias("times")] if count_col else [])))
     bounds = (data.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
               .filter(F.col("lo").isNotNull()))
     # One bounds row per group value. A boolean group gives at most three
@@ -130,8 +132,9 @@ def materiality_histogram(scored: DataFrame, group_col: str = "esg_flag", value_
         right = F.broadcast(bounds) if bounds.count() <= broadcast_limit else bounds
     # Null is a group like any other: both joins are null-safe.
     edges = right.select(F.col("grp").alias("edge"), "lo", "hi")
-    binned = data.join(edges, F.col("grp").eqNullSafe(F.col("edge"))).select("grp", _bin_expr(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-    counts = binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
+    binned = data.join(edges, F.col("grp").eqNullSafe(F.col("edge"))).select(
+        "grp", _bin_expr(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"), *(["times"] if count_col else []))
+    counts = binned.groupBy("grp", "bin").agg((F.sum("times") if count_col else F.count(F.lit(1))).alias("n"))
     spine = bounds.select("grp", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     lo, hi = F.col("lo"), F.col("hi")
     width = F.when(lo == hi, F.lit(1.0 / bins)).otherwise((hi - lo) / F.lit(bins))
