@@ -110,7 +110,14 @@ def test_company_is_tagged_once_before_grouping(spark):
         assert plan.count("THEN Tata Power") == 1
 
 
-def test_dictionary_join_collects_nothing_and_uses_no_python(spark):
+def test_dictionary_scan_moves_no_text(spark):
     from tidings.operators.tag import company_dimension, tag_from_table
 
-    assert "EvalPython" not in _plan(tag_from_table(news_items(spark, SF), company_dimension(spark)))
+    plan = _plan(tag_from_table(news_items(spark, SF), company_dimension(spark)))
+    assert not _shuffles(plan) and "Join" not in plan and plan.count("ArrowEvalPython") > 0
+
+
+def test_dictionary_join_uses_no_python(spark):
+    from tidings.operators.tag import company_dimension, ranked_names, tag_by_join
+
+    assert "EvalPython" not in _plan(tag_by_join(news_items(spark, SF), ranked_names(company_dimension(spark))))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidings import config as C
 from tidings.functions.text import strip
-from tidings.operators.tag import (company_dimension, keyword_counts, require_headline, tag, tag_from_table,
+from tidings.operators.tag import (company_dimension, keyword_counts, require_headline, tag, ranked_names, tag_by_join, tag_from_table,
                                    with_matched_keywords)
 from tidings.sources.news import news_items
 
@@ -89,13 +89,13 @@ def test_dictionary_table_equals_the_fixed_list(spark):
     joined = sorted(tag_from_table(news, dim).select("doc_id", "company", "category").collect())
     plain = tag(news).select("doc_id", "company")
     assert sorted((r.doc_id, r.company) for r in joined) == sorted((r.doc_id, r.company) for r in plain.collect())
-    for gram in (1, 3, 9):
-        assert sorted(tag_from_table(news, dim, gram=gram).select("doc_id", "company", "category").collect()) == joined
+    for gram in (1, 4, 9):
+        assert sorted(tag_by_join(news, ranked_names(dim), gram=gram).select("doc_id", "company", "category").collect()) == joined
 
 
 def test_dictionaries_of_any_size_equal_a_plain_scan(spark, headlines):
     """17, 600 and 5,000 names, with empty and null ones, short ones, repeats,
-    overlaps and an integer carry column, all by one path."""
+    overlaps and an integer carry column, by the automaton and by the join."""
     from tidings.config import COMPANIES
 
     texts = ["Tata Power and NTPC", "", None, "abigail x", "tataTata power energy", "no hit (here)", "zz filler 17 zz filler 4999", "İstanbul ENERGY", "a"]
@@ -104,13 +104,30 @@ def test_dictionaries_of_any_size_equal_a_plain_scan(spark, headlines):
         names = (list(COMPANIES) + ["Tata", "Energy", "gy", "POWER", "Tata"] + [f"zz filler {i}" for i in range(size)])[:max(size, 17)]
         rows = [(i, n, i * 7) for i, n in enumerate(names)] + [(size + 10, n, k) for n, k in extra]
         dim = spark.createDataFrame(rows, "priority int, company string, number int")
-        got = {r.doc_id: (r.company, r.number) for r in tag_from_table(df, dim, carry=("number",)).collect()}
-        for i, t in enumerate(texts):
-            hit = next(((n, k) for _, n, k in rows if n is not None and t is not None and n.lower() in t.lower()), (None, None))
-            assert got[i] == hit, (size, t, got[i], hit)
+        for limit in (None, 1):  # the automaton, and the join where it is too large
+            got = {r.doc_id: (r.company, r.number) for r in tag_from_table(df, dim, carry=("number",), max_bytes=limit).collect()}
+            for i, t in enumerate(texts):
+                hit = next(((n, k) for _, n, k in rows if n is not None and t is not None and n.lower() in t.lower()), (None, None))
+                assert got[i] == hit, (size, limit, t, got[i], hit)
     assert [c for c in tag_from_table(df, dim, carry=("number",)).columns] == ["doc_id", "Headline", "company", "number"]
 
 
+def test_fifty_thousand_names_equal_a_plain_scan(spark, headlines):
+    import random
+
+    from tidings.operators.automaton import tag_by_automaton
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(3, 9))) for _ in range(50_000)]
+    texts = ["".join(rng.choice("abcdeé  ") for _ in range(rng.randint(0, 60))) for _ in range(150)] + [None]
+    dim = spark.createDataFrame([(i, n, "x") for i, n in enumerate(names)], "priority int, company string, category string")
+    df = headlines(list(enumerate(texts))).repartition(3)
+    out = tag_by_automaton(df, ranked_names(dim))
+    got = {r.doc_id: r.company for r in out.collect()}
+    assert got == {i: next((n for n in names if t is not None and n in t), None) for i, t in enumerate(texts)}
+    assert tag_by_automaton(df, ranked_names(dim), max_bytes=1000) is None and tag_by_automaton(df, ranked_names(dim), max_names=1000) is None
+
+
 def test_matched_keywords_follow_the_flag_on_unicode_letters(spark, headlines):
     df = headlines([(1, "ſolar plant"), (2, "bİofuel clımate"), (3, "hYDRO wınd"), (4, "none")])
     rows = {r.doc_id: r for r in with_matched_keywords(tag(df)).collect()}

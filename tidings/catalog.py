@@ -33,6 +33,8 @@ from tidings.operators.tag import (
     funnel_rows,
     keyword_counts,
     tag,
+    ranked_names,
+    tag_by_join,
     tag_from_table,
     with_category,
 )
@@ -80,10 +82,22 @@ def q_company_tag_table(spark, sf_dir):
         "doc_id", "company", "category")
 
 
+def q_company_tag_join(spark, sf_dir):
+    """The same tags by the join that takes a dictionary of any size."""
+    return tag_by_join(_news(spark, sf_dir), ranked_names(company_dimension(spark))).select("doc_id", "company", "category")
+
+
+def _large_dictionary(spark, sf_dir):
+    """The companies, then every distinct word of six letters or more of ``benchmark``,
+    in alphabetical order (equal priority: the name decides)."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0)).alias("company")
+    words = read_table(spark, sf_dir, "benchmark", ["text"]).select(word).distinct()
+    return company_dimension(spark).unionByName(words.select(F.lit(100).alias("priority"), "company", F.lit("Word").alias("category")))
+
+
 def q_company_tag_automaton(spark, sf_dir):
-    """The same join on shorter grams: the result doesn't depend on them."""
-    return tag_from_table(_news(spark, sf_dir), company_dimension(spark), gram=3).select(
-        "doc_id", "company", "category")
+    """Hundreds to thousands of names (companies, words of ``benchmark``), one scan."""
+    return tag_from_table(_news(spark, sf_dir), _large_dictionary(spark, sf_dir)).select("doc_id", "company", "category")
 
 
 def q_esg_flag(spark, sf_dir):
@@ -432,6 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "company_tag": q_company_tag,
     "company_tag_table": q_company_tag_table,
     "company_tag_automaton": q_company_tag_automaton,
+    "company_tag_join": q_company_tag_join,
     "esg_flag": q_esg_flag,
     "noise_flag": q_noise_flag,
     "keyword_hits": q_keyword_hits,
@@ -898,7 +913,13 @@ ORACLE_SQL: dict[str, str] = {
     "stream_scores": BASE_CTES + f"SELECT {SCORED_SELECT} FROM scored",
     "stream_counts": BASE_CTES + "SELECT sentiment, esg_flag, count(*) AS n FROM scored GROUP BY ALL",
 }
-ORACLE_SQL["company_tag_automaton"] = ORACLE_SQL["company_tag_table"]
+ORACLE_SQL["company_tag_join"] = ORACLE_SQL["company_tag_table"]
+ORACLE_SQL["company_tag_automaton"] = (
+    f"WITH {NEWS_SQL}, {DIM_SQL}, words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{6,}}')) AS w FROM benchmark), "
+    "names AS (SELECT priority, company, category FROM dim UNION ALL SELECT 100, w, 'Word' FROM words), "
+    "hits AS (SELECT n.doc_id, d.company, d.category, row_number() OVER (PARTITION BY n.doc_id ORDER BY d.priority, d.company) AS k "
+    "FROM news n JOIN names d ON contains(lower(n.Headline), lower(d.company))) "
+    "SELECT n.doc_id, h.company, h.category FROM news n LEFT JOIN hits h ON h.doc_id = n.doc_id AND h.k = 1")
 
 ORACLE_SQL["parquet_round_trip"] = ORACLE_SQL["scored_headlines"]
 ORACLE_SQL["stream_top6"] = ORACLE_SQL["company_sentiment_top6"]

@@ -115,14 +115,17 @@ def _key_places(keyed: DataFrame, gram: int) -> list[list[str]]:
     return [["[" + "".join(f"\\x{{{ord(c):x}}}" for c in r[f"p{i}"]) + "]" for i in range(1, r["n"] + 1)] for r in rows]
 
 
-def _keyed_names(dim: DataFrame, name_col: str, order_col: str, carry: tuple[str, ...], gram: int) -> DataFrame:
-    """key, low, rank, hit: one row per lower-cased name, its first entry in
-    dictionary order, and the name's rarest gram in the dictionary as its key
-    (a name shorter than ``gram`` is its own key)."""
+def ranked_names(dim: DataFrame, name_col: str = "company", order_col: str = "priority", carry: tuple[str, ...] = ("category",)) -> DataFrame:
+    """low, rank, hit: one row per lower-cased name, its first entry in dictionary order."""
     hit = F.struct(F.col(name_col).alias(name_col), *[F.col(c).alias(c) for c in carry])
     rank = F.struct(F.col(order_col).isNull().alias("none"), F.col(order_col).alias("order"), F.col(name_col).alias("name"))
-    names = (dim.filter(F.col(name_col).isNotNull()).select(F.lower(F.col(name_col)).alias("low"), rank.alias("rank"), hit.alias("hit"))
-             .groupBy("low").agg(F.min("rank").alias("rank"), F.min_by("hit", "rank").alias("hit")))
+    return (dim.filter(F.col(name_col).isNotNull()).select(F.lower(F.col(name_col)).alias("low"), rank.alias("rank"), hit.alias("hit"))
+            .groupBy("low").agg(F.min("rank").alias("rank"), F.min_by("hit", "rank").alias("hit")))
+
+
+def _keyed(names: DataFrame, gram: int) -> DataFrame:
+    """``names`` with the name's rarest gram in the dictionary as its key (a name
+    shorter than ``gram`` is its own key)."""
     pieces = names.select("low", F.explode(F.when(F.length("low") < gram, F.array("low")).otherwise(
         F.array_distinct(_grams(F.col("low"), ["."] * gram)))).alias("key"))
     rarity = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -133,21 +136,33 @@ def _keyed_names(dim: DataFrame, name_col: str, order_col: str, carry: tuple[str
 
 def tag_from_table(df: DataFrame, dim: DataFrame, text_col: str = "Headline",
                    name_col: str = "company", order_col: str = "priority",
-                   carry: tuple[str, ...] = ("category",), gram: int = 4) -> DataFrame:
+                   carry: tuple[str, ...] = ("category",), max_bytes: int | None = None) -> DataFrame:
     """First dictionary hit (lowest ``order_col``) for each row, plus the
     ``carry`` columns of the matching dictionary row.
 
-    One path for a dictionary of any size; of it only the sets of characters
-    in its keys' places reach the driver. Each
+    Same definition as ``tag``: raw substring, lower-cased on both sides, dictionary
+    order decides. An empty name occurs in every text; a null name in none. The
+    texts are scanned once by a broadcast automaton of the names (``automaton``); a
+    dictionary too large to broadcast, by its measured size, is joined (``tag_by_join``).
+    """
+    from tidings.operators import automaton
+
+    names = ranked_names(dim, name_col, order_col, carry)
+    tagged = automaton.tag_by_automaton(df, names, text_col, automaton.MAX_AUTOMATON if max_bytes is None else max_bytes)
+    return tagged if tagged is not None else tag_by_join(df, names, text_col)
+
+
+def tag_by_join(df: DataFrame, names: DataFrame, text_col: str = "Headline", gram: int = 4) -> DataFrame:
+    """``tag_from_table`` for a dictionary of any size, ``names`` of ``ranked_names``; of it
+    only the sets of characters in its keys' places reach the driver. Each
     name is keyed by its rarest ``gram`` characters, the keys are equi-joined
-    with the distinct grams of the texts that have a key's characters in its
+    with the distinct grams of the distinct texts that have a key's characters in its
     places (the planner broadcasts the keys only if their size allows), and the few candidates of a text are joined back by
-    the text's hash and verified with ``contains``. Same definition as ``tag``: raw substring,
-    lower-cased on both sides, dictionary order decides. An empty name occurs in
-    every text; a null name in none.
+    the text's hash and verified with ``contains``. Copies of a text share a key; the
+    adaptive planner splits their side of the join.
     """
-    own = df.columns
-    keyed = _keyed_names(dim, name_col, order_col, carry, gram)
+    own, columns = df.columns, names.schema["hit"].dataType.names
+    keyed = _keyed(names, gram)
     low = F.lower(F.col(text_col))
     text = df.select(F.xxhash64(low).alias("th"), low.alias("low_text")).filter(F.col("low_text").isNotNull())
     parts = [_grams(F.col("low_text"), places) for places in _key_places(keyed, gram)] or [F.array().cast("array<string>")]
@@ -160,9 +175,11 @@ def tag_from_table(df: DataFrame, dim: DataFrame, text_col: str = "Headline",
         ranked = F.array_sort(found, lambda a, b: F.when(a["rank"] < b["rank"], F.lit(-1)).when(a["rank"] > b["rank"], F.lit(1)).otherwise(F.lit(0)))
         return F.try_element_at(ranked, F.lit(1))["hit"]
 
-    joined = df.withColumn("__key", F.xxhash64(low)).join(near, F.col("__key") == F.col("__th"), "left")
+    # A row without a text has no candidates: any number is its key, so such rows share no task.
+    key = F.when(low.isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(low))
+    joined = df.withColumn("__key", key).join(near, F.col("__key") == F.col("__th"), "left")
     hit = joined.withColumn("__hit", tagging.with_lowered(text_col, first))
-    return hit.select(*own, *[F.col("__hit")[c].alias(c) for c in (name_col, *carry)])
+    return hit.select(*own, *[F.col("__hit")[c].alias(c) for c in columns])
 
 
 def with_category(df: DataFrame, dim: DataFrame) -> DataFrame:
