@@ -9,6 +9,7 @@ comparison; each oracle is written independently in SQL (joins,
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,8 @@ from tidings.operators.games import FLIP_BIT, ORDER_INCREMENTS, ORDER_MODULUS, O
 from tidings.operators.materiality import (BowCosine, EncoderCosine, VectorCosine, anchor_counts,
                                            anchor_vocabulary_encoder_loader, join_vectors)
 from tidings.operators.pipeline_scorer import PipelineScorer
-from tidings.operators.scorers import ModelScorer, label_list_to_columns, lexicon_model_loader
+from tidings.operators.scorers import (ModelScorer, label_list_to_columns, lexicon_from_weights, lexicon_model_loader,
+                                       save_lexicon_weights)
 from tidings.operators.score import analyze, normalize_single, score
 from tidings.operators.scoretable import score_resumable
 from tidings.operators.single import report_rows
@@ -40,6 +42,7 @@ from tidings.operators.tag import (
 )
 from tidings.plans.chain import spread
 from tidings.session import fresh_path
+from tidings.shipping import ship_weights, weights_loader
 from tidings.sources.csv_io import read_headlines_csv, write_results_csv, write_results_parquet
 from tidings.sources.news import LEAD_COMPANIES, news_items
 from tidings.sources.tables import read_table
@@ -397,6 +400,16 @@ def q_model_scorer_stub(spark, sf_dir):
                             "esg_adjusted_score"))
 
 
+def q_shipped_model_scores(spark, sf_dir):
+    """Headlines scored by a model that is built on the workers from shipped
+    weights (saved, zipped, checked and unpacked there)."""
+    with tempfile.TemporaryDirectory() as folder:  # of the driver; Spark serves the copy it makes
+        save_lexicon_weights(folder)
+        weights = ship_weights(spark, folder)
+    s = score(_news(spark, sf_dir), scorer=ModelScorer(weights_loader(weights, lexicon_from_weights)))
+    return rounded(s.select("doc_id", "positive", "negative", "neutral", "cumulative_score", "sentiment"))
+
+
 def q_pipeline_scores(spark, sf_dir):
     """Every headline scored by a pipeline trained on ``labels.quality`` (1:
     positive) of the rows whose crc32(doc_id) mod 5 is not 0, saved and loaded."""
@@ -493,6 +506,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "single_headline": q_single_headline,
     "model_scorer_stub": q_model_scorer_stub,
     "pipeline_scores": q_pipeline_scores,
+    "shipped_model_scores": q_shipped_model_scores,
     "stream_scores": q_stream_scores,
     "stream_counts": q_stream_counts,
     "stream_top6": q_stream_top6,
@@ -921,6 +935,7 @@ ORACLE_SQL["company_tag_automaton"] = (
     "FROM news n JOIN names d ON contains(lower(n.Headline), lower(d.company))) "
     "SELECT n.doc_id, h.company, h.category FROM news n LEFT JOIN hits h ON h.doc_id = n.doc_id AND h.k = 1")
 
+ORACLE_SQL["shipped_model_scores"] = ORACLE_SQL["sentiment_scores"]
 ORACLE_SQL["parquet_round_trip"] = ORACLE_SQL["scored_headlines"]
 ORACLE_SQL["stream_top6"] = ORACLE_SQL["company_sentiment_top6"]
 ORACLE_SQL["stream_summary"] = ORACLE_SQL["summary_metrics"]

@@ -263,9 +263,11 @@ def attribution_table(attributed: DataFrame, output: str, id_col: str = "doc_id"
     parts = [F.when(known, F.col("chunks")).alias("token"), F.col(phi).alias("phi")]
     if f"{side}_stderr" in attributed.columns:
         parts.append(F.col(f"{side}_stderr").alias("phi_stderr"))
-    rows = attributed.select(
-        id_col, *carry, label.alias("output"), top.alias("__top"), row_error().alias("attribution_error"),
-        F.posexplode_outer(F.arrays_zip(*parts)).alias("player", "z"))
+    # Whatever reads the arrays comes before the explode: an expression beside it would
+    # be evaluated for, and carry the arrays into, every exploded row.
+    ready = attributed.select(id_col, *carry, label.alias("output"), top.alias("__top"), row_error().alias("attribution_error"),
+                              F.arrays_zip(*parts).alias("__zipped"))
+    rows = ready.select(id_col, *carry, "output", "__top", "attribution_error", F.posexplode_outer("__zipped").alias("player", "z"))
     weight = F.when(F.col("__top") == 0, F.lit(0.0)).otherwise(F.col("z.phi") / F.col("__top"))
     return rows.select(
         id_col, *carry, "output", "player", F.col("z.token").alias("token"), F.col("z.phi").alias("phi"), weight.alias("weight"),

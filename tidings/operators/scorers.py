@@ -194,3 +194,26 @@ def lexicon_model_loader(fail_on: str | None = "fly ash"):
         return model
 
     return load
+
+
+def save_lexicon_weights(folder: str, positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS) -> None:
+    """The stub classifier's parameters as a weights file, ``words.npz``."""
+    np.savez(f"{folder}/words.npz", words=np.array([*positive, *negative]), signs=np.array([1] * len(positive) + [-1] * len(negative)))
+
+
+def lexicon_from_weights(folder: str):
+    """The stub classifier made of a folder of weights (``shipping.weights_loader``)."""
+    with np.load(f"{folder}/words.npz") as data:
+        sign = dict(zip(data["words"].tolist(), data["signs"].tolist()))
+    token = re.compile(LEXICAL_TOKEN)
+
+    def model(texts: list[str]):
+        out = []
+        for t in texts:
+            found = [sign.get(w, 0) for w in token.findall(t.lower())]
+            p, n = found.count(1), found.count(-1)
+            z = p + n + 1.0
+            out.append([{"label": "Positive", "score": p / z}, {"label": "Negative", "score": n / z}, {"label": "Neutral", "score": 1 / z}])
+        return out
+
+    return model
