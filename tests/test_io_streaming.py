@@ -3,9 +3,11 @@
 import os
 import tempfile
 
+import pytest
+
 from tidings.catalog import SCORED_COLUMNS
 from tidings.operators.score import analyze
-from tidings.sources.csv_io import read_headlines_csv, write_results_csv
+from tidings.sources.csv_io import read_headlines_csv, read_headlines_folder, write_results_csv
 from tidings.sources.news import news_items
 from tidings.streaming.live import live_counts, live_scores
 
@@ -42,6 +44,39 @@ def test_pandas_style_csv_reads(spark):
     assert df.count() == 2 and "Headline link" in df.columns
 
 
+def test_a_folder_of_files_with_different_columns_is_read_by_name(spark, tmp_path):
+    files = {
+        "a.csv": 'Headline,Date,n\nGAIL loss,2021-02-03,1\n"two\nlines, here",2021-02-04,2\n',
+        "b.csv": '\ufeffDate,Headline\n2021-02-05,NHPC wins\n2021-02-06,short\n2021-02-07\n',
+        "c d.csv": 'n,Headline,Headline link,n\n7,"q ""x""",/l,8\n,"",/m,\n',
+        "e.csv": "",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    rows, rejected = read_headlines_folder(spark, str(tmp_path))
+    assert dict(rows.dtypes) == {"Headline": "string", "Date": "date", "n": "int", "Headline link": "string", "n.1": "int"}
+    got = {(r["Headline"], str(r["Date"]), r["n"], r["Headline link"], r["n.1"]) for r in rows.collect()}
+    assert got == {("GAIL loss", "2021-02-03", 1, None, None), ("two\nlines, here", "2021-02-04", 2, None, None),
+                   ("NHPC wins", "2021-02-05", None, None, None), ("short", "2021-02-06", None, None, None), (None, "2021-02-07", None, None, None),
+                   ('q "x"', "None", 7, "/l", 8), ("", "None", None, "/m", None)}
+    assert rejected.count() == 0 and read_headlines_csv(spark, str(tmp_path)).count() == 7
+    (tmp_path / "f.csv").write_text("Title,n\nx,1\n")
+    with pytest.raises(ValueError, match="f.csv"):
+        read_headlines_csv(spark, str(tmp_path))
+
+
+def test_records_with_too_many_cells_are_set_aside_with_file_and_line(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Headline,n\nfine,1\nbad,2,3\n"has\nbreak",4\nbad,2,3\nshort\n"bad\ntoo",5,6,7\ntrailing,8,\n')
+    (tmp_path / "b.csv").write_text("n,Headline\n1,fine\n9,8,bad\n")
+    rows, rejected = read_headlines_folder(spark, str(tmp_path))
+    assert sorted((r["Headline"], r["n"]) for r in rows.collect()) == sorted([("fine", 1), ("has\nbreak", 4), ("short", None), ("trailing", 8), ("fine", 1)], key=str) or \
+        {(r["Headline"], r["n"]) for r in rows.collect()} == {("fine", 1), ("has\nbreak", 4), ("short", None), ("trailing", 8)}
+    found = sorted((os.path.basename(r["file"]), r["line"], r["record"].strip()) for r in rejected.collect())
+    assert found == [("a.csv", 3, "bad,2,3"), ("a.csv", 6, "bad,2,3"), ("a.csv", 8, '"bad\ntoo",5,6,7'), ("b.csv", 3, "9,8,bad")]
+    with pytest.raises(Exception, match="more cells than columns"):
+        read_headlines_csv(spark, str(tmp_path)).collect()
+
+
 def test_missing_headline_column_fails_early(spark):
     d = tempfile.mkdtemp(prefix="csvbad-")
     p = os.path.join(d, "in.csv")

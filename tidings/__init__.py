@@ -18,7 +18,7 @@ from tidings.operators.scoretable import score_resumable
 from tidings.operators.single import analyze_single, explain_single
 from tidings.operators.tag import company_dimension, filter_funnel, funnel_rows, keyword_counts, tag, tag_from_table
 from tidings.shipping import ship_package, ship_weights, weights_loader
-from tidings.sources.csv_io import read_headlines_csv, write_results_csv, write_results_parquet
+from tidings.sources.csv_io import read_headlines_csv, read_headlines_folder, write_results_csv, write_results_parquet
 from tidings.sources.news import news_items
 
 __all__ = [
@@ -26,6 +26,6 @@ __all__ = [
     "attribution_table", "audit_scores", "BowCosine", "EncoderCosine", "VectorCosine", "analyze",
     "normalize_single", "score", "LexiconScorer", "ModelScorer", "label_list_to_columns", "analyze_single",
     "explain_single", "score_resumable", "company_dimension", "filter_funnel", "funnel_rows", "keyword_counts", "tag",
-    "tag_from_table", "read_headlines_csv", "write_results_csv", "write_results_parquet", "news_items",
+    "tag_from_table", "read_headlines_csv", "read_headlines_folder", "write_results_csv", "write_results_parquet", "news_items",
     "ship_package", "ship_weights", "weights_loader",
 ]

@@ -43,7 +43,7 @@ from tidings.operators.tag import (
 from tidings.plans.chain import spread
 from tidings.session import fresh_path
 from tidings.shipping import ship_weights, weights_loader
-from tidings.sources.csv_io import read_headlines_csv, write_results_csv, write_results_parquet
+from tidings.sources.csv_io import read_headlines_csv, read_headlines_folder, write_results_csv, write_results_parquet
 from tidings.sources.news import LEAD_COMPANIES, news_items
 from tidings.sources.tables import read_table
 
@@ -370,6 +370,44 @@ def q_csv_round_trip(spark, sf_dir):
     return rounded(back)
 
 
+def _mixed_csv_folder(spark, sf_dir):
+    """The news as a folder of CSV files: even ids with one order of columns, odd
+    ones with another and without ``lang``; every 50th id once more, in a line with
+    a cell too many."""
+    path = fresh_path(spark, "mixed-csv")
+    news = news_items(spark, sf_dir)
+    write_results_csv(news.filter("doc_id % 2 = 0").select("doc_id", "Headline", "lang", "source"), path)
+    write_results_csv(news.filter("doc_id % 2 <> 0").select("source", "Headline", "doc_id"), path, mode="append")
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.lit('"x, y"'), F.col("source"), F.lit("too many"))
+    # One raw column whose name is the header line.
+    raw = news.filter("doc_id % 50 = 7").select(line.alias("doc_id,Headline,source"))
+    raw.write.mode("append").options(header="true", sep="\u0001", quote="\u0000").csv(path)
+    return path
+
+
+def q_csv_by_header(spark, sf_dir):
+    """A folder whose files order their columns differently, read by name."""
+    schema = news_items(spark, sf_dir).schema
+    return read_headlines_folder(spark, _mixed_csv_folder(spark, sf_dir), schema)[0]
+
+
+def q_csv_rejected(spark, sf_dir):
+    """The records of that folder with more cells than their header; a line number each."""
+    rejected = read_headlines_folder(spark, _mixed_csv_folder(spark, sf_dir), news_items(spark, sf_dir).schema)[1]
+    return rejected.select("record", (F.col("line") > 1).alias("located"))
+
+
+def q_no_company_reports(spark, sf_dir):
+    """The reports on headlines of which none names a company: empty tables, not errors."""
+    rows = _scored(spark, sf_dir).filter(F.col("company").isNull())
+    pivot = R.company_sentiment_top(rows)
+    out = R.summary_metrics(rows).select(F.lit("headlines").alias("report"), F.col("total_headlines").alias("n"))
+    for name, report in (("top", R.top_companies(rows)), ("pivot", pivot), ("stacked", R.stacked_offsets(pivot)),
+                         ("distribution", R.sentiment_distribution(rows))):
+        out = out.unionByName(report.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("report"), "n"))
+    return out
+
+
 def q_parquet_round_trip(spark, sf_dir):
     """Write the full result as parquet to the work folder and read it back."""
     path = fresh_path(spark, "results-parquet")
@@ -502,6 +540,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "row_count": q_row_count,
     "csv_round_trip": q_csv_round_trip,
     "parquet_round_trip": q_parquet_round_trip,
+    "csv_by_header": q_csv_by_header,
+    "csv_rejected": q_csv_rejected,
+    "no_company_reports": q_no_company_reports,
     "materiality_encoder_stub": q_materiality_encoder_stub,
     "single_headline": q_single_headline,
     "model_scorer_stub": q_model_scorer_stub,
@@ -935,6 +976,11 @@ ORACLE_SQL["company_tag_automaton"] = (
     "FROM news n JOIN names d ON contains(lower(n.Headline), lower(d.company))) "
     "SELECT n.doc_id, h.company, h.category FROM news n LEFT JOIN hits h ON h.doc_id = n.doc_id AND h.k = 1")
 
+ORACLE_SQL["csv_by_header"] = f"WITH {NEWS_SQL} SELECT doc_id, Headline, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, source FROM news"
+ORACLE_SQL["csv_rejected"] = "SELECT doc_id || ',\"x, y\",' || source || ',too many' AS record, true AS located FROM documents WHERE doc_id % 50 = 7"
+ORACLE_SQL["no_company_reports"] = BASE_CTES + (
+    "SELECT 'headlines' AS report, count(*) AS n FROM scored WHERE company IS NULL UNION ALL SELECT unnest(['top', 'pivot', 'stacked']), 0 "
+    "UNION ALL SELECT 'distribution', count(DISTINCT sentiment) FROM scored WHERE company IS NULL")
 ORACLE_SQL["shipped_model_scores"] = ORACLE_SQL["sentiment_scores"]
 ORACLE_SQL["parquet_round_trip"] = ORACLE_SQL["scored_headlines"]
 ORACLE_SQL["stream_top6"] = ORACLE_SQL["company_sentiment_top6"]
