@@ -60,3 +60,19 @@ def test_query_against_a_plain_version(spark):
     rows = out.collect()
     assert {r["page_id"]: r["text"] for r in rows} == {k: plain(v) for k, v in pages.items()}
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def test_attributes_of_any_length_and_deep_nesting():
+    import time
+
+    long = "a > b " * 200_000
+    for q in "\"'":
+        page = f"<html><body><article><p>Before, it.</p><img alt={q}{long}{q}><p title={q}{long}{q}>After, that.</p></article></body></html>"
+        assert H.main_text(page) == "Before, it. After, that."
+    took = []
+    for depth in (4000, 16000):
+        start = time.perf_counter()
+        page = "<html><body><article>" + "<div>" * depth + "<p>Deep text, here.</p>" + "</div>" * depth + "</article></body></html>"
+        assert H.main_text(page) == "Deep text, here."
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0] + 0.5

@@ -32,6 +32,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from tidings.llm.common import small, table
 
 _MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]{0,65536}"|'[^']{0,65536}')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
     re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -97,6 +98,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool, int]], bool]:
     doubted: list[tuple[int, int]] = []  # depth and number of open elements with such a name
     doubts = 0
     stack: list[tuple[str, str, bool]] = []  # tag, path step, left out
+    opened: Counter = Counter()  # how often each tag is on the stack
     hidden = inside = 0
     marked = link = False
     text: list[str] = []
@@ -115,13 +117,14 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool, int]], bool]:
     def pop() -> None:
         nonlocal hidden, inside
         tag, _, out_of = stack.pop()
+        opened[tag] -= 1
         if doubted and doubted[-1][0] > len(stack):
             doubted.pop()
         hidden -= out_of
         inside -= tag in ("article", "main")
 
     def leave_head() -> None:
-        while any(t == "head" for t, _, _ in stack):
+        while opened["head"]:
             pop()
 
     def add(piece: str) -> None:
@@ -148,7 +151,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool, int]], bool]:
         if closing:
             if tag == "a":
                 link = False
-            if any(t == tag for t, _, _ in reversed(stack)):
+            if opened[tag]:
                 flush()
                 while stack[-1][0] != tag:
                     pop()
@@ -156,7 +159,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool, int]], bool]:
             elif tag not in INLINE:
                 flush()
             continue
-        if tag not in HEADED and not any(t in ("noscript", "template") for t, _, _ in stack) or tag in ("body", "frameset"):
+        if tag not in HEADED and not (opened["noscript"] or opened["template"]) or tag in ("body", "frameset"):
             leave_head()
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -180,7 +183,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool, int]], bool]:
             link = link or tag == "a" and likely
         else:
             link = False
-            if any(t == "p" for t, _, _ in stack):  # a block ends an open paragraph
+            if opened["p"]:  # a block ends an open paragraph
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
                         while len(stack) > k:
@@ -199,6 +202,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, int, bool, int]], bool]:
             continue
         names = _NAMES.search(attributes) if tag == "div" else None
         stack.append((tag, tag + ("." + (names[2] or names[3] or names[4] or "").lower() if names else ""), bad))
+        opened[tag] += 1
         hidden += bad
         if likely:
             doubts += 1
