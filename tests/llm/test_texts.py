@@ -38,6 +38,15 @@ def test_repeated_words_share_one_pair_feature():
     assert pair[0] == pair[1] and len(pair[0]) == 1
 
 
+def test_every_language_is_learned(spark):
+    """300 languages, one letter pair each: none is left out."""
+    assert [language.buckets_for(n) for n in (1, 4, 256, 257, 1024, 7000)] == [16, 16, 16, 15, 14, 11]
+    pairs = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmno"]
+    docs = spark.createDataFrame([(i * 10 + k, f"{p} " * 30, p) for i, p in enumerate(pairs) for k in range(2)], "doc_id long, text string, lang string")
+    model = language.fit_language(docs, F.lit(True), per_lang=2, sample_rows=600)
+    assert len(model.classes) == 300 and model.features.bits == 15
+
+
 def test_long_text_equals_its_pieces():
     text = (b"some words of a long text " * 90_000) + b"end"
     values, share = quality.FEATURES.counts(text)

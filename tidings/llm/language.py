@@ -4,9 +4,11 @@ Averaged hashed subword embeddings with a linear softmax, trained by
 stochastic gradient descent in numpy, with calibrated rejection.
 
 Learning reads only (text, lang) of documents in the learning folds: at most
-``per_lang`` documents of each language (the ``max_langs`` most frequent ones),
-picked by a hash of the id, so reruns agree. That sample is the documented
-bound on what reaches the driver; features are made in the tasks. One document
+``per_lang`` documents of each language, and ``sample_rows`` in all (then fewer of
+each), picked by a hash of the id, so reruns agree. That sample is the documented
+bound on what reaches the driver; features are made in the tasks. Every language is
+learned: with more than 256 the features are hashed to fewer buckets, so that
+buckets x languages, the size of the model, keeps its bound. One document
 in five of the sample is kept out of the descent to fit the temperature and
 the rejection threshold.
 
@@ -19,6 +21,7 @@ each row is predicted; extra columns are ignored; an empty table gives none.
 from __future__ import annotations
 
 import string
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +35,19 @@ _FOLD = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_letters else b if b
 FEATURES = Features(bits=16, words=False, table=_FOLD)
 
 
-def sample_ids(labelled: DataFrame, per_class: int, max_classes: int) -> list[tuple]:
-    """At most ``per_class`` (expected) ids of each of the most frequent labels.
+def sample_ids(labelled: DataFrame, per_class: int, max_classes: int | None = None, sample_rows: int | None = None) -> list[tuple]:
+    """At most ``per_class`` (expected) ids of each label (of the ``max_classes`` most
+    frequent), fewer where all labels would have more than ``sample_rows``.
 
     labelled: columns id, label, neither null, one row per id. The counts are
     partial aggregates; what is collected is bounded by the two parameters.
     """
-    counts = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_classes).collect()
+    counts = labelled.groupBy("label").count().orderBy(F.desc("count"), "label")
+    counts = (counts if max_classes is None else counts.limit(max_classes)).collect()
     if not counts:
         return []
+    if sample_rows is not None:
+        per_class = max(1, min(per_class, sample_rows // len(counts)))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, per_class / r["count"])))])
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = (labelled.filter(F.col("label").isin([r["label"] for r in counts]))
@@ -74,18 +81,25 @@ def sample_features(docs: DataFrame, ids: list[tuple], features: Features) -> tu
             [label[r["id"]] for r in made])
 
 
-def fit_language(docs: DataFrame, learn: Column, per_lang: int = 500, max_langs: int = 256, dim: int = 16) -> Model | None:
+def buckets_for(languages: int) -> int:
+    """Bits of the feature hash: 16 up to 256 languages, one less per doubling."""
+    return max(8, FEATURES.bits - max(0, (languages - 1).bit_length() - 8))
+
+
+def fit_language(docs: DataFrame, learn: Column, per_lang: int = 500, sample_rows: int = 128_000, dim: int = 16) -> Model | None:
     """docs: doc_id, text, lang. learn: which rows may be learned from."""
     labelled = (docs.filter(learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
                 .groupBy(F.col("doc_id").alias("id")).agg(F.min("lang").alias("label")))
-    rows, labels = sample_features(docs, sample_ids(labelled, per_lang, max_langs), FEATURES)
+    ids = sample_ids(labelled, per_lang, sample_rows=sample_rows)
+    features = replace(FEATURES, bits=buckets_for(len({y for _, y in ids})))
+    rows, labels = sample_features(docs, ids, features)
     if not rows:
         return None
     classes = sorted(set(labels))
     y = np.array([classes.index(v) for v in labels])
     aside = np.arange(len(rows)) % 5 == 4
     pick = [i for i in range(len(rows)) if not aside[i]] or list(range(len(rows)))
-    model = train(FEATURES, [rows[i] for i in pick], y[pick], classes, dim)
+    model = train(features, [rows[i] for i in pick], y[pick], classes, dim)
     return calibrate(model, [r for r, a in zip(rows, aside) if a], y[aside])
 
 
