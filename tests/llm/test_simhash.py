@@ -113,6 +113,16 @@ def test_keep_one_leaves_one_row_a_component(spark):
     assert [r["text"] for r in kept.filter("doc_id is null").collect()] == ["lonely text here"]
 
 
+def test_keep_one_keeps_unlike_texts_of_one_id(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve thirteen"
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "x"), (2, a, "y"), (3, b, "z"), (4, "something else entirely here now", "w"),
+            (5, a + " ", "k"), (6, "lone words of another row", "m"), (6, "lone words of another row", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = sorted(tuple(r) for r in S.keep_one(docs).collect())
+    assert [r[:2] for r in kept] == [(1, a), (1, b), (4, rows[5][1]), (6, rows[7][1])]
+    assert kept == sorted(tuple(r) for r in S.keep_one(docs.repartition(2)).collect())
+
+
 def test_query_against_brute_force_on_the_small_table(spark):
     from conftest import SF_SMALL
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()

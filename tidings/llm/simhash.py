@@ -180,20 +180,25 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Pipeline stage: of each component the document with the least id stays,
-    all columns unchanged. Rows that share an id are one document: one of them
-    stays. Rows without an id go if their component has a document with one;
-    of a component without any, one row stays.
+    """Pipeline stage: of each component one row stays, all columns unchanged: that
+    of the least id (null last), then fingerprint, then hash of all columns. Rows that
+    share an id but not their text are different documents. Reruns agree.
 
-    The text is shuffled once, by id: the semi-join and the choice among rows
-    with one id use the same partitioning.
+    A row whose id occurs once is found by its id: the text is shuffled once. Rows
+    that share an id, or have none, are told apart by their fingerprint, made again
+    in the tasks; equal ones are reduced before the shuffle.
     """
     found = near_duplicates(docs.select("doc_id", "text"), shingle)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least")
+    heads = stored(found.groupBy("root").agg(least).select("least.doc_id", "least.fp"), "heads")
+    shared = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull())
+                    .select(F.col("doc_id").alias("shared")), "shared-ids")
     own = [f"__{c}" for c in docs.columns]
     rows = docs.toDF(*own)
-    heads = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__doc_id")).distinct()
-    kept = rows.filter(F.col("__doc_id").isNotNull()).join(heads, "__doc_id", "left_semi").dropDuplicates(["__doc_id"]).select(own)
-    nameless = found.filter(F.col("component_id").isNull()).select(F.col("fp").alias("fp"), "root").distinct()
+    once = heads.join(shared, F.col("doc_id").eqNullSafe(F.col("shared")), "left_anti").select(F.col("doc_id").alias("__doc_id"))
+    kept = rows.join(once, "__doc_id", "left_semi").select(own)
+    if shared.isEmpty():
+        return kept.toDF(*docs.columns)
     at = docs.columns.index("text")
 
     def mark(batches):
@@ -202,5 +207,8 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*own, "fp"])
 
     kinds = T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())])
-    others = (rows.filter(F.col("__doc_id").isNull()).mapInArrow(mark, kinds).join(nameless, "fp").dropDuplicates(["root"]).select(own))
-    return kept.unionByName(others).toDF(*docs.columns)
+    head = heads.join(shared, F.col("doc_id").eqNullSafe(F.col("shared"))).select(F.col("doc_id").alias("head_id"), F.col("fp").alias("head_fp"))
+    several = rows.join(shared, F.col("__doc_id").eqNullSafe(F.col("shared")), "left_semi").mapInArrow(mark, kinds)
+    others = (several.join(head, F.col("__doc_id").eqNullSafe(F.col("head_id")) & (F.col("fp") == F.col("head_fp")))
+              .groupBy("__doc_id", "fp").agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("row")))
+    return kept.unionByName(others.select("row.*").select(own)).toDF(*docs.columns)
