@@ -230,14 +230,27 @@ def test_one_turn_number_for_many_rows(spark):
     for runs in (None, 7):
         out = chat.format_chats(df, row_bytes=1000, runs=runs).collect()
         for conv, own in ((None, 600), (1, 300)):
-            parts = sorted((r["part"], r["chat"]) for r in out if r["conv_id"] == conv)
+            parts = sorted((r["part"], r["piece"], r["chat"]) for r in out if r["conv_id"] == conv)
             want = sorted(((t, x) for c, t, _, x in rows if c == conv), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-            assert "".join(c for _, c in parts) == "".join(f"<|im_start|>user\n{x}<|im_end|>\n" for _, x in want) and len(want) == own
-            assert max(len(c) for _, c in parts) < 1100 and [p for p, _ in parts] == list(range(len(parts)))
+            assert "".join(c for *_, c in parts) == "".join(f"<|im_start|>user\n{x}<|im_end|>\n" for _, x in want) and len(want) == own
+            assert max(len(c) for *_, c in parts) < 1100 and [p for _, p, _ in parts] == list(range(len(parts)))
+            assert {p for p, _, _ in parts} == {0 if conv is None else 1 << 62}
             assert {r["n_turns"] for r in out if r["conv_id"] == conv} == {own}
         assert [r["part"] for r in out if r["conv_id"] == 2] == [0]
 
 
+def test_a_part_keeps_its_number_at_any_size(spark):
+    """Turn numbers over three parts, the middle one over the size of a row."""
+    rows = [(1, i, "user", f"turn {i:05d}") for i in (0, 1, 2, *range(8, 16), 16, 17)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    small = sorted((r["part"], r["piece"], r["chat"]) for r in chat.format_chats(df, chunk=8).collect())
+    cut = sorted((r["part"], r["piece"], r["chat"]) for r in chat.format_chats(df, chunk=8, row_bytes=117).collect())
+    assert [(p, n) for p, n, _ in small] == [(0, 0), (1, 0), (2, 0)]
+    assert [(p, n) for p, n, _ in cut] == [(0, 0), (1, 0), (1, 1), (1, 2), (2, 0)]
+    for part in range(3):
+        assert "".join(c for p, _, c in cut if p == part) == small[part][2]
+
+
 def test_tied_turns_are_ordered_by_text(spark):
     words = [chr(97 + i) * 3 for i in range(12)]
     rows = [(i, 1, "user", w) for i in (0, 1) for w in words[:len(words) - i * 6]]  # 1 is the first half of 0 by text

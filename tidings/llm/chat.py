@@ -21,10 +21,11 @@ anti-joins keep the maximal conversations, which are then rendered.
   Both sides are grouped by hash first (partial aggregates), so a prefix shared
   by a third of all conversations is one row in the join.
 * Rendering is per part of ``chunk`` turn numbers (part 0 for any conversation
-  of ordinary length). A conversation with a part over ``row_bytes`` (many rows
-  of one turn number, or very long texts) is cut by size instead: its parts are
-  numbered 0, 1, ... in the order of its turns, each of about ``row_bytes``, so
-  no row gathers an unbounded group.
+  of ordinary length) and piece: a turn's piece is the number of whole
+  ``row_bytes`` that the turns before it in the part fill. One definition for every
+  size: a part of up to ``row_bytes`` is piece 0, a larger one (many rows of one
+  turn number, or very long texts) is several rows, so no row gathers an
+  unbounded group.
 
 Defined results: a null role reads ``unknown``, a null text is empty; rows with
 null conv_id form one conversation with null id; null turn numbers come last;
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tidings.llm.common import stored, table
 
-#: Rendered bytes of a part above which a conversation is cut by size.
+#: Bytes of turns after which a part goes on in another row.
 ROW_BYTES = 16 << 20
 
 
@@ -126,52 +127,60 @@ def maximal(prefixes: DataFrame) -> DataFrame:
 
 
 def cut_by_size(placed: DataFrame, row_bytes: int) -> DataFrame:
-    """conv, turn, role, t1, t2, at, cut: the turns of the conversations with a
-    part over ``row_bytes``, and the number of the row each is rendered in."""
-    large = (placed.groupBy("conv", "part").agg(F.sum("size").alias("size")).filter(F.col("size") > row_bytes)
-             .select("conv").distinct())
-    rows = same(placed, large, ["conv"], [])
+    """conv, part, turn, role, t1, t2, at, piece: the turns of the parts over
+    ``row_bytes``, and the piece each is rendered in."""
+    large = placed.groupBy("conv", "part").agg(F.sum("size").alias("size")).filter(F.col("size") > row_bytes).select("conv", "part")
+    rows = same(placed, large, ["conv"], ["part"])
     before = Window.unboundedPreceding, -1
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("conv", "run").orderBy("at").rowsBetween(*before)), F.lit(0))
-    runs = (rows.groupBy("conv", "run").agg(F.sum("size").alias("size_"))
-            .select(F.col("conv").alias("conv_"), F.col("run").alias("run_"),
-                    F.coalesce(F.sum("size_").over(Window.partitionBy("conv").orderBy("run").rowsBetween(*before)), F.lit(0)).alias("ahead")))
-    joined = rows.withColumn("inside", inside).join(runs, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("run") == F.col("run_")))
-    return stored(joined.select("conv", "turn", "role", "t1", "t2", "at",
-                                F.floor((F.col("ahead") + F.col("inside")) / F.lit(row_bytes)).alias("cut")), "chat-cuts")
-
-
-def rendered(turns: DataFrame, kept: DataFrame, cuts: DataFrame) -> DataFrame:
-    """One row per kept conversation and part, in ChatML."""
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("conv", "part", "run").orderBy("at").rowsBetween(*before)), F.lit(0))
+    runs = (rows.groupBy("conv", "part", "run").agg(F.sum("size").alias("size_"))
+            .select("conv", "part", "run",
+                    F.coalesce(F.sum("size_").over(Window.partitionBy("conv", "part").orderBy("run").rowsBetween(*before)), F.lit(0)).alias("ahead")))
+    joined = rows.withColumn("inside", inside).join(runs.withColumnsRenamed({c: c + "_" for c in ("conv", "part", "run")}),
+                                                    F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("part") == F.col("part_")) & (F.col("run") == F.col("run_")))
+    return stored(joined.select("conv", "part", "turn", "role", "t1", "t2", "at",
+                                F.floor((F.col("ahead") + F.col("inside")) / F.lit(row_bytes)).alias("piece")), "chat-cuts")
+
+
+def rendered(turns: DataFrame, placed: DataFrame, kept: DataFrame, cuts: DataFrame) -> DataFrame:
+    """One row per kept conversation, part and piece, in ChatML."""
     body = F.concat(F.lit("<|im_start|>"), F.replace(F.col("role"), F.lit("<|"), F.lit("< |")), F.lit("\n"),
                     F.replace(F.col("text"), F.lit("<|"), F.lit("< |")), F.lit("<|im_end|>\n"))
     kept = kept.withColumnRenamed("conv", "conv_")
-    by_size = cuts.select("conv").distinct()
-    usual = kept.join(by_size, F.col("conv_").eqNullSafe(F.col("conv")), "left_anti")
-    parts = turns.join(usual, F.col("conv").eqNullSafe(F.col("conv_"))).groupBy("conv", "part", "n_turns", "copies").agg(
-        F.collect_set(F.struct(F.col("turn").isNull().alias("none"), "turn", "role", "text", body.alias("body"))).alias("turns"))
-    out = parts.select("conv", "part", "n_turns", "copies", F.concat_ws("", F.transform(F.array_sort("turns"), lambda t: t["body"])).alias("chat"))
-    if cuts.isEmpty():
+    known = kept.join(placed.select("conv", "part").distinct(), F.col("conv_").eqNullSafe(F.col("conv"))).drop("conv_")
+    by_size = cuts.select("conv", "part").distinct()
+    cut = not cuts.isEmpty()
+    usual = known
+    if cut:
+        large = by_size.withColumnsRenamed({"conv": "conv_", "part": "part_"})
+        usual = known.join(large, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("part") == F.col("part_")), "left_anti")
+    usual = usual.withColumnsRenamed({"conv": "conv_", "part": "part_"})
+    parts = (turns.join(usual, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("part") == F.col("part_")))
+             .groupBy("conv", "part", "n_turns", "copies").agg(
+                 F.collect_set(F.struct(F.col("turn").isNull().alias("none"), "turn", "role", "text", body.alias("body"))).alias("turns")))
+    whole = F.concat_ws("", F.transform(F.array_sort("turns"), lambda t: t["body"])).alias("chat")
+    out = parts.select("conv", "part", F.lit(0).cast("long").alias("piece"), "n_turns", "copies", whole)
+    if not cut:
         return out
-    texts = (same(turns, by_size, ["conv"], []).groupBy("conv", "turn", "role", "t1", "t2").agg(F.first("text").alias("text")))
-    key = ["conv", "turn", "role", "t1", "t2"]
+    texts = (same(turns, by_size, ["conv"], ["part"]).groupBy("conv", "part", "turn", "role", "t1", "t2").agg(F.first("text").alias("text")))
+    key = ["conv", "part", "turn", "role", "t1", "t2"]
     long = texts.join(cuts.withColumnsRenamed({c: c + "__" for c in key}),
-                      F.col("conv").eqNullSafe(F.col("conv__")) & F.col("turn").eqNullSafe(F.col("turn__")) & (F.col("role") == F.col("role__"))
-                      & (F.col("t1") == F.col("t1__")) & (F.col("t2") == F.col("t2__")))
-    long = (long.join(kept, F.col("conv").eqNullSafe(F.col("conv_"))).groupBy("conv", "cut", "n_turns", "copies")
+                      F.col("conv").eqNullSafe(F.col("conv__")) & F.col("turn").eqNullSafe(F.col("turn__")) & (F.col("part") == F.col("part__"))
+                      & (F.col("role") == F.col("role__")) & (F.col("t1") == F.col("t1__")) & (F.col("t2") == F.col("t2__")))
+    long = (long.join(kept, F.col("conv").eqNullSafe(F.col("conv_"))).groupBy("conv", "part", "piece", "n_turns", "copies")
             .agg(F.collect_list(F.struct("at", body.alias("body"))).alias("turns")))
-    return out.unionByName(long.select("conv", F.col("cut").alias("part"), "n_turns", "copies",
-                                       F.concat_ws("", F.transform(F.array_sort("turns"), lambda t: t["body"])).alias("chat")))
+    return out.unionByName(long.select("conv", "part", "piece", "n_turns", "copies", whole))
 
 
 def format_chats(conversations: DataFrame, chunk: int = 1024, row_bytes: int = ROW_BYTES, runs: int | None = None) -> DataFrame:
-    """conv_id, part (chunk of turn numbers), n_turns and copies of the whole
-    conversation, chat (rendered text of the part). ``runs``: ranges the turns
+    """conv_id, part (chunk of turn numbers), piece (its text by ``row_bytes``: how many
+    whole pieces the turns before a turn fill), n_turns and copies of the whole
+    conversation, chat (rendered text of the piece). ``runs``: ranges the turns
     are sorted in (the session's shuffle partitions)."""
     turns = turns_of(conversations, chunk)
     placed = placed_turns(turns, runs)
-    out = rendered(turns, maximal(prefix_hashes(placed)), cut_by_size(placed, row_bytes))
-    return out.select(F.col("conv").alias("conv_id"), "part", "n_turns", "copies", "chat")
+    out = rendered(turns, placed, maximal(prefix_hashes(placed)), cut_by_size(placed, row_bytes))
+    return out.select(F.col("conv").alias("conv_id"), "part", "piece", "n_turns", "copies", "chat")
 
 
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:
@@ -191,9 +200,12 @@ WITH turns AS (
 ), kept AS (
   SELECT * FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.n = f.n AND p.l = f.l)
 )
-SELECT k.conv_id, t.turn // 1024 AS part, k.n AS n_turns, k.copies,
+SELECT k.conv_id, t.part, t.piece, k.n AS n_turns, k.copies,
        string_agg('<|im_start|>' || replace(t.role, '<|', '< |') || chr(10) || replace(t.text, '<|', '< |') || '<|im_end|>' || chr(10),
                   '' ORDER BY t.turn, t.role, t.text) AS chat
-FROM kept k JOIN turns t ON t.conv_id = k.conv_id
-GROUP BY k.conv_id, t.turn // 1024, k.n, k.copies
+FROM kept k JOIN (
+  SELECT *, turn // 1024 AS part, CAST(coalesce(sum(strlen(text) + strlen(role) + 24) OVER (
+    PARTITION BY conv_id, turn // 1024 ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 16777216 AS BIGINT) AS piece
+  FROM turns) t ON t.conv_id = k.conv_id
+GROUP BY k.conv_id, t.part, t.piece, k.n, k.copies
 """
