@@ -9,7 +9,9 @@ naive Bayes scores the words.
 Both models are counted over all rows by partial aggregates and stay whole, as
 tables: the unigrams are the delimiter-separated tokens of every url plus the
 seed words; the classes of naive Bayes are weak labels, a url being of the
-unwanted class when one of its words is a seed word. Every distinct run of
+unwanted class when one of its words is a strong seed word, or two are seed words
+(in either number). The verdict is the model's: other words of unwanted urls speak
+against a url as well, and a seed word alone need not. Every distinct run of
 letters is split once: its substrings of up to ``LONGEST`` letters (a longer
 word counts as an unknown piece in a split) are joined by equality to the counts;
 each url's runs are joined to their splits, and its words to their log odds.
@@ -44,6 +46,10 @@ SEEDS = ("adult bet betting bonus casino cheap click crypto dating debt drugs es
 #: Seed words that say enough by themselves.
 STRONG = frozenset("casino escort gambling jackpot malware payday phishing pills poker porn spam viagra warez xxx".split())
 
+#: The same without the plural ending, which words are compared without.
+STEMS = frozenset(w[:-1] if w.endswith("s") and len(w) > 3 else w for w in SEEDS)
+STRONG_STEMS = frozenset(w[:-1] if w.endswith("s") and len(w) > 3 else w for w in STRONG)
+
 _TOKEN = "[a-z]+"
 #: Letters of the longest word that a split looks for.
 LONGEST = 24
@@ -191,12 +197,22 @@ def segmented(urls: DataFrame, max_words: int) -> DataFrame:
     return stored(urls.drop("runs").join(found, "row", "left").withColumn("words", F.coalesce("words", none)), "url-words")
 
 
-def fit_bayes(words: DataFrame) -> tuple[float, DataFrame]:
+def weak_label(words: Column, seeds=STEMS, strong=STRONG_STEMS) -> Column:
+    """Whether a url's words make it an example of the unwanted class."""
+    stems = F.transform(words, lambda w: F.when(w.endswith("s") & (F.length(w) > 3), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+
+    def found(listed) -> Column:
+        return F.size(F.array_intersect(stems, F.array(*[F.lit(w) for w in sorted(listed)]).cast("array<string>")))
+
+    return (found(strong) > 0) | (found(seeds) > 1)
+
+
+def fit_bayes(words: DataFrame, seeds=STEMS, strong=STRONG_STEMS) -> tuple[float, DataFrame]:
     """Prior log odds of the unwanted class; w, n and log odds of every word.
 
     Counts are of all urls: words exploded, one partial aggregate per word.
     """
-    bad = F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(STRONG)])).cast("long")
+    bad = weak_label(F.col("words"), seeds, strong).cast("long")
     each = words.select(bad.alias("bad"), "words")
     n = each.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     counts = stored(each.select("bad", F.explode("words").alias("w")).groupBy("w")
@@ -208,13 +224,14 @@ def fit_bayes(words: DataFrame) -> tuple[float, DataFrame]:
     return math.log((n["bad"] + 1) / (n["n"] - n["bad"] + 1)), counts.select("w", "n", odds.alias("odds"))
 
 
-def judge(pages: DataFrame, rules=RULES, max_words: int = 50_000) -> DataFrame:
-    """page_id, host, path, rule, verdict, words, score (log odds)."""
+def judge(pages: DataFrame, rules=RULES, max_words: int = 50_000, seeds=STEMS, strong=STRONG_STEMS) -> DataFrame:
+    """page_id, host, path, rule, verdict, words, score (log odds). ``seeds`` and
+    ``strong`` are the weak labels' words, without plural endings."""
     host, path = url_parts(F.col("url"))
     urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     urls = stored(urls.select("*", runs_of(F.col("host"), F.col("path")).alias("runs"), F.monotonically_increasing_id().alias("row")), "urls")
     words = segmented(urls, max_words)
-    prior, odds = fit_bayes(words)
+    prior, odds = fit_bayes(words, seeds, strong)
     # Added in the order of the words: the sum doesn't depend on partitions.
     sums = (looked_up(words.select("row", F.posexplode("words").alias("at", "w")), odds, "w", max_words)
             .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "odds"))).alias("s"))
