@@ -132,9 +132,9 @@ class Settings:
     sentiment_chars: int = SENTIMENT_CHAR_LIMIT
     histogram_bins: int = HISTOGRAM_BINS
     attribution_players: int = 8
-    # Per-group rows (e.g. histogram bounds) up to this count are broadcast;
-    # above it the join shuffles and AQE splits skewed partitions.
-    max_broadcast_groups: int = 1_000_000
+    # Per-group rows (e.g. histogram bounds) up to this many measured bytes are
+    # broadcast; above it the join shuffles and AQE splits skewed partitions.
+    max_broadcast_bytes: int = 32 << 20
 
 
 DEFAULT = Settings()

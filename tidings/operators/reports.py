@@ -100,7 +100,7 @@ def _bin_expr(v: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def materiality_histogram(scored: DataFrame, group_col: str = "esg_flag", value_col: str = "materiality_score",
-                          bins: int = HISTOGRAM_BINS, broadcast_limit: int = DEFAULT.max_broadcast_groups,
+                          bins: int = HISTOGRAM_BINS, broadcast_limit: int = DEFAULT.max_broadcast_bytes,
                           count_col: str | None = None) -> DataFrame:
     """Per-group equal-width histogram over each group's own min..max.
 
@@ -122,14 +122,16 @@ def materiality_histogram(scored: DataFrame, group_col: str = "esg_flag", value_
     bounds = (data.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
               .filter(F.col("lo").isNotNull()))
     # One bounds row per group value. A boolean group gives at most three
-    # rows. Any other group column: the bounds are checkpointed (tiny) and
-    # counted, and broadcast when within the limit, so a hot group never
+    # rows. Any other group column: the bounds are checkpointed and their
+    # bytes measured, and broadcast when within the limit, so a hot group never
     # lands in one shuffle partition; above it the planner and AQE decide.
     if dict(scored.dtypes).get(group_col) == "boolean":
         right = F.broadcast(bounds)
     else:
         bounds = cut_lineage(bounds)
-        right = F.broadcast(bounds) if bounds.count() <= broadcast_limit else bounds
+        size = F.coalesce(F.octet_length(F.col("grp").cast("string")), F.lit(0)) + F.lit(64)
+        measured = bounds.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+        right = F.broadcast(bounds) if measured <= broadcast_limit else bounds
     # Null is a group like any other: both joins are null-safe.
     edges = right.select(F.col("grp").alias("edge"), "lo", "hi")
     binned = data.join(edges, F.col("grp").eqNullSafe(F.col("edge"))).select(
