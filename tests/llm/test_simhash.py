@@ -4,6 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidings.llm import simhash as S
+from tidings.llm.components import components
 
 
 def plain_print(text, k=3):
@@ -131,3 +132,25 @@ def test_query_against_brute_force_on_the_small_table(spark):
     got = S.op1_simhash(spark, SF_SMALL)
     assert got.columns == ["doc_id", "fingerprint", "component_id"]
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_components_with_hubs_against_union_find(spark):
+    import random
+
+    rng = random.Random(3)
+    links = [(0, i) for i in range(1, 400)] + [(900 + i, 399) for i in range(300)] + [(rng.randint(2000, 2300), rng.randint(2000, 2300)) for _ in range(250)]
+    links += [(5000 + i, 5001 + i) for i in range(60)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    assert got == {n: find(n) for n in root if find(n) != n}
