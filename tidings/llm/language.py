@@ -5,7 +5,8 @@ stochastic gradient descent in numpy, with calibrated rejection.
 
 Learning reads only (text, lang) of documents in the learning folds: at most
 ``per_lang`` documents of each language, and ``sample_rows`` in all (then fewer of
-each), picked by a hash of the id, so reruns agree. That sample is the documented
+each), picked by a hash of the id, so reruns agree; of these, in hash order, as many as
+``SAMPLE_BYTES`` of text hold. That sample is the documented
 bound on what reaches the driver; features are made in the tasks. Every language is
 learned: with more than 256 the features are hashed to fewer buckets, so that
 buckets x languages, the size of the model, keeps its bound. One document
@@ -25,13 +26,15 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.llm.common import column_bytes, fold_of, small
 from tidings.llm.subword import Features, Model, calibrate, train
 
 _FOLD = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_letters else b if b >= 128 else 32 for b in range(256))
+#: Text that a sample of labelled documents may hold, shared by its labels.
+SAMPLE_BYTES = 32 << 20
 FEATURES = Features(bits=16, words=False, table=_FOLD)
 
 
@@ -56,13 +59,24 @@ def sample_ids(labelled: DataFrame, per_class: int, max_classes: int | None = No
     return [(r["id"], r["label"]) for r in picked]
 
 
-def sample_features(docs: DataFrame, ids: list[tuple], features: Features) -> tuple[list, list]:
-    """The features of the documents in ``ids`` (a bounded list), one row per id."""
+def within_bytes(sampled: DataFrame, sample_bytes: int, labels: int) -> DataFrame:
+    """The ids of sampled texts (id, label, text: a bounded number of rows) whose
+    label's texts, in hash order, hold up to its share of ``sample_bytes``; a label's
+    first text always counts."""
+    ahead = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    sized = sampled.select("id", "label", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    upto = sized.withColumns({"upto": F.sum("size").over(ahead), "nth": F.row_number().over(ahead)})
+    return upto.filter((F.col("upto") <= F.lit(sample_bytes // max(labels, 1))) | (F.col("nth") == 1)).select("id")
+
+
+def sample_features(docs: DataFrame, ids: list[tuple], features: Features, sample_bytes: int = SAMPLE_BYTES) -> tuple[list, list]:
+    """The features of the documents in ``ids`` (a bounded list), one row per id,
+    as many as ``sample_bytes`` of text hold."""
     if not ids:
         return [], []
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
-    wanted = spark.createDataFrame([(i,) for i, _ in ids], ["id"]).select(F.col("id").cast(kind).alias("id"))
+    wanted = spark.createDataFrame([(i, str(y)) for i, y in ids], ["id", "label"]).select(F.col("id").cast(kind).alias("id"), "label")
 
     def work(batches):
         for batch in small(batches):
@@ -71,10 +85,12 @@ def sample_features(docs: DataFrame, ids: list[tuple], features: Features) -> tu
                 [batch.column(0), pa.array([a.tobytes() for a, _ in rows], pa.binary()), pa.array([b.tobytes() for _, b in rows], pa.binary())],
                 names=["id", "numbers", "shares"])
 
-    made = (docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-            .join(F.broadcast(wanted), "id", "left_semi")
+    held = (docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(wanted), "id")
+            .groupBy("id", "label").agg(F.min("text").alias("text")))
+    small_enough = within_bytes(held, sample_bytes, len({y for _, y in ids}))
+    made = (held.join(F.broadcast(small_enough), "id", "left_semi").select("id", "text")
             .mapInArrow(work, f"id {kind.simpleString()}, numbers binary, shares binary")
-            .groupBy("id").agg(F.min(F.struct("numbers", "shares")).alias("f")).collect())
+            .select("id", F.struct("numbers", "shares").alias("f")).collect())
     label = dict(ids)
     made.sort(key=lambda r: str(r["id"]))
     return ([(np.frombuffer(r["f"]["numbers"], np.uint32), np.frombuffer(r["f"]["shares"], np.float32)) for r in made],

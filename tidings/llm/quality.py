@@ -5,7 +5,8 @@ n-gram vectors averaged per document, softmax output, trained by numpy stochasti
 gradient descent.
 
 Learning reads labels only of rows in the learning folds, at most ``per_class``
-of each label value, picked by a hash of the id (the documented sample bound).
+of each label value, picked by a hash of the id, as many as 32 MB of text hold
+(``language.SAMPLE_BYTES``; the documented sample bound).
 
 Defined results: null and empty texts score the model's bias; without labelled
 rows every score is 0.5; with one label value only, every score is 0.95 or

@@ -35,11 +35,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.llm.common import column_bytes, fold_of, mix64, packs, small, table
-from tidings.llm.language import sample_ids
+from tidings.llm.language import sample_ids, within_bytes
 
 #: Terms that may be exchanged for each other; the last of each list is neutral.
 IDENTITY = (
@@ -245,10 +245,7 @@ def _sampled(docs: DataFrame, ids: list[tuple], groups, sample_bytes: int) -> tu
     wanted = spark.createDataFrame([(i, int(y)) for i, y in ids], ["id", "label"]).select(F.col("id").cast(kind).alias("id"), F.col("label").cast("int").alias("label"))
     held = (docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(wanted), "id")
             .groupBy("id", "label").agg(F.min("text").alias("text")))
-    # Running size in hash order within a label: at most 2 * per_class rows each.
-    ahead = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    sized = held.select("id", "label", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
-    within = sized.withColumn("upto", F.sum("size").over(ahead)).filter(F.col("upto") <= F.lit(sample_bytes // 2)).select("id")
+    within = within_bytes(held, sample_bytes, 2)
 
     def work(batches):
         for batch in small(batches):
