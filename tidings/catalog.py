@@ -700,7 +700,7 @@ def _chunk_ctes(players: int, norm_words=None) -> str:
     return (
         f"{head_scores}, "
         f"ws AS (SELECT doc_id, regexp_extract_all(Headline, {words}) AS ws FROM news WHERE Headline IS NOT NULL), "
-        f"docs AS (SELECT doc_id, least(len(ws), {players}) AS m FROM ws), "
+        f"docs AS MATERIALIZED (SELECT doc_id, least(len(ws), {players}) AS m FROM ws), "
         "w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM ws), "
         f"wc AS (SELECT doc_id, pos, word, ((pos + 1) * least(n, {players}) - 1) // n AS chunk FROM w), "
         "chunks AS (SELECT doc_id, chunk, string_agg(word, ' ' ORDER BY pos) AS token FROM wc GROUP BY doc_id, chunk), "
@@ -711,8 +711,8 @@ def _chunk_ctes(players: int, norm_words=None) -> str:
         f"coalesce(sum(CASE WHEN t IN {_in_list(C.NEGATIVE_WORDS)} THEN c END), 0) AS q, "
         f"coalesce(sum(CASE {' '.join(f'WHEN t = {_q(a)} THEN {k} * c' for a, k in _ANCHOR.items())} END), 0) AS d "
         "FROM chunks c LEFT JOIN tc USING (doc_id, chunk) GROUP BY ALL), "
-        "g AS (SELECT a.doc_id, a.chunk AS i, b.chunk AS j, sum(a.c * b.c) AS g FROM tc a JOIN tc b "
-        "ON a.doc_id = b.doc_id AND a.t = b.t"
+        "g AS (SELECT a.doc_id, a.chunk AS i, b.chunk AS j, sum(a.c * b.c * CASE WHEN a.chunk < b.chunk THEN 2 ELSE 1 END) AS g "
+        "FROM tc a JOIN tc b ON a.doc_id = b.doc_id AND a.t = b.t AND a.chunk <= b.chunk"
         + (f" AND a.t IN {_in_list(norm_words)}" if norm_words else "") + " GROUP BY ALL)"
     )
 
@@ -776,7 +776,8 @@ def _walk_ctes(players: int, samples: int, tree: bool = False, paired: bool = Fa
              f"+ ({seed * ORDER_SEED_STRIDE} + r) % {mod}) % {mod}")
     coefs, prev = [], "x"
     for k, a in enumerate(ORDER_INCREMENTS):
-        coefs.append(f"o{k + 1} AS (SELECT *, ({prev} * {prev} + {a}) % {mod} AS c{k} FROM o{k})")
+        # Materialised: merged into one projection, each squaring would double the work.
+        coefs.append(f"o{k + 1} AS MATERIALIZED (SELECT *, ({prev} * {prev} + {a}) % {mod} AS c{k} FROM o{k})")
         prev = f"c{k}"
     used = [f"c{k}" for k in range(ORDER_WARM_UP, len(ORDER_INCREMENTS))]
 
@@ -829,11 +830,11 @@ def _walk_ctes(players: int, samples: int, tree: bool = False, paired: bool = Fa
 
 
 AUDIT_SQL = (
-    "audit AS (SELECT d.doc_id, d.m AS n_players, b.env AS base_value, coalesce(ps.phi_sum, 0.0) AS phi_sum, "
-    "b.env + coalesce(ps.phi_sum, 0.0) AS audit_score, f.env AS full_value FROM docs d "
-    "JOIN vals b ON b.doc_id = d.doc_id AND b.s = 0 "
-    "JOIN vals f ON f.doc_id = d.doc_id AND f.s = (1 << d.m) - 1 "
-    "LEFT JOIN (SELECT doc_id, sum(env_phi) AS phi_sum FROM phi GROUP BY doc_id) ps ON ps.doc_id = d.doc_id)"
+    "ends AS (SELECT doc_id, m, max(CASE WHEN s = 0 THEN env END) AS base, max(CASE WHEN s = (1 << m) - 1 THEN env END) AS whole "
+    "FROM vals GROUP BY doc_id, m), "
+    "audit AS (SELECT e.doc_id, e.m AS n_players, e.base AS base_value, coalesce(ps.phi_sum, 0.0) AS phi_sum, "
+    "e.base + coalesce(ps.phi_sum, 0.0) AS audit_score, e.whole AS full_value FROM ends e "
+    "LEFT JOIN (SELECT doc_id, sum(env_phi) AS phi_sum FROM phi GROUP BY doc_id) ps ON ps.doc_id = e.doc_id)"
 )
 
 ORACLE_SQL: dict[str, str] = {
