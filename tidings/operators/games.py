@@ -21,19 +21,23 @@ Known error. Samples of a player give its standard error. ``tolerance`` adds
 samples, doubling from ``least``, until no player of the text has a larger one,
 or ``samples`` is reached. Texts that are settled leave the block.
 
-All texts of a block are handled by the same array operations (ragged, sorted by
-text), orders in slices that bound memory at any text length.
+All texts of a block are handled by the same array operations, orders in slices that
+bound memory at any text length. Few players: squared token counts of a coalition
+come from the players' Gram matrix, so an order costs O(players ^ 2) whatever the
+length of the text. Words as players: only tokens that occur again in their text
+are sorted, once for both directions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidings.functions.vectors import byte_blocks, token_codes, token_spans
+from tidings.functions.vectors import arrow_blocks, token_codes, token_spans
 
 ORDER_MODULUS = 2147483647
 ORDER_MULTIPLIER = 48271
@@ -42,7 +46,11 @@ ORDER_INCREMENTS = (11, 13, 17, 19, 23, 29, 31)
 #: The first squarings of a small id still follow it; they are not used.
 ORDER_WARM_UP = 2
 #: Players (or tokens) times orders handled in one array.
-_CELLS = 1 << 20
+_CELLS = 1 << 18
+#: Up to this many runs of words the players' Gram matrix is used.
+_FEW = 32
+#: Bytes of text in one block.
+_BLOCK = 1 << 19
 _BLANKS = np.array([b in b" \t\n\r" for b in range(256)])
 
 
@@ -91,12 +99,25 @@ def tree_keys(coef, player, depth):
     return key
 
 
+def sequences(keys: np.ndarray) -> np.ndarray:
+    """The indices that sort the last axis, equal keys by index. A stable sort is twice as slow, and needed only where keys are equal."""
+    order = np.argsort(keys, axis=-1)
+    found = np.take_along_axis(keys, order, axis=-1)
+    return np.argsort(keys, axis=-1, kind="stable") if (found[..., 1:] == found[..., :-1]).any() else order
+
+
 def sampled_orders(seed: int, doc: int, k: int, m: int, tree: bool = False) -> np.ndarray:
     """k x m player indices: row r is order r of row ``doc``."""
-    coef = [c[:, None] for c in order_coefficients(seed, np.full(k, doc), np.arange(k))]
-    player = np.arange(m, dtype=np.int64)[None, :]
-    keys = tree_keys(coef, player, tree_depth(m)) if tree else order_keys(coef, player)
-    return np.argsort(keys, axis=1, kind="stable")
+    return orders_of(seed, [doc], np.arange(k), m, tree)[0]
+
+
+def orders_of(seed: int, docs, orders, m: int, tree: bool = False) -> np.ndarray:
+    """``sampled_orders`` of many rows of m players, those of the given numbers: rows x orders x m."""
+    docs, orders = np.asarray(docs, dtype=np.int64), np.asarray(orders, dtype=np.int64)
+    k = len(orders)
+    coef = [c.reshape(len(docs), k, 1) for c in order_coefficients(seed, np.repeat(docs, k), np.tile(orders, len(docs)))]
+    player = np.arange(m, dtype=np.int64)
+    return sequences(tree_keys(coef, player, tree_depth(m)) if tree else order_keys(coef, player))
 
 
 # -- the players of a block of texts ------------------------------------------------
@@ -107,6 +128,29 @@ def _spans(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def ragged_tree_keys(coef, size: np.ndarray) -> np.ndarray:
+    """``tree_keys`` of groups of ``size`` players each (``coef``: one row a group), from
+    the root down: a node's bits are its parent's and its own, so a group costs
+    O(players) hashes."""
+    depth, first = tree_depth(size), np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.int64)
+    for d in np.unique(depth).tolist():
+        some = np.flatnonzero(depth == d)
+        own, m = [c[some] for c in coef], size[some]
+        bits, nodes = np.zeros(len(some), np.int64), np.ones(len(some), np.int64)
+        group, node = _spans(nodes)
+        for level in range(d):
+            below = d - level
+            turn = (order_keys([c[group] for c in own], (np.int64(1) << level) + node) >> FLIP_BIT) & 1
+            bits ^= turn << (below - 1)
+            start = np.cumsum(nodes) - nodes
+            nodes = ((m - 1) >> (below - 1)) + 1
+            group, node = _spans(nodes)
+            bits = bits[start[group] + (node >> 1)]
+        out[first[some][group] + node] = node ^ bits
+    return out
+
+
 @dataclass(frozen=True)
 class Lexicons:
     """Codes of the counted words: positive, negative, and the anchor's with weights."""
@@ -144,9 +188,8 @@ class Block:
         run = place if players is None else ((place + 1) * self.m[text] - 1) // n[text]
         player = self.first[text] + run  # of a word
         start, code = token_spans(buf)
-        self.token_player = player[np.searchsorted(word, start, side="right") - 1] if len(start) else np.zeros(0, np.int64)
-        self.tokens = np.bincount(np.searchsorted(limits, start, side="right"), minlength=len(texts))
-        self.token_first = np.cumsum(self.tokens) - self.tokens
+        token_player = player[np.searchsorted(word, start, side="right") - 1] if len(start) else np.zeros(0, np.int64)
+        owner = np.searchsorted(limits, start, side="right")
         total = int(self.m.sum())
 
         def hits(codes: np.ndarray, weight=None) -> np.ndarray:
@@ -154,28 +197,81 @@ class Block:
             at = np.minimum(np.searchsorted(codes[order], code), max(len(codes) - 1, 0))
             found = (codes[order][at] == code) if len(codes) else np.zeros(len(code), bool)
             value = np.ones(len(code), np.int64) if weight is None else weight[order][at] if len(codes) else np.zeros(len(code), np.int64)
-            return np.bincount(self.token_player[found], weights=value[found], minlength=total).astype(np.int64)
+            return np.bincount(token_player[found], weights=value[found], minlength=total).astype(np.int64)
 
         self.p, self.q, self.d = hits(lexicons.positive), hits(lexicons.negative), hits(lexicons.anchor, lexicons.weight)
-        self.code = np.unique(code, return_inverse=True)[1]
         self.anchor_norm = lexicons.anchor_norm
 
+        # Tokens by text and kind; a kind is a distinct token of one text.
+        by = np.lexsort((code, owner))
+        head = np.ones(len(by), bool)
+        head[1:] = (owner[by][1:] != owner[by][:-1]) | (code[by][1:] != code[by][:-1])
+        first = np.flatnonzero(head)
+        count = np.diff(np.append(first, len(by)))
+        self.kinds = np.bincount(owner[by][first], minlength=len(texts))
+        self.squares = np.bincount(owner[by][first], weights=count * count, minlength=len(texts)).astype(np.int64)
+        self.few = players is not None and players <= _FEW
+        if self.few:
+            self.token_kind, self.token_player = np.cumsum(head) - 1, token_player[by]
+            self.token_first = np.searchsorted(owner[by], np.arange(len(texts) + 1))
+        else:
+            again = np.repeat(count > 1, count)
+            self.alone = np.bincount(token_player[by][~again], minlength=total)
+            self.again_player, self.again_head = token_player[by][again], head[again]
+            self.again = np.bincount(owner[by][again], minlength=len(texts))
+            self.again_first = np.cumsum(self.again) - self.again
+
     def values(self, p, q, d, squares, label) -> tuple[np.ndarray, np.ndarray]:
         """Sentiment and environmental value of coalitions with these counts."""
         total = p + q + 1.0
         sent = np.where(label == 0, p, np.where(label == 1, q, 1)) / total
-        cos = np.divide(d, np.sqrt(squares.astype(np.float64)) * self.anchor_norm, out=np.zeros(len(total)), where=squares != 0)
+        cos = np.divide(d, np.sqrt(squares.astype(np.float64)) * self.anchor_norm, out=np.zeros(np.shape(total)), where=squares != 0)
         return sent, np.where(p > q, 1.0, -1.0) * cos + 0.0
 
     def full(self, rows: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         text = np.repeat(np.arange(len(self.m)), self.m)
         p, q, d = (np.bincount(text, weights=x, minlength=len(self.m)).astype(np.int64)[rows] for x in (self.p, self.q, self.d))
-        owner = np.repeat(np.arange(len(self.m)), self.tokens)
-        order = np.lexsort((self.code, owner))
-        head = np.flatnonzero(np.concatenate([[True], (owner[order][1:] != owner[order][:-1]) | (self.code[order][1:] != self.code[order][:-1])])) if len(order) else np.zeros(0, int)
-        count = np.diff(np.append(head, len(order)))
-        squares = np.bincount(owner[order][head], weights=count * count, minlength=len(self.m)).astype(np.int64)[rows]
-        return self.values(p, q, d, squares, label)
+        return self.values(p, q, d, self.squares[rows], label)
+
+    def gram(self, row: int) -> np.ndarray:
+        """Products of the token-count vectors of a text's players."""
+        m, a, b = int(self.m[row]), self.token_first[row], self.token_first[row + 1]
+        if a == b:
+            return np.zeros((m, m))
+        kind = self.token_kind[a:b] - self.token_kind[a]
+        cell = kind * m + (self.token_player[a:b] - self.first[row])
+        count = np.bincount(cell, minlength=(int(kind[-1]) + 1) * m).reshape(-1, m).astype(np.float64)
+        return count.T @ count
+
+    def walk_few(self, rows: np.ndarray, ids: np.ndarray, label: np.ndarray, orders: np.ndarray, seed: int, tree: bool, paired: bool):
+        """As ``walk`` for texts of equally many players, few of them."""
+        m, k = int(self.m[rows[0]]), len(orders)
+        forward = orders_of(seed, ids[rows], orders, m, tree)
+        i = np.arange(m, dtype=np.int64)
+        player = self.first[rows][:, None] + i
+        gram = np.stack([self.gram(r) for r in rows])
+        at, rank = np.arange(len(rows))[:, None], label[rows][:, None, None]
+
+        def contributions(sequence: np.ndarray) -> list[np.ndarray]:
+            squares, met = np.empty(sequence.shape), np.zeros(sequence.shape)
+            for n in range(m):
+                who = sequence[:, :, n]
+                own = gram[at, who]
+                squares[:, :, n] = own[at, np.arange(k)[None, :], who] + 2 * np.take_along_axis(met, who[:, :, None], 2)[:, :, 0]
+                met += own
+            who = player[at[:, :, None], sequence]
+            after = self.values(*(np.cumsum(x[who], axis=2) for x in (self.p, self.q, self.d)), np.cumsum(squares, axis=2), rank)
+            out = []
+            for value, empty in zip(after, (np.where(rank == 2, 1.0, 0.0), 0.0)):
+                step = np.diff(value, axis=2, prepend=np.broadcast_to(empty, (len(rows), k, 1)))
+                np.put_along_axis(x := np.empty(sequence.shape), sequence, step, axis=2)
+                out.append(x)
+            return out
+
+        found = contributions(forward)
+        if paired:
+            found = [(a + b) / 2 for a, b in zip(found, contributions(forward[:, :, ::-1]))]
+        return (np.broadcast_to(player[:, None, :], forward.shape).ravel(), *(x.ravel() for x in found))
 
     def walk(self, rows: np.ndarray, ids: np.ndarray, label: np.ndarray, orders: np.ndarray, seed: int, tree: bool, paired: bool):
         """Player and sampled contributions to both outputs for every (text, order,
@@ -184,52 +280,52 @@ class Block:
         size = np.repeat(self.m[rows], k)
         start = np.cumsum(size) - size
         group, i = _spans(size)
-        coef = [c[group] for c in order_coefficients(seed, np.repeat(ids[rows], k), np.tile(orders, len(rows)))]
-        keys = tree_keys(coef, i, tree_depth(self.m[rows]).repeat(k)[group]) if tree else order_keys(coef, i)
-        forward = np.lexsort((keys, group)) if len(size) >= 1 << 31 else np.argsort((group.astype(np.int64) << 32) | keys, kind="stable")
+        coef = order_coefficients(seed, np.repeat(ids[rows], k), np.tile(orders, len(rows)))
+        keys = ragged_tree_keys(coef, size) if tree else order_keys([c[group] for c in coef], i)
+        forward = np.lexsort((keys, group)) if len(size) >= 1 << 31 else sequences((group.astype(np.int64) << 32) | keys)
         place = np.empty(len(group), np.int64)
         place[forward] = np.arange(len(group))
-        place -= start[group]
-        player = np.repeat(np.repeat(self.first[rows], k), size) + i
-
-        # The n-th token of a kind adds 2n - 1 to the sum of squared counts;
-        # walked backwards the n-th of c is the (c - n + 1)-th.
-        number = np.repeat(self.tokens[rows], k)
+        base = np.repeat(np.repeat(self.first[rows], k), size)
+        player = base + i
+        who = player[forward]
+        back = start[group] + size[group] - 1 - i  # the same sequence backwards
+
+        # The n-th token of a kind adds 2n - 1 to the sum of squared counts; walked
+        # backwards the n-th of c is the (c - n + 1)-th. Kinds lie in order, so a
+        # sort by (kind, place) moves tokens within their kind only.
+        number = np.repeat(self.again[rows], k)
         owner, j = _spans(number)
-        token = np.repeat(np.repeat(self.token_first[rows], k), number) + j
-        cell = start[owner] + self.token_player[token] - np.repeat(np.repeat(self.first[rows], k), number)
-        kind = self.code[token]
-        by = np.lexsort((place[cell], kind, owner))
-        head = np.ones(len(by), bool)
-        head[1:] = (owner[by][1:] != owner[by][:-1]) | (kind[by][1:] != kind[by][:-1])
+        token = np.repeat(np.repeat(self.again_first[rows], k), number) + j
+        at = place[start[owner] + self.again_player[token] - np.repeat(np.repeat(self.first[rows], k), number)]
+        head = self.again_head[token]
+        at = np.sort(((np.cumsum(head) - 1) << 32) | at) & 0xFFFFFFFF
         first = np.flatnonzero(head)
-        count = np.diff(np.append(first, len(by)))
-        nth = np.arange(len(by)) - np.repeat(first, count) + 1
+        count = np.diff(np.append(first, len(at)))
+        nth = np.arange(len(at)) - np.repeat(first, count) + 1
         rank = np.repeat(label[rows], k)[group]
+        alone = self.alone[who]
 
-        def contributions(sequence: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            gain = np.bincount(cell[by], weights=2.0 * times - 1, minlength=len(group)).astype(np.int64)
-
+        def contributions(sequence: np.ndarray, who: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             def running(x: np.ndarray) -> np.ndarray:
                 total = np.cumsum(x)
-                return total - (total[start] - x[start])[group]
+                return total - np.repeat(total[start] - x[start], size)
 
-            who = player[sequence]
-            after = self.values(running(self.p[who]), running(self.q[who]), running(self.d[who]), running(gain[sequence]), rank)
+            after = self.values(running(self.p[who]), running(self.q[who]), running(self.d[who]), running(gain), rank)
             out = []
-            for value, empty in zip(after, (np.where(rank == 2, 1.0, 0.0), np.zeros(len(group)))):
+            for value, empty in zip(after, (np.where(rank[start] == 2, 1.0, 0.0), np.zeros(len(start)))):
                 before = np.concatenate([[0.0], value[:-1]])
-                before[start] = empty[start]
+                before[start] = empty
                 x = np.empty(len(group))
                 x[sequence] = value - before
                 out.append(x)
             return out[0], out[1]
 
-        sent, env = contributions(forward, nth)
+        def gains(times: np.ndarray) -> np.ndarray:
+            return np.bincount(at, weights=2.0 * times - 1, minlength=len(group)).astype(np.int64) + alone
+
+        sent, env = contributions(forward, who, gains(nth))
         if paired:
-            backward = np.empty(len(group), np.int64)
-            backward[start[group] + size[group] - 1 - place] = np.arange(len(group))
-            back_sent, back_env = contributions(backward, np.repeat(count, count) - nth + 1)
+            back_sent, back_env = contributions(forward[back], who[back], gains(np.repeat(count, count) - nth + 1)[back])
             sent, env = (sent + back_sent) / 2, (env + back_env) / 2
         return player, sent, env
 
@@ -244,11 +340,17 @@ class Block:
         while len(rows):
             done = int(taken[rows[0]])
             upto = samples if tolerance is None else min(samples, max(least, 2 * done))
-            cost = np.maximum(np.maximum(self.m, self.tokens)[rows], 1)
-            for some in np.split(rows, np.flatnonzero(np.diff(np.cumsum(cost) // _CELLS)) + 1):
-                step = max(1, int(_CELLS // cost[np.isin(rows, some)].sum()))
+            cost = self.m if self.few else np.maximum(self.m, self.again)
+            # Texts of equally many players go together where players are few.
+            order = rows[np.argsort(self.m[rows], kind="stable")] if self.few else rows
+            new = np.diff(np.cumsum(cost[order]) // _CELLS) != 0
+            if self.few:
+                new |= np.diff(self.m[order]) != 0
+            walk = self.walk_few if self.few else self.walk
+            for some in np.split(order, np.flatnonzero(new) + 1):
+                step = max(1, int(_CELLS // cost[some].sum()))
                 for a in range(done, upto, step):
-                    who, *found = self.walk(some, ids, label, np.arange(a, min(a + step, upto)), seed, tree, paired)
+                    who, *found = walk(some, ids, label, np.arange(a, min(a + step, upto)), seed, tree, paired)
                     for at, x in enumerate(found):
                         sums[at] += np.bincount(who, weights=x, minlength=total)
                         squares[at] += np.bincount(who, weights=x * x, minlength=total)
@@ -278,26 +380,24 @@ _LABELS = ("positive", "negative", "neutral")
 
 
 def game_udf(lexicons: Lexicons, players: int | None, samples: int, seed: int, tree: bool, paired: bool, least: int, tolerance: float | None):
-    """ids (long), lower-cased text, label -> the sampled values of both outputs."""
-
-    @F.pandas_udf(GAME_TYPE)
-    def play(ids: pd.Series, lowered: pd.Series, labels: pd.Series) -> pd.DataFrame:
-        ids = ids.to_numpy(dtype=np.int64)
-        label = np.array([_LABELS.index(x) if x in _LABELS else 2 for x in labels], dtype=np.int64)
-        columns = {c: [None] * len(ids) for c in ("sent_phi", "env_phi", "sent_stderr", "env_stderr")}
-        sent_full, env_full, taken = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int32)
-        for at, texts in byte_blocks(lowered, 1 << 19):
-            block = Block(texts, players, lexicons)
-            here = slice(at, at + len(texts))
-            mean, error, n = block.attribute(ids[here], label[here], samples, seed, tree, paired, least, tolerance)
-            sent_full[here], env_full[here] = block.full(np.arange(len(texts)), label[here])
-            taken[here] = n
-            ends = np.cumsum(block.m)[:-1]
-            for name, flat in (("sent_phi", mean[0]), ("env_phi", mean[1]), ("sent_stderr", error[0]), ("env_stderr", error[1])):
-                columns[name][here] = np.split(flat, ends)
-        return pd.DataFrame({
-            "sent_base": np.where(label == 2, 1.0, 0.0), "sent_phi": columns["sent_phi"], "sent_full": sent_full,
-            "env_base": np.zeros(len(ids)), "env_phi": columns["env_phi"], "env_full": env_full,
-            "sent_stderr": columns["sent_stderr"], "env_stderr": columns["env_stderr"], "n_samples": taken})
+    """ids (long), lower-cased text, label -> the sampled values of both outputs, a block
+    of texts at a time whatever the size of an Arrow batch."""
+
+    @F.arrow_udf(GAME_TYPE)
+    def play(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for all_ids, lowered, labels in batches:
+            for at, texts in arrow_blocks(lowered, _BLOCK):
+                ids = np.asarray(all_ids.slice(at, len(texts)), dtype=np.int64)
+                label = np.array([_LABELS.index(x) if x in _LABELS else 2 for x in labels.slice(at, len(texts)).to_pylist()], dtype=np.int64)
+                block = Block(texts, players, lexicons)
+                mean, error, taken = block.attribute(ids, label, samples, seed, tree, paired, least, tolerance)
+                sent_full, env_full = block.full(np.arange(len(texts)), label)
+                ends = pa.array(np.append(0, np.cumsum(block.m)), pa.int32())
+                sent_phi, env_phi, sent_stderr, env_stderr = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (*mean, *error))
+                columns = {
+                    "sent_base": pa.array(np.where(label == 2, 1.0, 0.0)), "sent_phi": sent_phi, "sent_full": pa.array(sent_full),
+                    "env_base": pa.array(np.zeros(len(ids))), "env_phi": env_phi, "env_full": pa.array(env_full),
+                    "sent_stderr": sent_stderr, "env_stderr": env_stderr, "n_samples": pa.array(taken, pa.int32())}
+                yield pa.StructArray.from_arrays([*columns.values()], names=[*columns])
 
     return play
