@@ -51,7 +51,7 @@ DIGITS = 6
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    return df.select(*[F.round(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c)
+    return df.select(*[S.half_up(F.col(c), digits).alias(c) if t == "double" else F.round(F.col(c), digits).alias(c) if t == "float" else F.col(c)
                        for c, t in df.dtypes])
 
 
