@@ -17,17 +17,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidings.config import ENCODER_BATCH_SIZE, ESG_ANCHOR, LEXICAL_TOKEN
 from tidings.functions.text import col_, lexical_tokens, sum_of_squared_counts, weighted_words
-from tidings.functions.vectors import byte_blocks, cosine, literal_vector, token_codes
+from tidings.functions.vectors import arrow_blocks, cosine, literal_vector, token_codes, token_counter
 
 
 def anchor_counts(anchor: str = ESG_ANCHOR) -> dict[str, int]:
@@ -35,26 +35,28 @@ def anchor_counts(anchor: str = ESG_ANCHOR) -> dict[str, int]:
     return dict(Counter(re.findall(LEXICAL_TOKEN, anchor.lower())))
 
 
-@F.pandas_udf(T.LongType())
-def squared_token_counts(lowered: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def squared_token_counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """sum(count(t)**2) over the distinct lexical tokens of each lower-cased
     text (0 for null), Arrow-batched.
 
     Per-row token frequencies have no compiled built-in; the native form
     (``sum_of_squared_counts``: sort, then a lambda fold) runs interpreted at
     a few microseconds per token. Here all tokens of a block of texts are
-    found, hashed and counted at once in numpy (``vectors.token_codes``).
+    found, hashed and counted at once in numpy (``vectors.token_codes``). Memory is
+    that of a block, whatever the size of an Arrow batch.
     """
-    out = np.zeros(len(lowered), dtype=np.int64)
-    for first, texts in byte_blocks(lowered):
-        row, code = token_codes(texts)
-        if len(row):
-            order = np.lexsort((code, row))
-            row, code = row[order], code[order]
-            head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
-            count = np.diff(np.append(head, len(row)))
-            out[first:first + len(texts)] = np.bincount(row[head], weights=count * count, minlength=len(texts))
-    return pd.Series(out)
+    for lowered in batches:
+        out = np.zeros(len(lowered), dtype=np.int64)
+        for first, texts in arrow_blocks(lowered, 1 << 18):
+            row, code = token_codes(texts)
+            if len(row):
+                order = np.lexsort((code, row))
+                row, code = row[order], code[order]
+                head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
+                count = np.diff(np.append(head, len(row)))
+                out[first:first + len(texts)] = np.bincount(row[head], weights=count * count, minlength=len(texts))
+        yield pa.array(out)
 
 
 class BowCosine:
@@ -104,19 +106,12 @@ def anchor_vocabulary_encoder_loader(anchor: str = ESG_ANCHOR):
     of the anchor's distinct words (in first-seen order). Exercises the
     encoder adapter without weights."""
     vocab = list(dict.fromkeys(re.findall(LEXICAL_TOKEN, anchor.lower())))
-    token = re.compile(LEXICAL_TOKEN)
 
     def load():
-        index = {w: i for i, w in enumerate(vocab)}
+        count = token_counter(vocab)
 
         def encode(texts: list[str]):
-            out = np.zeros((len(texts), len(vocab)), dtype=np.float32)
-            for r, t in enumerate(texts):
-                for w in token.findall(t.lower()):
-                    j = index.get(w)
-                    if j is not None:
-                        out[r, j] += 1.0
-            return out
+            return count(texts).astype(np.float32)
 
         return encode
 
