@@ -88,8 +88,8 @@ def test_games_of_many_rows_are_the_games_of_each():
 
 
 def test_token_counter_and_stub_model_equal_plain_counts():
-    some = [*texts(20, 50), "", "SOLAR ſolar Profitİ profit profit_loss"]
-    words = [*C.POSITIVE_WORDS, "no token", "the"]
+    some = [*texts(20, 50), "", "SOLAR ſolar Profitİ profit profit_loss", "RİSK ris\u212a wea\u212a WEA\u212a É\u212b", "\n", "loss\n", "x\nprofit"]
+    words = [*dict.fromkeys([*C.POSITIVE_WORDS])][:3] + ["no token", "the", "weak", "risk"]
     want = [[re.findall(C.LEXICAL_TOKEN, t.lower()).count(w) for w in words] for t in some]
     assert token_counter(words)(some).tolist() == want and token_counter(words)([]).shape == (0, len(words))
     for t, scores in zip(some, lexicon_model_loader(None)()(some)):

@@ -101,20 +101,31 @@ def token_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(offsets, start, side="right"), code
 
 
+def _lowered(text: str) -> bytes:
+    """Lower-cased bytes with the lexical tokens of ``text.lower()``. Two letters beyond
+    ASCII have ASCII in their lower case; without them lowering A-Z is enough."""
+    return (text.lower() if "\u0130" in text or "\u212a" in text else text).encode(errors="replace").lower()
+
+
 def token_counter(words: Sequence[str]) -> Callable[[list[str]], np.ndarray]:
     """A function of texts: how often each word is a lexical token of each (texts x words)."""
     at = [j for j, w in enumerate(words) if w and w.isascii() and w.isalnum() and w == w.lower()]
     codes = token_codes([words[j].encode() for j in at])[1]
     order = np.argsort(codes)
     codes, column = codes[order], np.array(at, np.int64)[order]
+    seen = np.zeros(1 << 12, bool)
+    seen[(codes & np.uint64(0xFFF)).astype(np.int64)] = True
 
     def count(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(words)), np.int64)
         if len(texts) and len(codes):
-            row, code = token_codes([t.lower().encode(errors="replace") for t in texts])
-            place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            hit = codes[place] == code
-            np.add.at(out, (row[hit], column[place[hit]]), 1)
+            lowered = [_lowered(t) for t in texts]
+            start, code = token_spans(np.frombuffer(b"\n".join(lowered) + b"\n", np.uint8))
+            likely = np.flatnonzero(seen[(code & np.uint64(0xFFF)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(codes, code[likely]), len(codes) - 1)
+            hit = codes[place] == code[likely]
+            row = np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), start[likely[hit]], side="right")
+            np.add.at(out, (row, column[place[hit]]), 1)
         return out
 
     return count

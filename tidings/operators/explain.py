@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 
 from tidings.config import MAX_EXACT_PLAYERS, SENTIMENT_CHAR_LIMIT, WORD_TOKEN
 from tidings.operators.attribution import order_id, shapley
-from tidings.operators.games import sampled_orders
+from tidings.operators.games import orders_of, sampled_orders
 from tidings.operators.materiality import EncoderCosine
 from tidings.operators.scorers import SCORE_FIELDS, ModelScorer
 from tidings.operators.scoretable import append_scores, known_scores, model_rows, with_values
@@ -52,13 +51,14 @@ class Game:
     the label is read from (its first ``label_chars`` characters)."""
 
     def __init__(self, text: str, code: int, players: int | None, permutations: int | None, seed: int, tree: bool, paired: bool,
-                 label_chars: int):
-        self.chunks = split_players(text, players)
+                 label_chars: int, chunks: list[str] | None = None, orders: np.ndarray | None = None):
+        self.chunks = split_players(text, players) if chunks is None else chunks
         self.head = text[:label_chars]
         m = len(self.chunks)
         self.orders = None
         if permutations is not None and m:
-            orders = sampled_orders(seed, code, permutations, m, tree)
+            if orders is None:
+                orders = sampled_orders(seed, code, permutations, m, tree)
             self.orders = np.concatenate([orders, orders[:, ::-1]]) if paired else orders
             self.size = len(self.orders) * (m + 1)
         else:
@@ -86,6 +86,23 @@ class Game:
         return np.bincount(self.orders.ravel(), weights=steps.ravel(), minlength=m) / len(self.orders)
 
 
+def games_of(codes: list, texts: list, settings: tuple) -> list[Game | None]:
+    """The games of rows (none for a null text): the orders of those with equally many players are drawn together."""
+    players, permutations, seed, tree, *_ = settings
+    chunks = [None if t is None else split_players(t, players) for t in texts]
+    orders: list = [None] * len(texts)
+    if permutations is not None:
+        size = np.array([len(c or ()) for c in chunks])
+        for m in np.unique(size[size > 0]).tolist():
+            alike = np.flatnonzero(size == m)
+            step = max(1, (1 << 16) // (permutations * m))
+            for a in range(0, len(alike), step):
+                some = alike[a:a + step]
+                for i, drawn in zip(some.tolist(), orders_of(seed, [codes[i] for i in some], np.arange(permutations), m, tree)):
+                    orders[i] = drawn
+    return [None if t is None else Game(t, code, *settings, chunks=c, orders=o) for code, t, c, o in zip(codes, texts, chunks, orders)]
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -94,6 +111,10 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 _RESULT = ("struct<chunks: array<string>, n_players: int, label: string, sent_base: double, sent_phi: array<double>, "
            "sent_full: double, env_base: double, env_phi: array<double>, env_full: double, attribution_error: string>")
+_RESULT_ARROW = pa.struct([
+    ("chunks", pa.list_(pa.string())), ("n_players", pa.int32()), ("label", pa.string()), ("sent_base", pa.float64()),
+    ("sent_phi", pa.list_(pa.float64())), ("sent_full", pa.float64()), ("env_base", pa.float64()), ("env_phi", pa.list_(pa.float64())),
+    ("env_full", pa.float64()), ("attribution_error", pa.string())])
 _EMPTY = dict.fromkeys(("chunks", "n_players", "label", "sent_base", "sent_phi", "sent_full", "env_base", "env_phi", "env_full", "attribution_error"))
 _LABELS = ("positive", "negative", "neutral")
 
@@ -128,10 +149,8 @@ def attribute_models(df: DataFrame, scorer: ModelScorer, encoder: EncoderCosine
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                keys = []
-                for code, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    game = Game(text, code, *settings) if text is not None else None
-                    keys.append([hashlib.md5(game.text(i).encode()).digest() for i in range(game.size + 1)] if game else [])
+                keys = [[hashlib.md5(game.text(i).encode()).digest() for i in range(game.size + 1)] if game else []
+                        for game in games_of(part.column(1).to_pylist(), part.column(2).to_pylist(), settings)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.list_(pa.binary()))], names=[*part.schema.names, "__keys"])
 
     schema = T.StructType([*own.schema.fields, T.StructField("__keys", T.ArrayType(T.BinaryType()))])
@@ -148,10 +167,10 @@ def attribute_models(df: DataFrame, scorer: ModelScorer, encoder: EncoderCosine
     work = _stored(games.select("__row", "__code", "__text").join(slices, "__row"), "masked-work")
 
     def expand(batch: pa.RecordBatch) -> Iterator[tuple[bytes, str]]:
-        for row in batch.select(["__code", "__text", "work"]).to_pylist():
-            game = Game(row["__text"], row["__code"], *settings)
-            for item in row["work"]:
-                yield item["key"], game.text(item["at"])
+        games = games_of(batch.column("__code").to_pylist(), batch.column("__text").to_pylist(), settings)
+        for game, items in zip(games, batch.column("work")):
+            for at, key in zip(*(items.values.field(c).to_pylist() for c in ("at", "key"))):
+                yield key, game.text(at)
 
     table = table or fresh_path(spark, "masked-scores")
     append_scores(spread(work), expand, model_rows(scorer, encoder), table, version, F.col("__row"), parts)
@@ -160,33 +179,39 @@ def attribute_models(df: DataFrame, scorer: ModelScorer, encoder: EncoderCosine
     found = back.groupBy("__row").agg(F.collect_list(F.struct("at", *SCORE_FIELDS, "cosine", "score_error")).alias("values"))
     explained = encoder is not None
 
-    @F.pandas_udf(_RESULT)
-    def result(codes: pd.Series, texts: pd.Series, values: pd.Series) -> pd.DataFrame:
-        out = []
-        for code, text, rows in zip(codes, texts, values):
-            if not isinstance(text, str):
-                out.append(_EMPTY | {"n_players": 0, "attribution_error": "no text"})
-                continue
-            game = Game(text, int(code), *settings)
-            rows = sorted(rows, key=lambda r: r["at"])
-            one = _EMPTY | {"chunks": game.chunks, "n_players": len(game.chunks)}
-            error = next((r["score_error"] for r in rows if r["score_error"]), None)
-            out.append(one | {"attribution_error": error} if error else one | _values(game, rows, explained))
-        return pd.DataFrame(out, columns=list(_EMPTY))
+    @F.arrow_udf(_RESULT)
+    def result(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for codes, texts, values in batches:
+            for at in range(0, len(codes), 64):
+                games = games_of(codes.slice(at, 64).to_pylist(), texts.slice(at, 64).to_pylist(), settings)
+                out = [_row(game, rows, explained) for game, rows in zip(games, values.slice(at, 64))]
+                yield pa.array(out, _RESULT_ARROW)
 
     joined = games.drop("__keys").join(found, "__row", "left")
     shown = [F.col("__id").alias(id_col), *[F.col(f"__k{i}").alias(c) for i, c in enumerate(kept)]]
     return joined.withColumn("__x", result("__code", "__text", "values")).select(*shown, "__x.*")
 
 
-def _values(game: Game, rows, explained: bool) -> dict:
-    p = np.array([[r[f] for f in SCORE_FIELDS] for r in rows])
+def _row(game: Game | None, rows: pa.ListScalar, explained: bool) -> dict:
+    if game is None:
+        return _EMPTY | {"n_players": 0, "attribution_error": "no text"}
+    one = _EMPTY | {"chunks": game.chunks, "n_players": len(game.chunks)}
+    order = np.argsort(rows.values.field("at").to_numpy())
+    errors = rows.values.field("score_error")
+    if errors.null_count < len(errors):
+        said = errors.to_pylist()
+        return one | {"attribution_error": next(said[i] for i in order if said[i])}
+    return one | _values(game, {c: rows.values.field(c).to_numpy(zero_copy_only=False)[order] for c in (*SCORE_FIELDS, "cosine")}, explained)
+
+
+def _values(game: Game, scores: dict[str, np.ndarray], explained: bool) -> dict:
+    p = np.stack([scores[f] for f in SCORE_FIELDS], axis=1)
     label = int(np.argmax(p[-1]))
     # The full coalition is the last of every order and of the enumeration, the empty one the first.
     v = p[:-1, label]
     out = {"label": _LABELS[label], "sent_base": float(v[0]), "sent_phi": game.phi(v).tolist(), "sent_full": float(v[-1])}
     if explained:
-        cos = np.array([r["cosine"] for r in rows[:-1]], dtype=np.float64)
+        cos = scores["cosine"][:-1].astype(np.float64)
         e = np.where(p[:-1, 0] > p[:-1, 1], 1.0, -1.0) * cos + 0.0
         full = -1 if game.orders is None else len(game.chunks)
         out |= {"env_base": float(e[0]), "env_phi": game.phi(e).tolist(), "env_full": float(e[full])}

@@ -33,6 +33,7 @@ from tidings.config import (
     SENTIMENT_CHAR_LIMIT,
 )
 from tidings.functions.text import col_, count_words, let, truncate
+from tidings.functions.vectors import token_counter
 
 SCORE_FIELDS = ("positive", "negative", "neutral")
 SCORE_TYPE = T.StructType(
@@ -174,18 +175,17 @@ def lexicon_model_loader(fail_on: str | None = "fly ash"):
     lexicon probabilities. A batch holding a text that contains ``fail_on``
     raises, as a model would on bad input, to exercise the fallback.
     """
-    pos, neg = set(POSITIVE_WORDS), set(NEGATIVE_WORDS)
-    token = re.compile(LEXICAL_TOKEN)
+    pos, neg = sorted(set(POSITIVE_WORDS)), sorted(set(NEGATIVE_WORDS))
 
     def load():
+        count = token_counter([*pos, *neg])
+
         def model(texts: list[str]):
             if fail_on is not None and any(fail_on in t.lower() for t in texts):
                 raise ValueError(f"cannot score text containing {fail_on!r}")
             out = []
-            for t in texts:
-                toks = token.findall(t.lower())
-                p = sum(w in pos for w in toks)
-                n = sum(w in neg for w in toks)
+            found = count(texts)
+            for p, n in zip(found[:, :len(pos)].sum(axis=1).tolist(), found[:, len(pos):].sum(axis=1).tolist()):
                 z = p + n + 1.0
                 out.append([{"label": "POSITIVE", "score": p / z}, {"label": "NEGATIVE", "score": n / z},
                             {"label": "NEUTRAL", "score": 1 / z}])

@@ -26,7 +26,9 @@ from tidings.plans.chain import spread
 from tidings.session import fresh_path
 
 TABLE_TYPE = "version string, key binary, positive double, negative double, neutral double, cosine double, score_error string"
-_AT_ONCE = 512  # texts gathered before they go to the models
+_AT_ONCE = 512  # texts gathered before they go to the models,
+_CHARS = 1 << 22  # or texts of this many characters
+_ROWS = 16  # rows of a batch that are Python objects at a time
 #: A key with this share of all uses is hot: there are at most 1,000 of them.
 HOT_SHARE = 1000
 
@@ -105,13 +107,15 @@ def append_scores(todo: DataFrame, expand: Callable[[pa.RecordBatch], Iterator[t
                  *(pa.array(v, pa.float64()) for v in values[:4]), pa.array(values[4], pa.string())],
                 names=["version", "key", *SCORE_FIELDS, "cosine", "score_error"])
 
-        queue = []
+        queue, chars = [], 0
         for batch in batches:
-            for item in expand(batch):
-                queue.append(item)
-                if len(queue) >= _AT_ONCE:
-                    yield scored(queue)
-                    queue = []
+            for at in range(0, batch.num_rows, _ROWS):
+                for item in expand(batch.slice(at, _ROWS)):
+                    queue.append(item)
+                    chars += len(item[1])
+                    if len(queue) >= _AT_ONCE or chars >= _CHARS:
+                        yield scored(queue)
+                        queue, chars = [], 0
         if queue:
             yield scored(queue)
 
