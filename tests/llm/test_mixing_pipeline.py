@@ -114,6 +114,18 @@ def test_pipeline_stages_one_by_one(spark):
     assert [n for n, _ in P.STAGES] == ["quality", "near_duplicates", "repeated_passages", "decontamination", "mixing"] and P.ORACLE_SQL is None
 
 
+def test_mix_cuts_its_plan(spark, monkeypatch):
+    """The running totals are written before blocks and slots meet: the last plan has none of their windows."""
+    written = []
+    keep = M.stored
+    monkeypatch.setattr(M, "stored", lambda df, name: (written.append(name), keep(df, name))[1])
+    docs = [(i, " ".join(["w"] * (i % 40)), f"s{i % 5}") for i in range(200)]
+    out = M.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), block=8, slots=16)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert written == ["mix-sizes", "mix-placed", "mix-starts"] and "Window" not in plan
+    _check(out.collect(), [(d, t, s) for d, t, s in docs])
+
+
 def test_stages_on_odd_rows(spark):
     """Nulls, empty and repeated rows, clashing names: no stage crashes, columns stay."""
     rows = [(None, None, None, None, None, None), (1, "", "en", "s", 0, 1), (2, "some plain words here", None, None, 21, 2),

@@ -154,3 +154,29 @@ def test_components_with_hubs_against_union_find(spark):
             root[max(x, y)] = min(x, y)
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
     assert got == {n: find(n) for n in root if find(n) != n}
+
+
+def test_components_stop_when_the_links_are_stars(spark, monkeypatch):
+    """No round is run only to see that nothing changes: each costs the driver seven plans."""
+    from tidings.llm import components as C
+
+    written = []
+    keep = C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: (written.append(name), keep(df, name))[1])
+    stars = [(1, 2), (1, 3), (4, 1), (10, 11)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {2: 1, 3: 1, 4: 1, 11: 10} and len(written) == 1 + 4
+    for links in ([], [(7, 7)]):
+        assert components(spark.createDataFrame(links, "a long, b long")).collect() == []
+    chain = [(i, i + 1) for i in range(20)] + [(i + 1, i) for i in range(5)]
+    assert {(r["node"], r["root"]) for r in components(spark.createDataFrame(chain, "a long, b long")).collect()} == {(i, 0) for i in range(1, 21)}
+
+
+def test_keep_one_joins_components_once(spark, monkeypatch):
+    written = []
+    keep = S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name: (written.append((name, df.columns)), keep(df, name))[1])
+    rows = [(1, "a b c d"), (2, "a b c d"), (3, "quite another text here"), (3, "a third one of the same id")]
+    out = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 3]
+    assert ("found", ["doc_id", "fp", "root"]) in written

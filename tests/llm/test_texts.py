@@ -92,6 +92,24 @@ def test_quality_held_out_accuracy_and_edges(spark):
     assert scores[0] == scores[1] and all(0 <= s <= 1 for s in scores)
 
 
+def test_quality_is_learned_in_a_task(spark, monkeypatch):
+    """The sample's features never reach the driver: what it would learn with is not called there."""
+    def here(*args):
+        raise AssertionError("learned on the driver")
+
+    rows = [(i, ("good words of a page " if i % 2 else "buy cheap pills now ") * (1 + i % 5)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "train", here)
+    monkeypatch.setattr(quality, "calibrate", here)
+    model = quality.fit_quality(docs, labels, F.lit(True))
+    assert model.scores.shape == (1 << 17, 2) and model.scores.dtype == np.float32 and model.bias.shape == (2,)
+    monkeypatch.undo()
+    made = sorted(((str(i), quality.FEATURES.counts(t.encode()), i % 2) for i, t in rows), key=lambda r: r[0])
+    want = quality.learned([f for _, f, _ in made], [y for _, _, y in made], 16)
+    assert np.allclose(model.scores, want.scores, rtol=1e-4, atol=1e-6) and np.allclose(model.bias, want.bias) and model.temperature == want.temperature
+
+
 # -- decontamination --------------------------------------------------------
 
 def plain_hits(docs, bench, size=10):

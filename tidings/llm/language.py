@@ -69,11 +69,10 @@ def within_bytes(sampled: DataFrame, sample_bytes: int, labels: int) -> DataFram
     return upto.filter((F.col("upto") <= F.lit(sample_bytes // max(labels, 1))) | (F.col("nth") == 1)).select("id")
 
 
-def sample_features(docs: DataFrame, ids: list[tuple], features: Features, sample_bytes: int = SAMPLE_BYTES) -> tuple[list, list]:
-    """The features of the documents in ``ids`` (a bounded list), one row per id,
-    as many as ``sample_bytes`` of text hold."""
-    if not ids:
-        return [], []
+def feature_rows(docs: DataFrame, ids: list[tuple], features: Features, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """id, label (as text), numbers, shares: the features of the documents in ``ids``
+    (a bounded list of ids and labels, not empty), one row per id, as many as
+    ``sample_bytes`` of text hold."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     wanted = spark.createDataFrame([(i, str(y)) for i, y in ids], ["id", "label"]).select(F.col("id").cast(kind).alias("id"), "label")
@@ -82,15 +81,21 @@ def sample_features(docs: DataFrame, ids: list[tuple], features: Features, sampl
         for batch in small(batches):
             rows = [features.counts(t) for t in column_bytes(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([a.tobytes() for a, _ in rows], pa.binary()), pa.array([b.tobytes() for _, b in rows], pa.binary())],
-                names=["id", "numbers", "shares"])
+                [batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in rows], pa.binary()), pa.array([b.tobytes() for _, b in rows], pa.binary())],
+                names=["id", "label", "numbers", "shares"])
 
     held = (docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(wanted), "id")
             .groupBy("id", "label").agg(F.min("text").alias("text")))
     small_enough = within_bytes(held, sample_bytes, len({y for _, y in ids}))
-    made = (held.join(F.broadcast(small_enough), "id", "left_semi").select("id", "text")
-            .mapInArrow(work, f"id {kind.simpleString()}, numbers binary, shares binary")
-            .select("id", F.struct("numbers", "shares").alias("f")).collect())
+    return (held.join(F.broadcast(small_enough), "id", "left_semi").select("id", "label", "text")
+            .mapInArrow(work, f"id {kind.simpleString()}, label string, numbers binary, shares binary"))
+
+
+def sample_features(docs: DataFrame, ids: list[tuple], features: Features, sample_bytes: int = SAMPLE_BYTES) -> tuple[list, list]:
+    """What ``feature_rows`` has, in the order of the ids as text, and the labels."""
+    if not ids:
+        return [], []
+    made = feature_rows(docs, ids, features, sample_bytes).select("id", F.struct("numbers", "shares").alias("f")).collect()
     label = dict(ids)
     made.sort(key=lambda r: str(r["id"]))
     return ([(np.frombuffer(r["f"]["numbers"], np.uint32), np.frombuffer(r["f"]["shares"], np.float32)) for r in made],

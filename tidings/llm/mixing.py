@@ -152,12 +152,12 @@ def mix(docs: DataFrame, block: int = 128, slots: int = 4096, most: int = 3, see
     sources = spark.createDataFrame([(s, number[s], sizes[s], float(target[s])) for s in names],
                                     "source_ string, source_no int, source_size long, target double")
     chunks = max(1, sum(r["docs"] for r in per_source) // rows_per_chunk)
-    placed = running_total(
+    placed = stored(running_total(
         sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
         .withColumns({"spot": F.xxhash64("doc_id"), "chunk": F.pmod(F.xxhash64("doc_id"), F.lit(chunks))}),
-        "source_no", "chunk", ["spot", "doc_id", "size"], "size", "start", "row")
+        "source_no", "chunk", ["spot", "doc_id", "size"], "size", "start", "row"), "mix-placed")
     drawn = draw_counts(spark, plan, shards, slots, total, seed).withColumn("chunk", F.floor(F.col("shard") / 1024))
-    starts = running_total(drawn, "source_no", "chunk", ["shard"], "n", "start", "row")
+    starts = stored(running_total(drawn, "source_no", "chunk", ["shard"], "n", "start", "row"), "mix-starts")
     # Estimated sizes come from the few numbers above, so the join is named.
     times = (slot_blocks(starts, blocks, most, seed).groupBy(F.col("source_no").alias("s_"), F.col("block").alias("b_"))
              .agg(F.count(F.lit(1)).alias("times")))

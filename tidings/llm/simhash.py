@@ -188,7 +188,7 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     that share an id, or have none, are told apart by their fingerprint, made again
     in the tasks; equal ones are reduced before the shuffle.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle)
+    found = stored(near_duplicates(docs.select("doc_id", "text"), shingle).select("doc_id", "fp", "root"), "found")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least")
     heads = stored(found.groupBy("root").agg(least).select("least.doc_id", "least.fp"), "heads")
     shared = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull())
